@@ -1,10 +1,6 @@
 """All registered queries over the driver's tables, with the SQL that DuckDB checks them by."""
 
-from __future__ import annotations
+from . import metrics, records, relations, streams, texts, vectors  # noqa: F401
+from .base import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
