@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, simhash, tokenfile
-from .common import documents
+from . import bpe, chat, fingerprints, katz, media, packing, pii, simhash, tokenfile, toxicity
+from .common import bucket, documents
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(bucket("doc_id", 4) != 2)
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels))
+    return toxicity.classify(docs, model).select(
+        "doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "toxic"
+    )
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(documents(spark, sf_dir, "doc_id", "text"), spark)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,6 +34,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, files)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +47,24 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_neighbours(documents(spark, sf_dir, "doc_id", "text"), spark)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    found = pii.find(docs, pii.Field(pii.training_texts(docs)))
+    order = lambda spans: F.array_join(
+        F.transform(
+            F.array_sort(F.transform(spans, lambda s: F.struct(F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"]).alias("k"), s["start"], s["end"], s["kind"]))),
+            lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]),
+        ),
+        ",",
+    )
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(order(F.col("base")), 256).alias("base_sha256"), order(F.concat("base", "added")).alias("spans"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     return simhash.near_duplicates(docs, spark).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -58,11 +95,21 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(documents(spark, sf_dir), spark, bucket("doc_id", 7) != 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_media": op2_media,
     "op3_token_files": op3_token_files,
+    "op4_packing": op4_packing,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
+    "op10_katz": op10_katz,
 }
 
 ORACLE_SQL: dict[str, str] = {}

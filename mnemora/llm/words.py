@@ -16,6 +16,9 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Breaks between words where punctuation is no part of a word: ASCII but letters and digits.
+PLAIN = np.zeros(256, dtype=bool)
+PLAIN[:128] = [not chr(i).isalnum() for i in range(128)]
 _VALUE = FOLD.astype(np.uint64) + np.uint64(1)
 
 _tables: dict[str, np.ndarray] = {}
@@ -55,13 +58,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words before each document and in all)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = np.empty(len(data) + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(SPACE[data], out=inside[1:-1])
+    np.logical_not(breaks[data], out=inside[1:-1])
     begin = inside[1:-1] & ~inside[:-2]
     end = inside[1:-1] & ~inside[2:]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -72,10 +75,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, words before each document and in all)."""
     data, offsets = text_buffer(column)
-    starts, ends, counts = word_spans(data, offsets)
+    starts, ends, counts = word_spans(data, offsets, breaks)
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
