@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,12 @@ def vec(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast(DOUBLES)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: inside the lambda of a higher-order function an outer
+    expression would be computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -35,12 +42,16 @@ def sub(a: Column, b: Column) -> Column:
 
 
 def scale(a: Column, k: Column | float) -> Column:
-    return F.transform(a, lambda x: x * k)
+    if not isinstance(k, Column):
+        return F.transform(a, lambda x: x * k)
+    return let(k, lambda kk: F.transform(a, lambda x: x * kk))
 
 
 def axpy(k: Column | float, a: Column, b: Column) -> Column:
     """b + k a."""
-    return F.zip_with(a, b, lambda x, y: y + x * k)
+    if not isinstance(k, Column):
+        return F.zip_with(a, b, lambda x, y: y + x * k)
+    return let(k, lambda kk: F.zip_with(a, b, lambda x, y: y + x * kk))
 
 
 def unit(a: Column, floor: float = 1e-6) -> Column:
@@ -58,15 +69,13 @@ def rounded(a: Column, digits: int = 6) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    shifted = let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return let(shifted, lambda e: let(total(e), lambda z: F.transform(e, lambda x: x / z)))
 
 
 def log_softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    z = F.log(total(F.transform(a, lambda x: F.exp(x - top))))
-    return F.transform(a, lambda x: x - top - z)
+    shifted = let(F.array_max(a), lambda top: F.transform(a, lambda x: x - top))
+    return let(shifted, lambda s: let(F.log(total(F.transform(s, F.exp))), lambda z: F.transform(s, lambda x: x - z)))
 
 
 def vector_sum(vectors: Column, width: Column | int) -> Column:
@@ -94,12 +103,14 @@ def radial_projection(moved: Column, base: Column) -> Column:
 def tangent_transport(base: Column, move: Column) -> Column:
     """base turned on its sphere along the part of move that is tangent to it, a quarter turn at most."""
     r = norm(base)
-    safe = F.greatest(r, F.lit(1e-12))
-    tangent = axpy(-dot(base, move) / (safe * safe), base, move)
-    t = norm(tangent)
-    angle = F.least(t / safe, F.lit(math.pi / 2))
-    turned = F.zip_with(base, tangent, lambda x, y: x * F.cos(angle) + y * (r / F.greatest(t, F.lit(1e-12))) * F.sin(angle))
-    return F.when(t <= 1e-12, base).otherwise(turned)
+    tangent = axpy(-dot(base, move) / F.pow(F.greatest(r, F.lit(1e-12)), 2), base, move)
+
+    def turned(t: Column) -> Column:
+        angle = F.least(norm(t) / F.greatest(r, F.lit(1e-12)), F.lit(math.pi / 2))
+        along = scale(t, r / F.greatest(norm(t), F.lit(1e-12)) * F.sin(angle))
+        return F.when(norm(t) <= 1e-12, base).otherwise(add(scale(base, F.cos(angle)), along))
+
+    return let(tangent, turned)
 
 
 def last_position(mask: Column) -> Column:

@@ -41,7 +41,7 @@ def hybrid(coefficient: Column, isolated: Column, contextual: Column, mix: float
     two agree: the share is mix times their cosine, none if that is negative."""
     gate = F.greatest(V.cosine(isolated, contextual), F.lit(0.0)) * mix
     matched = V.scale(contextual, V.norm(isolated) / F.greatest(V.norm(contextual), F.lit(1e-12)))
-    return V.scale(F.zip_with(isolated, matched, lambda x, y: x * (1 - gate) + y * gate), coefficient)
+    return V.scale(V.let(gate, lambda g: F.zip_with(isolated, matched, lambda x, y: x * (1 - g) + y * g)), coefficient)
 
 
 def joint_isolated(full: Column, clean: Column, positive: Column, width: int) -> Column:
@@ -85,7 +85,7 @@ def grouped_logits(clean: Column, without: Column, coefficients: Column, width:
 def frozen(steps: Column) -> Column:
     """Later steps keep the first step's direction: struct(only, empty) per step -> only."""
     first = V.sub(F.get(steps, F.lit(0))["only"], F.get(steps, F.lit(0))["empty"])
-    return F.transform(steps, lambda s, i: F.when(i == 0, s["only"]).otherwise(V.add(s["empty"], first)))
+    return V.let(first, lambda d: F.transform(steps, lambda s, i: F.when(i == 0, s["only"]).otherwise(V.add(s["empty"], d))))
 
 
 def steer(hidden: Column, direction: Column, alpha: Column | float, keep_norm: bool = False) -> Column:
@@ -102,7 +102,7 @@ def adaptive_alpha(projection: Column, scale: Column, base: float, last: bool) -
 
 def readout(hidden: Column, weights: Column, bias: Column | None = None) -> Column:
     """W h + b; weights: an array of rows."""
-    out = F.transform(weights, lambda w: V.dot(w, hidden))
+    out = V.let(hidden, lambda h: F.transform(weights, lambda w: V.dot(w, h)))
     return out if bias is None else V.add(out, bias)
 
 

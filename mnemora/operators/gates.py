@@ -20,10 +20,9 @@ def kl_gate(base: Column, moved: Column) -> Column:
 
 def fisher_gate(base: Column, moved: Column, budget: float = 0.1) -> Column:
     """sqrt(budget / variance of moved under softmax(base)) within [0.25, 2]; 1 where it hardly varies."""
-    p = V.softmax(base)
-    mean = V.dot(p, moved)
-    var = V.total(F.zip_with(p, moved, lambda a, x: a * (x - mean) * (x - mean)))
-    return F.when(var <= 1e-8, 1.0).otherwise(clamp(F.sqrt(F.lit(budget) / F.greatest(var, F.lit(1e-8))), 0.25, 2.0))
+    spread = lambda p: V.let(V.dot(p, moved), lambda m: V.total(F.zip_with(p, moved, lambda a, x: a * (x - m) * (x - m))))
+    gate = lambda var: F.when(var <= 1e-8, 1.0).otherwise(clamp(F.sqrt(F.lit(budget) / F.greatest(var, F.lit(1e-8))), 0.25, 2.0))
+    return V.let(V.let(V.softmax(base), spread), gate)
 
 
 def finite(x: Column) -> Column:
@@ -60,8 +59,7 @@ def attention_mass(heads: Column, positions: Column) -> Column:
 def nucleus(logits: Column, top_p: float) -> Column:
     """array of struct(p, token) in order of falling probability (ties: token): tokens up to and with the
     one that crosses top_p."""
-    p = V.softmax(logits)
-    ranked = F.transform(F.array_sort(F.transform(p, lambda x, i: F.struct((-F.round(x, 12)).alias("n"), i.alias("token"), x.alias("p")))), lambda s: F.struct(s["p"].alias("p"), s["token"].alias("token")))
+    ranked = F.transform(F.array_sort(F.transform(V.softmax(logits), lambda x, i: F.struct((-F.round(x, 12)).alias("n"), i.alias("token"), x.alias("p")))), lambda s: F.struct(s["p"].alias("p"), s["token"].alias("token")))
     step = lambda acc, x: F.struct(
         (acc["sum"] + x["p"]).alias("sum"),
         F.when(acc["sum"] < top_p, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"),
@@ -72,12 +70,16 @@ def nucleus(logits: Column, top_p: float) -> Column:
 
 def sample(kept: Column, draw: Column) -> Column:
     """The token at which the renormalised cumulative probability reaches draw; the last one at most."""
-    mass = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x["p"])
-    step = lambda acc, x: F.struct(
-        (acc["sum"] + x["p"] / mass).alias("sum"),
-        F.when(acc["token"].isNull() & (acc["sum"] + x["p"] / mass >= draw), x["token"]).otherwise(acc["token"]).alias("token"),
-    )
-    found = F.aggregate(kept, F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("token")), step)["token"]
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("token"))
+
+    def reached(mass: Column) -> Column:
+        step = lambda acc, x: F.struct(
+            (acc["sum"] + x["p"] / mass).alias("sum"),
+            F.when(acc["token"].isNull() & (acc["sum"] + x["p"] / mass >= draw), x["token"]).otherwise(acc["token"]).alias("token"),
+        )
+        return F.aggregate(kept, zero, step)["token"]
+
+    found = V.let(F.aggregate(kept, F.lit(0.0), lambda s, x: s + x["p"]), reached)
     return F.coalesce(found, F.element_at(kept, -1)["token"])
 
 

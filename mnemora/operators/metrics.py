@@ -72,7 +72,7 @@ def band(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def label_counts(rows: DataFrame, by: list[str], label: str, labels: list[str]) -> DataFrame:
-    return rows.groupBy(*by).pivot(label, labels).agg(F.count("*")).na.fill(0)
+    return rows.groupBy(*by).pivot(label, labels).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def group_collapse(rows: DataFrame, group: str, order: str, label: str) -> DataFrame:

@@ -47,8 +47,8 @@ def class_metrics_by_layer_regime(spark: SparkSession, sf_dir: str) -> DataFrame
     return m.select("layer", "regime", "n", r6(F.col("accuracy")).alias("accuracy"), r6(F.col("macro_recall")).alias("macro_recall"), "classes")
 
 
-@query(f"""WITH {SIG}, {LONG}, {LOGO}, c AS (SELECT layer, cls, avg(CASE WHEN prediction=cls THEN 1.0 ELSE 0.0 END) AS r FROM p GROUP BY ALL), m AS (SELECT layer, round(avg(r),6) AS macro_recall FROM c GROUP BY 1)
- SELECT layer, macro_recall, row_number() OVER (ORDER BY macro_recall DESC, layer)=1 AS selected FROM m""")
+@query(f"""WITH {SIG}, {LONG}, {LOGO}, c AS (SELECT layer, cls, avg(CASE WHEN prediction=cls THEN 1.0 ELSE 0.0 END) AS r FROM p GROUP BY ALL), mr AS (SELECT layer, round(avg(r),6) AS macro_recall FROM c GROUP BY 1)
+ SELECT layer, macro_recall, row_number() OVER (ORDER BY macro_recall DESC, layer)=1 AS selected FROM mr""")
 def logo_layer_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = O.leave_group_out(signatures(spark, sf_dir).where("grp < 10"))
     m = O.class_metrics(p, ["layer"]).select("layer", r6(F.col("macro_recall")).alias("macro_recall"))

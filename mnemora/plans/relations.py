@@ -28,7 +28,7 @@ def equi_join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT user_id, event_type, event_id, CAST(epoch(ts) AS BIGINT) AS s FROM events), types AS (SELECT min(event_type) AS a, max(event_type) AS b FROM events)
+    """WITH e AS (SELECT user_id, event_type, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events), types AS (SELECT min(event_type) AS a, max(event_type) AS b FROM events)
  SELECT l.user_id, count(*) AS pairs, CAST(sum(least(l.s+21600, r.s+43200)-greatest(l.s,r.s)) AS BIGINT) AS seconds FROM e l JOIN e r ON l.user_id=r.user_id AND l.s < r.s+43200 AND r.s < l.s+21600, types
  WHERE l.event_type=types.a AND r.event_type=types.b GROUP BY 1"""
 )

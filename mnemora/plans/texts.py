@@ -90,7 +90,7 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ITEMS}, k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY memory_id) AS i FROM items WHERE policy<>'ignore')
- SELECT s.sample_id, sha256(coalesce(string_agg(concat(i,'. [',policy,'] ',text), chr(10) ORDER BY i),'')) AS list_sha256 FROM (SELECT DISTINCT sample_id FROM items) s LEFT JOIN k USING (sample_id) GROUP BY 1""")
+ SELECT s.sample_id, sha256(coalesce(string_agg(CASE WHEN i IS NOT NULL THEN concat(i,'. [',policy,'] ',text) END, chr(10) ORDER BY i),'')) AS list_sha256 FROM (SELECT DISTINCT sample_id FROM items) s LEFT JOIN k USING (sample_id) GROUP BY 1""")
 def memory_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.transform("memories", lambda m: F.struct(m["memory_text"].alias("text"), m["gold_policy"].alias("policy")))
     return samples(spark, sf_dir).select("sample_id", F.sha2(T.numbered_list(pairs, hints=True, drop_ignored=True), 256).alias("list_sha256"))
@@ -129,7 +129,7 @@ def endpoint_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", url.alias("url"), cap.alias("cap"))
 
 
-@query("""WITH d AS (SELECT doc_id, text, instr(text,'the') AS a FROM documents), e AS (SELECT doc_id, a, CASE WHEN a>0 THEN a+2 ELSE 0 END AS at, text FROM d) SELECT doc_id, CAST(a-1 AS INT) AS first, CAST(CASE WHEN instr(substr(text,at+1),'the')>0 THEN instr(substr(text,at+1),'the')+at-1 ELSE -1 END AS INT) AS second FROM e""")
+@query("""WITH d AS (SELECT doc_id, text, instr(text,'the') AS a FROM documents), e AS (SELECT doc_id, a, CASE WHEN a>0 THEN a+2 ELSE 0 END AS skip, text FROM d) SELECT doc_id, CAST(a-1 AS INT) AS first, CAST(CASE WHEN instr(substr(text,skip+1),'the')>0 THEN instr(substr(text,skip+1),'the')+skip-1 ELSE -1 END AS INT) AS second FROM e""")
 def sequential_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = T.find_in_order(F.col("text"), F.array(F.lit("the"), F.lit("the")))
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("f")).select("doc_id", F.get("f", F.lit(0)).alias("first"), F.get("f", F.lit(1)).alias("second"))
