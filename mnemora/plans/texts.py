@@ -30,7 +30,7 @@ def think_strip_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(spark, sf_dir).select("doc_id", P.extract_json(F.col("raw")).alias("json"))
 
 
-@query(f"""WITH {VERDICTS} SELECT doc_id, CAST(js->'$.match' AS BOOLEAN) AS matched, least(5.0,greatest(0.0,CAST(js->'$.score' AS DOUBLE))) AS score FROM x""")
+@query(f"""WITH {VERDICTS} SELECT doc_id, CAST(js->'$.match' AS BOOLEAN) AS matched, CASE WHEN js IS NOT NULL THEN least(5.0,greatest(0.0,CAST(js->'$.score' AS DOUBLE))) END AS score FROM x""")
 def verdict_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = verdicts(spark, sf_dir).withColumn("j", P.extract_json(F.col("raw")))
     return v.select("doc_id", P.single_verdict(F.col("j")).alias("matched"), P.bounded_metric(F.col("j"), "score").alias("score"))

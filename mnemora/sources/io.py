@@ -31,7 +31,7 @@ def read_done(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line (1..), value: one task per file, so that numbers are the file's own."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("line", F.col("line") + 1).where("value <> ''")
 
 
