@@ -77,9 +77,16 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE
 
 def word_hashes(column: pa.Array, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, words before each document and in all)."""
+    (out,), counts = prefix_hashes(column, (0,), breaks)
+    return out, counts
+
+
+def prefix_hashes(column: pa.Array, sizes: tuple[int, ...], breaks: np.ndarray = SPACE) -> tuple[list[np.ndarray], np.ndarray]:
+    """(per size, the hash of every word's first bytes, of the whole word for 0; words before each
+    document and in all)."""
     data, offsets = text_buffer(column)
     starts, ends, counts = word_spans(data, offsets, breaks)
-    out = np.empty(len(starts), np.uint64)
+    out = [np.empty(len(starts), np.uint64) for _ in sizes]
     i = 0
     while i < len(starts):
         base = starts[i]
@@ -89,7 +96,9 @@ def word_hashes(column: pa.Array, breaks: np.ndarray = SPACE) -> tuple[np.ndarra
         run = np.empty(n + 1, np.uint64)
         run[0] = 0
         np.cumsum(_VALUE[data[base : base + n]] * power[:n], out=run[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((run[e] - run[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        s, whole = starts[i:j] - base, ends[i:j] - base
+        for size, h in zip(sizes, out):
+            e = np.minimum(whole, s + size) if size else whole
+            h[i:j] = mix((run[e] - run[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         i = j
     return out, counts

@@ -13,6 +13,7 @@ from mnemora.llm.queries import op1_toxicity, op6_fingerprints, op7_pii
 from mnemora.llm.words import PLAIN, word_hashes
 
 SMALL = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"
 
 
 def auc(score, y):
@@ -32,13 +33,14 @@ def test_words():
 
 
 def test_toxicity_on_held_out_rows(spark):
-    got = op1_toxicity(spark, SMALL).toPandas()
-    labels = pd.read_parquet(f"{SMALL}/labels.parquet")
+    got = op1_toxicity(spark, LARGER).toPandas()
+    labels = pd.read_parquet(f"{LARGER}/labels.parquet")
     rows = got.merge(labels, on="doc_id")
     held = rows[rows["held_out"]]
     assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got["doc_id"]]).all()
-    assert got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.3)).all() and len(got) == 1000
-    assert auc(held["score"].to_numpy(), held["toxic"].to_numpy()) > 0.8
+    assert got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.3)).all() and len(got) == 10_000
+    assert auc(held["score"].to_numpy(), held["toxic"].to_numpy()) > 0.95
+    assert (held[held["predicted"] == 1]["toxic"]).mean() > 0.8
 
 
 def test_toxicity_edges(spark):
@@ -60,7 +62,7 @@ def test_pooling_in_pieces_is_the_same():
     rng = np.random.default_rng(0)
     sample = pd.DataFrame({"text": ["x y z"] * 40 + ["p q r"] * 40, "lang": ["en"] * 80, "toxic": [1] * 40 + [0] * 40})
     model = toxicity.fit(sample, bits=10)
-    h = rng.integers(0, 1 << 62, 500, dtype=np.uint64)
+    h = rng.integers(0, 1 << 62, (500, 1 + len(toxicity.PREFIXES)), dtype=np.uint64)
     counts = np.array([0, 0, 1, 3, 120, 500])
     whole = model.pooled(h, counts)
     old, toxicity.CHUNK_WORDS = toxicity.CHUNK_WORDS, 16
