@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 #: The names of the reliance levels in a leading tag.
-RELIANCE = ("Minimal", "Low", "Balanced", "High", "Maximal")
+RELIANCE = ("Minimal", "Light", "Moderate", "Strong", "Maximal")
 SEPARATOR = "\n\n---\n\n"
+#: What a prompt says about a memory of each policy.
+HINTS = {
+    "ignore": "(This preference is NOT relevant to the current request - do not let it influence your response)",
+    "support": "(This preference can enhance your response but should not dominate it)",
+    "dominate": "(This preference MUST strongly shape your response - it is essential)",
+}
 
 
 @F.pandas_udf(StringType())
@@ -43,25 +49,35 @@ def query_id(prefix: list[Column], body: Column) -> Column:
     return F.concat_ws("::", *prefix, F.substring(F.md5(body), 1, 10))
 
 
+def sample_query_id(directory: Column, event: Column, task: Column, target: Column, query: Column) -> Column:
+    """query_id over the five fields' canonical JSON; missing prefix parts are NA."""
+    quoted = lambda c: F.coalesce(F.to_json(F.array(c)), F.lit("[null]"))
+    field = lambda name, c: F.concat(F.lit(f'"{name}": '), F.when(c.isNull(), F.lit("null")).otherwise(F.regexp_extract(quoted(c), r"(?s)^\[(.*)\]$", 1)))
+    body = F.concat(F.lit("{"), F.concat_ws(", ", field("directory_index", directory), field("event_id", event), field("query", query), field("target", target), field("task", task)), F.lit("}"))
+    return query_id([F.coalesce(c.cast("string"), F.lit("NA")) for c in (directory, event, task)], body)
+
+
 def with_instruction(query: Column, instruction: Column) -> Column:
-    """The trimmed instruction above the trimmed query; the query alone for a blank instruction."""
-    blank = F.coalesce(F.trim(instruction), F.lit("")) == ""
-    return F.when(blank, F.trim(query)).otherwise(F.concat(F.trim(instruction), F.lit(SEPARATOR), F.trim(query)))
+    """The trimmed instruction above the trimmed query; the query alone without an instruction."""
+    none = F.coalesce(instruction, F.lit("")) == ""
+    return F.when(none, F.trim(query)).otherwise(F.concat(F.trim(instruction), F.lit(SEPARATOR), F.trim(query)))
 
 
 def messages(system: Column, user: Column) -> Column:
-    """[{role, content}]; the system message only where it isn't blank."""
+    """[{role, content}], trimmed; the system message only where it isn't blank."""
     both = F.array(
-        F.struct(F.lit("system").alias("role"), F.coalesce(system, F.lit("")).alias("content")),
-        F.struct(F.lit("user").alias("role"), user.alias("content")),
+        F.struct(F.lit("system").alias("role"), F.trim(F.coalesce(system, F.lit(""))).alias("content")),
+        F.struct(F.lit("user").alias("role"), F.trim(user).alias("content")),
     )
-    return F.filter(both, lambda m: (m["role"] != "system") | (F.trim(m["content"]) != ""))
+    return F.filter(both, lambda m: (m["role"] != "system") | (m["content"] != ""))
 
 
 def numbered_list(items: Column, hints: bool = False, drop_ignored: bool = False) -> Column:
-    """'1. text' lines of an array of (text, policy); numbers skip dropped items."""
+    """'1. text' lines of an array of (text, policy), with the policy's hint; numbers skip dropped items."""
     kept = F.filter(items, lambda m: m["policy"] != "ignore") if drop_ignored else items
-    line = lambda m, i: F.concat((i + 1).cast("string"), F.lit(". "), F.concat(F.lit("["), m["policy"], F.lit("] ")) if hints else F.lit(""), m["text"])
+    table = F.create_map(*[F.lit(x) for kv in HINTS.items() for x in kv])
+    hint = lambda m: F.coalesce(F.concat(F.lit(" "), F.try_element_at(table, m["policy"])), F.lit(""))
+    line = lambda m, i: F.concat((i + 1).cast("string"), F.lit(". "), m["text"], hint(m) if hints else F.lit(""))
     return F.array_join(F.transform(kept, line), "\n")
 
 
@@ -94,7 +110,7 @@ def repetition(texts: pd.Series) -> pd.DataFrame:
     """First degenerate repetition: a character 20 times, or a unit of 2-30 characters 10 times (with a
     letter or digit in it and 40 characters in all)."""
     single = re.compile(r"(\S)\1{19,}")
-    unit = re.compile(r"(.{2,30}?)\1{9,}", re.S)
+    unit = re.compile(r"(.{2,30}?)\1{9,}")
 
     def first(t: str | None) -> tuple:
         for pattern in (single, unit):

@@ -56,6 +56,35 @@ def attention_mass(heads: Column, positions: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(s / F.greatest(n, F.lit(1)))
 
 
+def attention_state(only: Column, empty: Column, coefficient: Column, isolated: Column, full: Column, control: str) -> tuple[Column, Column]:
+    """(only, coefficient) under attention control: 'extract' scales the isolated direction by its gate,
+    'steer' the coefficient by the gate of the full stream, 'both' does both, anything else neither."""
+    extracted = V.axpy(isolated, V.sub(only, empty), empty) if control in ("extract", "both") else only
+    return extracted, coefficient * full if control in ("steer", "both") else coefficient
+
+
+#: Conditions of a run: how directions are measured, and the gate on their strength.
+CONDITIONS: dict[str, tuple[str, str]] = {
+    "dynamic_gate": ("every step", "attention"),
+    "dynamic_no_gate": ("every step", "none"),
+    "fixed_gate": ("first step", "attention"),
+    "fixed_no_gate": ("first step", "none"),
+    "dac_full_vocab": ("every step", "divergence"),
+    "fixed_dac_full_vocab": ("first step", "divergence"),
+}
+
+
+def condition_gate(name: str, attention: Column, logits: Column, moved: Column) -> Column:
+    """The strength under a named condition."""
+    kind = CONDITIONS[name][1]
+    return {"attention": lambda: attention, "none": lambda: F.lit(1.0), "divergence": lambda: kl_gate(logits, moved)}[kind]()
+
+
+def shifted(positions: Column, padded: Column, length: Column) -> Column:
+    """Token positions after padding on the left."""
+    return F.transform(positions, lambda p: p + (padded - length))
+
+
 def nucleus(logits: Column, top_p: float) -> Column:
     """array of struct(p, token) in order of falling probability (ties: token): tokens up to and with the
     one that crosses top_p."""

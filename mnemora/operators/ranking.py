@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hash_key(seed: int, key: Column, salt: str = "split") -> Column:
+#: Fixed value: the prefix of hashed group ids.
+SALT = "rq1-reference"
+
+
+def hash_key(seed: int, key: Column, salt: str = SALT) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(salt), F.lit(str(seed)), key.cast("string")), 256)
 
 
-def hash_rank(groups: DataFrame, key: str, seed: int, by: list[str] | None = None, salt: str = "split") -> DataFrame:
+def hash_rank(groups: DataFrame, key: str, seed: int, by: list[str] | None = None, salt: str = SALT) -> DataFrame:
     """rank: 1.. in order of the seeded hash, then the key, within by."""
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(hash_key(seed, F.col(key), salt), F.col(key))
     return groups.withColumn("rank", F.row_number().over(w).cast("long"))

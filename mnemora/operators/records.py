@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 SCORES = {"ignore": 0.0, "support": 0.5, "dominate": 1.0}
 COEFFICIENTS = {"ignore": -1.0, "support": 0.0, "dominate": 1.0}
 ALIASES = {
-    "ignore": "ignore", "irrelevant": "ignore", "irr": "ignore", "C": "ignore", "忽略": "ignore", "无关": "ignore",
-    "support": "support", "nice": "support", "B": "support", "支持": "support", "参考": "support",
-    "dominate": "dominate", "must": "dominate", "A": "dominate", "主导": "dominate",
+    "ignore": "ignore", "忽略偏好": "ignore", "A": "ignore", "irr": "ignore", "suppress": "ignore",
+    "support": "support", "supportive": "support", "支持性偏好": "support", "B": "support", "nice": "support",
+    "dominate": "dominate", "以偏好为主线": "dominate", "C": "dominate", "must": "dominate", "apply": "dominate",
 }
 
 
@@ -73,9 +73,22 @@ def letter_labels(text: Column) -> Column:
 
 
 def ranked_lists(must: Column, nice: Column, other: Column, key: Column) -> Column:
-    """Memories of three lists, in that order, with the policies they stand for."""
-    side = lambda a, p: F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda t: F.struct(t.alias("t"), F.lit(p).alias("p")))
-    return F.transform(F.concat(side(must, "dominate"), side(nice, "support"), side(other, "ignore")), lambda x, i: memory(F.concat_ws("_m", key, i.cast("string")), x["t"], x["p"]))
+    """Memories of three lists in that order; ids name the list and the place in it."""
+
+    def side(texts: Column, name: str) -> Column:
+        made = F.transform(texts, lambda t, i: memory(F.concat(key, F.lit(f"_{name}_"), i.cast("string")), t, F.lit(ALIASES[name])))
+        return F.coalesce(made, F.array().cast("array<struct<memory_id:string,memory_text:string,gold_policy:string,gold_score:double>>"))
+
+    return F.concat(side(must, "must"), side(nice, "nice"), side(other, "irr"))
+
+
+def parallel_memories(texts: Column, policies: Column, key: Column) -> Column:
+    """Memories of two parallel arrays of texts and policies, cut to the shorter one."""
+    n = F.least(F.size(texts), F.size(policies))
+    return F.transform(
+        F.slice(F.arrays_zip(texts.alias("t"), policies.alias("p")), F.lit(1), n),
+        lambda x, i: memory(F.concat(key, F.lit("_m"), i.cast("string")), x["t"], x["p"]),
+    )
 
 
 def flag_policy(flag: Column) -> Column:
@@ -126,6 +139,12 @@ def ablate(memories: Column, policies: Column) -> Column:
     return F.filter(memories, lambda m: F.coalesce(F.try_element_at(policies, m["memory_id"]), F.lit("support")) != "ignore")
 
 
+def last_full_layer(kinds: Column, count: Column, wanted: str = "full_attention") -> Column:
+    """The last layer of the wanted kind in a list of kinds; the last layer of all without a list."""
+    places = F.filter(F.transform(kinds, lambda k, i: F.when(k == wanted, i)), lambda i: i.isNotNull())
+    return F.when(kinds.isNull(), count - 1).otherwise(F.array_max(places))
+
+
 def by_sign(memories: Column, sign: int) -> Column:
     return F.filter(memories, lambda m: F.signum(m["c"]) == sign)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import records as R
 from ..operators import relational as J
+from ..operators import unify as U
 from .base import ITEMS, items, query, r6, samples, table
 
 
@@ -202,3 +203,51 @@ def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir).withColumn("key", F.concat_ws("::", "sample_id", "memory_id"))
     done = M.coverage(i, i.select("sample_id", "key"), i.where("memory_id % 7 <> 0"))
     return M.coverage_summary(done).withColumn("incomplete", F.array_join("incomplete", ","))
+
+
+@query("""SELECT printf('multi_%04d', o_custkey%10000) AS sample_id, concat(printf('multi_%04d', o_custkey%10000),'_m',i) AS memory_id, CASE (o_orderkey+i)%3 WHEN 0 THEN 'ignore' WHEN 1 THEN 'support' ELSE 'dominate' END AS gold_policy, concat('t',i,' of ',o_orderkey) AS memory_text
+ FROM orders, (SELECT unnest(range(3)) AS i) WHERE i < 2 + o_orderkey%2""")
+def unify_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    letter = lambda i: F.element_at(F.array(*map(F.lit, "ABC")), ((F.col("o_orderkey") + i) % 3 + 1).cast("int"))
+    three = F.array(*[F.concat(F.lit(f"t{i} of "), F.col("o_orderkey").cast("string")) for i in range(3)])
+    raw = o.select(
+        (F.col("o_custkey") % 10000).alias("pos"), F.lit("q").alias("question"), three.alias("persona"), three.alias("implicit_persona"),
+        F.substring(F.concat(letter(0), letter(1), letter(2)), F.lit(1), (2 + F.col("o_orderkey") % 2).cast("int")).alias("intent_type"),
+    )
+    return R.items(U.from_multi(raw, "orders", "multi")).select("sample_id", "memory_id", "gold_policy", "memory_text")
+
+
+@query("""SELECT printf('flags_%04d', s_suppkey) AS sample_id, concat(printf('flags_%04d', s_suppkey),'_m',i) AS memory_id, CASE WHEN (s_suppkey+i)%2=0 THEN 'dominate' ELSE 'ignore' END AS gold_policy FROM supplier, (SELECT unnest(range(2)) AS i)""")
+def unify_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    raw = s.select(
+        F.col("s_suppkey").alias("pos"), F.lit("t").alias("task"), F.col("s_name").alias("prompt"), F.array("s_name", "s_name", "s_name").alias("preference_attribute"),
+        F.array(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey") % 2 == 1).alias("preference_label"),
+    )
+    return R.items(U.from_flags(raw, "supplier", "flags")).select("sample_id", "memory_id", "gold_policy")
+
+
+@query("""SELECT concat('l_', c_custkey) AS sample_id, md5(concat_ws(chr(10), concat('Persona summary: ',c_name), CASE WHEN c_custkey%2=0 THEN 'Traits: a, b' END, concat('Participants: human=',c_mktsegment,'; virtual_person='), CASE WHEN c_custkey%3=0 THEN 'Current query time: now' END) || CASE c_custkey%4 WHEN 0 THEN chr(10)||chr(10)||'Dialogue history:'||chr(10)||'x'||chr(10)||'y' WHEN 1 THEN chr(10)||chr(10)||'Dialogue history:'||chr(10)||'plain text' ELSE '' END) AS context_md5, 3::BIGINT AS memories FROM customer""")
+def unify_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    nothing = F.array().cast("array<string>")
+    raw = c.select(
+        k.alias("id"), F.lit("q").alias("query"), F.array(F.lit("a")).alias("must"), F.array(F.lit("b"), F.lit("c")).alias("nice"), nothing.alias("irr"), F.col("c_name").alias("summary"),
+        F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(nothing).alias("traits"), nothing.alias("style"), nothing.alias("domains"), nothing.alias("values"),
+        F.col("c_mktsegment").alias("human"), F.lit(None).cast("string").alias("virtual_person"), F.when(k % 3 == 0, "now").alias("query_time"),
+        F.when(k % 4 == 0, '["x", "y"]').when(k % 4 == 1, "plain text").when(k % 4 == 2, '{"a": 1}').alias("history"),
+    )
+    return U.from_lists(raw, "customer", "l").select("sample_id", F.md5("context").alias("context_md5"), F.size("memories").cast("long").alias("memories"))
+
+
+@query(f"""WITH {ITEMS} SELECT count(DISTINCT sample_id) AS samples, count(DISTINCT sample_id) AS groups, count(DISTINCT CASE WHEN policy='ignore' THEN sample_id END) AS calibration_groups FROM items""")
+def input_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calibration = items(spark, sf_dir).where("policy = 'ignore'").select(F.col("sample_id").alias("group_id"))
+    return U.input_report(samples(spark, sf_dir), calibration)
+
+
+@query(f"""WITH {ITEMS}, n AS (SELECT sample_id, count(*) AS m FROM items GROUP BY 1) SELECT sample_id, CAST(1+2*m AS BIGINT) AS prompts, CAST(1+2*m AS BIGINT) AS with_head FROM n""")
+def rendered_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = U.render_streams(samples(spark, sf_dir), "C: {context}\n{memories}")
+    return r.groupBy("sample_id").agg(F.count("*").alias("prompts"), F.count_if(F.col("prompt").startswith("C: ")).alias("with_head"))

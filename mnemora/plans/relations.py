@@ -50,7 +50,7 @@ def hash_residual_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("conv_id", "turn", "role", F.length("text").cast("long").alias("chars"))
 
 
-@query(f"""WITH {ITEMS}, g AS (SELECT DISTINCT sample_id FROM items) SELECT sample_id, row_number() OVER (ORDER BY sha256(concat('split|42|',sample_id)), sample_id) AS rank FROM g""")
+@query(f"""WITH {ITEMS}, g AS (SELECT DISTINCT sample_id FROM items) SELECT sample_id, row_number() OVER (ORDER BY sha256(concat('rq1-reference|42|',sample_id)), sample_id) AS rank FROM g""")
 def hash_rank_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.hash_rank(items(spark, sf_dir).select("sample_id").distinct(), "sample_id", 42)
 
@@ -70,13 +70,13 @@ def greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ITEMS}, g AS (SELECT sample_id, lang, count(*) AS n FROM items GROUP BY ALL), s AS (SELECT unnest(range(10)) AS i), r AS (SELECT i, lang, n, row_number() OVER (PARTITION BY i ORDER BY sha256(concat('split|', CAST(42+1009*(i+1) AS VARCHAR), '|', sample_id)), sample_id) AS rk FROM g, s),
+    f"""WITH {ITEMS}, g AS (SELECT sample_id, lang, count(*) AS n FROM items GROUP BY ALL), s AS (SELECT unnest(range(10)) AS i), r AS (SELECT i, lang, n, row_number() OVER (PARTITION BY i ORDER BY sha256(concat('rq1-reference|', CAST(42+1009*(i+1) AS VARCHAR), '|', sample_id)), sample_id) AS rk FROM g, s),
  v AS (SELECT i, lang, avg(n) AS v FROM r WHERE rk <= 20 GROUP BY ALL) SELECT lang, round(avg(v),6) AS mean, round(min(v),6) AS least, round(max(v),6) AS most FROM v GROUP BY 1"""
 )
 def resample_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = items(spark, sf_dir).groupBy("sample_id", "lang").agg(F.count("*").alias("n"))
     seeds = g.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    key = F.sha2(F.concat_ws("|", F.lit("split"), (42 + 1009 * (F.col("i") + 1)).cast("string"), "sample_id"), 256)
+    key = F.sha2(F.concat_ws("|", F.lit(K.SALT), (42 + 1009 * (F.col("i") + 1)).cast("string"), "sample_id"), 256)
     ranked = seeds.withColumn("rk", F.row_number().over(Window.partitionBy("i").orderBy(key, "sample_id"))).where("rk <= 20")
     b = M.band(ranked.groupBy("i", "lang").agg(F.avg("n").alias("v")), ["lang"], "v")
     return b.select("lang", *[r6(F.col(c)).alias(c) for c in ("mean", "least", "most")])

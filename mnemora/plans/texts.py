@@ -54,7 +54,7 @@ def parse_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.col("doc_id") % 5 + 1).cast("string")
     k = F.col("doc_id") % 4
-    text = F.when(k == 0, F.concat(F.lit("Rating: [[2]] then rating: [["), n, F.lit("]]"))).when(k == 1, F.concat(F.lit("it is fine\n**"), n, F.lit("/5**\n"))).when(k == 2, F.concat(F.lit("Score: "), n)).otherwise("no idea, 9 of 10")
+    text = F.when(k == 0, F.concat(F.lit("Rating: [[2]] then rating: [["), n, F.lit("]]"))).when(k == 1, F.concat(F.lit("it is fine\n**Final score: ["), n, F.lit(" / 5]**\n"))).when(k == 2, F.concat(F.lit("Rating = "), n)).otherwise("no idea, 9 of 10")
     return table(spark, sf_dir, "labels").select("doc_id", P.parse_rating(text).alias("rating"))
 
 
@@ -78,6 +78,12 @@ def query_id_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.query_id([F.col("source"), F.col("lang")], body).alias("query_id"))
 
 
+@query("""SELECT doc_id, concat(source,'::NA::',lang,'::',substr(md5(concat('{"directory_index": "',source,'", "event_id": null, "query": "q", "target": ',n_chars,', "task": "',lang,'"}')),1,10)) AS query_id FROM documents""")
+def sample_query_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = T.sample_query_id(F.col("source"), F.lit(None).cast("string"), F.col("lang"), F.col("n_chars"), F.lit("q"))
+    return table(spark, sf_dir, "documents").select("doc_id", key.alias("query_id"))
+
+
 @query("""SELECT doc_id, CAST(concat('0x',substr(sha256(CAST(doc_id AS VARCHAR)),1,8)) AS BIGINT)+7 AS seed FROM documents""")
 def stable_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.stable_seed(F.col("doc_id").cast("string"), 7).alias("seed"))
@@ -85,12 +91,12 @@ def stable_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, turn, sha256(CASE WHEN turn%2=0 THEN trim(text, ' ') ELSE concat('Be brief.', chr(10), chr(10), '---', chr(10), chr(10), trim(text, ' ')) END) AS prompt_sha256 FROM conversations""")
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    instruction = F.when(F.col("turn") % 2 == 0, F.lit(" ")).otherwise(F.lit(" Be brief. "))
+    instruction = F.when(F.col("turn") % 2 == 0, F.lit("")).otherwise(F.lit(" Be brief. "))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(T.with_instruction(F.col("text"), instruction), 256).alias("prompt_sha256"))
 
 
 @query(f"""WITH {ITEMS}, k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY memory_id) AS i FROM items WHERE policy<>'ignore')
- SELECT s.sample_id, sha256(coalesce(string_agg(CASE WHEN i IS NOT NULL THEN concat(i,'. [',policy,'] ',text) END, chr(10) ORDER BY i),'')) AS list_sha256 FROM (SELECT DISTINCT sample_id FROM items) s LEFT JOIN k USING (sample_id) GROUP BY 1""")
+ SELECT s.sample_id, sha256(coalesce(string_agg(CASE WHEN i IS NOT NULL THEN concat(i,'. ',text,CASE policy WHEN 'support' THEN ' (This preference can enhance your response but should not dominate it)' ELSE ' (This preference MUST strongly shape your response - it is essential)' END) END, chr(10) ORDER BY i),'')) AS list_sha256 FROM (SELECT DISTINCT sample_id FROM items) s LEFT JOIN k USING (sample_id) GROUP BY 1""")
 def memory_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.transform("memories", lambda m: F.struct(m["memory_text"].alias("text"), m["gold_policy"].alias("policy")))
     return samples(spark, sf_dir).select("sample_id", F.sha2(T.numbered_list(pairs, hints=True, drop_ignored=True), 256).alias("list_sha256"))
@@ -102,7 +108,7 @@ def system_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(p).alias("prompt_md5"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn%3=0 THEN 1 ELSE 2 END::BIGINT AS n, length(text) AS chars FROM conversations""")
+@query("""SELECT conv_id, turn, CASE WHEN turn%3=0 THEN 1 ELSE 2 END::BIGINT AS n, length(trim(text, ' ')) AS chars FROM conversations""")
 def message_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = T.messages(F.when(F.col("turn") % 3 == 0, F.lit("  ")).otherwise(F.lit("Be kind.")), F.col("text"))
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", m.alias("m"))

@@ -194,3 +194,18 @@ def position_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def moving_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy(F.col("vec_id") % 10).orderBy("vec_id").rowsBetween(-2, 0)
     return table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 3).alias("policy"), r6(F.sum(F.get(V.vec("embedding"), F.lit(0))).over(w)).alias("moving"))
+
+
+@query(elementwise("(f+(w0-f)*(1+k%2))"))
+def attention_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gate = (1 + F.col("k") % 2).cast("double")
+    return moved(spark, sf_dir, lambda: G.attention_state(F.col("w0"), F.col("full"), F.col("c0"), gate, F.lit(1.0), "extract")[0])
+
+
+@query("""SELECT vec_id, CAST(CASE WHEN vec_id%3=0 THEN 31 ELSE 3+(vec_id%4)*2 END AS INT) AS layer FROM embeddings""")
+def measured_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == 3 + F.col("vec_id") % 4 * 2, "full_attention").otherwise("linear"))
+    from ..operators import records as R
+
+    layer = R.last_full_layer(F.when(F.col("vec_id") % 3 != 0, kinds), F.lit(32))
+    return table(spark, sf_dir, "embeddings").select("vec_id", layer.cast("int").alias("layer"))
