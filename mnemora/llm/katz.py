@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import filesystem, shared_dir
 from .words import mix, word_hashes
 
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
 MOST = 5
 END = np.uint64(0x5E4D_0F7E_C57E_11AD)
 START_ID, OPEN_ID = (1 << 32) - 2, (1 << 32) - 1

@@ -11,6 +11,11 @@ Fingerprints of at most `distance` differing bits are linked, as follows.
    verified. A key's linked fingerprints leave as a star, so a group of g copies gives g-1 edges.
 4. Components join representatives; every document gets the smallest doc_id of its component.
 
+`similar_documents` is the wide form for a similarity instead of a number of bits: fingerprints of WIDE
+bits, linked up to the number of differing bits that the shingle similarity gives on average (with
+`slack` deviations on top); TABLES keys of KEY_BITS fixed random bits each bring a pair of similarity 0.8
+together with probability over 0.95, more similar ones more often. The same pivots and check follow.
+
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; fewer words than
 a shingle count as one shingle; repeated rows and ties share a component; a null id is dropped from
 components (no id to report) but no other row is; empty tables give empty results."""
@@ -27,32 +32,46 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
-from .words import FOLD, SPACE, text_buffer
+from .words import FOLD, SPACE, mix, text_buffer
 
 SEED = 42
+WIDE, TABLES, KEY_BITS = 256, 64, 18
+SMALL = 32
 _FOLD, _SPACE = bytes(FOLD.tolist()), bytes(32 if s else i for i, s in enumerate(SPACE.tolist()))
 _TRANSLATE = bytes(_SPACE[_FOLD[i]] for i in range(256))
 
 
-def fingerprint(text: bytes, words: int) -> int:
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of the whole sequence if it is shorter; none without words."""
     import xxhash
 
     w = text.translate(_TRANSLATE).split()
-    if not w:
-        return 0
     digest = xxhash.xxh64_intdigest
     if len(w) <= words:
-        hashes = np.array([digest(b" ".join(w), SEED)], np.uint64)
-    else:
-        joined = memoryview(b" ".join(w))
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-        starts = [0, *(ends[: len(w) - words] + 1).tolist()]
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())), np.uint64, len(starts))
+        return np.array([digest(b" ".join(w), SEED)] if w else [], np.uint64)
+    joined = memoryview(b" ".join(w))
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    starts = [0, *(ends[: len(w) - words] + 1).tolist()]
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     total, n = np.zeros(64, np.int64), len(hashes)
     for i in range(0, n, 1 << 16):
         total += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(total * 2 > n, bitorder="little")
-    return int(bits.view(np.uint64)[0])
+    return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    return majority(shingle_hashes(text, words))
+
+
+def wide_fingerprint(text: bytes, words: int) -> bytes:
+    """WIDE bits: majorities of the hashes and of values mixed from them."""
+    h = shingle_hashes(text, words)
+    parts = [h] + [mix(h + np.uint64(i)) for i in range(1, WIDE // 64)]
+    return np.array([majority(p) for p in parts], np.uint64).tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_column: str = "doc_id") -> DataFrame:
@@ -81,19 +100,28 @@ def key_masks(blocks: int, distance: int) -> list[int]:
     return [sum(c) for c in combinations(_parts(blocks), blocks - distance)]
 
 
-def pivot_points(count: int) -> np.ndarray:
-    """Reference fingerprints: fixed pseudo-random words."""
-    return np.random.default_rng(20_240_229).integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def pivot_points(count: int, size: int = 1) -> np.ndarray:
+    """Reference fingerprints of size 64-bit words: fixed pseudo-random bits."""
+    return np.random.default_rng(20_240_229).integers(0, 1 << 64, (count, size), dtype=np.uint64)
+
+
+def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
-def linked(fps: np.ndarray, distance: int, pivots: np.ndarray) -> np.ndarray:
+def pivot_table(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """[fingerprints, pivots] distances."""
+    return np.stack([bits_between(fps, p) for p in pivots], axis=1)
+
+
+def linked(fps: np.ndarray, distance: int, table: np.ndarray) -> np.ndarray:
     """For each of the distinct fingerprints fps, the index of the head of its linked group.
 
     Groups grow breadth-first over the rows that no group has taken yet, so a dense group of g rows is
     taken in a few sweeps instead of g * g comparisons."""
     head = np.full(len(fps), -1, np.int64)
     left = np.arange(len(fps))
-    f, table = fps, np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
     while len(left):
         first = int(left[0])
         head[first] = first
@@ -105,7 +133,7 @@ def linked(fps: np.ndarray, distance: int, pivots: np.ndarray) -> np.ndarray:
                 rows = rows[np.abs(table[rows, c] - table[i, c]) <= distance]
                 if len(rows) < 8:
                     break
-            rows = rows[np.bitwise_count(f[rows] ^ f[i]) <= distance]
+            rows = rows[bits_between(fps[rows], fps[i]) <= distance]
             if len(rows):
                 head[rows] = first
                 queue.extend(rows.tolist())
@@ -113,55 +141,121 @@ def linked(fps: np.ndarray, distance: int, pivots: np.ndarray) -> np.ndarray:
     return head
 
 
+def bucket_edges(key: np.ndarray, rep: np.ndarray, fps: np.ndarray, distance: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of rows sorted by key (any number of whole keys): the linked pairs of a key of SMALL rows at
+    most, a star for each linked group of a larger one."""
+    n = len(key)
+    table = pivot_table(fps, pivots)
+    group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+    size = np.bincount(group)
+    small = size[group] <= SMALL
+    a, b = [], []
+    for step in range(1, min(SMALL, int(size.max()))):
+        i = np.flatnonzero(small[: n - step] & (group[: n - step] == group[step:]))
+        if not len(i):
+            break
+        for c in range(table.shape[1]):
+            i = i[np.abs(table[i, c] - table[i + step, c]) <= distance]
+        i = i[bits_between(fps[i], fps[i + step]) <= distance]
+        a.append(rep[i + step])
+        b.append(rep[i])
+    ends = np.cumsum(size)
+    for g in np.flatnonzero(size > SMALL).tolist():
+        s, e = int(ends[g] - size[g]), int(ends[g])
+        head = linked(fps[s:e], distance, table[s:e])
+        tied = head != np.arange(e - s)
+        a.append(rep[s:e][tied])
+        b.append(rep[s:e][head[tied]])
+    return np.concatenate(a or [rep[:0]]), np.concatenate(b or [rep[:0]])
+
+
+def key_edges(keyed: DataFrame, distance: int, pivots: np.ndarray) -> DataFrame:
+    """a, b: edges within the keys of rows (k, v, rep, fp). Rows of a task arrive sorted by key; whole keys
+    are taken together, so only the largest key bounds memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def words(column: pa.Array) -> np.ndarray:
+            if pa.types.is_integer(column.type):
+                return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+            return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+        def made(key: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = bucket_edges(key, rep, fp, distance, pivots)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held: list[tuple] = []
+        rows = 0
+        for batch in batches:
+            k, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            held.append((mix(k.astype(np.uint64) + np.uint64(1)) ^ v.view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False), words(batch.column(3))))
+            rows += batch.num_rows
+            if rows >= 1 << 17 and held[0][0][0] != held[-1][0][-1]:
+                key, rep, fp = (np.concatenate(x) for x in zip(*held))
+                last = int(np.flatnonzero(key != key[-1])[-1]) + 1
+                yield from made(key[:last], rep[:last], fp[:last])
+                held, rows = [(key[last:], rep[last:], fp[last:])], len(key) - last
+        if rows:
+            yield from made(*(np.concatenate(x) for x in zip(*held)))
+
+    return keyed.repartition("k", "v").sortWithinPartitions("k", "v", "rep").select("k", "v", "rep", "fp").mapInArrow(run, "a long, b long")
+
+
 def links(nodes: DataFrame, distance: int = 4, blocks: int = 6, pivots: int = 16) -> DataFrame:
     """a, b: edges between representatives that connect exactly those that chains of links connect.
     nodes: (rep, fp), one row per distinct fp."""
-    masks = key_masks(blocks, distance)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = nodes.select(
-        "rep", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(signed)])).alias("key")
-    ).select("key.k", "key.v", "rep", "fp")
-    points = pivot_points(pivots)
+    signed = [m - (1 << 64) if m >> 63 else m for m in key_masks(blocks, distance)]
+    keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(signed)])
+    keyed = nodes.select("rep", "fp", F.explode(keys).alias("key")).select("key.k", "key.v", "rep", "fp")
+    return key_edges(keyed, distance, pivot_points(pivots))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(k: np.ndarray, v: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-            cuts = np.flatnonzero((np.diff(k) != 0) | (np.diff(v) != 0)) + 1
-            a, b = [], []
-            bounds = [0, *cuts.tolist(), len(k)]
-            for s, e in zip(bounds[:-1], bounds[1:]):
-                if e - s == 2:
-                    if int(fp[s] ^ fp[s + 1]).bit_count() <= distance:
-                        a.append(rep[s + 1 : s + 2]), b.append(rep[s : s + 1])
-                elif e - s > 2:
-                    head = linked(fp[s:e], distance, points)
-                    tied = head != np.arange(e - s)
-                    a.append(rep[s:e][tied]), b.append(rep[s:e][head[tied]])
-            if not a:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            cols[3] = cols[3].view(np.uint64) if cols[3].dtype == np.int64 else cols[3]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            if not len(cols[0]):
-                continue
-            last = int(np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))[-1]) + 1 if (cols[0][0] != cols[0][-1] or cols[1][0] != cols[1][-1]) else 0
-            if last and (out := edges(*[c[:last] for c in cols])) is not None:
-                yield out
-            held = [c[last:] for c in cols]
-        if held is not None and len(held[0]) and (out := edges(*held)) is not None:
-            yield out
-
-    return keyed.repartition("k", "v").sortWithinPartitions("k", "v", "rep").mapInArrow(run, "a long, b long")
+
+def allowed_bits(similarity: float, slack: float) -> int:
+    """Differing bits of WIDE that texts of a Jaccard similarity have on average, and slack deviations."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(WIDE * share + slack * np.sqrt(WIDE * share * (1 - share)))
+
+
+def wide_links(nodes: DataFrame, similarity: float, slack: float = 1.5, pivots: int = 8) -> DataFrame:
+    """a, b: edges between representatives of similar wide fingerprints. nodes: (rep, fp binary)."""
+    rng = np.random.default_rng(20_240_301)
+    chosen = np.stack([rng.choice(WIDE, KEY_BITS, replace=False) for _ in range(TABLES)])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")
+            v = (bits[:, chosen].astype(np.int64) << np.arange(KEY_BITS)).sum(axis=2)
+            rep = np.repeat(b.column(0).to_numpy(), TABLES)
+            k = np.tile(np.arange(TABLES, dtype=np.int32), len(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v.reshape(-1)), pa.array(rep), pa.array([x for x in raw for _ in range(TABLES)], pa.binary())], names=["k", "v", "rep", "fp"])
+
+    keyed = nodes.select("rep", "fp").mapInArrow(keys, "k int, v long, rep long, fp binary")
+    return key_edges(keyed, allowed_bits(similarity, slack), pivot_points(pivots, WIDE // 64))
+
+
+def classes(prints: DataFrame, spark: SparkSession, edges) -> DataFrame:
+    """prints (doc_id, fp) with component_id; edges makes the links of (rep, fp)."""
+    prints = written(prints, spark, "simhash")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), spark, "simhash-nodes")
+    found = components(edges(nodes), spark)
+    own = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(own, "fp")
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession, words: int = 4, distance: int = 4, blocks: int = 6, pivots: int = 16) -> DataFrame:
     """doc_id, fp, component_id for every row of docs with an id."""
-    prints = written(fingerprints(docs.where("doc_id is not null"), words), spark, "simhash")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), spark, "simhash-nodes")
-    found = components(links(nodes, distance, blocks, pivots), spark)
-    classes = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "fp")
+    return classes(fingerprints(docs.where("doc_id is not null"), words), spark, lambda n: links(n, distance, blocks, pivots))
+
+
+def similar_documents(docs: DataFrame, spark: SparkSession, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, fp (WIDE bits), component_id for every row of docs with an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = text_buffer(b.column(1))
+            data, o = data.tobytes(), offsets.tolist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(data[x:y], words) for x, y in zip(o[:-1], o[1:])], pa.binary())], names=["doc_id", "fp"])
+
+    prints = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, fp binary")
+    return classes(prints, spark, lambda n: wide_links(n, similarity))

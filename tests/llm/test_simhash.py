@@ -68,8 +68,32 @@ def test_links_lose_nothing(spark):
 def test_dense_group_is_one_star():
     rng = np.random.default_rng(1)
     f = np.unique(np.array([int(sum(1 << int(b) for b in rng.choice(64, 2, replace=False))) for _ in range(1500)], np.uint64))
-    head = simhash.linked(f, 4, simhash.pivot_points(16))
+    f = f.reshape(-1, 1)
+    head = simhash.linked(f, 4, simhash.pivot_table(f, simhash.pivot_points(16)))
     assert (head == 0).all()
+    a, b = simhash.bucket_edges(np.zeros(len(f)), np.arange(len(f)), f, 4, simhash.pivot_points(16))
+    assert len(a) == len(f) - 1 and set(b.tolist()) == {0}
+
+
+def test_similar_documents(spark):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    rows = []
+    for g in range(30):
+        w = [word() for _ in range(300)]
+        rows.append((10 * g, " ".join(w)))
+        for c in range(1, 4):
+            v = list(w)
+            for i in rng.choice(300, 3, replace=False):
+                v[i] = word()
+            rows.append((10 * g + c, " ".join(v)))
+        rows.append((10 * g + 9, " ".join(w[:60] + [word() for _ in range(240)])))
+    rows += [(1000, None), (1001, ""), (None, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(d, spark).collect()}
+    assert all(got[10 * g + c] == 10 * g for g in range(30) for c in range(4))
+    assert all(got[10 * g + 9] == 10 * g + 9 for g in range(30)) and got[1001] == 1000 and None not in got
+    assert simhash.similar_documents(d.limit(0), spark).count() == 0
 
 
 def test_long_chain_of_components(spark):
