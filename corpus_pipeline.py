@@ -22,9 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id stays in each group; rows without a doc_id stay."""
+    """The document of the smallest doc_id stays in each group of texts whose five-word shingles have a
+    similarity of 0.8 or more; rows without a doc_id stay."""
     _small_batches(spark)
-    found = simhash.near_duplicates(docs, spark)
+    found = simhash.similar_documents(docs, spark, words=5, similarity=0.8)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
 
