@@ -201,11 +201,13 @@ class Field:
 
 
 def training_texts(docs: DataFrame, most_rows: int = 1500, most_chars: int = 1 << 16) -> list[str]:
-    rows = (
-        docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= most_chars))
-        .select(F.xxhash64("doc_id", "text").alias("h"), "text").orderBy("h").limit(most_rows).collect()
-    )
-    return [r["text"] for r in rows]
+    """At most most_rows texts. Hashes alone are ranked, then the texts up to the last hash are read, so
+    that no task sends more texts than are kept; equal rows count once."""
+    rows = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= most_chars)).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    cut = rows.select("h").distinct().orderBy("h").limit(most_rows).agg(F.max("h")).first()[0]
+    if cut is None:
+        return []
+    return [r["text"] for r in rows.where(F.col("h") <= cut).dropDuplicates(["h"]).orderBy("h").collect()]
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
