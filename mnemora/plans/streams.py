@@ -26,10 +26,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def name() -> str:
-    return f"s{uuid.uuid4().hex}"
-
-
 @query("""SELECT DISTINCT event_id % 500 AS k FROM events""")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select((F.col("event_id") % 500).alias("k"), "ts")
@@ -42,7 +38,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_journal_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = (F.col("event_type") == "error") | (F.col("value") < 5)
     rows = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), "event_id", F.when(bad, "error").otherwise("ok").alias("status"), "value")
-    state = S.drain(S.key_state(rows, "key", "event_id", "status", "value"), spark, name(), folder(spark, "state-log"), "complete")
+    state = S.drain_complete(S.key_state(rows, "key", "event_id", "status", "value"), spark, folder(spark, "state"), folder(spark, "state-log"))
     return state.withColumn("valid_value", r6(F.col("valid_value")))
 
 
@@ -56,20 +52,20 @@ def stream_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT CAST(epoch(time_bucket(INTERVAL 6 hours, ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY 1,2""")
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.drain(S.tumbling(events(spark, sf_dir), "ts", "6 hours", ["event_type"], "1 hour"), spark, name(), folder(spark, "window-log"), "complete")
+    out = S.drain_complete(S.tumbling(events(spark, sf_dir), "ts", "6 hours", ["event_type"], "1 hour"), spark, folder(spark, "window"), folder(spark, "window-log"))
     return out.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""SELECT CAST(epoch(b)-3600*s AS BIGINT) AS start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 hour, ts) AS b, event_type, unnest(range(3)) AS s FROM events) GROUP BY ALL""")
 def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.drain(S.tumbling(events(spark, sf_dir), "ts", "3 hours", ["event_type"], "1 hour", "1 hour"), spark, name(), folder(spark, "sliding-log"), "complete")
+    out = S.drain_complete(S.tumbling(events(spark, sf_dir), "ts", "3 hours", ["event_type"], "1 hour", "1 hour"), spark, folder(spark, "sliding"), folder(spark, "sliding-log"))
     return out.select(F.unix_timestamp("start").alias("start"), "event_type", "n")
 
 
 @query("""WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 4 hours THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o)
  SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts)))+14400 AS BIGINT) AS "end", count(*) AS n FROM s GROUP BY user_id, s""")
 def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.drain(S.sessions(events(spark, sf_dir), "ts", "4 hours", "user_id", "1 hour"), spark, name(), folder(spark, "session-log"), "complete")
+    out = S.drain_complete(S.sessions(events(spark, sf_dir), "ts", "4 hours", "user_id", "1 hour"), spark, folder(spark, "session"), folder(spark, "session-log"))
     return out.select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n")
 
 

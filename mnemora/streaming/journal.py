@@ -84,18 +84,25 @@ def dispatch(tasks: DataFrame, call: Callable[[Iterator[pd.DataFrame]], Iterator
     return tasks.writeStream.foreachBatch(lambda df, i: sink(df.mapInPandas(call, schema), i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, spark: SparkSession, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there, into a table in memory, and returns it."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain_complete(stream: DataFrame, spark: SparkSession, folder: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregation over all that is there in complete mode; each batch's whole result is a table of
+    its own in a shared folder, and the last one is returned. Nothing is gathered on the driver."""
+    made: list[int] = []
+
+    def keep(df: DataFrame, i: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/batch={i}")
+        made.append(i)
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/batch={made[-1]}") if made else spark.createDataFrame([], stream.schema)
 
 
 def drain_to_files(stream: DataFrame, spark: SparkSession, folder: str, checkpoint: str) -> DataFrame:
-    """Like drain, into Parquet in a shared folder (append mode only)."""
+    """Runs a stream over all that is there in append mode, into Parquet in a shared folder."""
     q = stream.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         q.awaitTermination()

@@ -72,7 +72,7 @@ def test_stream_conflicts_and_state_across_batches(spark, tmp_path):
     last = {r["key"]: r["x"] for r in out.groupBy("key").agg(F.max_by(F.struct("deliveries", "conflict"), "batch").alias("x")).collect()}
     assert (last["a"]["deliveries"], last["a"]["conflict"]) == (2, False) and (last["b"]["deliveries"], last["b"]["conflict"]) == (2, True)
     tail = S.tail(spark, str(src), "k string, d string, o long, status string, v double", 1)
-    state = {r["k"]: r for r in S.drain(S.key_state(tail, "k", "o", "status", "v"), spark, "state_test", str(tmp_path / "log2"), "complete").collect()}
+    state = {r["k"]: r for r in S.drain_complete(S.key_state(tail, "k", "o", "status", "v"), spark, str(tmp_path / "out2"), str(tmp_path / "log2")).collect()}
     assert state["b"]["latest_status"] == "error" and state["b"]["valid_value"] == 0.0 and state["b"]["invalid"] == 1
 
 
