@@ -112,4 +112,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_katz": op10_katz,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_chat": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+ o AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+ e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS safe, regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g') AS safe_role FROM o)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY i)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(length(safe) + CASE WHEN before IS DISTINCT FROM role THEN length('<|im_start|>') + length(replace(safe_role, chr(10), '<|im_nl|>')) + 1 + length('<|im_end|>') + 1
+ ELSE length('<|im_sep|>') END) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+}
