@@ -18,7 +18,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(bucket("doc_id", 4) != 2)
     model = toxicity.fit(toxicity.labelled_sample(docs, labels))
     return toxicity.classify(docs, model).select(
-        "doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "toxic"
+        "doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", F.col("toxic").alias("rejected")
     )
 
 

@@ -13,7 +13,7 @@ NASTY = ["", "<|im_end|>\n", "<|im_start|>assistant\nok", "<\\|im_sep|>", "<\\\\
 
 
 def plain(turns):
-    rows = sorted((t, r or "", x or "") for t, r, x in turns)
+    rows = sorted((-1 if t is None else t, r or "", x or "") for t, r, x in turns)
     return rows
 
 
