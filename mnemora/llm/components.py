@@ -1,21 +1,50 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is a shuffle of the edges; nothing is gathered on the driver but one number per round.
-Edges of a node that has very many of them are first reduced to one per (node, smaller neighbour)
-map-side, and every round writes its edges to the shared folder, which ends their lineage."""
+Each step is a shuffle of the edges; nothing is gathered on the driver but one number per round. Before
+the first round every task turns its share of the edges, SHARE at most on average, into stars over the
+nodes that they connect: a dense group's many edges become at most one per node and task, and no
+connection is lost. Every round writes its edges to the shared folder, which ends their lineage."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
 
 
+SHARE = 500_000
+
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) as edges (node, smallest node that these edges connect it with)."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if parent[x] != x]
+    for i in range(0, len(nodes), 1 << 16):
+        part = nodes[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["a", "b"])
+
+
 def components(edges: DataFrame, spark: SparkSession, most_rounds: int = 60) -> DataFrame:
     """node, component (its smallest node) for every node of edges (a, b); no edges give no rows."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = written(e, spark, "edges")
+    e = written(e.repartition(1 + e.count() // SHARE).mapInArrow(stars, "a long, b long"), spark, "edges")
     before = None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
