@@ -27,8 +27,8 @@ def arr(*xs):
 
 
 def test_labels_and_targets(spark):
-    rows = spark.createDataFrame([(x,) for x in ("must", "nice", "irr", "A", "忽略", "what")], "l string")
-    assert [r[0] for r in rows.select(R.policy(F.col("l"))).collect()] == ["dominate", "support", "ignore", "dominate", "ignore", None]
+    rows = spark.createDataFrame([(x,) for x in ("must", "nice", "irr", "A", "以偏好为主线", "what")], "l string")
+    assert [r[0] for r in rows.select(R.policy(F.col("l"))).collect()] == ["dominate", "support", "ignore", "ignore", "dominate", None]
     with pytest.raises(Exception, match="unknown label"):
         rows.select(R.policy(F.col("l"), strict=True)).collect()
     assert one(spark, R.signed_target(F.lit(5), True)) == 1 and one(spark, R.signed_target(F.lit(0.5), False)) == 0 and one(spark, R.signed_target(F.lit(9), True)) is None
@@ -38,7 +38,7 @@ def test_labels_and_targets(spark):
 def test_memory_builders(spark):
     texts, labels = F.array(*map(F.lit, ["p", "q", "r"])), R.letter_labels(F.lit("ACAA"))
     m = one(spark, R.zipped_memories(texts, labels, F.lit("s")))
-    assert [(x["memory_id"], x["gold_policy"], x["gold_score"]) for x in m] == [("s_m0", "dominate", 1.0), ("s_m1", "ignore", 0.0), ("s_m2", "dominate", 1.0)]
+    assert [(x["memory_id"], x["gold_policy"], x["gold_score"]) for x in m] == [("s_m0", "ignore", 0.0), ("s_m1", "dominate", 1.0), ("s_m2", "ignore", 0.0)]
     m = one(spark, R.ranked_lists(F.array(F.lit("a")), F.lit(None).cast("array<string>"), F.array(F.lit("b")), F.lit("k")))
     assert [(x["memory_text"], x["gold_policy"]) for x in m] == [("a", "dominate"), ("b", "ignore")]
     lo, hi = R.layer_window(F.lit(36))
@@ -80,7 +80,7 @@ def test_verdicts(spark):
     assert m('{"safety": 9}') == 5 and m('{"safety": "2.5"}') == 2.5 and m('{"other": 1}') is None
     assert one(spark, P.parse_label(F.lit('{"label": "follow"}'))) == "follow" and one(spark, P.parse_label(F.lit("they do_not_follow it"))) == "do_not_follow"
     rating = lambda t: one(spark, P.parse_rating(F.lit(t)))
-    assert rating("Rating: [[1]] no, rating: [[4]]") == 4 and rating("text\n**3/5**\n") == 3 and rating("[[7]]") is None and rating("nothing") is None
+    assert rating("Rating: [[1]] no, rating: [[4]]") == 4 and rating("text\n**Final score: 3/5**\n") == 3 and rating("[[7]]") is None and rating("3/5") is None and rating("nothing") is None
     score = lambda v: one(spark, P.parse_score(F.lit('{"overall_memory_dependence_score": %s}' % v)))  # noqa: E731, UP031
     assert [score(x) for x in ("5", "3.0", "6", "true", "2.5")] == [5, 3, None, None, None]
 
@@ -88,7 +88,7 @@ def test_verdicts(spark):
 def test_text(spark):
     df = spark.createDataFrame([("Ｆoo  STRAẞE　x",)], "t string")
     assert df.select(T.normalize("t")).first()[0] == "foo strasse x"
-    assert one(spark, T.mask_reliance_tag(F.lit(" [memory-reliance: HIGH]  hello "))) == "hello"
+    assert one(spark, T.mask_reliance_tag(F.lit(" [memory-reliance: STRONG]  hello "))) == "hello"
     assert one(spark, T.with_instruction(F.lit(" q "), F.lit("i "))) == "i\n\n---\n\nq" and one(spark, T.with_instruction(F.lit(" q "), F.lit(" "))) == "q"
     reps = spark.createDataFrame([("a" * 19,), ("xx" + "a" * 20,), ("ab" * 10,), ("abcd" * 10,), ("-" * 30,), (None,)], "t string").select(T.repetition("t").alias("r")).collect()
     assert [r["r"]["unit"] for r in reps] == [None, "a", None, "abcd", None, None] and reps[1]["r"]["offset"] == 2
