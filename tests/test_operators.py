@@ -89,7 +89,7 @@ def test_text(spark):
     df = spark.createDataFrame([("Ｆoo  STRAẞE　x",)], "t string")
     assert df.select(T.normalize("t")).first()[0] == "foo strasse x"
     assert one(spark, T.mask_reliance_tag(F.lit(" [memory-reliance: STRONG]  hello "))) == "hello"
-    assert one(spark, T.with_instruction(F.lit(" q "), F.lit("i "))) == "i\n\n---\n\nq" and one(spark, T.with_instruction(F.lit(" q "), F.lit(" "))) == "q"
+    assert one(spark, T.with_instruction(F.lit(" q "), F.lit("i "))) == "i\n\n---\n\nq" and one(spark, T.with_instruction(F.lit(" q "), F.lit(""))) == "q"
     reps = spark.createDataFrame([("a" * 19,), ("xx" + "a" * 20,), ("ab" * 10,), ("abcd" * 10,), ("-" * 30,), (None,)], "t string").select(T.repetition("t").alias("r")).collect()
     assert [r["r"]["unit"] for r in reps] == [None, "a", None, "abcd", None, None] and reps[1]["r"]["offset"] == 2
     assert one(spark, T.without_line(F.lit("a\nb\nc"), F.lit("b"))) == "a\nc" and one(spark, T.without_line(F.lit("b\nb"), F.lit("b"))) is None
