@@ -11,10 +11,12 @@ Fingerprints of at most `distance` differing bits are linked, as follows.
    verified. A key's linked fingerprints leave as a star, so a group of g copies gives g-1 edges.
 4. Components join representatives; every document gets the smallest doc_id of its component.
 
-`similar_documents` is the wide form for a similarity instead of a number of bits: fingerprints of WIDE
-bits, linked up to the number of differing bits that the shingle similarity gives on average (with
-`slack` deviations on top); TABLES keys of KEY_BITS fixed random bits each bring a pair of similarity 0.8
-together with probability over 0.95, more similar ones more often. The same pivots and check follow.
+`similar_documents` is the wide form for a similarity instead of a number of bits. Texts of equal sets of
+distinct shingles collapse first. Fingerprints of WIDE bits over the distinct shingles only propose pairs:
+those that agree on one of TABLES keys of KEY_BITS fixed random bits and differ in no more bits than
+`allowed_bits`. Every proposed pair is then verified by the exact Jaccard similarity of the two whole
+texts' distinct shingles, and verified pairs alone make components. A key of more than PAIRS rows proposes
+stars first; once their components are known, all its pairs between different components follow.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; fewer words than
 a shingle count as one shingle; repeated rows and ties share a component; a null id is dropped from
@@ -36,7 +38,7 @@ from .words import FOLD, SPACE, mix, text_buffer
 
 SEED = 42
 WIDE, TABLES, KEY_BITS = 256, 64, 18
-SMALL = 32
+SMALL, PAIRS = 32, 128
 _FOLD, _SPACE = bytes(FOLD.tolist()), bytes(32 if s else i for i, s in enumerate(SPACE.tolist()))
 _TRANSLATE = bytes(_SPACE[_FOLD[i]] for i in range(256))
 
@@ -67,9 +69,18 @@ def fingerprint(text: bytes, words: int) -> int:
     return majority(shingle_hashes(text, words))
 
 
-def wide_fingerprint(text: bytes, words: int) -> bytes:
-    """WIDE bits: majorities of the hashes and of values mixed from them."""
-    h = shingle_hashes(text, words)
+def distinct_shingles(text: bytes, words: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def set_number(h: np.ndarray) -> int:
+    """A signed number of a set of hashes, the sum of its members' numbers modulo 2**64."""
+    return int(mix(h ^ np.uint64(0x5DEECE66D1234567)).sum(dtype=np.uint64).view(np.int64))
+
+
+def wide_fingerprint(h: np.ndarray) -> bytes:
+    """WIDE bits: majorities of the distinct hashes and of values mixed from them."""
     parts = [h] + [mix(h + np.uint64(i)) for i in range(1, WIDE // 64)]
     return np.array([majority(p) for p in parts], np.uint64).tobytes()
 
@@ -169,9 +180,59 @@ def bucket_edges(key: np.ndarray, rep: np.ndarray, fps: np.ndarray, distance: in
     return np.concatenate(a or [rep[:0]]), np.concatenate(b or [rep[:0]])
 
 
-def key_edges(keyed: DataFrame, distance: int, pivots: np.ndarray) -> DataFrame:
-    """a, b: edges within the keys of rows (k, v, rep, fp). Rows of a task arrive sorted by key; whole keys
-    are taken together, so only the largest key bounds memory."""
+def candidate_pairs(key: np.ndarray, rep: np.ndarray, fps: np.ndarray, distance: int, pivots: np.ndarray, component: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs to verify of rows sorted by key (any number of whole keys), each within distance bits.
+
+    Without components: all pairs of a key of PAIRS rows at most; of a larger one stars, and a pair (x, x)
+    for each of its rows x that is near any other. With components: all pairs of different components."""
+    n = len(key)
+    table = pivot_table(fps, pivots)
+    group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+    size = np.bincount(group)
+    small = size[group] <= PAIRS
+    a, b = [rep[:0]], [rep[:0]]
+    for step in range(1, min(PAIRS, int(size.max()))):
+        i = np.flatnonzero(small[: n - step] & (group[: n - step] == group[step:]))
+        if not len(i):
+            break
+        if component is not None:
+            i = i[component[i] != component[i + step]]
+        for c in range(table.shape[1]):
+            i = i[np.abs(table[i, c] - table[i + step, c]) <= distance]
+        i = i[bits_between(fps[i], fps[i + step]) <= distance]
+        a.append(rep[i + step])
+        b.append(rep[i])
+    ends = np.cumsum(size)
+    for g in np.flatnonzero(size > PAIRS).tolist():
+        rows = np.arange(ends[g] - size[g], ends[g])
+        rows = rows[np.argsort(mix(rep[rows].view(np.uint64)))]
+        left, marked = np.ones(n, bool), np.zeros(n, bool)
+        for at, i in enumerate(rows.tolist()):
+            if not left[i]:
+                continue
+            near = rows[at + 1 :] if component is not None else rows
+            if component is not None:
+                near = near[component[near] != component[i]]
+            for c in range(table.shape[1]):
+                near = near[np.abs(table[near, c] - table[i, c]) <= distance]
+                if len(near) < 8:
+                    break
+            near = near[(bits_between(fps[near], fps[i]) <= distance) & (near != i)]
+            if component is None and len(near):
+                marked[near] = marked[i] = True
+                near = near[left[near]]
+                left[near] = left[i] = False
+            a.append(rep[near])
+            b.append(np.full(len(near), rep[i]))
+        a.append(rep[marked])
+        b.append(rep[marked])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def key_edges(keyed: DataFrame, distance: int, pivots: np.ndarray, find=bucket_edges) -> DataFrame:
+    """a, b: what find gives within the keys of rows (k, v, rep, fp and, if present, component). Rows of a
+    task arrive sorted by key; whole keys are taken together, so only the largest key bounds memory."""
+    more = [c for c in keyed.columns if c == "component"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def words(column: pa.Array) -> np.ndarray:
@@ -179,8 +240,8 @@ def key_edges(keyed: DataFrame, distance: int, pivots: np.ndarray) -> DataFrame:
                 return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
             return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
-        def made(key: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = bucket_edges(key, rep, fp, distance, pivots)
+        def made(key: np.ndarray, rep: np.ndarray, fp: np.ndarray, *labels: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = find(key, rep, fp, distance, pivots, *labels)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -188,17 +249,18 @@ def key_edges(keyed: DataFrame, distance: int, pivots: np.ndarray) -> DataFrame:
         rows = 0
         for batch in batches:
             k, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            held.append((mix(k.astype(np.uint64) + np.uint64(1)) ^ v.view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False), words(batch.column(3))))
+            held.append((mix(k.astype(np.uint64) + np.uint64(1)) ^ v.view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False), words(batch.column(3)), *(batch.column(4 + i).to_numpy(zero_copy_only=False) for i in range(len(more)))))
             rows += batch.num_rows
             if rows >= 1 << 17 and held[0][0][0] != held[-1][0][-1]:
-                key, rep, fp = (np.concatenate(x) for x in zip(*held))
+                whole = [np.concatenate(x) for x in zip(*held)]
+                key = whole[0]
                 last = int(np.flatnonzero(key != key[-1])[-1]) + 1
-                yield from made(key[:last], rep[:last], fp[:last])
-                held, rows = [(key[last:], rep[last:], fp[last:])], len(key) - last
+                yield from made(*(x[:last] for x in whole))
+                held, rows = [tuple(x[last:] for x in whole)], len(key) - last
         if rows:
             yield from made(*(np.concatenate(x) for x in zip(*held)))
 
-    return keyed.repartition("k", "v").sortWithinPartitions("k", "v", "rep").select("k", "v", "rep", "fp").mapInArrow(run, "a long, b long")
+    return keyed.repartition("k", "v").sortWithinPartitions("k", "v", "rep").select("k", "v", "rep", "fp", *more).mapInArrow(run, "a long, b long")
 
 
 def links(nodes: DataFrame, distance: int = 4, blocks: int = 6, pivots: int = 16) -> DataFrame:
@@ -217,21 +279,53 @@ def allowed_bits(similarity: float, slack: float) -> int:
 
 
 def wide_links(nodes: DataFrame, similarity: float, slack: float = 1.5, pivots: int = 8) -> DataFrame:
-    """a, b: edges between representatives of similar wide fingerprints. nodes: (rep, fp binary)."""
+    """a, b: pairs to verify, as candidate_pairs gives them. nodes: (node, fp binary and, if present, component)."""
     rng = np.random.default_rng(20_240_301)
     chosen = np.stack([rng.choice(WIDE, KEY_BITS, replace=False) for _ in range(TABLES)])
+    more = [c for c in nodes.columns if c == "component"]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column(1).to_pylist()
             bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")
             v = (bits[:, chosen].astype(np.int64) << np.arange(KEY_BITS)).sum(axis=2)
-            rep = np.repeat(b.column(0).to_numpy(), TABLES)
             k = np.tile(np.arange(TABLES, dtype=np.int32), len(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v.reshape(-1)), pa.array(rep), pa.array([x for x in raw for _ in range(TABLES)], pa.binary())], names=["k", "v", "rep", "fp"])
+            fps = pa.array([x for x in raw for _ in range(TABLES)], pa.binary())
+            longs = [pa.array(np.repeat(b.column(i).to_numpy(), TABLES)) for i in (0, *range(2, 2 + len(more)))]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v.reshape(-1)), longs[0], fps, *longs[1:]], names=["k", "v", "rep", "fp", *more])
+
+    keyed = nodes.select("node", "fp", *more).mapInArrow(keys, "k int, v long, rep long, fp binary" + ", component long" * len(more))
+    return key_edges(keyed, allowed_bits(similarity, slack), pivot_points(pivots, WIDE // 64), candidate_pairs)
+
 
-    keyed = nodes.select("rep", "fp").mapInArrow(keys, "k int, v long, rep long, fp binary")
-    return key_edges(keyed, allowed_bits(similarity, slack), pivot_points(pivots, WIDE // 64))
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, spark: SparkSession, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose distinct shingles have the Jaccard similarity. Shingles are taken
+    again from the text of one document for each node that stands in a pair."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
+    wanted = written(wanted, spark, "similar-wanted")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = text_buffer(b.column(0))
+            data, o = data.tobytes(), offsets.tolist()
+            found = [distinct_shingles(data[x:y], words) for x, y in zip(o[:-1], o[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([set_number(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["node", "shingles"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = both / max(1, len(x) + len(y) - both) >= similarity
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    own = texts.mapInArrow(sets, "node long, shingles binary").join(wanted.select("node"), "node", "left_semi")
+    own = written(own.groupBy("node").agg(F.first("shingles").alias("shingles")), spark, "similar-shingles")
+    side = lambda c: own.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b")
+    return written(joined.mapInArrow(similar, "a long, b long"), spark, "similar-edges")
 
 
 def classes(prints: DataFrame, spark: SparkSession, edges) -> DataFrame:
@@ -255,7 +349,21 @@ def similar_documents(docs: DataFrame, spark: SparkSession, words: int = 5, simi
         for b in batches:
             data, offsets = text_buffer(b.column(1))
             data, o = data.tobytes(), offsets.tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(data[x:y], words) for x, y in zip(o[:-1], o[1:])], pa.binary())], names=["doc_id", "fp"])
-
-    prints = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, fp binary")
-    return classes(prints, spark, lambda n: wide_links(n, similarity))
+            found = [distinct_shingles(data[x:y], words) for x, y in zip(o[:-1], o[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_number(h) for h in found], pa.int64()), pa.array([wide_fingerprint(h) for h in found], pa.binary())], names=["doc_id", "node", "fp"])
+
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    prints = written(docs.mapInArrow(run, "doc_id long, node long, fp binary"), spark, "similar")
+    nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("rep")), spark, "similar-nodes")
+    pairs = lambda found: found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    first = written(pairs(wide_links(nodes, similarity)), spark, "similar-pairs")
+    edges = verified(first.where("a <> b"), docs, nodes, spark, words, similarity)
+    found = components(edges, spark)
+    large = first.where("a = b").select(F.col("a").alias("node"))
+    if not large.isEmpty():
+        inside = nodes.join(large, "node", "left_semi").join(found, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"))
+        rest = written(pairs(wide_links(inside, similarity)).join(first, ["a", "b"], "left_anti"), spark, "similar-pairs")
+        found = components(edges.union(verified(rest, docs, nodes, spark, words, similarity)), spark)
+    own = nodes.join(found, "node", "left").select("node", "fp", "rep", F.coalesce("component", "node").alias("component"))
+    own = own.join(own.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "fp", "component_id")
+    return prints.select("doc_id", "node").join(own, "node").select("doc_id", "fp", "component_id")

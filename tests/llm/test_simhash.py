@@ -96,6 +96,46 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(d.limit(0), spark).count() == 0
 
 
+def jaccard(x, y, k=5):
+    x, y = ({tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_documents_are_verified_exactly(spark):
+    rng = np.random.default_rng(7)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 40, n)]
+    line = words(14)
+    texts = [" ".join(line * 60 + words(300)) for _ in range(6)]  # one repeated line, else different
+    for at in (4, 6, 7, 8, 9, 11):  # words changed apart from each other: similarities on both sides of 0.8
+        w = words(304)
+        v = list(w)
+        for i in range(at):
+            v[10 + 25 * i] = f"x{at}{i}"
+        texts += [" ".join(w), " ".join(v)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(d, spark).collect()}
+    assert all(got[i] == i for i in range(6))
+    for i in range(6, len(texts), 2):
+        near = jaccard(texts[i], texts[i + 1])
+        assert got[i + 1] == i + 1 if near < 0.8 else near < 0.86 or got[i + 1] == i, near
+    assert [jaccard(texts[i], texts[i + 1]) >= 0.8 for i in range(6, len(texts), 2)] == [True] * 2 + [False] * 4
+
+
+def test_large_keys_lose_no_pair():
+    """Stars whose head isn't similar enough to its rows: the pairs between components follow."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    fps = np.array([base ^ (np.uint64(1) << rng.integers(0, 63, 4, dtype=np.uint64)) for _ in range(simhash.PAIRS + 40)])
+    rep, key, pivots = np.arange(len(fps)), np.zeros(len(fps)), simhash.pivot_points(8, 4)
+    a, b = simhash.candidate_pairs(key, rep, fps, 40, pivots)
+    assert len(a[a != b]) == len(fps) - 1 and set(a[a == b].tolist()) == set(rep.tolist())
+    parts = rep % 3
+    a, b = simhash.candidate_pairs(key, rep, fps, 40, pivots, parts)
+    want = {(i, j) for i in rep.tolist() for j in range(i) if parts[i] != parts[j]}
+    assert {(max(p), min(p)) for p in zip(a.tolist(), b.tolist())} == want
+
+
 def test_long_chain_of_components(spark):
     e = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(e, spark).collect()}
