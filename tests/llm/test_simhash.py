@@ -122,6 +122,23 @@ def test_similar_documents_are_verified_exactly(spark):
     assert [jaccard(texts[i], texts[i + 1]) >= 0.8 for i in range(6, len(texts), 2)] == [True] * 2 + [False] * 4
 
 
+def test_isolated_pairs_at_the_threshold_are_found(spark):
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 40, n)]
+    rows, n = [], 400
+    for g in range(n):
+        w = words(904)
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[:724] if g % 2 else w[:804] + words(100)))]  # 720 of 900, 800 of 1000
+    for g in range(n, n + 60):  # five shingles, and four of them
+        w = words(9)
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[:8] if g % 2 else w[1:]))]
+    assert all(jaccard(rows[2 * g][1], rows[2 * g + 1][1]) == 0.8 for g in range(n + 60))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(d, spark).collect()}
+    lost = [g for g in range(n + 60) if got[2 * g + 1] != 2 * g]
+    assert len(lost) <= 0.02 * n and not [g for g in lost if g >= n]
+
+
 def test_large_keys_lose_no_pair():
     """Stars whose head isn't similar enough to its rows: the pairs between components follow."""
     rng = np.random.default_rng(3)
