@@ -4,14 +4,17 @@ Base spans (email, ip, card, phone) come from patterns, checks included, and alw
 labels the document's candidate tokens (runs of non-space characters with a digit or an @): chain factors
 join tokens that follow each other, skip factors join each token to the next one in the document with the
 same or a similar form (equal letters and digits once case and punctuation are taken away, five at
-least), so a group of n alike tokens has n-1 factors. Loopy belief propagation (sum-product, damped) lets
+least), so a group of n alike tokens has n-1 factors; a pair with a chain factor needs none. Numbers written
+in groups of digits are compared as wholes: each stretch of groups, of the most digits that any base kind has,
+is joined group by group to the last stretch or token of the same digits. Loopy belief propagation (sum-product, damped) lets
 labels found in one place reach the same entity where the patterns miss it. Tokens under a base span are
 clamped. An added span is a maximal run of tokens of one label, without punctuation at its ends, that
-touches no base span.
+touches no base span and that skip factors join with one.
 
 The factors are trained by piecewise counting over at most `most_rows` documents, those of the smallest
 hash of doc_id among documents with candidates, with base spans as labels: label given token shape,
-label given the label before, agreement of alike tokens.
+label given the label before, agreement of alike tokens. A token without a base span that is joined to one
+with a base span is what the patterns miss: its label is unknown and isn't counted.
 
 Defined cases: a null or empty text has no spans; very long texts are read whole, in time linear in their
 tokens; repeated rows have equal spans; an empty table trains a field that adds nothing."""
@@ -38,7 +41,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CANDIDATE = re.compile(r"[^\s0-9@]*[0-9@]\S*")
 _EDGE = "()[]{}<>.,;:!?\"'`*#$%&|/\\"
+#: What may stand between the groups of one number.
+_GAP = re.compile(r"[\x20().-]{1,3}")
 ROUNDS, DAMP, LEAST_FORM = 8, 0.5, 5
+MOST_DIGITS = 19
 
 
 def luhn(digits: str) -> bool:
@@ -109,18 +115,48 @@ def labelled(spans: list[tuple[str, int, int]], found: list[tuple[int, int]]) ->
     return y
 
 
+def grouped(text: str, found: list[tuple[int, int]], forms: list[str]) -> list[tuple[int, int]]:
+    """Skip pairs between stretches of digit groups of the same digits, one of two groups at least."""
+    digits = [f.isascii() and f.isdigit() for f in forms]
+    last: dict[str, tuple[int, int]] = {}
+    out, start = [], 0
+    while start < len(found):
+        stop = start + 1
+        while stop < len(found) and digits[stop - 1] and digits[stop] and _GAP.fullmatch(text, found[stop - 1][1], found[stop][0]):
+            stop += 1
+        seen, at = [], start
+        for i in range(start, stop if digits[start] else start):
+            f, best = "", None
+            for j in range(i, stop):
+                f += forms[j]
+                if len(f) > MOST_DIGITS:
+                    break
+                if len(f) >= LEAST_FORM:
+                    seen.append((f, (i, j)))
+                    best = (last[f], j) if f in last else best
+            if best and i >= at:
+                (a, b), j = best
+                if b > a or j > i:
+                    out += [(min(a + k, b), min(i + k, j)) for k in range(max(b - a, j - i) + 1)]
+                at = j + 1
+        last.update(seen)
+        start = stop
+    return out
+
+
 def edges(text: str, found: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(chain, skip) pairs of token numbers."""
     chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= 3 and "\n" not in text[found[i][1] : found[i + 1][0]]]
-    last: dict[str, int] = {}
+    chained, last = set(chain), {}
     skip = []
-    for i, (a, b) in enumerate(found):
-        f = form(text[a:b])
+    forms = [form(text[a:b]) for a, b in found]
+    for i, f in enumerate(forms):
         if len(f) >= LEAST_FORM:
-            if f in last and last[f] != i - 1:
+            if f in last and (last[f], i) not in chained:
                 skip.append((last[f], i))
             last[f] = i
-    return chain, skip
+    alike = set(skip) | chained
+    return chain, skip + [p for p in grouped(text, found, forms) if p not in alike]
 
 
 class Field:
@@ -129,19 +165,23 @@ class Field:
     def __init__(self, texts: list[str], most_shapes: int = 4096):
         k = len(LABELS)
         shapes: Counter = Counter()
-        prior, chain, skip = np.ones(k), np.ones((k, k)), np.full((k, k), 0.5)
+        prior, chain, skip = np.ones(k), np.ones((k, k)), np.full((k, k), 0.5) + 10 * np.eye(k)
         for t in texts:
             found = tokens(t)
             y = labelled(base_spans(t), found)
-            for (a, b), label in zip(found, y.tolist()):
-                shapes[shape(t[a:b]), label] += 1
-                prior[label] += 1
             near, far = edges(t, found)
+            unknown = {i if y[j] else j for i, j in far if (y[i] > 0) != (y[j] > 0)}
+            for i, ((a, b), label) in enumerate(zip(found, y.tolist())):
+                if i not in unknown:
+                    shapes[shape(t[a:b]), label] += 1
+                    prior[label] += 1
             for i, j in near:
-                chain[y[i], y[j]] += 1
+                if not {i, j} & unknown:
+                    chain[y[i], y[j]] += 1
             for i, j in far:
-                skip[y[i], y[j]] += 1
-                skip[y[j], y[i]] += 1
+                if not {i, j} & unknown:
+                    skip[y[i], y[j]] += 1
+                    skip[y[j], y[i]] += 1
         self.prior = np.log(prior / prior.sum())
         self.unary: dict[str, np.ndarray] = {}
         for name in sorted({s for s, _ in shapes})[:most_shapes]:
@@ -187,7 +227,14 @@ class Field:
         unary[y > 0, y[y > 0]] = 0.0
         belief = self.marginals(unary, near + far, [self.chain] * len(near) + [self.skip] * len(far))
         best = belief.argmax(axis=1)
-        linked, follows = {i for p in far for i in p}, set(near)
+        follows, linked, fresh = set(near), set(), {i for i in np.flatnonzero(y).tolist()}
+        joined: dict[int, list[int]] = {}
+        for i, j in far:
+            joined.setdefault(i, []).append(j)
+            joined.setdefault(j, []).append(i)
+        while fresh:  # what skip factors join with a base span
+            fresh = {j for i in fresh for j in joined.get(i, ())} - linked
+            linked |= fresh
         run: list[tuple[str, int, int, bool]] = []
         for i, (a, b) in enumerate(found):
             if y[i] or not best[i]:

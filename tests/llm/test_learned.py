@@ -112,6 +112,24 @@ def test_field_adds_consistent_spans_and_keeps_clean_text():
     assert pii.Field([]).added(t, base) in ([], added)
 
 
+def test_second_mentions_are_added():
+    texts = [f"call +1 (499) 555-65{i:02d} or mail me{i}@x.com; again (499) 555-65{i:02d} or 17 of 2024" for i in range(40)]
+    cards = [f"pay by 4111 1111 1111 1111 then, in {i} days, 4111.1111.1111.1111 or +44 20 7946 09{i:02d} and 20 7946 09{i:02d}" for i in range(10, 40)]
+    field = pii.Field(texts * 3 + cards + ["in 2024 we saw 300 birds and 41 cats"] * 30)
+    added = lambda t: [t[a:b] for _, a, b in field.added(t, pii.base_spans(t))]
+    assert added("ring +1 (212) 555-0199 soon. Later: 555-0199 is right, 2024 too") == ["555-0199"]
+    assert added("ring +44 20 7946 0958 soon. As was said: 20 7946 0958 is right, 2024 too") == ["20 7946 0958"]
+    assert added("paid by 4111 1111 1111 1111 soon. As was said: 4111.1111.1111.1111 is right, 2024 too") == ["4111.1111.1111.1111"]
+
+
+def test_skip_factors_join_whole_mentions():
+    pairs = lambda t: pii.edges(t, pii.tokens(t))
+    assert pairs("555-0199 and then 555-0199") == ([], [(0, 1)])
+    assert pairs("555-0199 555-0199") == ([(0, 1)], [])
+    assert pairs("41 11 22 33 and then 41 11 22 33 and then 41112233")[1] == [(0, 4), (1, 5), (2, 6), (3, 7), (4, 8), (5, 8), (6, 8), (7, 8)]
+    assert len(pairs("12 34 " * 20_000)[1]) == 0
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.com now", 1), (2, None, 2), (3, "", 3), (4, "clean text 2024", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, base int")
