@@ -7,7 +7,7 @@ added up across tasks, and the lexicon is one bit per cell, whose size does not
 A document keeps its distinct lexicon terms (all distinct terms where it has fewer than `least` of them),
 sorted. The lexicon is dealt at random to PARTS subsets; on LEVELS levels, each a random quarter of the
 one before, every subset's terms are hashed to 12 bits. The fingerprint joins the hashes, three hex digits
-each, 000 where a subset has no term. Coarse levels tell short texts apart, thin ones still agree on long
+each, 000 where a subset has no term, up to the last level that the text reaches. Coarse levels tell short texts apart, thin ones still agree on long
 texts of which a part was changed. The likeness of two fingerprints is the share of equal hashes among the
 subsets that either text reaches, on the densest level that is not crowded.
 
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .words import mix, word_hashes
 
-LEVELS, PARTS, CROWDED = 5, 32, 22
+#: The last of 16 levels is crowded from 4**15 times as many terms as the first, more than a text can hold.
+LEVELS, PARTS, CROWDED = 16, 32, 22
 BLOCK_BITS = 14
 NULL_ID = -(1 << 63)
 
@@ -108,16 +109,19 @@ def fingerprints(column: pa.Array, kept: np.ndarray, least: int = 8) -> np.ndarr
 
 
 def text_of(fp: np.ndarray) -> list[str]:
-    """Each fingerprint's hex digits."""
+    """Each fingerprint's hex digits, without the empty levels at its end but the first."""
+    levels = np.maximum(1, LEVELS - (fp > 0).any(axis=2)[:, ::-1].argmax(axis=1))
+    levels[~(fp > 0).any(axis=(1, 2))] = 1
     flat = fp.reshape(len(fp), -1)
     digits = np.frombuffer(b"0123456789abcdef", np.uint8)
     chars = np.stack([digits[(flat >> 8) & 15], digits[(flat >> 4) & 15], digits[flat & 15]], axis=2)
-    return [x.tobytes().decode() for x in chars.reshape(len(fp), -1)]
+    return [x[: 3 * PARTS * k].tobytes().decode() for x, k in zip(chars.reshape(len(fp), -1), levels.tolist())]
 
 
 def parse(text: str) -> np.ndarray:
     """The inverse of text_of for one fingerprint."""
-    return np.array([int(text[i : i + 3], 16) for i in range(0, len(text), 3)], np.uint16).reshape(LEVELS, PARTS)
+    found = np.array([int(text[i : i + 3], 16) for i in range(0, len(text), 3)], np.uint16)
+    return np.pad(found, (0, LEVELS * PARTS - len(found))).reshape(LEVELS, PARTS)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:

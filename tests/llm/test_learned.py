@@ -167,6 +167,17 @@ def test_fingerprint_query(spark):
     assert near.mean() > far.mean() + 0.2
 
 
+def test_fingerprints_of_very_long_texts_tell_edits_from_others():
+    kept, near = np.ones(1 << 20, bool), []
+    for k in range(12):
+        own, other = [f"a{k}x{i}" for i in range(50_000)], [f"b{k}x{i}" for i in range(50_000)]
+        p = fingerprints.fingerprints(pa.array([" ".join(x) for x in (own, own[:25_000] + other[:25_000], other)]), kept)
+        assert all((fingerprints.parse(t) == q).all() for t, q in zip(fingerprints.text_of(p), p))
+        near.append([fingerprints.likeness(p[:1], p[j : j + 1])[0] for j in (1, 2)])
+    edited, others = np.mean(near, axis=0)
+    assert edited > 0.15 and others < 0.05
+
+
 def test_fingerprint_edges(spark):
     rows = [(5, None, 1), (4, "", 1), (3, "one two three", 1), (3, "other words", 1), (None, "last one", 1), (9, "é" * 9, 1), (8, "word " * 40_000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, h int")
