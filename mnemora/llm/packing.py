@@ -12,7 +12,8 @@ Partitions are packed independently and as a stream: memory is bounded by FLUSH_
 document, no row is moved, and a lost task repeats the same work from its split of the input.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id is kept as null; repeated rows are
-packed each on their own; an empty table gives no pieces."""
+packed each on their own; a very long text fills windows of the longest tier and leaves one rest; columns other
+than doc_id and text, whatever their names, are ignored; an empty table gives no pieces."""
 
 from __future__ import annotations
 
@@ -189,8 +190,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                packer.add(doc_id, encoder.encode(text or "") + end)
+            ids, at = encoder.encode_batch(b.column(1))
+            raw, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), (at * 4).tolist()
+            for doc_id, x, y in zip(b.column(0).to_pylist(), at[:-1], at[1:]):
+                packer.add(doc_id, bytes(raw[x:y]) + end)
                 if packer.tokens >= FLUSH_TOKENS:
                     packer.flush()
             if len(packer.done) >= 1024:

@@ -1,18 +1,21 @@
 """Token files of independent zstandard frames with a trailing seek table.
 
 A file holds one frame per document, each with the format's own content checksum: the document's ids as
-little-endian unsigned 32-bit numbers. Then come two skippable frames: the documents' ids (8 bytes each,
-magic 0x184D2A50) and the seek table of the public zstd seekable format (magic 0x184D2A5E: per frame its
+little-endian unsigned 32-bit numbers. Then come two skippable frames: the documents' ids (8 bytes each, then
+one bit each for "no id"; magic 0x184D2A50) and the seek table of the public zstd seekable format (magic 0x184D2A5E: per frame its
 compressed size, its size and the low 32 bits of the XXH64 of its content; then the number of frames, a
 descriptor byte with the checksum flag, and 0x8F92EAB1). A reader takes the tail of a file, looks up the
 frames of the documents asked for, and reads and decompresses no others.
 
-Files hold ascending ranges of (doc_id, text hash); ascending file names continue each other. Tasks
+Files hold ascending ranges of (doc_id, text hash, place in the input); ascending file names continue each
+other. Equal rows may lie in several ranges, so no id or text has to fit in one task. Tasks
 write under a name of their own attempt and then report it, so a lost task leaves at most an unnamed
 file. The driver gathers one row per file (its name, documents and tokens), never one per document.
 
 Defined cases: a null or empty text is the end id alone; equal doc_ids are ordered by the text's hash;
-a null doc_id sorts first and is stored as the least 64-bit number; an empty table makes no file."""
+a null doc_id sorts first and comes back as null (the least 64-bit number stays itself); a very long text is one
+frame, like any other; columns other than doc_id and text, whatever their names, are ignored; an empty table makes
+no file."""
 
 from __future__ import annotations
 
@@ -42,7 +45,7 @@ class Writer:
         self.out, self.seek, self.ids = out, [], []
         self.compressor = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         import xxhash
 
         frame = self.compressor.compress(ids)
@@ -51,7 +54,8 @@ class Writer:
         self.ids.append(doc_id)
 
     def close(self) -> None:
-        ids = np.array(self.ids, "<i8").tobytes()
+        absent = np.array([i is None for i in self.ids], bool)
+        ids = np.array([NULL_ID if i is None else i for i in self.ids], "<i8").tobytes() + np.packbits(absent).tobytes()
         table = b"".join(self.seek) + struct.pack("<IBI", len(self.seek), CHECKSUMS, FOOTER_MAGIC)
         self.out.write(struct.pack("<II", IDS_MAGIC, len(ids)) + ids + struct.pack("<II", SEEK_MAGIC, len(table)) + table)
         self.out.close()
@@ -73,7 +77,9 @@ class Reader:
         table = np.frombuffer(self.file.read_at(12 * n, at), "<u4").reshape(n, 3)
         self.sizes, self.sums = table[:, 1].astype(np.int64), table[:, 2]
         self.starts = np.concatenate([[0], np.cumsum(table[:, 0].astype(np.int64))])
-        self.doc_ids = np.frombuffer(self.file.read_at(8 * n, at - 8 - 8 * n), "<i8")
+        raw = self.file.read_at(8 * n + -(-n // 8), at - 8 - 8 * n - -(-n // 8))
+        self.doc_ids = np.frombuffer(raw, "<i8", n)
+        self.absent = np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 * n), count=n).astype(bool)
         self.decompressor = zstandard.ZstdDecompressor()
 
     def __len__(self) -> int:
@@ -94,16 +100,16 @@ class Reader:
     def find(self, doc_id: int) -> list[int]:
         """Frames of a document, by binary search over the sorted ids."""
         a, b = np.searchsorted(self.doc_ids, doc_id, "left"), np.searchsorted(self.doc_ids, doc_id, "right")
-        return list(range(a, b))
+        return [i for i in range(a, b) if not self.absent[i]]
 
-    def scan(self, block: int = 1 << 22) -> Iterator[tuple[int, bytes]]:
+    def scan(self, block: int = 1 << 22) -> Iterator[tuple[int | None, bytes]]:
         i = 0
         while i < len(self):
             j = max(i + 1, int(np.searchsorted(self.starts, self.starts[i] + block, "right")) - 1)
             j = min(j, len(self))
             raw = self.file.read_at(int(self.starts[j] - self.starts[i]), int(self.starts[i]))
             for k in range(i, j):
-                yield int(self.doc_ids[k]), self.decoded(k, raw[self.starts[k] - self.starts[i] : self.starts[k + 1] - self.starts[i]])
+                yield None if self.absent[k] else int(self.doc_ids[k]), self.decoded(k, raw[self.starts[k] - self.starts[i] : self.starts[k + 1] - self.starts[i]])
             i = j
 
 
@@ -117,22 +123,23 @@ def write_tokens(docs: DataFrame, spark: SparkSession, tokenizer: str, end_id: i
 
         encoder, writer, tokens = byte_encoder(tokenizer), None, 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if writer is None:
-                    name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tokens.zst"
-                    fs, path = filesystem(folder)
-                    fs.create_dir(path, recursive=True)
-                    writer = Writer(fs.open_output_stream(f"{path}/{name}", compression=None))
-                ids = encoder.encode(text or "") + end
-                writer.add(NULL_ID if doc_id is None else doc_id, ids)
-                tokens += len(ids) // 4
+            if writer is None and b.num_rows:
+                name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tokens.zst"
+                fs, path = filesystem(folder)
+                fs.create_dir(path, recursive=True)
+                writer = Writer(fs.open_output_stream(f"{path}/{name}", compression=None))
+            ids, at = encoder.encode_batch(b.column(1))
+            raw, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), (at * 4).tolist()
+            for doc_id, x, y in zip(b.column(0).to_pylist(), at[:-1], at[1:]):
+                writer.add(doc_id, bytes(raw[x:y]) + end)
+            tokens += len(ids) + b.num_rows
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(writer.ids)]), pa.array([tokens])], names=["file", "docs", "tokens"])
 
-    dealt = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
     rows = (
-        dealt.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+        dealt.repartitionByRange("doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "place").select("doc_id", "text")
         .mapInArrow(run, "file string, docs long, tokens long").collect()
     )
     out, n, t = [], 0, 0
@@ -150,7 +157,7 @@ def read_tokens(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataF
             for uri, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 reader, rows = Reader(uri), []
                 for doc_id, ids in reader.scan():
-                    rows.append((None if doc_id == NULL_ID else doc_id, start, len(ids) // 4, zlib.crc32(ids)))
+                    rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids)))
                     start += len(ids) // 4
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])

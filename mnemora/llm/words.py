@@ -19,19 +19,21 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Breaks between words where punctuation is no part of a word: ASCII but letters and digits.
 PLAIN = np.zeros(256, dtype=bool)
 PLAIN[:128] = [not chr(i).isalnum() for i in range(128)]
-_VALUE = FOLD.astype(np.uint64) + np.uint64(1)
+#: What a byte counts as in a hash: with A-Z as a-z, and as it is.
+FOLDED = FOLD.astype(np.uint64) + np.uint64(1)
+RAW = np.arange(1, 257, dtype=np.uint64)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
-_tables: dict[str, np.ndarray] = {}
+_tables: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("pow", ())) < n:
-        size = max(n, _SEGMENT + 1)
-        for name, base in (("pow", _P), ("inv", pow(_P, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=np.uint64)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    if not _tables:
+        for base in (_P, pow(_P, -1, 1 << 64)):
+            steps = np.full(_SEGMENT + 1, base, dtype=np.uint64)
             steps[0] = 1
-            _tables[name] = np.multiply.accumulate(steps)
-    return _tables["pow"], _tables["inv"]
+            _tables.append(np.multiply.accumulate(steps))
+    return _tables[0], _tables[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -86,19 +88,54 @@ def prefix_hashes(column: pa.Array, sizes: tuple[int, ...], breaks: np.ndarray =
     document and in all)."""
     data, offsets = text_buffer(column)
     starts, ends, counts = word_spans(data, offsets, breaks)
+    return span_hashes(data, starts, ends, sizes), counts
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...] = (0,), value: np.ndarray = FOLDED) -> list[np.ndarray]:
+    """Per size, the hash of the first bytes (all for 0) of rising spans that don't overlap. value: what
+    each byte counts as; RAW tells upper from lower case."""
     out = [np.empty(len(starts), np.uint64) for _ in sizes]
     i = 0
     while i < len(starts):
-        base = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, base + _SEGMENT, side="right")))
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + _SEGMENT, side="right"))
+        if j <= i:  # longer than a segment: the tables of powers don't grow with it
+            for size, h in zip(sizes, out):
+                h[i] = _long(data[base : min(int(ends[i]), base + size) if size else int(ends[i])], value)
+            i += 1
+            continue
         n = int(ends[j - 1] - base)
-        power, inverse = _powers(n + 1)
+        power, inverse = _powers()
         run = np.empty(n + 1, np.uint64)
         run[0] = 0
-        np.cumsum(_VALUE[data[base : base + n]] * power[:n], out=run[1:])
+        np.cumsum(value[data[base : base + n]] * power[:n], out=run[1:])
         s, whole = starts[i:j] - base, ends[i:j] - base
         for size, h in zip(sizes, out):
             e = np.minimum(whole, s + size) if size else whole
-            h[i:j] = mix((run[e] - run[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            h[i:j] = mix((run[e] - run[s]) * inverse[s] + (e - s).astype(np.uint64) * _LENGTH)
         i = j
-    return out, counts
+    return out
+
+
+def _long(data: np.ndarray, value: np.ndarray) -> np.uint64:
+    power, _ = _powers()
+    total = 0
+    for i in range(0, len(data), _SEGMENT):
+        part = data[i : i + _SEGMENT]
+        total += int((value[part] * power[: len(part)]).sum(dtype=np.uint64)) * pow(_P, i, 1 << 64)
+    return mix(np.array([(total + len(data) * int(_LENGTH)) % (1 << 64)], np.uint64))[0]
+
+
+def shingle_hashes(h: np.ndarray, counts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every run of so many words, runs before each document and in all) from hashes of words.
+    A document of fewer words has one run, of all its words; one without words has none."""
+    n = np.diff(counts)
+    made = np.where(n >= words, n - words + 1, np.minimum(n, 1))
+    before = np.concatenate([[0], np.cumsum(made)])
+    first = np.repeat(counts[:-1] - before[:-1], made) + np.arange(before[-1])
+    size = np.repeat(np.minimum(n, words), made)
+    out = np.zeros(len(first), np.uint64)
+    for k in range(words):
+        on = size > k
+        out[on] = out[on] * np.uint64(_P) + h[first[on] + k]
+    return mix(out + size.astype(np.uint64) * _LENGTH), before

@@ -9,6 +9,8 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from tokenizers import Tokenizer  # noqa: E402
+
 from mnemora.llm import bpe, media, packing, tokenfile  # noqa: E402
 from mnemora.llm.common import shared_dir  # noqa: E402
 from mnemora.llm.tokenize import ByteEncoder, WordEncoder  # noqa: E402
@@ -24,13 +26,42 @@ def docs(spark, texts=TEXTS):
     return spark.createDataFrame(rows, "doc_id long, text string, start string")
 
 
+ODD = ["a", "B", "'s", "'", "s", ".", ",", "-", " ", "\n", "  ", "é", "\u3000", "\xa0", "1", "²", "\x01", "\x1c", "\u0338", "=", "日", "…", "ſ", "\u212a", "<|endoftext|>"]
+
+
 def test_encoders_equal_the_library():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    texts = TEXTS + ["a<|endoftext|>b <|startoftext|>", "q" * (1 << 21) + " b", "x≠y a-b.c,d'e's 's.'t", "\x01 a\x01b", "A.B a.b", "q" * 300, " ", "\n\n a"]
+    texts += ["".join(rng.choices(ODD, k=rng.randrange(1, 14))) for _ in range(800)]
     for kind, name in ((ByteEncoder, "byte_bpe_50k.json"), (WordEncoder, "word_bpe_49k.json")):
-        e = kind(public_tokenizers.path(name))
-        for _ in range(2):  # the second time from the memo
-            for t in TEXTS:
-                if t is not None:
-                    assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+        path = public_tokenizers.path(name)
+        for special_as_text in (False, True):
+            e, library = kind(path, special_as_text), Tokenizer.from_file(path)
+            library.encode_special_tokens = special_as_text
+            for _ in range(2):  # the second time from the memo
+                ids, at = e.encode_batch(pa.array(texts))
+                for i, t in enumerate(texts):
+                    assert ids[at[i] : at[i + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids, (name, t and t[:60])
+    assert [len(x) for x in e.encode_batch(pa.array([], pa.string()))] == [0, 1]
+
+
+def test_memo_is_bounded(monkeypatch):
+    import pyarrow as pa
+
+    from mnemora.llm import tokenize
+
+    monkeypatch.setattr(tokenize, "MEMO_BYTES", 20_000)
+    e = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for k in range(20):
+        texts = [f"w{k}x{i} common" for i in range(50)] + ["z" * 5000]
+        ids, at = e.encode_batch(pa.array(texts))
+        assert ids[at[-2] :].tolist() == e.tokenizer.encode(texts[-1], add_special_tokens=False).ids
+        assert e.used * 4 + e.pieces * tokenize.PIECE_BYTES < 60_000
 
 
 def test_media_round_trip(spark):
@@ -44,6 +75,10 @@ def test_media_round_trip(spark):
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r["media_width"], r["media_height"]) == (64, len(payload) // 64)
+    again = docs(spark, ["same"] * 40 + [None, "other"]).repartition(5)
+    folder2 = shared_dir(spark, "media-test")
+    stored = media.store(again.withColumnRenamed("start", "digest"), spark, folder2)
+    assert media.addresses(stored).count() == 3 and {r["payload_sha256"] for r in media.read_back(stored, folder2).collect()} == {r["digest"] for r in media.addresses(stored).collect()}
     assert got[0]["feature"] == got[1]["feature"] and got[2]["media_sha256"] == got[16]["media_sha256"]
     heads = media.header_columns(rows, folder).collect()
     assert all((h["width"], h["bits"]) == (64, 8) for h in heads)
@@ -63,7 +98,7 @@ def test_token_files(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     files = tokenfile.write_tokens(d, spark, path)
     got = sorted(tokenfile.read_tokens(spark, files).collect())
-    library, at = ByteEncoder(path).tokenizer, 0
+    library, at = Tokenizer.from_file(path), 0
     for i, t in enumerate(TEXTS):
         ids = library.encode(t or "", add_special_tokens=False).ids + [0]
         assert tuple(got[i]) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -76,6 +111,17 @@ def test_token_files(spark):
             assert ids == library.encode(TEXTS[int(reader.doc_ids[k])] or "", add_special_tokens=False).ids + [0]
 
 
+def test_ids_of_token_files(spark):
+    least = -(1 << 63)
+    rows = [(None, "a"), (least, "b"), (None, "c d"), (5, "e"), (5, "e"), (5, "f")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    files = tokenfile.write_tokens(d, spark, public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted(tokenfile.read_tokens(spark, files).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, least, 5, 5, 5]
+    found = [(i, r) for uri, _, _ in files for r in [tokenfile.Reader(uri)] for i in r.find(least)]
+    assert len(found) == 1
+
+
 def test_token_file_frames_are_plain_zstandard(spark):
     import io
 
@@ -109,7 +155,14 @@ def test_tiktoken_pieces_and_decoding(spark):
             assert "".join(bpe.pieces(t, size)) == t
             assert bpe.encode(enc, t, size) == enc.encode_ordinary(t)
         assert bpe.decode(enc, enc.encode_ordinary(t)) == t.encode()
+    for body in (" " * 9000, "\n" * 9000, " \n\t\u3000\xa0" * 3000):  # long white space is matched by the operator itself
+        for t in (body, "a" + body + "b c", "a" + body, body + "b", "x\x1c" + body + "\x1cz  ", "it's " + body + "'s " + body):
+            assert bpe.encode(enc, t) == enc.encode_ordinary(t) == bpe.encode(enc, t, 7)
+    long = " " * 2_000_000 + "b"  # more than the library's matcher can hold
+    assert bpe.decode(enc, bpe.encode(enc, long)) == long.encode()
     args = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert bpe.encode_digests(docs(spark, []), *args).count() == 0
+    assert [r["doc_id"] for r in bpe.encode_digests(spark.createDataFrame([(None, "a")], "doc_id long, text string"), *args).collect()] == [None]
     full = {r["doc_id"]: r for r in bpe.encode_documents(docs(spark), *args).collect()}
     for r in bpe.encode_digests(docs(spark), *args).collect():
         f = full[r["doc_id"]]
@@ -118,14 +171,14 @@ def test_tiktoken_pieces_and_decoding(spark):
 
 
 def check_pieces(rows, texts, most=2048):
-    e = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
         by_seq.setdefault(r["sequence_id"], []).append(r)
     assert set(by_doc) == set(range(len(texts)))
     for i, t in enumerate(texts):
-        ids = np.array(e.tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
         at = 0
         for r in sorted(by_doc[i], key=lambda r: r["start"]):
             assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
