@@ -1,11 +1,14 @@
 """Byte-level BPE with the tiktoken library and a local rank file.
 
-Long texts are cut before encoding, only where a non-space is followed by a space or a newline: no
-match of the split pattern holds a non-space followed by white space, so every match of the whole
-text lies in one piece. Decoding joins the raw bytes of the ids.
+Long texts are cut before encoding, only where a character that isn't white space is followed by a space or a
+newline: no match of the split pattern holds such a pair, so every match of the whole text lies in one piece.
+The library's matcher can't hold a run of some hundred thousand white-space characters on its stack, so a run of
+over RUN of them is matched here: the pattern takes all of it but the last character where text follows, and all
+of it at the end of the text; that match is encoded as one. Decoding joins the raw bytes of the ids.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; a text of any length without
-white space is one piece; equal texts have equal ids; other columns are kept out."""
+white space is one piece, one of white space alone is one match; equal texts and repeated rows have equal ids;
+other columns, whatever their names, are kept out; a null id is kept; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -18,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PIECE_CHARS = 1 << 16
-_CUT = re.compile(r"(?<=\S)(?=[ \n])")
-#: Python counts these as white space, the split pattern does not.
-_ODD = re.compile(r"[\x1c-\x1f]")
+RUN = 1 << 12
+#: The white space of the split pattern (Unicode's property; Python's own class holds more).
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = re.compile(rf"(?<=[^{_WHITE}])(?=[ \n])")
+_RUN = re.compile(rf"[{_WHITE}]{{{RUN},}}")
 _encoders: dict[tuple[str, str], object] = {}
 
 
@@ -36,8 +41,6 @@ def encoder(path: str, pattern: str):
 
 def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
     """text cut at safe places into pieces of about size code points (more where none is found)."""
-    if len(text) <= size or _ODD.search(text):
-        return [text]
     out, at = [], 0
     while len(text) - at > size:
         m = _CUT.search(text, at + size)
@@ -50,9 +53,19 @@ def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
 
 
 def encode(enc, text: str, size: int = PIECE_CHARS) -> list[int]:
-    if len(text) <= size:
+    if len(text) <= min(size, RUN):
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text, size) for i in enc.encode_ordinary(piece)]
+    out, at = [], 0
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        b -= b < len(text)  # the last one may belong to the match that follows
+        for piece in pieces(text[at:a], size):
+            out += enc.encode_ordinary(piece)
+        out += enc._encode_single_piece(text[a:b])
+        at = b
+    for piece in pieces(text[at:], size):
+        out += enc.encode_ordinary(piece)
+    return out
 
 
 def decode(enc, ids: list[int]) -> bytes:

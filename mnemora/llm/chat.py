@@ -11,7 +11,8 @@ control string, and taking one backslash away restores it. A newline inside a ro
 
 Defined cases: a null text or role is empty; a null conv_id is a conversation of its own; equal turns
 are ordered by role, then text, and each repeated row is a turn; no rows give no conversations; other
-columns are ignored. One conversation becomes one string, so it has to fit in one row."""
+columns, whatever their names, are ignored; texts of any length are taken whole, and the time grows as n log n with the
+turns of a conversation. One conversation becomes one string, so it has to fit in one row."""
 
 from __future__ import annotations
 
@@ -61,41 +62,39 @@ def format_chat(turns: DataFrame, train_role: str = "assistant") -> DataFrame:
         ),
     )
     head = lambda b: F.concat(F.lit(START), F.replace(escape(b["role"]), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
-    body = blocks.withColumn(
-        "parts",
+    written = blocks.withColumn("parts", F.transform("blocks", lambda b: F.struct(head(b).alias("head"), b["texts"].alias("texts"), (b["role"] == train_role).alias("loss"))))
+    # of each text: the characters from the end of the one before to its start, its own, and whether it counts
+    pieces = F.flatten(
         F.transform(
-            "blocks",
-            lambda b: F.struct(
-                F.concat(head(b), F.array_join(b["texts"], SEP), F.lit(END)).alias("s"),
-                F.length(head(b)).alias("h"),
-                F.when(b["role"] == train_role, F.transform(b["texts"], lambda x: F.length(x))).alias("lens"),
+            "parts",
+            lambda p, k: F.transform(
+                p["texts"],
+                lambda t, i: F.struct(
+                    F.when(i > 0, len(SEP)).otherwise(F.length(p["head"]) + F.when(k > 0, len(END)).otherwise(0)).alias("gap"), F.length(t).alias("length"), p["loss"].alias("loss")
+                ),
             ),
-        ),
-    )
-    none = F.array().cast("array<struct<start:int,length:int>>")
-    inner = lambda acc, n: F.struct(
-        (acc["pos"] + n + len(SEP)).alias("pos"),
-        F.concat(acc["spans"], F.array(F.struct(acc["pos"].alias("start"), n.alias("length")))).alias("spans"),
-    )
-    outer = lambda acc, p: F.struct(
-        (acc["pos"] + F.length(p["s"])).alias("pos"),
-        F.when(p["lens"].isNull(), acc["spans"])
-        .otherwise(
-            F.concat(
-                acc["spans"],
-                F.aggregate(p["lens"], F.struct((acc["pos"] + p["h"]).alias("pos"), none.alias("spans")), inner)["spans"],
-            )
         )
-        .alias("spans"),
     )
-    spans = F.aggregate("parts", F.struct(F.lit(0).alias("pos"), none.alias("spans")), outer)["spans"]
+    body = written.withColumn("pieces", pieces).withColumn("ends", running(F.transform("pieces", lambda p: p["gap"] + p["length"])))
+    spans = F.transform(
+        F.filter(F.arrays_zip("pieces", "ends"), lambda x: x["pieces"]["loss"]),
+        lambda x: F.struct((x["ends"] - x["pieces"]["length"]).alias("start"), x["pieces"]["length"].alias("length")),
+    )
     return body.select(
         "conv_id",
-        F.array_join(F.transform("parts", lambda p: p["s"]), "").alias("formatted"),
+        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], F.array_join(p["texts"], SEP), F.lit(END))), "").alias("formatted"),
         spans.alias("loss_spans"),
     )
 
 
+def running(numbers: Column) -> Column:
+    """Running sums of an array: each step adds to every element the one 1, 2, 4, ... places before it, so n elements
+    take some n log n additions."""
+    shifted = lambda a, k: F.concat(F.array_repeat(F.lit(0), k), F.slice(a, F.lit(1), F.size(a) - k))
+    step = lambda a, k: F.when(F.size(a) > k, F.zip_with(a, shifted(a, k), lambda x, y: x + y)).otherwise(a)
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in range(30)]), numbers, step)
+
+
 def read_turns(formatted: Column) -> Column:
     """array<struct<role, texts>> parsed back from a formatted string."""
     blocks = F.filter(F.split(formatted, r"<\|im_end\|>\n", -1), lambda b: b != "")

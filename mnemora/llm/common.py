@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +18,11 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
-
-    Where that setting is absent (tests, one machine) a temporary folder is set as the
-    checkpoint folder of this session."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset (one machine)
+    under the warehouse, which they share as well. Never a folder of one machine's own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="mnemora-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)

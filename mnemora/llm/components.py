@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,34 +20,50 @@ from .common import written
 SHARE = 500_000
 
 
-def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) as edges (node, smallest node that these edges connect it with)."""
-    parent: dict[int, int] = {}
+class Forest:
+    """Sets of numbers that edges have joined so far."""
 
-    def root(x: int) -> int:
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
         while (up := parent.setdefault(x, x)) != x:
             parent[x] = parent[up]
             x = up
         return x
 
+    def joined(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+        """The edges (a, b) that join two sets: a spanning forest of all that were given."""
+        left, right = [], []
+        for x, y in zip(a.tolist(), b.tolist()):
+            p, q = self.root(x), self.root(y)
+            if p != q:
+                self.parent[max(p, q)] = min(p, q)
+                left.append(x)
+                right.append(y)
+        return left, right
+
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) as edges (node, smallest node that these edges connect it with)."""
+    forest = Forest()
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = [x for x in parent if parent[x] != x]
+        forest.joined(*(batch.column(i).to_numpy() for i in (0, 1)))
+    nodes = [x for x, up in forest.parent.items() if up != x]
     for i in range(0, len(nodes), 1 << 16):
         part = nodes[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([forest.root(x) for x in part], pa.int64())], names=["a", "b"])
 
 
-def components(edges: DataFrame, spark: SparkSession, most_rounds: int = 60) -> DataFrame:
-    """node, component (its smallest node) for every node of edges (a, b); no edges give no rows."""
+def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
+    """node, component (its smallest node) for every node of edges (a, b); no edges give no rows. Rounds go on
+    until one changes nothing, some log of the longest path many."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = written(e, spark, "edges")
     e = written(e.repartition(1 + e.count() // SHARE).mapInArrow(stars, "a long, b long"), spark, "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -63,7 +80,5 @@ def components(edges: DataFrame, spark: SparkSession, most_rounds: int = 60) ->
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     star = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return star.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

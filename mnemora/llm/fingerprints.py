@@ -1,19 +1,22 @@
 """I-Match document fingerprints over randomised lexicon subsets.
 
-The lexicon holds the terms whose inverse document frequency lies in a chosen band. Document frequencies
-cover all rows: every task counts its documents' distinct terms in 2**df_bits hashed cells, the cells are
-added up across tasks, and the lexicon is one bit per cell, whose size does not depend on the input.
-
-A document keeps its distinct lexicon terms (all distinct terms where it has fewer than `least` of them),
-sorted. The lexicon is dealt at random to PARTS subsets; on LEVELS levels, each a random quarter of the
-one before, every subset's terms are hashed to 12 bits. The fingerprint joins the hashes, three hex digits
-each, 000 where a subset has no term, up to the last level that the text reaches. Coarse levels tell short texts apart, thin ones still agree on long
-texts of which a part was changed. The likeness of two fingerprints is the share of equal hashes among the
-subsets that either text reaches, on the densest level that is not crowded.
-
-Defined cases: a null or empty text has the fingerprint of zeros and is like (1.0) only to another such;
-equal texts have equal fingerprints; equal doc_ids follow each other by their text's hash; a null doc_id
-sorts last; the only document is its own next one; an empty table gives no rows."""
+The lexicon holds the terms whose inverse document frequency ln(N / df) lies in a chosen band: terms in over a fifth
+of all documents tell nothing, terms in less than one of exp(BAND[1]) documents are too rare to be shared. Document
+frequencies are exact and cover all rows. The band's rare end bounds the lexicon: it can't hold more than
+exp(BAND[1]) times as many terms as a document has on average, so its size (8 bytes a term, gathered and broadcast) is
+bounded whatever the input.
+
+A document keeps its distinct lexicon terms, sorted. The lexicon is dealt at random to PARTS subsets; on LEVELS
+levels, each a random quarter of the one before, the terms of every subset are hashed to 12 bits. The fingerprint is a
+hash of all the text's distinct terms, then the subsets' hashes, three hex digits each, 000 where a subset has no term,
+up to the last level that the text reaches. Dense levels tell short texts apart, thin ones still agree on long texts of
+which a part was changed. `likeness` reads all levels alike.
+
+Defined cases: a null or empty text has the fingerprint of 16 zeros and is like (1.0) only to another such;
+equal texts have equal fingerprints; a text without lexicon terms is like only to one of the same terms; equal doc_ids
+and repeated rows follow each other by their text's hash; a null doc_id stays null and sorts last; very long texts are
+taken whole; columns other than doc_id and text, whatever their names, are ignored; the only document is its own next
+one; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -27,9 +30,12 @@ from pyspark.sql import functions as F
 
 from .words import mix, word_hashes
 
-#: The last of 16 levels is crowded from 4**15 times as many terms as the first, more than a text can hold.
-LEVELS, PARTS, CROWDED = 16, 32, 22
-BLOCK_BITS = 14
+#: The last of 16 levels is full from 4**15 times as many terms as the first, more than a text can hold.
+LEVELS, PARTS = 16, 32
+#: Inverse document frequencies of the lexicon: in a fifth of all documents, in one of 20,000.
+BAND = (1.6, 9.9)
+#: Terms that a task holds before it adds them up.
+FLUSH = 1 << 22
 NULL_ID = -(1 << 63)
 
 
@@ -43,57 +49,64 @@ def distinct_terms(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return d[new], t[new]
 
 
-def document_frequencies(docs: DataFrame, df_bits: int) -> DataFrame:
-    """block, counts (little-endian unsigned 32-bit): how many documents hold a term of each cell."""
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """term (its signed 64-bit hash), n: in how many documents it occurs, over all rows. Every task counts its
+    distinct terms, FLUSH at a time, before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, n = np.zeros(1 << df_bits, np.uint32), 0
-        for b in batches:
-            _, t = distinct_terms(*word_hashes(b.column(0)))
-            cells += np.bincount((t & np.uint64((1 << df_bits) - 1)).astype(np.int64), minlength=1 << df_bits).astype(np.uint32)
-            n += b.num_rows
-        if n:
-            blocks = cells.reshape(-1, 1 << BLOCK_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([x.astype("<u4").tobytes() for x in blocks])], names=["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                cells = np.frombuffer(raw.as_buffer(), "<u4")
-                total[block] = total[block] + cells if block in total else cells.copy()
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()])], names=["block", "counts"])
-
-    schema = "block int, counts binary"
-    return docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            terms, inverse = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+            return terms, np.bincount(inverse, np.concatenate([n for _, n in held]), len(terms)).astype(np.int64)
 
-def lexicon(docs: DataFrame, band: tuple[float, float], df_bits: int = 20) -> np.ndarray:
-    """One flag per cell: its inverse document frequency ln(N / df) lies in band and df is over 1."""
-    n = docs.count()
-    most, fewest = n * np.exp(-band[0]), max(2.0, n * np.exp(-band[1]))
+        def rows() -> Iterator[pa.RecordBatch]:
+            terms, n = held[0]
+            for i in range(0, len(terms), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], names=["term", "n"])
 
-    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells = [np.frombuffer(raw.as_buffer(), "<u4") for raw in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.packbits((c >= fewest) & (c <= most)).tobytes() for c in cells])], names=["block", "flags"])
-
-    out = np.zeros(1 << df_bits, bool)
-    for r in document_frequencies(docs, df_bits).mapInArrow(flags, "block int, flags binary").collect():  # 2**df_bits / 8 bytes
-        out[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.unpackbits(np.frombuffer(r["flags"], np.uint8))
-    return out
+            _, t = distinct_terms(*word_hashes(b.column(0)))
+            terms, n = np.unique(t, return_counts=True)
+            held.append((terms, n))
+            size += len(terms)
+            if size >= FLUSH:
+                held = [summed()]
+                size = len(held[0][0])
+                if size >= FLUSH // 2:
+                    yield from rows()
+                    held, size = [], 0
+        if held:
+            held = [summed()]
+            yield from rows()
+
+    return docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def lexicon(docs: DataFrame, band: tuple[float, float]) -> np.ndarray:
+    """The sorted hashes of the terms whose inverse document frequency ln(N / df) lies in band. They are at most
+    exp(band[1]) times the mean number of distinct terms of a document, whatever N is."""
+    n = docs.count()
+    inside = F.col("n").between(float(n * np.exp(-band[1])), float(n * np.exp(-band[0])))
+    found = document_frequencies(docs).where(inside).select("term").toPandas()["term"].to_numpy(np.int64)
+    return np.sort(found.view(np.uint64))
 
 
-def fingerprints(column: pa.Array, kept: np.ndarray, least: int = 8) -> np.ndarray:
-    """[documents, LEVELS, PARTS] 12-bit hashes, 0 where a subset has no term."""
+def fingerprints(column: pa.Array, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(per text a hash of all its distinct terms, 0 for none; [texts, LEVELS, PARTS] 12-bit hashes of its lexicon
+    terms in each subset, 0 where a subset has none). kept: the lexicon."""
     h, counts = word_hashes(column)
     n = len(counts) - 1
     d, t = distinct_terms(h, counts)
-    inside = kept[(t & np.uint64(len(kept) - 1)).astype(np.int64)]
-    few = np.bincount(d[inside], minlength=n) < least
-    inside |= few[d]
-    d, t = d[inside], t[inside]
+    whole = np.zeros(n, np.uint64)
+    np.add.at(whole, d, mix(t ^ np.uint64(0x1234_5678_9ABC_DEF1)) | np.uint64(1))
+    whole = np.where(np.bincount(d, minlength=n) > 0, mix(whole) | np.uint64(1), np.uint64(0))
+    if len(kept):
+        inside = kept[np.minimum(np.searchsorted(kept, t), len(kept) - 1)] == t
+        d, t = d[inside], t[inside]
+    else:
+        d, t = d[:0], t[:0]
     r = mix(t ^ np.uint64(0xA5A5_5A5A_1234_4321))
     level = np.zeros(len(t), np.int64)
     for k in range(1, LEVELS):
@@ -101,81 +114,103 @@ def fingerprints(column: pa.Array, kept: np.ndarray, least: int = 8) -> np.ndarr
     part = ((r >> np.uint64(32)) & np.uint64(PARTS - 1)).astype(np.int64)
     sums = np.zeros(n * LEVELS * PARTS, np.uint64)
     for k in range(LEVELS):
-        on = level >= k
+        on = np.flatnonzero(level >= k)
+        if not len(on):
+            break
+        # terms are sorted by document, so those of a subset are brought together by a stable sort of the subsets
         at = (d[on] * LEVELS + k) * PARTS + part[on]
-        np.add.at(sums, at, mix(t[on] + np.uint64(k + 1)) | np.uint64(1))
+        order = np.argsort(at, kind="stable")
+        at, terms = at[order], t[on][order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        sums[at[first]] = np.add.reduceat(mix(terms + np.uint64(k + 1)) | np.uint64(1), first)
     out = np.where(sums == 0, np.uint64(0), mix(sums) % np.uint64(4095) + np.uint64(1))
-    return out.astype(np.uint16).reshape(n, LEVELS, PARTS)
+    return whole, out.astype(np.uint16).reshape(n, LEVELS, PARTS)
 
 
-def text_of(fp: np.ndarray) -> list[str]:
-    """Each fingerprint's hex digits, without the empty levels at its end but the first."""
-    levels = np.maximum(1, LEVELS - (fp > 0).any(axis=2)[:, ::-1].argmax(axis=1))
-    levels[~(fp > 0).any(axis=(1, 2))] = 1
+def text_of(whole: np.ndarray, fp: np.ndarray) -> list[str]:
+    """Each fingerprint's hex digits: 16 of the whole text, then three for each subset up to the last level that has
+    any term."""
+    some = (fp > 0).any(axis=2)
+    levels = np.where(some.any(axis=1), LEVELS - some[:, ::-1].argmax(axis=1), 0)
     flat = fp.reshape(len(fp), -1)
     digits = np.frombuffer(b"0123456789abcdef", np.uint8)
     chars = np.stack([digits[(flat >> 8) & 15], digits[(flat >> 4) & 15], digits[flat & 15]], axis=2)
-    return [x[: 3 * PARTS * k].tobytes().decode() for x, k in zip(chars.reshape(len(fp), -1), levels.tolist())]
+    return [f"{w:016x}" + x[: 3 * PARTS * k].tobytes().decode() for w, x, k in zip(whole.tolist(), chars.reshape(len(fp), -1), levels.tolist())]
 
 
-def parse(text: str) -> np.ndarray:
-    """The inverse of text_of for one fingerprint."""
-    found = np.array([int(text[i : i + 3], 16) for i in range(0, len(text), 3)], np.uint16)
-    return np.pad(found, (0, LEVELS * PARTS - len(found))).reshape(LEVELS, PARTS)
+def parse(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse of text_of for one fingerprint, as fingerprints of one text."""
+    found = np.array([int(text[i : i + 3], 16) for i in range(16, len(text), 3)], np.uint16)
+    return np.array([int(text[:16], 16)], np.uint64), np.pad(found, (0, LEVELS * PARTS - len(found))).reshape(1, LEVELS, PARTS)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """0 to 1 for each pair of rows."""
-    used = (a > 0) | (b > 0)
-    same = ((a == b) & used).sum(axis=2)
-    n = used.sum(axis=2)
-    fine = n <= CROWDED
-    pick = np.where(fine.any(axis=1), fine.argmax(axis=1), LEVELS - 1)
-    at = np.arange(len(a))
-    # The level chosen has to say something: one with no subset in use gives way to the one before.
-    while (low := (n[at, pick] == 0) & (pick > 0)).any():
-        pick = np.where(low, pick - 1, pick)
-    return np.where(n[at, pick] == 0, 1.0, same[at, pick] / np.maximum(n[at, pick], 1))
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """0 to 1 for each pair of texts: an estimate of the Jaccard similarity of their lexicon terms.
 
+    A subset of density q disagrees with probability 1 - exp(-q x) where x terms are in one text only, and is in use
+    with 1 - exp(-q u) where u are in either. Densities fall by four, so over all levels PARTS log4(x) and
+    PARTS log4(u) subsets, and a common constant, do: the number of agreeing subsets tells u / x. Equal fingerprints
+    give 1, and texts without lexicon terms 0 otherwise."""
+    used = (a[1] > 0) | (b[1] > 0)
+    same = ((a[1] == b[1]) & used).sum(axis=(1, 2))
+    used = used.sum(axis=(1, 2))
+    share = lambda n: -np.expm1(-n * np.log(4) / PARTS)
+    return np.where(a[0] == b[0], 1.0, np.where(used > 0, share(same) / np.maximum(share(used), 1e-12), 0.0)) + 0.0
 
-def neighbours(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """id, h, packed (zstandard UTF-8 text), bucket, halo: all rows in buckets of descending id ranges.
 
-    Sorted by (bucket, halo, id descending, h), each row is followed by its next document: the first row of
-    the next bucket is also sent to the end of this one (halo 1), the very first to the end of the last."""
-    ids = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"))
+def neighbours(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """id, absent (no id), h, packed (zstandard UTF-8 text), bucket, halo: all rows in buckets of descending ranges
+    of (id, text hash).
+
+    Sorted by (bucket, halo, absent, id descending, h), each row is followed by its next document: the first row of
+    the next bucket is also sent to the end of this one (halo 1), the very first to the end of the last. An id
+    that several quantiles fall on is split into as many buckets by ranges of the hash. The driver gathers the
+    bounds and the first row of each bucket: a number for each partition, not for each document."""
+    h = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 8).alias("h")
+    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("doc_id").isNull().alias("absent"), h, F.coalesce("text", F.lit("")).alias("text"))
     wanted = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    quantiles = ids.agg(F.percentile_approx("id", [i / wanted for i in range(1, wanted)], 10 * wanted).alias("q")).first()["q"]
-    bounds = np.unique(np.array(quantiles or [0], np.int64))
-    locate = lambda v: len(bounds) - np.searchsorted(bounds, v, side="left")
+    quantiles = rows.agg(F.percentile_approx("id", [i / wanted for i in range(1, wanted)], 10 * wanted).alias("q")).first()["q"]
+    bounds, repeats = np.unique(np.array(quantiles or [0], np.int64), return_counts=True)
+    slices = int(repeats.max()) + 1
+
+    def locate(v: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(bounds, v, side="left")
+        r = np.where((at < len(bounds)) & (bounds[np.minimum(at, len(bounds) - 1)] == v), repeats[np.minimum(at, len(bounds) - 1)], 0)
+        inside = np.where(r > 1, (h * r) >> 56, np.where(r == 1, 0, slices - 1))
+        return (len(bounds) - at) * slices + inside
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top: dict[int, int] = {}
+        top: dict[int, tuple] = {}
         for b in batches:
-            v = b.column(0).to_numpy()
-            for k, x in zip(locate(v).tolist(), v.tolist()):
-                top[k] = max(top.get(k, NULL_ID), x)
-        yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int64()), pa.array(list(top.values()), pa.int64())], names=["bucket", "head"])
-
-    firsts = ids.mapInArrow(heads, "bucket long, head long").groupBy("bucket").agg(F.max("head").alias("head")).collect()  # one row a bucket
-    order = sorted((r["bucket"], r["head"]) for r in firsts)
-    follows = {head: order[i - 1][0] for i, (_, head) in enumerate(order)}
+            v, absent, h = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            where = locate(v, h)
+            order = np.lexsort((h, -v.astype(float), -v, absent, where))
+            first = order[np.concatenate([[True], where[order][1:] != where[order][:-1]])]
+            for k, row in zip(where[first].tolist(), zip(absent[first].tolist(), (-v[first].astype(object)).tolist(), h[first].tolist())):
+                top[k] = min(top.get(k, row), row)
+        yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int64()), pa.array([x[0] for x in top.values()], pa.bool_()), pa.array([-x[1] for x in top.values()], pa.int64()), pa.array([x[2] for x in top.values()], pa.int64())], names=["bucket", "absent", "id", "h"])
+
+    found = rows.select("id", "absent", "h").mapInArrow(heads, "bucket long, absent boolean, id long, h long").collect()  # a row for each task and bucket
+    firsts: dict[int, tuple] = {}
+    for r in found:
+        row = (r["absent"], -r["id"], r["h"])
+        firsts[r["bucket"]] = min(firsts.get(r["bucket"], row), row)
+    order = sorted(firsts)
+    follows = {firsts[k]: order[i - 1] for i, k in enumerate(order)}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            raw = [(x or "").encode() for x in b.column(1).to_pylist()]
-            v = b.column(0).fill_null(NULL_ID).to_numpy()
-            where = locate(v)
-            rows = [(i, k, pack(t), int.from_bytes(hashlib.blake2b(t, digest_size=7).digest(), "big")) for i, k, t in zip(v.tolist(), where.tolist(), raw)]
-            out = [(i, h, p, k, 0) for i, k, p, h in rows] + [(i, h, p, follows[i], 1) for i, k, p, h in rows if i in follows]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], names=["id", "h", "packed", "bucket", "halo"])
+            v, absent, h = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            out = [(i, a, x, pack(t.encode()), k, 0) for i, a, x, t, k in zip(v.tolist(), absent.tolist(), h.tolist(), b.column(3).to_pylist(), locate(v, h).tolist())]
+            out += [(i, a, x, p, follows[a, -i, x], 1) for i, a, x, p, k, _ in out if (a, -i, x) in follows]
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], names=["id", "absent", "h", "packed", "bucket", "halo"])
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "id long, h long, packed binary, bucket long, halo int")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "halo", F.desc("id"), "h")
+    dealt = rows.mapInArrow(deal, "id long, absent boolean, h long, packed binary, bucket long, halo int")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "halo", "absent", F.desc("id"), "h")
 
 
 def edited(text: str, following: str) -> str:
@@ -184,27 +219,27 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def fingerprint_neighbours(docs: DataFrame, spark: SparkSession, band: tuple[float, float] = (1.6, 30.0), df_bits: int = 20, least: int = 8) -> DataFrame:
+def fingerprint_neighbours(docs: DataFrame, spark: SparkSession, band: tuple[float, float] = BAND) -> DataFrame:
     """One row per document: its fingerprint, its edited text's, and the likeness of both and of the next's."""
-    shared = spark.sparkContext.broadcast(np.packbits(lexicon(docs, band, df_bits)))
+    shared = spark.sparkContext.broadcast(lexicon(docs, band))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        kept = np.unpackbits(shared.value).astype(bool)
-        held: tuple | None = None  # (bucket, id, text, fingerprint) that waits for the next row
+        kept = shared.value
+        held: tuple | None = None  # (bucket, id, text, whole, hashes) that waits for the next row
 
         def rows(pairs: list[tuple]) -> pa.RecordBatch:
             changed = [edited(a[2], b[2]) for a, b in pairs]
-            own, after = np.stack([a[3] for a, _ in pairs]), np.stack([b[3] for _, b in pairs])
-            other = fingerprints(pa.array(changed, pa.string()), kept, least)
+            own, after = ((np.array([x[3] for x in side], np.uint64), np.stack([x[4] for x in side])) for side in zip(*pairs))
+            other = fingerprints(pa.array(changed, pa.string()), kept)
             cols = [
-                pa.array([None if a[1] == NULL_ID else a[1] for a, _ in pairs], pa.int64()),
+                pa.array([a[1] for a, _ in pairs], pa.int64()),
                 pa.array([len(a[2]) for a, _ in pairs], pa.int64()),
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in changed]),
-                pa.array(text_of(own)),
-                pa.array(text_of(other)),
+                pa.array(text_of(*own)),
+                pa.array(text_of(*other)),
                 pa.array(likeness(own, other)),
                 pa.array(likeness(own, after)),
             ]
@@ -213,10 +248,10 @@ def fingerprint_neighbours(docs: DataFrame, spark: SparkSession, band: tuple[flo
         for b in batches:
             texts = [unpack(x.as_py(), max_output_size=0) if x.is_valid else b"" for x in b.column("packed")]
             column = pa.array(texts, pa.binary()).cast(pa.string())
-            prints = fingerprints(column, kept, least)
             pairs = []
-            for k, i, halo, t, p in zip(b.column("bucket").to_pylist(), b.column("id").to_pylist(), b.column("halo").to_pylist(), column.to_pylist(), prints):
-                row = (k, i, t, p)
+            ids = [None if gone else i for i, gone in zip(b.column("id").to_pylist(), b.column("absent").to_pylist())]
+            for k, i, halo, t, w, p in zip(b.column("bucket").to_pylist(), ids, b.column("halo").to_pylist(), column.to_pylist(), *fingerprints(column, kept)):
+                row = (k, i, t, w, p)
                 if held is not None and held[0] == k:
                     pairs.append((held, row))
                 held = None if halo else row

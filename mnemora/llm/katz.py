@@ -1,34 +1,41 @@
-"""Katz backoff over words: Good-Turing discounted counts with exactly normalised backoff weights.
+"""Katz backoff of any order over words: Good-Turing discounted n-gram counts with exactly normalised weights.
 
 Tokens are words (runs of bytes outside space and 0x09-0x0D, A-Z lower-cased) and one end per document;
 a start context precedes each document. A word that no training document holds is one open type.
 
-    P(w | v) = d(c(v w)) c(v w) / c(v)     if v w was seen, else  a(v) P(w)
+    P(w | v) = d(c(v w)) c(v w) / c(v)     if v w was seen, else  a(v) P(w | v without its first word)
     P(w)     = d(c(w)) c(w) / N            if w was seen, else the mass that is left over
 
-d(r) is the Good-Turing discount of r <= MOST, 1 beyond (an absolute discount where counts of counts do
-not allow Good-Turing). a(v) = (1 - sum of P(w | v) over seen w) / (1 - sum of P(w) over seen w), so the
-probabilities over all words and the open type sum to 1. A context whose followers keep all mass counts
-one occurrence more, which leaves some.
-
-How it runs. A word is its 64-bit hash; rows hold sorted arrays, never one token. The input is read in
-chunks, each a stretch of one input split with at most CHUNK_TOKENS tokens or one document.
-
-1. Every chunk sends its distinct words with its training counts to the words' partitions. These add the
-   counts up, keep their part of the table, and answer each chunk in the order of its words. Equal counts
-   are numbered, so a word's number says its count: the list of distinct counts (at most sqrt(2 N)
-   entries) is all that is broadcast.
-2. Every chunk sends its distinct pairs of numbers to the contexts' partitions (a context with many
-   tokens is dealt by both words), which add up, keep their part of the table, and answer with the pairs'
-   counts and each context's sums. Sums of the dealt contexts, fewer than 8 a partition, are broadcast.
-3. Every chunk scores its documents from its two answers.
-
-Hot words and copies cost one entry per chunk. Answers are files named by chunk in the shared folder, so
-a lost task reads them again. Documents are read three times and never shuffled.
+v are the `order` - 1 tokens before w, at the start of a document as many as there are and the start. d(r) is the
+Good-Turing discount of r <= MOST at that level, 1 beyond (an absolute discount where counts of counts do not allow
+Good-Turing). a(v) = (1 - sum of P(w | v) over seen w) / (1 - sum of the lower P over seen w), so the probabilities
+over all words and the open type sum to 1. A context whose followers keep all mass counts one occurrence more, which
+leaves some; a context that training never saw gives the lower level's probability.
+
+How it runs. Rows hold sorted arrays, never one token. The input is read in chunks, each a stretch of one input split
+with at most CHUNK_TOKENS tokens or one document.
+
+1. Every chunk sends its distinct words (64-bit hashes) with its training counts to the words' partitions. These add
+   the counts up, store their part of the table, and answer each chunk in the order of its words. Equal counts are
+   numbered, so a word's number says its count: the list of distinct counts (at most sqrt(2 N) entries) is all that
+   is broadcast.
+2. Level by level, every chunk sends its distinct n-grams (a context and a word) to the contexts' partitions (a
+   context with many tokens is dealt by the whole n-gram), from the third level on with the probability that the
+   level below gives them. The partitions add up, store their part of the table, and answer with the n-grams'
+   counts and each context's sums. Sums of the dealt contexts, fewer than 8 a partition, are broadcast. The context
+   of a token's next level is the n-gram that ends before it, its count that n-gram's.
+3. Every chunk climbs the levels with its answers once more and sums its documents.
+
+Hot words and copies cost one entry per chunk. Tables and answers are files in the shared folder (kind=table by
+partition, kind=answer by chunk), so a lost task reads them again. Documents are read once for each level and once
+more, never shuffled; those that aren't read from files are written to the shared folder first. Chunks and partitions
+both grow with the input, so the number of rows, though not of what they hold, grows with its square: some 100 bytes
+a row and at least CHUNK_TOKENS / partitions tokens in it.
 
 Defined cases: a null or empty text is the end alone; a null doc_id counts as the empty text in the
-split; repeated rows are scored each; without training rows every token is the open type with
-probability 1; an empty table gives no rows. Word numbers have 32 bits; a larger vocabulary raises."""
+split; repeated rows are scored each; a very long text is one chunk; columns other than doc_id and text, whatever
+their names, are ignored; without training rows every token is the open type with probability 1; an empty table gives
+no rows."""
 
 from __future__ import annotations
 
@@ -37,18 +44,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, shared_dir
+from .common import filesystem, shared_dir, written
 from .words import mix, word_hashes
 
 CHUNK_TOKENS = 2_000_000
 MOST = 5
 END = np.uint64(0x5E4D_0F7E_C57E_11AD)
-START_ID, OPEN_ID = (1 << 32) - 2, (1 << 32) - 1
-ROWS = "chunk string, part int, a binary, b binary, c binary, d binary"
-_LOW = np.uint64(0xFFFFFFFF)
+#: Word numbers are below these; 48 bits are more than any input has words.
+START_ID, OPEN_ID = (1 << 48) - 2, (1 << 48) - 1
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+ROWS = "kind string, chunk string, part int, a binary, b binary, c binary, d binary, e binary"
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram(context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The 64-bit name of a context followed by a word."""
+    return mix(context * _STEP + ids)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -73,8 +88,9 @@ def rising(x: np.ndarray) -> np.ndarray:
 
 
 def batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int32(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["chunk", "part", "a", "b", "c", "d"])
+    """rows: (kind, chunk, part, a, b, c, d, e), the last ones left out where there are none."""
+    kinds = [pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] if i < len(r) else None for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "chunk", "part", "a", "b", "c", "d", "e"])
 
 
 @dataclass
@@ -149,8 +165,6 @@ class Words:
         first = np.zeros(len(rows), np.int64)
         if len(rows):
             first[::-1] = np.cumsum(width[::-1]) - width[::-1]  # frequent words get small numbers
-            if int(first[0] + width[0]) >= START_ID:
-                raise ValueError("more words than 32-bit numbers")
         self.first = first
         self.total, self.types = int((self.counts * number).sum()), int(number.sum())
         of = {int(c): int(n) for c, n in zip(self.counts, number)}
@@ -193,34 +207,34 @@ def part_of_word(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def read_answers(folder: str, chunk: str) -> list[tuple]:
-    """(part, a, b, c, d) rows of a chunk, by part."""
+    """(part, a, b, c) rows of a chunk, by part."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     store, path = filesystem(folder)
-    files = [f.path for f in store.get_file_info(fs.FileSelector(f"{path}/chunk={chunk}")) if f.path.endswith(".parquet")]
-    rows = [r for f in files for r in zip(*(c.to_pylist() for c in pq.ParquetFile(store.open_input_file(f)).read(columns=["part", "a", "b", "c", "d"]).columns))]
+    files = [f.path for f in store.get_file_info(fs.FileSelector(f"{path}/kind=answer/chunk={chunk}")) if f.path.endswith(".parquet")]
+    rows = [r for f in files for r in zip(*(c.to_pylist() for c in pq.ParquetFile(store.open_input_file(f)).read(columns=["part", "a", "b", "c"]).columns))]
     return sorted(rows, key=lambda r: r[0])
 
 
 def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows (chunk, a, b, c) of each part from batches sorted by part."""
+    """Rows (chunk, a, b, c, d, e) of each part from batches sorted by part."""
     part, rows = None, []
     for b in batches:
         for r in zip(*(c.to_pylist() for c in b.columns)):
-            if r[1] != part:
+            if r[2] != part:
                 if rows:
                     yield part, rows
-                part, rows = r[1], []
-            rows.append((r[0], r[2], r[3], r[4]))
+                part, rows = r[2], []
+            rows.append((r[1], *r[3:]))
     if rows:
         yield part, rows
 
 
 def exchange(sent: DataFrame, answer, folder: str) -> None:
-    """Rows dealt by part, answered part by part, and written under the chunk that asked."""
+    """Rows dealt by part, answered part by part, and written by kind and by the chunk that asked."""
     dealt = sent.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(answer, ROWS)
-    dealt.repartition("chunk").write.partitionBy("chunk").parquet(folder)
+    dealt.repartition("kind", "chunk").write.partitionBy("kind", "chunk").parquet(folder)
 
 
 def word_requests(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -228,7 +242,7 @@ def word_requests(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
         u, inverse = np.unique(c.hashes, return_inverse=True)
         counts = np.bincount(inverse[np.repeat(c.train, c.lengths)], minlength=len(u)).astype(np.uint64)
         cuts = np.searchsorted(part_of_word(u, parts), np.arange(parts + 1))
-        yield batch([(c.name, p, u[a:b].tobytes(), pack(counts[a:b]), None, None) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if a < b])
+        yield batch([("ask", c.name, p, u[a:b].tobytes(), pack(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if a < b])
 
 
 def word_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,12 +256,12 @@ def word_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = ranked[1:] != ranked[:-1]
         index = np.empty(len(u), np.uint64)
         index[order] = np.arange(len(u)) - np.maximum.accumulate(np.where(new, np.arange(len(u)), 0))
-        yield batch([(f"table-{part:06d}", part, u.tobytes(), pack(total), None, None)])
+        yield batch([("table", f"{part:06d}", part, u.tobytes(), pack(total))])
         at = 0
         for r, k in zip(rows, keys):
             mine = inverse[at : at + len(k)]
             at += len(k)
-            yield batch([(r[0], part, pack(total[mine]), pack(index[mine]), None, None)])
+            yield batch([("answer", r[0], part, pack(total[mine]), pack(index[mine]))])
 
 
 def word_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,21 +271,42 @@ def word_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(count), pa.array(n, pa.int64())], names=["count", "n"])
 
 
+def hot_limit(words: Words) -> float:
+    """Tokens from which a context is dealt over all partitions."""
+    return max(words.total / (8 * words.parts), 1.0)
+
+
 @dataclass
-class Tokens:
-    """A chunk with its words' numbers."""
+class Climb:
+    """A chunk at some level: what the levels so far say of every token, and the context of the next one."""
 
     chunk: Chunk
     counts: np.ndarray  # training count of every token
     ids: np.ndarray  # number of every token
-    before: np.ndarray  # number of the token before it
-    pairs: np.ndarray  # distinct pairs of a known context, in the order they are sent
-    pair: np.ndarray  # index into pairs of every token with a known context
-    known: np.ndarray  # tokens with a known context
-    cuts: np.ndarray  # pairs before each partition and in all
+    prob: np.ndarray  # probability of every token by the levels so far
+    context: np.ndarray  # name of the context of every token at the next level
+    seen: np.ndarray  # how often training saw that context
+
+
+@dataclass
+class Grams:
+    """The distinct n-grams of a chunk whose context was seen, in the order they are sent."""
+
+    known: np.ndarray  # the tokens (indices) that have one
+    which: np.ndarray  # the n-gram of each of these
+    at: np.ndarray  # a token (index) of each n-gram
+    cuts: np.ndarray  # n-grams before each partition and in all
+
+
+@dataclass
+class Level:
+    """A level's discounts, and the sums of the contexts that were dealt."""
+
+    discount: np.ndarray
+    hot: dict[int, tuple[np.ndarray, float]]
 
 
-def numbered(c: Chunk, words: Words, folder: str, starts: int) -> Tokens:
+def first_level(c: Chunk, words: Words, folder: str, starts: int) -> Climb:
     u, inverse = np.unique(c.hashes, return_inverse=True)
     rows = read_answers(folder, c.name)
     counts = np.concatenate([unpack(r[1]) for r in rows]).astype(np.int64)
@@ -279,77 +314,91 @@ def numbered(c: Chunk, words: Words, folder: str, starts: int) -> Tokens:
     if len(counts) != len(u):
         raise RuntimeError(f"chunk {c.name} was cut otherwise when it was counted")
     ids = words.ids(counts, index, part_of_word(u, words.parts))[inverse]
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[c.starts] = START_ID
-    known = before != np.uint64(OPEN_ID)
-    pairs, pair = np.unique((before[known] << np.uint64(32)) | ids[known], return_inverse=True)
-    context = pairs >> np.uint64(32)
-    dealt = words.count(context, starts) > hot_limit(words)
-    part = (mix(context + np.uint64(1) ^ np.where(dealt, mix(pairs), np.uint64(0))) & np.uint64(words.parts - 1)).astype(np.int64)
-    order = np.argsort(part.astype(np.uint16) if words.parts <= 65536 else part, kind="stable")
+    context, seen = np.empty_like(ids), np.empty(len(ids), np.int64)
+    context[1:], seen[1:] = ids[:-1], counts[inverse][:-1]
+    context[c.starts], seen[c.starts] = START_ID, starts
+    return Climb(c, counts[inverse], ids, words.prob(ids), context, seen)
+
+
+def grams(t: Climb, words: Words) -> Grams:
+    known = np.flatnonzero(t.seen > 0)
+    name = gram(t.context[known], t.ids[known])
+    u, first, which = np.unique(name, return_index=True, return_inverse=True)
+    at = known[first]
+    dealt = t.seen[at] > hot_limit(words)
+    part = (mix(t.context[at] + np.uint64(1) ^ np.where(dealt, u, np.uint64(0))) & np.uint64(words.parts - 1)).astype(np.int64)
+    order = np.lexsort((t.ids[at], t.context[at], part))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    cuts = np.searchsorted(part[order], np.arange(words.parts + 1))
-    return Tokens(c, counts[inverse], ids, before, pairs[order], place[pair], known, cuts)
+    return Grams(known, place[which], at[order], np.searchsorted(part[order], np.arange(words.parts + 1)))
 
 
-def hot_limit(words: Words) -> float:
-    """Tokens from which a context is dealt over all partitions."""
-    return max(words.total / (8 * words.parts), 1.0)
+def new_contexts(context: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Where another context begins among sorted n-grams, or another partition."""
+    new = np.concatenate([[True], context[1:] != context[:-1]])
+    new[cuts[:-1][cuts[:-1] < cuts[1:]]] = True
+    return new
 
 
-def pair_requests(t: Tokens) -> pa.RecordBatch | None:
-    train = np.repeat(t.chunk.train, t.chunk.lengths)[t.known]
-    counts = np.bincount(t.pair[train], minlength=len(t.pairs)).astype(np.uint64)
+def gram_requests(t: Climb, g: Grams, level: int) -> pa.RecordBatch | None:
+    train = np.repeat(t.chunk.train, t.chunk.lengths)[g.known]
+    counts = np.bincount(g.which[train], minlength=len(g.at)).astype(np.uint64)
+    context, ids = t.context[g.at], t.ids[g.at]
     rows = []
-    for p, (a, b) in enumerate(zip(t.cuts[:-1].tolist(), t.cuts[1:].tolist())):
+    for p, (a, b) in enumerate(zip(g.cuts[:-1].tolist(), g.cuts[1:].tolist())):
         if a < b:
-            k = t.pairs[a:b]
-            rows.append((t.chunk.name, p, pack(rising((k >> np.uint64(32)).astype(np.uint32))), pack((k & _LOW).astype(np.uint32)), pack(counts[a:b]), None))
+            more = ()
+            if level > 2:  # at the second level both follow from the words' numbers
+                new = np.concatenate([[True], context[a + 1 : b] != context[a : b - 1]])
+                more = (pack(t.prob[g.at[a:b]]), pack(t.seen[g.at[a:b]][new].astype(np.uint64)))
+            rows.append(("ask", t.chunk.name, p, pack(rising(context[a:b])), pack(ids[a:b]), pack(counts[a:b]), *more))
     return batch(rows) if rows else None
 
 
-def pair_answers(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[pa.RecordBatch]:
+def gram_answers(batches: Iterator[pa.RecordBatch], words: Words, starts: int) -> Iterator[pa.RecordBatch]:
     for part, rows in by_part(batches):
-        keys = [(np.cumsum(unpack(r[1], np.uint32), dtype=np.uint64) << np.uint64(32)) | unpack(r[2], np.uint32) for r in rows]
-        u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([unpack(r[3]) for r in rows]).astype(float), len(u)).astype(np.uint64)
-        context = u >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        sums = np.stack([np.add.reduceat(np.where(total == r, np.uint64(1), np.uint64(0)), first) for r in range(1, MOST + 1)] + [np.add.reduceat(np.where(total > MOST, total, np.uint64(0)), first)])
-        mass = np.add.reduceat(np.where(total > 0, words.prob(u & _LOW), 0.0), first)
+        contexts = [np.cumsum(unpack(r[1]), dtype=np.uint64) for r in rows]
+        sizes = np.cumsum([0, *map(len, contexts)])
+        context, ids = np.concatenate(contexts), np.concatenate([unpack(r[2]) for r in rows])
+        _, first, inverse = np.unique(gram(context, ids), return_index=True, return_inverse=True)
+        order = np.lexsort((ids[first], context[first]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first, inverse = first[order], place[inverse]
+        total = np.bincount(inverse, np.concatenate([unpack(r[3]) for r in rows]).astype(float), len(first)).astype(np.uint64)
+        own, word = context[first], ids[first]
+        new = np.concatenate([[True], own[1:] != own[:-1]])
+        heads, group = np.flatnonzero(new), np.cumsum(new) - 1
+        if rows[0][4] is None:
+            lower, count = words.prob(word), words.count(own[heads], starts)
+        else:
+            lower = np.concatenate([unpack(r[4], np.float64) for r in rows])[first]
+            count = np.zeros(len(heads), np.int64)
+            for i, r in enumerate(rows):
+                begins = np.concatenate([[True], contexts[i][1:] != contexts[i][:-1]])
+                count[group[inverse[sizes[i] : sizes[i + 1]][begins]]] = unpack(r[5]).astype(np.int64)
+        sums = np.stack([np.add.reduceat(np.where(total == r, np.uint64(1), np.uint64(0)), heads) for r in range(1, MOST + 1)] + [np.add.reduceat(np.where(total > MOST, total, np.uint64(0)), heads)])
+        mass = np.add.reduceat(np.where(total > 0, lower, 0.0), heads)
         seen = total > 0
-        yield batch([(f"table-{part:06d}", part, pack(rising(context[seen].astype(np.uint32))), pack((u[seen] & _LOW).astype(np.uint32)), pack(total[seen]), None)])
-        hot = words.count(context[first], 1 << 62) > hot_limit(words)
+        yield batch([("table", f"{part:06d}", part, pack(rising(own[seen])), pack(word[seen]), pack(total[seen]))])
+        hot = count > hot_limit(words)
         if hot.any():
-            yield batch([(f"hot-{part:06d}", part, pack(context[first][hot]), pack(sums[:, hot].reshape(-1)), pack(mass[hot]), None)])
-        which = np.cumsum(np.isin(np.arange(len(u)), first)) - 1
-        at = 0
-        for r, k in zip(rows, keys):
-            mine = inverse[at : at + len(k)]
-            at += len(k)
-            own = which[mine]
-            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-            yield batch([(r[0], part, pack(total[mine]), pack(sums[:, own].reshape(-1)), pack(mass[own]), None)])
+            yield batch([("hot", f"{part:06d}", part, pack(own[heads][hot]), pack(sums[:, hot].reshape(-1)), pack(mass[hot]))])
+        for i, r in enumerate(rows):
+            mine = inverse[sizes[i] : sizes[i + 1]]
+            asked = group[mine]
+            asked = asked[np.concatenate([[True], asked[1:] != asked[:-1]])]
+            yield batch([("answer", r[0], part, pack(total[mine]), pack(sums[:, asked].reshape(-1)), pack(mass[asked]))])
 
 
-def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many pairs were seen 1..MOST+1 times."""
+def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many n-grams were seen 1..MOST+1 times."""
     for b in batches:
         for raw in b.column(0).to_pylist():
             n = np.bincount(np.minimum(unpack(raw), MOST + 2).astype(np.int64), minlength=MOST + 3)
             yield pa.RecordBatch.from_arrays([pa.array(range(1, MOST + 2), pa.int64()), pa.array(n[1 : MOST + 2], pa.int64())], names=["count", "n"])
 
 
-@dataclass
-class Pairs:
-    """The bigram level: discounts, and the sums of the contexts that were dealt."""
-
-    discount: np.ndarray
-    hot: dict[int, tuple[np.ndarray, float]]
-
-
 def backoff(sums: np.ndarray, mass: np.ndarray, count: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(denominator, backoff weight) of contexts. sums: [MOST + 1, contexts]."""
     kept = (sums[:MOST] * (discount[1:] * np.arange(1, MOST + 1))[:, None]).sum(axis=0) + sums[MOST]
@@ -359,73 +408,113 @@ def backoff(sums: np.ndarray, mass: np.ndarray, count: np.ndarray, discount: np.
     return over, left / np.maximum(1 - mass, 1e-300)
 
 
-def scored(t: Tokens, words: Words, pairs: Pairs, folder: str, starts: int) -> pa.RecordBatch:
-    logs = np.log10(words.prob(t.ids))
-    if t.known.any():
+def climbed(t: Climb, g: Grams, level: Level, folder: str, starts: int) -> Climb:
+    """The chunk one level higher: its tokens' probabilities by this level's counts, else backed off."""
+    seen, prob = np.zeros(len(t.ids), np.int64), t.prob.copy()
+    if len(g.known):
         rows = read_answers(folder, t.chunk.name)
         counts = np.concatenate([unpack(r[1]) for r in rows]).astype(np.float64)
-        if len(counts) != len(t.pairs):
-            raise RuntimeError(f"chunk {t.chunk.name} was cut otherwise when its pairs were counted")
+        if len(counts) != len(g.at):
+            raise RuntimeError(f"chunk {t.chunk.name} was cut otherwise when its n-grams were counted")
         sums = np.concatenate([unpack(r[2]).reshape(MOST + 1, -1) for r in rows], axis=1).astype(np.float64)
         mass = np.concatenate([unpack(r[3], np.float64) for r in rows])
-        context = t.pairs >> np.uint64(32)
-        new = np.concatenate([[True], context[1:] != context[:-1]])
-        new[t.cuts[:-1][t.cuts[:-1] < t.cuts[1:]]] = True
-        which, own = np.cumsum(new) - 1, context[new]
-        for i in np.flatnonzero(np.isin(own, np.array(list(pairs.hot), np.uint64))):
-            sums[:, i], mass[i] = pairs.hot[int(own[i])]
-        over, weight = backoff(sums, mass, words.count(own, starts).astype(np.float64), pairs.discount)
-        kept = np.where(counts <= MOST, pairs.discount[np.minimum(counts, MOST).astype(np.int64)], 1.0) * counts
-        with np.errstate(divide="ignore"):
-            direct, back = np.log10(kept / over[which]), np.log10(weight)[which]
-        k = t.pair
-        logs[t.known] = np.where(counts[k] > 0, direct[k], back[k] + logs[t.known])
+        context = t.context[g.at]
+        new = new_contexts(context, g.cuts)
+        own, which = context[new], np.cumsum(new) - 1
+        for i in np.flatnonzero(np.isin(own, np.array(list(level.hot), np.uint64))):
+            sums[:, i], mass[i] = level.hot[int(own[i])]
+        over, weight = backoff(sums, mass, t.seen[g.at][new].astype(np.float64), level.discount)
+        kept = np.where(counts <= MOST, level.discount[np.minimum(counts, MOST).astype(np.int64)], 1.0) * counts
+        direct = np.where(counts > 0, kept / over[which], weight[which] * t.prob[g.at])
+        prob[g.known] = direct[g.which]
+        seen[g.known] = counts.astype(np.int64)[g.which]
+    name = gram(t.context, t.ids)
+    context, before = np.empty_like(name), np.empty_like(seen)
+    context[1:], before[1:] = name[:-1], seen[:-1]
+    context[t.chunk.starts], before[t.chunk.starts] = START_ID, starts
+    return Climb(t.chunk, t.counts, t.ids, prob, context, before)
+
+
+def summed(t: Climb, words: Words) -> pa.RecordBatch:
     c, first = t.chunk, t.chunk.starts
     base = np.log10((t.counts + 1) / (words.total + words.types + 1))
     cols = [
         c.doc_ids, pa.array(~c.train), pa.array(c.lengths, pa.int64()), pa.array(np.add.reduceat((t.counts > 0).astype(np.int64), first)),
-        pa.array(np.full(len(first), words.total), pa.int64()), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(logs, first)),
+        pa.array(np.full(len(first), words.total), pa.int64()), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(np.log10(t.prob), first)),
     ]
     return pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def scores(docs: DataFrame, spark: SparkSession, train: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+def in_splits(docs: DataFrame, spark: SparkSession, train: Column) -> DataFrame:
+    """doc_id, text, train, split of docs as they are read from files. Rows that have been moved, joined or made
+    otherwise have no lasting place in a split: they are written to files first."""
+    train = F.coalesce(train, F.lit(False)).alias("train")
+    place = F.hex(F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))).alias("split")
+
+    def as_read(plan) -> bool:
+        below = plan.children()
+        return plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "LogicalRelation") and all(as_read(below.apply(i)) for i in range(below.size()))
 
-    docs: (doc_id, text), read from files as it is (rows keep their place in a split); train: which rows
-    the model learns from."""
-    place = F.hex(F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")))
-    rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"), place.alias("split"))
+    if as_read(docs._jdf.queryExecution().analyzed()):
+        try:
+            return docs.select("doc_id", "text", train, place)
+        except AnalysisException:  # a table that isn't files
+            pass
+    return written(docs.select("doc_id", "text", train), spark, "katz-rows").select("doc_id", "text", "train", place)
+
+
+def scores(docs: DataFrame, spark: SparkSession, train: Column, order: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text);
+    train: which rows the model learns from; order: tokens that an n-gram has at most."""
+    if order < 1:
+        raise ValueError("the order has to be 1 at least")
+    rows = in_splits(docs, spark, train)
     parts = 1 << max(4, (2 * rows.rdd.getNumPartitions() - 1).bit_length())
-    uni, bi = shared_dir(spark, "katz-words"), shared_dir(spark, "katz-pairs")
+    folders = [shared_dir(spark, f"katz-{k}") for k in range(1, order + 1)]
     context = spark.sparkContext
+    spark_rows = "part int, a binary, b binary, c binary, d binary, e binary, chunk string"
+    table = lambda k, kind: spark.read.schema(spark_rows).parquet(f"{folders[k - 1]}/kind={kind}")
 
-    exchange(rows.mapInArrow(lambda it: word_requests(it, parts), ROWS), word_answers, uni)
-    spark_rows = f"{ROWS.replace('chunk string, ', '')}, chunk string"
-    tables = spark.read.schema(spark_rows).parquet(uni).where(F.col("chunk").startswith("table-"))
-    classes = tables.select("b").mapInArrow(word_classes, "count long, n long").where("count > 0").groupBy("count").agg(F.sum("n").alias("n"), F.max("n").alias("w")).collect()
+    exchange(rows.mapInArrow(lambda it: word_requests(it, parts), ROWS), word_answers, folders[0])
+    if rows.isEmpty():
+        return spark.createDataFrame([], RESULT)
+    classes = table(1, "table").select("b").mapInArrow(word_classes, "count long, n long").where("count > 0").groupBy("count").agg(F.sum("n").alias("n"), F.max("n").alias("w")).collect()
     words = Words([(r["count"], r["n"], r["w"]) for r in classes], parts)
     starts = rows.where("train").count()
     shared = context.broadcast(words)
+    levels: list = []
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def climb(batches: Iterator[pa.RecordBatch], known: list) -> Iterator[tuple[Climb, Grams | None]]:
+        """Chunks after the levels that are known, with their n-grams of the next one if there is any."""
         for c in chunks(batches):
-            if (out := pair_requests(numbered(c, shared.value, uni, starts))) is not None:
-                yield out
-
-    exchange(rows.mapInArrow(ask, ROWS), lambda it: pair_answers(it, shared.value), bi)
-    found = spark.read.schema(spark_rows).parquet(bi)
-    n = {r["count"]: r["n"] for r in found.where(F.col("chunk").startswith("table-")).select("c").mapInArrow(pair_counts, "count long, n long").groupBy("count").agg(F.sum("n").alias("n")).collect()}
-    hot: dict[int, tuple[np.ndarray, float]] = {}
-    for r in found.where(F.col("chunk").startswith("hot-")).select("a", "b", "c").collect():  # under 8 contexts a partition
-        ids = unpack(bytes(r["a"]))
-        for i, s, m in zip(ids.tolist(), unpack(bytes(r["b"])).reshape(MOST + 1, -1).T.astype(np.float64), unpack(bytes(r["c"]), np.float64).tolist()):
-            old = hot.get(i, (0.0, 0.0))
-            hot[i] = (old[0] + s, old[1] + m)
-    pairs = context.broadcast(Pairs(discounts([n.get(r, 0) for r in range(1, MOST + 2)]), hot))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
-            yield scored(numbered(c, shared.value, uni, starts), shared.value, pairs.value, bi, starts)
-
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            t = first_level(c, shared.value, folders[0], starts)
+            for k, level in enumerate(known, 2):
+                t = climbed(t, grams(t, shared.value), level.value, folders[k - 1], starts)
+            yield t, grams(t, shared.value) if len(known) < order - 1 else None
+
+    def ask(known: list, k: int):
+        return lambda it: (out for t, g in climb(it, known) if (out := gram_requests(t, g, k)) is not None)
+
+    for k in range(2, order + 1):
+        exchange(rows.mapInArrow(ask(list(levels), k), ROWS), lambda it: gram_answers(it, shared.value, starts), folders[k - 1])
+        n: dict[int, int] = {}
+        hot: dict[int, tuple[np.ndarray, float]] = {}
+        if starts:
+            n = {r["count"]: r["n"] for r in table(k, "table").select("c").mapInArrow(gram_counts, "count long, n long").groupBy("count").agg(F.sum("n").alias("n")).collect()}
+            for r in found_hot(spark, folders[k - 1], spark_rows):  # under 8 contexts a partition
+                ids = unpack(bytes(r["a"]))
+                for i, s, m in zip(ids.tolist(), unpack(bytes(r["b"])).reshape(MOST + 1, -1).T.astype(np.float64), unpack(bytes(r["c"]), np.float64).tolist()):
+                    old = hot.get(i, (0.0, 0.0))
+                    hot[i] = (old[0] + s, old[1] + m)
+        levels.append(context.broadcast(Level(discounts([n.get(r, 0) for r in range(1, MOST + 2)]), hot)))
+
+    done = list(levels)
+    return rows.mapInArrow(lambda it: (summed(t, shared.value) for t, _ in climb(it, done)), RESULT)
+
+
+def found_hot(spark: SparkSession, folder: str, schema: str) -> list:
+    """The rows of kind hot; there may be none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/kind=hot")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return []
+    return spark.read.schema(schema).parquet(f"{folder}/kind=hot").select("a", "b", "c").collect()

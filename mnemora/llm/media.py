@@ -3,13 +3,14 @@
 A payload is stored as a grey PNG of 8-bit samples, 64 to a row, under its SHA-256 as an ordinary tar
 member. Each task writes shards of its own in the shared folder and stores a payload once however many
 of its rows hold it; the rows carry digest, shard, offset and length. `addresses` names one place for
-every digest over all shards. Metadata columns are read by ranges of HEADER_BYTES at the members'
-offsets; payloads by ranges of the members' lengths.
+every digest over all shards, which is the one that is read. Metadata columns are read by ranges of HEADER_BYTES at
+the members' offsets; payloads by ranges of the members' lengths. Reading tasks are dealt by stored bytes.
 
 Shards of a lost attempt are named by no row: the rows are written as a table right after the shards.
 
 Defined cases: a null or empty text is 64 zero bytes; texts of any length are one member; repeated rows
-share a member; a null doc_id is kept; an empty table writes no shard."""
+share a member; a null doc_id is kept; columns other than doc_id and text, whatever their names, are ignored; an empty
+table writes no shard and gives no rows."""
 
 from __future__ import annotations
 
@@ -30,6 +31,8 @@ from .common import filesystem, shared_dir, written
 WIDTH = 64
 HEADER_BYTES = 33
 SHARD_BYTES = 1 << 28
+#: Stored bytes that a task reads.
+SLICE_BYTES = 8 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -133,8 +136,10 @@ def addresses(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"), F.count("*").alias("rows")).select("digest", "place.*", "rows")
 
 
-def _ranges(rows: DataFrame) -> DataFrame:
-    return rows.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+def _ranges(rows: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """rows in order of their places, as many tasks as their payloads have slices of slice_bytes."""
+    total = rows.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return rows.repartitionByRange(max(1, -(-int(total) // slice_bytes)), "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def _opened(folder: str):
@@ -165,33 +170,37 @@ def header_columns(rows: DataFrame, folder: str) -> DataFrame:
     return _ranges(rows).mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, width int, height int, bits int")
 
 
-def read_back(rows: DataFrame, folder: str) -> DataFrame:
-    """doc_id, n_bytes, digest with what the stored bytes say: sizes, digests, feature, header columns."""
+def read_payloads(places: DataFrame, folder: str) -> DataFrame:
+    """digest with what the bytes stored at one place of it say: sizes, digests, feature, header columns. A payload is
+    read once, however many rows hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, at, last = _opened(folder), None, ()
+        read = _opened(folder)
         for b in batches:
             out: list[tuple] = []
             for s, o, n, d in zip(*(b.column(c).to_pylist() for c in ("shard", "offset", "length", "digest"))):
-                if (s, o) != at:
-                    width, height, _ = read_header(read(s, o, HEADER_BYTES))
-                    media = read(s, o, n)
-                    payload = decode_png(media)
-                    sha = hashlib.sha256(payload).hexdigest()
-                    if sha != d or len(payload) != width * height:
-                        raise ValueError(f"{s}:{o} does not hold {d}")
-                    at, last = (s, o), (len(payload), sha, zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload), width, height)
-                out.append(last)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-            cols = [pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *cols], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_width", "media_height"])
-
-    return _ranges(rows).mapInArrow(
+                width, height, _ = read_header(read(s, o, HEADER_BYTES))
+                media = read(s, o, n)
+                payload = decode_png(media)
+                sha = hashlib.sha256(payload).hexdigest()
+                if sha != d or len(payload) != width * height:
+                    raise ValueError(f"{s}:{o} does not hold {d}")
+                out.append((d, len(payload), sha, zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload), width, height))
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+            names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_width", "media_height"]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
+
+    return _ranges(places.select("digest", "shard", "offset", "length")).mapInArrow(
         run,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_width int, media_height int",
+        "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_width int, media_height int",
     )
 
 
+def read_back(rows: DataFrame, folder: str) -> DataFrame:
+    """doc_id, n_bytes and what read_payloads finds for the row's digest."""
+    return rows.select("doc_id", "n_bytes", "digest").join(read_payloads(addresses(rows), folder), "digest").drop("digest")
+
+
 def media_columns(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """store, then read_back."""
     folder = shared_dir(spark, "media")

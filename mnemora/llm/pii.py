@@ -1,30 +1,36 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Base spans (email, ip, card, phone) come from patterns, checks included, and always stay. The field then
-labels the document's candidate tokens (runs of non-space characters with a digit or an @): chain factors
-join tokens that follow each other, skip factors join each token to the next one in the document with the
-same or a similar form (equal letters and digits once case and punctuation are taken away, five at
-least), so a group of n alike tokens has n-1 factors; a pair with a chain factor needs none. Numbers written
-in groups of digits are compared as wholes: each stretch of groups, of the most digits that any base kind has,
-is joined group by group to the last stretch or token of the same digits. Loopy belief propagation (sum-product, damped) lets
-labels found in one place reach the same entity where the patterns miss it. Tokens under a base span are
-clamped. An added span is a maximal run of tokens of one label, without punctuation at its ends, that
-touches no base span and that skip factors join with one.
-
-The factors are trained by piecewise counting over at most `most_rows` documents, those of the smallest
-hash of doc_id among documents with candidates, with base spans as labels: label given token shape,
-label given the label before, agreement of alike tokens. A token without a base span that is joined to one
-with a base span is what the patterns miss: its label is unknown and isn't counted.
+Base spans (email, ip, card, phone) come from patterns, checks included, and always stay. The field then labels the
+candidate tokens (runs of non-space characters with a digit or an @) of every document that has any, whether patterns
+found something there or not. Its factors:
+
+* of one token: its shape, and the word before it;
+* chain: tokens that follow each other;
+* skip: each token and the last one before it in the document that is the same (equal letters and digits once case
+  and punctuation are taken away, five at least) or similar: numbers of the same digits however they are grouped
+  (whole stretches of digit groups, group by group), numbers of the same last TAIL digits, forms that differ by one
+  character, addresses of one host or one network. n alike tokens have n-1 factors.
+
+Loopy belief propagation (sum-product, damped) lets a label found in one place reach the same entity elsewhere.
+Tokens under a base span are held at its label; a token under a pattern whose check failed can't be of that kind. An
+added span is a maximal run of tokens whose likeliest label is one kind, one of them with a probability of SURE,
+without punctuation at its ends, that touches no base span.
+
+The factors are trained piecewise, each as the log of its own smoothed conditional counts, with base spans as labels,
+over all documents: the statistics are tables of fixed size (shapes and words hashed to CELLS rows), counted where the
+texts are and summed.
 
 Defined cases: a null or empty text has no spans; very long texts are read whole, in time linear in their
-tokens; repeated rows have equal spans; an empty table trains a field that adds nothing."""
+tokens; repeated rows have equal spans; a null id is kept; an empty table trains a field that adds nothing to a text
+without a base span."""
 
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +49,16 @@ _CANDIDATE = re.compile(r"[^\s0-9@]*[0-9@]\S*")
 _EDGE = "()[]{}<>.,;:!?\"'`*#$%&|/\\"
 #: What may stand between the groups of one number.
 _GAP = re.compile(r"[\x20().-]{1,3}")
-ROUNDS, DAMP, LEAST_FORM = 8, 0.5, 5
+#: The word before a token.
+_CUE = re.compile(r"([^\W\d_]+)[^\w\n]{1,4}$")
+ROUNDS, DAMP, LEAST_FORM = 30, 0.3, 5
 MOST_DIGITS = 19
+#: Rows of each hashed table, factors of pairs by type, and how strongly alike tokens agree before anything is counted.
+CELLS, FACTORS, AGREE = 1 << 13, ("chain", "same", "digits", "tail", "edit", "part"), 10.0
+#: Last digits that tell two numbers alike; lengths of forms that may differ by one character.
+TAIL, EDIT, MOST_EDITED = 7, 8, 64
+#: Probability from which a kind is taken; log potential under which no token of a text without a base span counts.
+SURE, LITTLE = 0.8, -7.0
 
 
 def luhn(digits: str) -> bool:
@@ -55,6 +69,15 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def good_ip(found: str) -> bool:
+    return all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in found.split("."))
+
+
+def good_card(found: str) -> bool:
+    digits = found.replace(" ", "").replace("-", "")
+    return 16 <= len(digits) <= 19 and luhn(digits)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start; leftmost and non-overlapping within a kind."""
     out, end = [], 0
@@ -65,13 +88,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         if a < m.start():
             out.append(("email", a, m.end()))
             end = m.end()
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m.group().split(".")):
-            out.append(("ip", *m.span()))
-    for m in _CARD.finditer(text):
-        digits = m.group().replace(" ", "").replace("-", "")
-        if 16 <= len(digits) <= 19 and luhn(digits):
-            out.append(("card", *m.span()))
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if good_ip(m.group())]
+    out += [("card", *m.span()) for m in _CARD.finditer(text) if good_card(m.group())]
     for m in _PHONE.finditer(text):
         if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
             out.append(("phone", *m.span()))
@@ -93,15 +111,40 @@ def tokens(text: str) -> list[tuple[int, int]]:
 
 
 def shape(token: str) -> str:
-    """Digits as 9, letters as a, runs of letters shortened to one, runs of digits to three at most."""
+    """Digits as 9, letters as a, runs of letters shortened to one, runs of digits to four at most."""
     s = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]+", "a", token))
-    return re.sub(r"9{4,}", "9999", s)[:40]
+    return re.sub(r"9{4,}", "9999", s)
+
+
+def cue(text: str, start: int) -> str:
+    """The word that stands before a token with a blank and a little punctuation between, in lower case."""
+    m = _CUE.search(text, max(0, start - 24), start)
+    return m.group(1).lower() if m else ""
 
 
 def form(token: str) -> str:
     return re.sub(r"[\W_]+", "", token).lower()
 
 
+def cells(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The table rows of each token's shape and of the word before it."""
+    return [(zlib.crc32(shape(text[a:b]).encode()) % CELLS, CELLS + zlib.crc32(cue(text, a).encode()) % CELLS) for a, b in found]
+
+
+def refused(text: str, found: list[tuple[int, int]]) -> np.ndarray:
+    """[tokens, labels]: kinds whose pattern a token lies under and whose check it fails; it can't be such."""
+    out = np.zeros((len(found), len(LABELS)), bool)
+    starts = [a for a, _ in found]
+    for kind, pattern, good in (("ip", _IP, good_ip), ("card", _CARD, lambda t: not 16 <= sum(c.isdigit() for c in t) <= 19 or good_card(t))):
+        for m in pattern.finditer(text):
+            if not good(m.group()):
+                i = max(0, bisect_right(starts, m.start()) - 1)
+                while i < len(found) and found[i][0] < m.end():
+                    out[i, LABELS.index(kind)] |= found[i][1] > m.start()
+                    i += 1
+    return out
+
+
 def labelled(spans: list[tuple[str, int, int]], found: list[tuple[int, int]]) -> np.ndarray:
     """The kind (0: none) of the base span that each token overlaps; the first kind wins."""
     y = np.zeros(len(found), np.int64)
@@ -144,117 +187,179 @@ def grouped(text: str, found: list[tuple[int, int]], forms: list[str]) -> list[t
     return out
 
 
-def edges(text: str, found: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain, skip) pairs of token numbers."""
+def similar_forms(text: str, found: list[tuple[int, int]], forms: list[str]) -> Iterator[tuple[str, int, int]]:
+    """(type, i, j): tokens that are alike without being equal, each with the last one before it."""
+    last: dict[tuple[str, str], int] = {}
+    for i, ((a, b), f) in enumerate(zip(found, forms)):
+        keys: list[tuple[str, str]] = []
+        number = "".join(c for c in f if c.isdigit())
+        if len(number) >= TAIL:
+            keys.append(("tail", number[-TAIL:]))
+        if EDIT <= len(f) <= MOST_EDITED:
+            keys += [("edit", f), *(("edit", f"{f[:k]}{f[k + 1:]}") for k in range(len(f)))]
+        token = text[a:b]
+        if "@" in token:
+            keys.append(("part", token.rpartition("@")[2].lower()))
+        elif token.count(".") == 3 and number and form(token) == number:
+            keys.append(("part", token.rpartition(".")[0]))
+        met = {}
+        for k in keys:
+            if k in last and forms[last[k]] != f:
+                met.setdefault((k[0], last[k]), None)
+            last[k] = i
+        yield from ((kind, j, i) for kind, j in met)
+
+
+def edges(text: str, found: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[str, int, int]]]:
+    """(chain pairs, skip factors with their types) of token numbers; a pair has one factor at most."""
     chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= 3 and "\n" not in text[found[i][1] : found[i + 1][0]]]
-    chained, last = set(chain), {}
-    skip = []
     forms = [form(text[a:b]) for a, b in found]
+    taken, last, skip = set(chain), {}, []
+
+    def add(kind: str, i: int, j: int) -> None:
+        if i != j and (i, j) not in taken:
+            taken.add((i, j))
+            skip.append((kind, i, j))
+
     for i, f in enumerate(forms):
         if len(f) >= LEAST_FORM:
-            if f in last and (last[f], i) not in chained:
-                skip.append((last[f], i))
+            if f in last:
+                add("same", last[f], i)
             last[f] = i
-    alike = set(skip) | chained
-    return chain, skip + [p for p in grouped(text, found, forms) if p not in alike]
+    for i, j in grouped(text, found, forms):
+        add("digits", i, j)
+    for kind, i, j in similar_forms(text, found, forms):
+        add(kind, i, j)
+    return chain, skip
+
+
+def statistics(texts: Iterable[str]) -> dict[tuple[int, int], int]:
+    """(row, cell) -> count over texts, of what the factors are made from. Rows below 2 * CELLS: how often a shape or
+    a word before has each label. Then one row of label pairs for chain factors and one for each type of
+    skip factor. Labels are those of base spans; a token without one that a skip factor joins with one is what
+    the patterns miss, its label is unknown and it isn't counted."""
+    out: Counter = Counter()
+    k = len(LABELS)
+    for t in texts:
+        found = tokens(t)
+        if not found:
+            continue
+        y = labelled(base_spans(t), found).tolist()
+        near, far = edges(t, found)
+        unknown = {i if y[j] else j for _, i, j in far if (y[i] > 0) != (y[j] > 0)}
+        for i, (a, b) in enumerate(cells(t, found)):
+            if i not in unknown:
+                out[a, y[i]] += 1
+                out[b, y[i]] += 1
+        for kind, i, j in [("chain", i, j) for i, j in near] + far:
+            if i not in unknown and j not in unknown:
+                out[2 * CELLS + FACTORS.index(kind), y[i] * k + y[j]] += 1
+    return out
 
 
 class Field:
-    """Log potentials: of shapes [labels], of chain pairs and of skip pairs [labels, labels]."""
+    """Log potentials: of shapes and of words before [CELLS, labels] each, and of pairs [labels, labels] per type."""
 
-    def __init__(self, texts: list[str], most_shapes: int = 4096):
+    def __init__(self, counts: dict[tuple[int, int], int]):
         k = len(LABELS)
-        shapes: Counter = Counter()
-        prior, chain, skip = np.ones(k), np.ones((k, k)), np.full((k, k), 0.5) + 10 * np.eye(k)
-        for t in texts:
-            found = tokens(t)
-            y = labelled(base_spans(t), found)
-            near, far = edges(t, found)
-            unknown = {i if y[j] else j for i, j in far if (y[i] > 0) != (y[j] > 0)}
-            for i, ((a, b), label) in enumerate(zip(found, y.tolist())):
-                if i not in unknown:
-                    shapes[shape(t[a:b]), label] += 1
-                    prior[label] += 1
-            for i, j in near:
-                if not {i, j} & unknown:
-                    chain[y[i], y[j]] += 1
-            for i, j in far:
-                if not {i, j} & unknown:
-                    skip[y[i], y[j]] += 1
-                    skip[y[j], y[i]] += 1
-        self.prior = np.log(prior / prior.sum())
-        self.unary: dict[str, np.ndarray] = {}
-        for name in sorted({s for s, _ in shapes})[:most_shapes]:
-            n = np.array([shapes[name, i] for i in range(k)], float)
-            self.unary[name] = np.log((n + 2 * prior / prior.sum()) / (n.sum() + 2))
-        self.chain = np.clip(np.log(chain / chain.sum()) - np.log(np.outer(chain.sum(1), chain.sum(0)) / chain.sum() ** 2), -2, 2)
-        both = skip / skip.sum()
-        self.skip = np.clip(np.log(both / np.outer(both.sum(1), both.sum(0))), -3, 3)
-        np.fill_diagonal(self.skip, np.maximum(np.diag(self.skip), 0))
+        seen, pairs = np.zeros((2 * CELLS, k)), np.zeros((len(FACTORS), k, k))
+        for (row, cell), n in counts.items():
+            if row < 2 * CELLS:
+                seen[row, cell] += n
+            else:
+                pairs[row - 2 * CELLS, cell // k, cell % k] += n
+        prior = seen[:CELLS].sum(axis=0) + 1
+        prior /= prior.sum()
+        given = np.log((seen + 2 * prior) / (seen.sum(axis=1, keepdims=True) + 2))
+        self.shape = given[:CELLS]
+        self.cue = np.clip(given[CELLS:] - np.log(prior), -1, 1)
+        self.pair = np.zeros((len(FACTORS), k, k))
+        for f, n in enumerate(pairs):
+            if f:  # skip factors have no direction, and agreement is what they are for
+                n = n + n.T + np.outer(prior, prior) + np.diag(prior) * AGREE
+            both = (n + np.outer(prior, prior)) / (n.sum() + 1)
+            self.pair[f] = np.clip(np.log(both / np.outer(both.sum(axis=1), both.sum(axis=0))), -2 if not f else -3, 2 if not f else 3)
 
     def marginals(self, unary: np.ndarray, pairs: list[tuple[int, int]], weight: list[np.ndarray]) -> np.ndarray:
-        """Loopy sum-product in the log domain over directed copies of the pairs."""
-        if not pairs:
-            return unary
-        a = np.array([p[0] for p in pairs] + [p[1] for p in pairs])
-        b = np.array([p[1] for p in pairs] + [p[0] for p in pairs])
-        w = np.stack(weight + [x.T for x in weight])
-        back = np.concatenate([np.arange(len(pairs), 2 * len(pairs)), np.arange(len(pairs))])
-        message = np.zeros((len(a), unary.shape[1]))
-        belief = unary.copy()
-        for _ in range(ROUNDS):
-            out = belief[a] - message[back]
-            new = out[:, :, None] + w
-            top = new.max(axis=1, keepdims=True)
-            new = top[:, 0] + np.log(np.exp(new - top).sum(axis=1))
-            message = DAMP * message + (1 - DAMP) * (new - new.max(axis=1, keepdims=True))
+        """Log marginals by loopy sum-product in the log domain over directed copies of the pairs, until messages
+        rest or ROUNDS are over; exact where the pairs make no loop of at most ROUNDS steps across."""
+        if pairs:
+            a = np.array([p[0] for p in pairs] + [p[1] for p in pairs])
+            b = np.array([p[1] for p in pairs] + [p[0] for p in pairs])
+            w = np.stack(weight + [x.T for x in weight])
+            back = np.concatenate([np.arange(len(pairs), 2 * len(pairs)), np.arange(len(pairs))])
+            message = np.zeros((len(a), unary.shape[1]))
             belief = unary.copy()
-            np.add.at(belief, b, message)
-        return belief
+            for _ in range(ROUNDS):
+                out = belief[a] - message[back]
+                new = out[:, :, None] + w
+                top = new.max(axis=1, keepdims=True)
+                new = top[:, 0] + np.log(np.exp(new - top).sum(axis=1))
+                new = DAMP * message + (1 - DAMP) * (new - new.max(axis=1, keepdims=True))
+                moved, message = np.abs(new - message).max(), new
+                belief = unary.copy()
+                np.add.at(belief, b, message)
+                if moved < 1e-6:
+                    break
+        else:
+            belief = unary
+        top = belief.max(axis=1, keepdims=True)
+        return belief - top - np.log(np.exp(belief - top).sum(axis=1, keepdims=True))
+
+    def unary(self, text: str, found: list[tuple[int, int]], y: np.ndarray) -> np.ndarray:
+        """Log potentials of each token; tokens under a base span are held at its label, refused kinds left out."""
+        at = np.array(cells(text, found))
+        out = self.shape[at[:, 0]] + self.cue[at[:, 1] - CELLS]
+        out[refused(text, found)] = -30.0
+        out[y > 0] = -30.0
+        out[y > 0, y[y > 0]] = 0.0
+        return out
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        if not base:
-            return []
+        """Runs of tokens whose likeliest label is one kind, one of them with a probability of SURE, that hold enough
+        of it."""
         found = tokens(text)
+        if not found:
+            return []
         y = labelled(base, found)
-        if not len(y) or (y > 0).all():
+        unary = self.unary(text, found, y)
+        if not (y > 0).any() and unary[:, 1:].max() < LITTLE:
             return []
         near, far = edges(text, found)
-        if not far:
-            return []
-        unary = np.stack([self.unary.get(shape(text[a:b]), self.prior) for a, b in found])
-        unary[y > 0] = -30.0
-        unary[y > 0, y[y > 0]] = 0.0
-        belief = self.marginals(unary, near + far, [self.chain] * len(near) + [self.skip] * len(far))
-        best = belief.argmax(axis=1)
-        follows, linked, fresh = set(near), set(), {i for i in np.flatnonzero(y).tolist()}
-        joined: dict[int, list[int]] = {}
-        for i, j in far:
-            joined.setdefault(i, []).append(j)
-            joined.setdefault(j, []).append(i)
-        while fresh:  # what skip factors join with a base span
-            fresh = {j for i in fresh for j in joined.get(i, ())} - linked
-            linked |= fresh
-        run: list[tuple[str, int, int, bool]] = []
+        weight = [self.pair[0]] * len(near) + [self.pair[FACTORS.index(f)] for f, _, _ in far]
+        p = self.marginals(unary, near + [(i, j) for _, i, j in far], weight)
+        best, sure = p.argmax(axis=1).tolist(), (p.max(axis=1) >= np.log(SURE)).tolist()
+        follows, run = set(near), []
         for i, (a, b) in enumerate(found):
             if y[i] or not best[i]:
                 continue
-            kind = LABELS[best[i]]
-            if run and run[-1][0] == kind and (i - 1, i) in follows and run[-1][2] == found[i - 1][1]:
-                run[-1] = (kind, run[-1][1], b, run[-1][3] or i in linked)
+            if run and run[-1][0] == best[i] and (i - 1, i) in follows and run[-1][2] == found[i - 1][1]:
+                run[-1] = (best[i], run[-1][1], b, run[-1][3] or sure[i])
             else:
-                run.append((kind, a, b, i in linked))
-        return [(k, a, b) for k, a, b, tied in run if tied]
+                run.append((best[i], a, b, sure[i]))
+        return [(LABELS[k], a, b) for k, a, b, certain in run if certain and enough(LABELS[k], text[a:b])]
 
 
-def training_texts(docs: DataFrame, most_rows: int = 1500, most_chars: int = 1 << 16) -> list[str]:
-    """At most most_rows texts. Hashes alone are ranked, then the texts up to the last hash are read, so
-    that no task sends more texts than are kept; equal rows count once."""
-    rows = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= most_chars)).select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    cut = rows.select("h").distinct().orderBy("h").limit(most_rows).agg(F.max("h")).first()[0]
-    if cut is None:
-        return []
-    return [r["text"] for r in rows.where(F.col("h") <= cut).dropDuplicates(["h"]).orderBy("h").collect()]
+def enough(kind: str, found: str) -> bool:
+    """What any span of a kind has to hold."""
+    digits = sum(c.isdigit() for c in found)
+    return {"email": "@" in found, "ip": found.count(".") >= 3 and digits >= 4, "card": 13 <= digits <= 19, "phone": 7 <= digits <= 15}[kind]
+
+
+def learn(docs: DataFrame) -> Field:
+    """A field of the statistics of all texts of docs. Every task counts its own; the driver gathers at most
+    2 * CELLS * labels + types * labels**2 numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for b in batches:
+            total.update(statistics(b.column(0).to_pylist()))
+        rows = sorted(total.items())
+        yield pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in rows], pa.int32()), pa.array([x[0][1] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int64())], names=["row", "cell", "n"])
+
+    texts = docs.where(F.col("text").rlike("[0-9@]")).select("text")
+    counts = texts.mapInArrow(run, "row int, cell int, n long").groupBy("row", "cell").agg(F.sum("n").alias("n")).collect()
+    return Field({(r["row"], r["cell"]): r["n"] for r in counts})
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
@@ -271,7 +376,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
             for t in b.column("text").to_pylist():
                 spans = base_spans(t) if t else []
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
-                more.append([{"kind": k, "start": s, "end": e} for k, s, e in (f.added(t, spans) if spans else [])])
+                more.append([{"kind": k, "start": s, "end": e} for k, s, e in (f.added(t, spans) if t else [])])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base, kind), pa.array(more, kind)], names=[*b.schema.names, "base", "added"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -285,10 +390,10 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
 
     def clean(text: str | None, f: Field) -> str | None:
         base = base_spans(text) if text else []
-        if not base:
+        spans = sorted((a, -b, k) for k, a, b in base + f.added(text, base)) if text else []
+        if not spans:
             return text
         out, at = [], 0
-        spans = sorted((a, -b, k) for k, a, b in base + f.added(text, base))
         for a, b, k in spans:
             if a >= at:
                 out += [text[at:a], f"<{k.upper()}>"]

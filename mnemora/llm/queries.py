@@ -53,7 +53,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
-    found = pii.find(docs, pii.Field(pii.training_texts(docs)))
+    found = pii.find(docs, pii.learn(docs))
     order = lambda spans: F.array_join(
         F.transform(
             F.array_sort(F.transform(spans, lambda s: F.struct(F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"]).alias("k"), s["start"], s["end"], s["kind"]))),

@@ -3,25 +3,35 @@
 A fingerprint bit is 1 if it is set in over half of the XXH64 values of a text's word shingles.
 Fingerprints of at most `distance` differing bits are linked, as follows.
 
-1. Documents are grouped by fingerprint (map-side combined), so copies cost one representative.
+1. Documents are grouped by fingerprint (map-side combined), so copies cost one node.
 2. The 64 bits are cut into `blocks` parts. Two linked fingerprints agree on at least blocks-distance
-   parts, so they meet under one of the C(blocks, distance) keys made of so many parts.
-3. Inside a key, a table of Hamming distances to `pivots` reference fingerprints discards a pair as
-   soon as one coordinate differs by more than `distance` (the triangle inequality); survivors are
-   verified. A key's linked fingerprints leave as a star, so a group of g copies gives g-1 edges.
-4. Components join representatives; every document gets the smallest doc_id of its component.
-
-`similar_documents` is the wide form for a similarity instead of a number of bits. Texts of equal sets of
-distinct shingles collapse first. Fingerprints of WIDE bits over the distinct shingles only propose pairs:
-those that agree on one of TABLES keys of KEY_BITS fixed random bits and differ in no more bits than
-`allowed_bits`. By calculation they propose a pair at 0.8 with a probability over 0.99, and more similar ones
-more often; similar sets of up to nine shingles differ in one shingle at most and are all proposed. Every proposed pair is then verified by the exact Jaccard similarity of the two whole
-texts' distinct shingles, and verified pairs alone make components. A key of more than PAIRS rows proposes
-stars first; once their components are known, all its pairs between different components follow.
-
-Defined cases: a null or empty text has fingerprint zero and is linked like any other; fewer words than
-a shingle count as one shingle; repeated rows and ties share a component; a null id is dropped from
-components (no id to report) but no other row is; empty tables give empty results."""
+   parts, so they meet under one of the C(blocks, distance) keys made of so many parts. The number of parts
+   follows the number of fingerprints (`blocks_for`), so a key holds about as many rows at every size.
+3. Inside a key of more than SMALL rows the bits that vary are cut into distance+1 parts, and only rows that
+   agree on one of them meet: the same rule once more. Among these, a table of Hamming distances to `pivots`
+   reference fingerprints discards a pair as soon as one coordinate differs by more than `distance` (the
+   triangle inequality); survivors are verified. A task joins what it finds in all its keys to a spanning
+   forest, so a group of g gives it g-1 edges. A key of more than HOT rows isn't held: its rows are dealt
+   again by longer keys.
+4. Components join nodes; every document gets the smallest doc_id of its component.
+
+`similar_documents` is the wide form for a similarity of the sets of distinct shingles instead of a number of
+bits. Texts of equal sets collapse first. For a similarity of 0.8 keys of fingerprint bits are no use: two such
+texts agree on a bit with probability 0.85 only, so a pair needs some 150 keys to meet and every document as many
+rows. The block keys are therefore made of min-wise shingles: `values_for` of them to a key, `keys_needed`
+keys, by which a pair at the similarity meets with a probability of over 0.9995. Within a key everything is
+decided by fingerprints of WIDE bits over the distinct shingles: first each row is proposed together with the
+key's medoid (the row nearest to the key's bitwise majority). Once these pairs are verified and joined to
+components, the rows of different components that still meet in a key are compared there: the pivot table discards,
+then sizes and `allowed_bits` (three deviations over the mean). Every pair that remains is verified by the exact
+Jaccard similarity of the two whole texts' distinct shingles, and verified pairs alone make components; a task
+returns a spanning forest of them. Pivots are drawn from the rows themselves here: random references are all about
+as far from every text.
+
+Defined cases: a null or empty text has fingerprint zero (no shingles) and is linked like any other; fewer words
+than a shingle count as one shingle; repeated rows and ties share a component; a null id stays null in the result
+and is never a component's name: a component of rows without ids has none; very long texts are taken whole; other
+columns, whatever their names, are ignored; empty tables give empty results."""
 
 from __future__ import annotations
 
@@ -34,19 +44,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import components
-from .words import FOLD, SPACE, mix, text_buffer
+from .components import Forest, components
+from .words import FOLD, SPACE, mix, shingle_hashes, text_buffer, word_hashes
 
 SEED = 42
-WIDE, TABLES, KEY_BITS = 256, 144, 17
-#: Sets of so many shingles propose what is left without one of them, for their fingerprints vary most.
-FEW = range(5, 10)
-SMALL, PAIRS = 32, 128
+WIDE = 512
+SMALL, HOT = 32, 1 << 20
 _FOLD, _SPACE = bytes(FOLD.tolist()), bytes(32 if s else i for i, s in enumerate(SPACE.tolist()))
 _TRANSLATE = bytes(_SPACE[_FOLD[i]] for i in range(256))
 
 
-def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+def text_shingles(text: bytes, words: int) -> np.ndarray:
     """XXH64 of every shingle, repeats included; of the whole sequence if it is shorter; none without words."""
     import xxhash
 
@@ -69,30 +77,7 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprint(text: bytes, words: int) -> int:
-    return majority(shingle_hashes(text, words))
-
-
-def distinct_shingles(text: bytes, words: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    return np.unique(shingle_hashes(text, words))
-
-
-def set_number(h: np.ndarray) -> int:
-    """A signed number of a set of hashes, the sum of its members' numbers modulo 2**64."""
-    return int(mix(h ^ np.uint64(0x5DEECE66D1234567)).sum(dtype=np.uint64).view(np.int64))
-
-
-def numbers_without_one(h: np.ndarray) -> list[int] | None:
-    """The numbers of a set of FEW hashes without each of its members."""
-    if len(h) not in FEW:
-        return None
-    return [set_number(np.delete(h, i)) for i in range(len(h))]
-
-
-def wide_fingerprint(h: np.ndarray) -> bytes:
-    """WIDE bits: majorities of the distinct hashes and of values mixed from them."""
-    parts = [h] + [mix(h + np.uint64(i)) for i in range(1, WIDE // 64)]
-    return np.array([majority(p) for p in parts], np.uint64).tobytes()
+    return majority(text_shingles(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_column: str = "doc_id") -> DataFrame:
@@ -121,6 +106,14 @@ def key_masks(blocks: int, distance: int) -> list[int]:
     return [sum(c) for c in combinations(_parts(blocks), blocks - distance)]
 
 
+def blocks_for(n: int, distance: int, rows: int = 4) -> int:
+    """The fewest parts for which n evenly spread fingerprints give a key so many rows at most."""
+    blocks = distance + 1
+    while blocks < 16 and n / 2 ** (64 * (blocks - distance) / blocks) > rows:
+        blocks += 1
+    return blocks
+
+
 def pivot_points(count: int, size: int = 1) -> np.ndarray:
     """Reference fingerprints of size 64-bit words: fixed pseudo-random bits."""
     return np.random.default_rng(20_240_229).integers(0, 1 << 64, (count, size), dtype=np.uint64)
@@ -162,15 +155,23 @@ def linked(fps: np.ndarray, distance: int, table: np.ndarray) -> np.ndarray:
     return head
 
 
-def bucket_edges(key: np.ndarray, rep: np.ndarray, fps: np.ndarray, distance: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of rows sorted by key (any number of whole keys): the linked pairs of a key of SMALL rows at
-    most, a star for each linked group of a larger one."""
+def varying_parts(fps: np.ndarray, parts: int) -> list[int]:
+    """Masks that share out the bits in which fingerprints (one word each) differ."""
+    vary = int(np.bitwise_or.reduce(fps[:, 0] ^ fps[0, 0]))
+    bits = [1 << i for i in range(64) if vary >> i & 1]
+    return [sum(bits[i::parts]) for i in range(parts)]
+
+
+def bucket_edges(key: np.ndarray, fps: np.ndarray, distance: int, pivots: np.ndarray, split: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (indices) of rows sorted by key (any number of whole keys) that connect what chains of links
+    within keys connect: the linked pairs of a key of SMALL rows at most; a larger one is split once by
+    varying_parts, and where a part is large as well, a star for each linked group."""
     n = len(key)
     table = pivot_table(fps, pivots)
     group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
     size = np.bincount(group)
     small = size[group] <= SMALL
-    a, b = [], []
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for step in range(1, min(SMALL, int(size.max()))):
         i = np.flatnonzero(small[: n - step] & (group[: n - step] == group[step:]))
         if not len(i):
@@ -178,204 +179,336 @@ def bucket_edges(key: np.ndarray, rep: np.ndarray, fps: np.ndarray, distance: in
         for c in range(table.shape[1]):
             i = i[np.abs(table[i, c] - table[i + step, c]) <= distance]
         i = i[bits_between(fps[i], fps[i + step]) <= distance]
-        a.append(rep[i + step])
-        b.append(rep[i])
+        a.append(i + step)
+        b.append(i)
     ends = np.cumsum(size)
     for g in np.flatnonzero(size > SMALL).tolist():
         s, e = int(ends[g] - size[g]), int(ends[g])
-        head = linked(fps[s:e], distance, table[s:e])
-        tied = head != np.arange(e - s)
-        a.append(rep[s:e][tied])
-        b.append(rep[s:e][head[tied]])
-    return np.concatenate(a or [rep[:0]]), np.concatenate(b or [rep[:0]])
+        if split:
+            for mask in varying_parts(fps[s:e], distance + 1):
+                part = fps[s:e, 0] & np.uint64(mask)
+                order = np.argsort(part, kind="stable")
+                x, y = bucket_edges(part[order], fps[s:e][order], distance, pivots, False)
+                a.append(s + order[x])
+                b.append(s + order[y])
+        else:
+            head = linked(fps[s:e], distance, table[s:e])
+            tied = np.flatnonzero(head != np.arange(e - s))
+            a.append(s + tied)
+            b.append(s + head[tied])
+    return np.concatenate(a), np.concatenate(b)
 
 
-def candidate_pairs(key: np.ndarray, rep: np.ndarray, fps: np.ndarray, distance: int, pivots: np.ndarray, component: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs to verify of rows sorted by key (any number of whole keys), each within distance bits.
+def whole_keys(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17, most: int | None = None) -> Iterator[tuple[bool, list[pa.Array]]]:
+    """Columns of batches sorted by the first, cut between its values, some rows at a time. With most, a value
+    of more rows comes piece by piece, marked True."""
+    held: list[pa.RecordBatch] = []
+    count, hot = 0, None
+    for batch in batches:
+        while batch.num_rows:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            if hot is not None:
+                n = int(np.searchsorted(key, hot, "right"))
+                if n:
+                    yield True, batch.slice(0, n).columns
+                    batch = batch.slice(n)
+                if n < len(key):
+                    hot = None
+                continue
+            held.append(batch)
+            count += len(key)
+            batch = batch.slice(len(key))
+            first, last = held[0].column(0)[0].as_py(), int(key[-1])
+            if count >= rows and first != last:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                at = int(np.searchsorted(whole.column(0).to_numpy(zero_copy_only=False), last, "left"))
+                yield False, whole.slice(0, at).columns
+                held, count = [whole.slice(at)], whole.num_rows - at
+            if most is not None and count > most and held[0].column(0)[0].as_py() == last:
+                hot = last
+                for x in held:
+                    yield True, x.columns
+                held, count = [], 0
+    if count:
+        yield False, pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns
+
+
+def key_edges(keyed: DataFrame, distance: int, pivots: np.ndarray) -> DataFrame:
+    """a, b: a task's spanning forest of the links within keys, for rows (key, fp); b is null for the rows of
+    a hot key, which take no part."""
 
-    Without components: all pairs of a key of PAIRS rows at most; of a larger one stars, and a pair (x, x)
-    for each of its rows x that is near any other. With components: all pairs of different components."""
-    n = len(key)
-    table = pivot_table(fps, pivots)
-    group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
-    size = np.bincount(group)
-    small = size[group] <= PAIRS
-    a, b = [rep[:0]], [rep[:0]]
-    for step in range(1, min(PAIRS, int(size.max()))):
-        i = np.flatnonzero(small[: n - step] & (group[: n - step] == group[step:]))
-        if not len(i):
-            break
-        if component is not None:
-            i = i[component[i] != component[i + step]]
-        for c in range(table.shape[1]):
-            i = i[np.abs(table[i, c] - table[i + step, c]) <= distance]
-        i = i[bits_between(fps[i], fps[i + step]) <= distance]
-        a.append(rep[i + step])
-        b.append(rep[i])
-    ends = np.cumsum(size)
-    for g in np.flatnonzero(size > PAIRS).tolist():
-        rows = np.arange(ends[g] - size[g], ends[g])
-        rows = rows[np.argsort(mix(rep[rows].view(np.uint64)))]
-        left, marked = np.ones(n, bool), np.zeros(n, bool)
-        for at, i in enumerate(rows.tolist()):
-            if not left[i]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for hot, (key, fp) in whole_keys(batches, most=HOT):
+            f = fp.to_numpy(zero_copy_only=False)
+            if hot:
+                yield pa.RecordBatch.from_arrays([fp, pa.nulls(len(f), pa.int64())], names=["a", "b"])
                 continue
-            near = rows[at + 1 :] if component is not None else rows
-            if component is not None:
-                near = near[component[near] != component[i]]
-            for c in range(table.shape[1]):
-                near = near[np.abs(table[near, c] - table[i, c]) <= distance]
-                if len(near) < 8:
-                    break
-            near = near[(bits_between(fps[near], fps[i]) <= distance) & (near != i)]
-            if component is None and len(near):
-                marked[near] = marked[i] = True
-                near = near[left[near]]
-                left[near] = left[i] = False
-            a.append(rep[near])
-            b.append(np.full(len(near), rep[i]))
-        a.append(rep[marked])
-        b.append(rep[marked])
-    return np.concatenate(a), np.concatenate(b)
+            i, j = bucket_edges(key.to_numpy(zero_copy_only=False), f.view(np.uint64).reshape(-1, 1), distance, pivots)
+            a, b = forest.joined(f[i], f[j])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
-def key_edges(keyed: DataFrame, distance: int, pivots: np.ndarray, find=bucket_edges) -> DataFrame:
-    """a, b: what find gives within the keys of rows (k, v, rep, fp and, if present, component). Rows of a
-    task arrive sorted by key; whole keys are taken together, so only the largest key bounds memory."""
-    more = [c for c in keyed.columns if c == "component"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def words(column: pa.Array) -> np.ndarray:
-            if pa.types.is_integer(column.type):
-                return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
-            return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+def links(nodes: DataFrame, spark: SparkSession, distance: int = 4, blocks: int | None = None, pivots: int = 16) -> DataFrame:
+    """a, b: edges between fingerprints that connect exactly those that chains of links connect.
+    nodes: (fp), distinct."""
+    blocks = blocks or blocks_for(nodes.count(), distance)
+    signed = [m - (1 << 64) if m >> 63 else m for m in key_masks(blocks, distance)]
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
+    found = written(key_edges(nodes.select(F.explode(keys).alias("key"), "fp"), distance, pivot_points(pivots)), spark, "simhash-edges")
+    hot = found.where("b is null").select(F.col("a").alias("fp")).distinct()
+    edges = found.where("b is not null")
+    return edges if hot.isEmpty() else edges.unionByName(links(written(hot, spark, "simhash-hot"), spark, distance, blocks + 2, pivots))
 
-        def made(key: np.ndarray, rep: np.ndarray, fp: np.ndarray, *labels: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = find(key, rep, fp, distance, pivots, *labels)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        held: list[tuple] = []
-        rows = 0
-        for batch in batches:
-            k, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            held.append((mix(k.astype(np.uint64) + np.uint64(1)) ^ v.view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False), words(batch.column(3)), *(batch.column(4 + i).to_numpy(zero_copy_only=False) for i in range(len(more)))))
-            rows += batch.num_rows
-            if rows >= 1 << 17 and held[0][0][0] != held[-1][0][-1]:
-                whole = [np.concatenate(x) for x in zip(*held)]
-                key = whole[0]
-                last = int(np.flatnonzero(key != key[-1])[-1]) + 1
-                yield from made(*(x[:last] for x in whole))
-                held, rows = [tuple(x[last:] for x in whole)], len(key) - last
-        if rows:
-            yield from made(*(np.concatenate(x) for x in zip(*held)))
-
-    return keyed.repartition("k", "v").sortWithinPartitions("k", "v", "rep").select("k", "v", "rep", "fp", *more).mapInArrow(run, "a long, b long")
-
-
-def links(nodes: DataFrame, distance: int = 4, blocks: int = 6, pivots: int = 16) -> DataFrame:
-    """a, b: edges between representatives that connect exactly those that chains of links connect.
-    nodes: (rep, fp), one row per distinct fp."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in key_masks(blocks, distance)]
-    keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(signed)])
-    keyed = nodes.select("rep", "fp", F.explode(keys).alias("key")).select("key.k", "key.v", "rep", "fp")
-    return key_edges(keyed, distance, pivot_points(pivots))
+def values_for(n: int) -> int:
+    """Min-wise shingles to a key for n texts."""
+    return max(2, int(np.ceil(np.log(max(n, 2)) / np.log(64))))
+
+
+def keys_needed(similarity: float, values: int, missed: float = 4e-4) -> int:
+    """Keys by which a pair at the similarity meets but with the probability missed."""
+    return max(1, int(np.ceil(np.log(missed) / np.log1p(-(similarity**values)))))
 
 
-def allowed_bits(similarity: float, slack: float) -> int:
-    """Differing bits of WIDE that texts of a Jaccard similarity have on average, and slack deviations."""
+def allowed_bits(similarity: float, n: np.ndarray, slack: float = 3.0) -> np.ndarray:
+    """Differing bits of WIDE that texts of a Jaccard similarity have on average, slack deviations, and what
+    majorities of so few as n shingles differ more."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(WIDE * share + slack * np.sqrt(WIDE * share * (1 - share)))
+    return WIDE * share + slack * np.sqrt(WIDE * share * (1 - share)) + WIDE / np.maximum(n, 1)
+
+
+def set_number(h: np.ndarray) -> int:
+    """A signed number of a set of hashes, the sum of its members' numbers modulo 2**64."""
+    return int(mix(h ^ np.uint64(0x5DEECE66D1234567)).sum(dtype=np.uint64).view(np.int64))
 
 
-def wide_links(nodes: DataFrame, similarity: float, slack: float = 3.0, pivots: int = 8) -> DataFrame:
-    """a, b: pairs to verify, as candidate_pairs gives them. nodes: (node, fp binary and, if present, component)."""
+def wide_fingerprint(h: np.ndarray) -> bytes:
+    """WIDE bits: majorities of values mixed from the distinct hashes."""
+    n, total = len(h), np.zeros((WIDE // 64, 64), np.int64)
+    for i in range(0, n, 1 << 12):
+        more = mix(h[i : i + (1 << 12)] + np.arange(WIDE // 64, dtype=np.uint64)[:, None])
+        total += np.unpackbits(more.view(np.uint8).reshape(*more.shape, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+    return np.packbits(total * 2 > n, bitorder="little").tobytes()
+
+
+def distinct_shingles(column: pa.Array, words: int) -> list[np.ndarray]:
+    """Per text, the sorted distinct hashes of its shingles."""
+    h, before = shingle_hashes(*word_hashes(column), words)
+    return [np.unique(h[a:b]) for a, b in zip(before[:-1].tolist(), before[1:].tolist())]
+
+
+def minwise_keys(sets: list[np.ndarray], values: int, keys: int) -> np.ndarray:
+    """[texts, keys]: each the mix of `values` smallest shingles, every one under an order of its own. Texts
+    without shingles share theirs."""
+    n = np.array([len(x) for x in sets], np.int64)
+    out = np.zeros((len(sets), keys), np.uint64)
+    some = np.flatnonzero(n)
     rng = np.random.default_rng(20_240_301)
-    chosen = np.stack([rng.choice(WIDE, KEY_BITS, replace=False) for _ in range(TABLES)])
-    more = [c for c in nodes.columns if c == "component"]
+    flat = np.concatenate([sets[i] for i in some.tolist()]) if len(some) else np.zeros(0, np.uint64)
+    starts = np.cumsum(n[some]) - n[some]
+    for k in range(keys):
+        for x, odd in rng.integers(0, 1 << 64, (values, 2), dtype=np.uint64):
+            if len(some):
+                least = np.minimum.reduceat((flat ^ x) * (odd | np.uint64(1)), starts)
+                out[some, k] = mix(out[some, k] + least)
+        out[:, k] = mix(out[:, k] ^ np.uint64(k + 1))
+    return out
+
+
+def medoids(start: np.ndarray, size: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """Per key, the row nearest to the bitwise majority of its rows; the first of two or of equals."""
+    head = start.copy()
+    for g in np.flatnonzero(size > 2).tolist():
+        rows = fps[start[g] : start[g] + size[g]]
+        ones = np.zeros(WIDE, np.int64)
+        for i in range(0, len(rows), 1 << 12):
+            ones += np.unpackbits(rows[i : i + (1 << 12)].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        middle = np.packbits(ones * 2 > len(rows), bitorder="little").view(np.uint64)
+        head[g] += int(bits_between(rows, middle).argmin())
+    return head
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b.column(1).to_pylist()
-            bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")
-            v = (bits[:, chosen].astype(np.int64) << np.arange(KEY_BITS)).sum(axis=2)
-            k = np.tile(np.arange(TABLES, dtype=np.int32), len(raw))
-            fps = pa.array([x for x in raw for _ in range(TABLES)], pa.binary())
-            longs = [pa.array(np.repeat(b.column(i).to_numpy(), TABLES)) for i in (0, *range(2, 2 + len(more)))]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v.reshape(-1)), longs[0], fps, *longs[1:]], names=["k", "v", "rep", "fp", *more])
 
-    keyed = nodes.select("node", "fp", *more).mapInArrow(keys, "k int, v long, rep long, fp binary" + ", component long" * len(more))
-    return key_edges(keyed, allowed_bits(similarity, slack), pivot_points(pivots, WIDE // 64), candidate_pairs)
+def stars(key: np.ndarray, node: np.ndarray, n: np.ndarray, fps: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (indices) to verify of rows sorted by key (any number of whole keys): each row with its key's medoid, but
+    where sizes (n) or fingerprints rule the similarity out."""
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(new, len(key)))
+    i = np.flatnonzero(np.repeat(size > 1, size))
+    j = np.repeat(medoids(new, size, fps), size)[i]
+    i, j = i[node[i] != node[j]], j[node[i] != node[j]]
+    on = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (bits_between(fps[i], fps[j]) <= allowed_bits(similarity, np.minimum(n[i], n[j])))
+    return i[on], j[on]
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted sets of hashes; 1 for two empty ones."""
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return both / (len(x) + len(y) - both)
+
+
+def joined_inside(key: np.ndarray, n: np.ndarray, fps: np.ndarray, component: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Verified pairs (indices) that join rows of different components, for rows sorted by key (any number of whole
+    keys), until no other pair of a key would. Every row outside of a key's largest component meets all rows of
+    other components, the nearest first; pivot table, sizes and fingerprints discard, the sets decide."""
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size, out = np.diff(np.append(new, len(key))), []
+    for s, m in zip(new[size > 1].tolist(), size[size > 1].tolist()):
+        _, label, count = np.unique(component[s : s + m], return_inverse=True, return_counts=True)
+        if len(count) < 2:
+            continue
+        own, sizes = fps[s : s + m], n[s : s + m]
+        pivots = own[:: max(1, m // 8)][:8] if m > SMALL else own[:0]
+        table = pivot_table(own, pivots) if len(pivots) else np.zeros((m, 0), np.int16)
+        for x in np.flatnonzero(label != count.argmax()).tolist():
+            others = np.flatnonzero((label != label[x]) & (np.minimum(sizes, sizes[x]) >= similarity * np.maximum(sizes, sizes[x])))
+            allowed = allowed_bits(similarity, np.minimum(sizes, sizes[x]))
+            for c in range(table.shape[1]):
+                others = others[np.abs(table[others, c] - table[x, c]) <= allowed[others]]
+            bits = bits_between(own[others], own[x])
+            near = bits <= allowed[others]
+            others = others[near][np.argsort(bits[near], kind="stable")]
+            while len(others):
+                y, others = int(others[0]), others[1:]
+                if jaccard(sets[s + x], sets[s + y]) >= similarity - 1e-9:
+                    out.append((s + x, s + y))
+                    label[label == label[x]] = label[y]
+                    others = others[label[others] != label[x]]
+    return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, spark: SparkSession, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose distinct shingles have the Jaccard similarity. Shingles are taken
-    again from the text of one document for each node that stands in a pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    wanted = written(wanted, spark, "similar-wanted")
+def keyed(nodes: DataFrame, *columns: str) -> DataFrame:
+    return nodes.select(F.explode("keys").alias("key"), *columns)
+
+
+def star_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """a > b: distinct pairs of nodes to verify. nodes: (node, n, fp, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (key, node, n, fp) in whole_keys(batches):
+            node = node.to_numpy(zero_copy_only=False)
+            fps = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(node), -1)
+            i, j = stars(key.to_numpy(zero_copy_only=False), node, n.to_numpy(zero_copy_only=False), fps, similarity)
+            if len(i):
+                pairs = np.unique(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    rows = keyed(nodes, "node", "n", "fp").repartition("key").sortWithinPartitions("key", "node")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def shingle_sets(wanted: DataFrame, docs: DataFrame, spark: SparkSession, words: int) -> DataFrame:
+    """node, shingles (sorted 64-bit hashes) of the nodes of wanted (node, rep), taken again from one text
+    each. docs: (doc_id, text, hash)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = text_buffer(b.column(0))
-            data, o = data.tobytes(), offsets.tolist()
-            found = [distinct_shingles(data[x:y], words) for x, y in zip(o[:-1], o[1:])]
+            found = distinct_shingles(b.column(0), words)
             yield pa.RecordBatch.from_arrays([pa.array([set_number(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["node", "shingles"])
 
+    ids = written(wanted.select(F.col("rep.doc_id").alias("wanted_id"), F.col("rep.hash").alias("wanted_hash")), spark, "similar-wanted")
+    same = (F.col("hash") == F.col("wanted_hash")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
+    texts = docs.join(ids, same, "left_semi").select("text")
+    return written(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), spark, "similar-shingles")
+
+
+def inside_edges(named: DataFrame, docs: DataFrame, spark: SparkSession, words: int, similarity: float) -> DataFrame | None:
+    """a, b: verified pairs that join components which meet in a key; None if none meet. named: (node, n, fp, keys,
+    rep, component). Only the rows of such keys are dealt out, with their shingles."""
+    rows = keyed(named, "node", "component")
+    mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    rows = written(rows.join(mixed, "key", "left_semi"), spark, "similar-mixed")
+    if rows.isEmpty():
+        return None
+    wanted = named.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n", "fp", "rep")
+    full = wanted.drop("rep").join(shingle_sets(wanted, docs, spark, words), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for _, (key, node, component, n, fp, sets) in whole_keys(batches, rows=1 << 12):
+            node = node.to_numpy(zero_copy_only=False)
+            fps = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(node), -1)
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets]
+            found = joined_inside(key.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False), fps, component.to_numpy(zero_copy_only=False), own, similarity)
+            if found:
+                a, b = forest.joined(node[[i for i, _ in found]], node[[j for _, j in found]])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = rows.join(full, "node").select("key", "node", "component", "n", "fp", "shingles").repartition("key").sortWithinPartitions("key", "node")
+    return written(dealt.mapInArrow(run, "a long, b long"), spark, "similar-edges")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, spark: SparkSession, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose distinct shingles have the Jaccard similarity."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
+    own = shingle_sets(wanted, docs, spark, words)
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = both / max(1, len(x) + len(y) - both) >= similarity
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    own = texts.mapInArrow(sets, "node long, shingles binary").join(wanted.select("node"), "node", "left_semi")
-    own = written(own.groupBy("node").agg(F.first("shingles").alias("shingles")), spark, "similar-shingles")
+            sets = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array([jaccard(x, y) >= similarity - 1e-9 for x, y in zip(*sets)], pa.bool_()))
+
     side = lambda c: own.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b")
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b")
     return written(joined.mapInArrow(similar, "a long, b long"), spark, "similar-edges")
 
 
-def classes(prints: DataFrame, spark: SparkSession, edges) -> DataFrame:
-    """prints (doc_id, fp) with component_id; edges makes the links of (rep, fp)."""
-    prints = written(prints, spark, "simhash")
+def near_duplicates(docs: DataFrame, spark: SparkSession, words: int = 4, distance: int = 4, blocks: int | None = None, pivots: int = 16) -> DataFrame:
+    """doc_id, fp, component_id for every row of docs."""
+    prints = written(fingerprints(docs, words), spark, "simhash")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), spark, "simhash-nodes")
-    found = components(edges(nodes), spark)
-    own = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(own, "fp")
-
-
-def near_duplicates(docs: DataFrame, spark: SparkSession, words: int = 4, distance: int = 4, blocks: int = 6, pivots: int = 16) -> DataFrame:
-    """doc_id, fp, component_id for every row of docs with an id."""
-    return classes(fingerprints(docs.where("doc_id is not null"), words), spark, lambda n: links(n, distance, blocks, pivots))
+    found = components(links(nodes.select("fp"), spark, distance, blocks, pivots), spark)
+    own = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    own = own.join(own.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("fp", "component_id")
+    return prints.join(own, "fp").select("doc_id", "fp", "component_id")
 
 
 def similar_documents(docs: DataFrame, spark: SparkSession, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, fp (WIDE bits), component_id for every row of docs with an id."""
+    """doc_id, hash (XXH64 of the text), component (a number), component_id for every row of docs."""
+    values = values_for(docs.count())
+    keys = keys_needed(similarity, values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = text_buffer(b.column(1))
-            data, o = data.tobytes(), offsets.tolist()
-            found = [distinct_shingles(data[x:y], words) for x, y in zip(o[:-1], o[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_number(h) for h in found], pa.int64()), pa.array([wide_fingerprint(h) for h in found], pa.binary()), pa.array([numbers_without_one(h) for h in found], pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "less"])
-
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
-    prints = written(docs.mapInArrow(run, "doc_id long, node long, fp binary, less array<long>"), spark, "similar")
-    nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("rep")), spark, "similar-nodes")
-    pairs = lambda found: found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    less = prints.where("less is not null").select(F.col("node").alias("a"), F.explode("less").alias("b")).distinct()
-    less = less.join(nodes.select(F.col("node").alias("b")), "b").select("a", "b")
-    first = written(pairs(wide_links(nodes, similarity).union(less)), spark, "similar-pairs")
-    edges = verified(first.where("a <> b"), docs, nodes, spark, words, similarity)
+            found = distinct_shingles(b.column(1), words)
+            of = pa.FixedSizeListArray.from_arrays(pa.array(minwise_keys(found, values, keys).view(np.int64).reshape(-1)), keys)
+            cols = [pa.array([set_number(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array([wide_fingerprint(h) for h in found], pa.binary()), of.cast(pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], names=["doc_id", "hash", "node", "n", "fp", "keys"])
+
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = written(docs.mapInArrow(run, f"doc_id {kind}, hash long, node long, n long, fp binary, keys array<long>"), spark, "similar")
+    one = F.first(F.struct("n", "fp", "keys")).alias("x")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "hash")).alias("rep")
+    nodes = written(prints.groupBy("node").agg(one, rep).select("node", "x.*", "rep"), spark, "similar-nodes")
+    edges = verified(written(star_pairs(nodes, similarity), spark, "similar-pairs"), docs, nodes, spark, words, similarity)
     found = components(edges, spark)
-    large = first.where("a = b").select(F.col("a").alias("node"))
-    if not large.isEmpty():
-        inside = nodes.join(large, "node", "left_semi").join(found, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"))
-        rest = written(pairs(wide_links(inside, similarity)).join(first, ["a", "b"], "left_anti"), spark, "similar-pairs")
-        found = components(edges.union(verified(rest, docs, nodes, spark, words, similarity)), spark)
-    own = nodes.join(found, "node", "left").select("node", "fp", "rep", F.coalesce("component", "node").alias("component"))
-    own = own.join(own.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "fp", "component_id")
-    return prints.select("doc_id", "node").join(own, "node").select("doc_id", "fp", "component_id")
+    named = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if (more := inside_edges(named, docs, spark, words, similarity)) is not None:
+        found = components(edges.union(more), spark)
+    own = nodes.join(found, "node", "left").select("node", "rep.doc_id", F.coalesce("component", "node").alias("component"))
+    own = own.join(own.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("node", "component", "component_id")
+    return prints.select("doc_id", "hash", "node").join(own, "node").select("doc_id", "hash", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, spark: SparkSession, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of docs for each component of similar_documents, all its columns kept: the row of the smallest
+    doc_id (nulls last), then of the smallest hash of the text; of equal rows any one. Texts are shuffled once."""
+    found = written(similar_documents(docs, spark, words, similarity), spark, "similar-rows")
+    rows = found.groupBy("component", "doc_id", "hash").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "hash", "n")).alias("x")
+    kept = written(rows.groupBy("component").agg(least).select("x.*"), spark, "similar-kept")
+    taken = "_taken_hash"
+    docs = docs.withColumn(taken, F.xxhash64("text"))
+    side = kept.select(F.col("doc_id").alias("_kept_id"), F.col("hash").alias("_kept_hash"), F.col("n").alias("_kept_n"))
+    same = (F.col(taken) == F.col("_kept_hash")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))
+    out = docs.join(side.where("_kept_n = 1"), same, "left_semi")
+    again = side.where("_kept_n > 1")
+    if not again.isEmpty():
+        out = out.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", taken]))
+    return out.drop(taken)

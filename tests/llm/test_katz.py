@@ -22,41 +22,46 @@ def words(text):
 
 
 class Brute:
-    def __init__(self, texts):
-        self.uni, self.bi = Counter(), Counter()
+    def __init__(self, texts, order=2):
+        self.levels = [Counter() for _ in range(order)]
         for t in texts:
-            w = words(t)
-            self.uni.update(w)
-            self.bi.update(zip(["<start>", *w], w))
+            w = ["<start>"] * (order - 1) + words(t)
+            for i in range(order - 1, len(w)):
+                for k in range(order):
+                    self.levels[k][tuple(w[i - k : i + 1])] += 1
+        self.uni = Counter({g[0]: c for g, c in self.levels[0].items()})
         self.n = sum(self.uni.values())
         self.context = Counter()
-        for (v, _), c in self.bi.items():
-            self.context[v] += c
-        count = lambda c, r: sum(x == r for x in c.values())
-        self.d1 = katz.discounts([count(self.uni, r) for r in range(1, 7)])
-        self.d2 = katz.discounts([count(self.bi, r) for r in range(1, 7)])
-        kept = sum(self.keep(self.d1, c) for c in self.uni.values())
-        left = self.n - kept
+        for level in self.levels[1:]:
+            for g, c in level.items():
+                self.context[g[:-1]] += c
+        self.d = [katz.discounts([sum(x == r for x in level.values()) for r in range(1, 7)]) for level in self.levels]
+        left = self.n - sum(self.keep(0, c) for c in self.uni.values())
         self.over = self.n if left > 1e-9 else self.n + 1
         self.open = (left if left > 1e-9 else 1.0) / max(self.over, 1)
 
-    def keep(self, d, c):
-        return c * (d[c] if c <= katz.MOST else 1.0)
-
-    def p1(self, w):
-        return self.keep(self.d1, self.uni[w]) / self.over if self.uni[w] else self.open
+    def keep(self, k, c):
+        return c * (self.d[k][c] if c <= katz.MOST else 1.0)
 
     def p(self, w, v):
-        n = self.context[v]
+        """Of w after the tokens v, all that the order takes."""
+        if not v:
+            return self.keep(0, self.uni[w]) / self.over if self.uni[w] else self.open
+        n, k = self.context[v], len(v)
         if not n:
-            return self.p1(w)
-        seen = {x: c for (a, x), c in self.bi.items() if a == v}
-        left = n - sum(self.keep(self.d2, c) for c in seen.values())
+            return self.p(w, v[1:])
+        seen = {g[-1]: c for g, c in self.levels[k].items() if g[:-1] == v}
+        left = n - sum(self.keep(k, c) for c in seen.values())
         over = n if left > 1e-9 else n + 1
         left = (left if left > 1e-9 else 1.0) / over
         if w in seen:
-            return self.keep(self.d2, seen[w]) / over
-        return left / (1 - sum(self.p1(x) for x in seen)) * self.p1(w)
+            return self.keep(k, seen[w]) / over
+        return left / (1 - sum(self.p(x, v[1:]) for x in seen)) * self.p(w, v[1:])
+
+    def score(self, text):
+        k = len(self.levels) - 1
+        w = ["<start>"] * k + words(text)
+        return sum(math.log10(self.p(w[i], tuple(w[i - k : i]))) for i in range(k, len(w)))
 
 
 @pytest.fixture(scope="module")
@@ -67,11 +72,15 @@ def stored(spark, tmp_path_factory):
     return path
 
 
-def test_scores_equal_brute_force(spark, stored):
-    got = katz.scores(spark.read.parquet(stored), spark, bucket("doc_id", 7) != 2).collect()
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_equal_brute_force(spark, stored, order, monkeypatch):
+    rows = spark.read.parquet(stored)
+    if order == 3:
+        rows = rows.repartition(2)  # no files of its own
+    got = katz.scores(rows, spark, bucket("doc_id", 7) != 2, order).collect()
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(TEXTS))}
     train = [t for i, t in enumerate(TEXTS) if not held[i]] + ["a b"]
-    b = Brute(train)
+    b = Brute(train, order)
     assert len(got) == len(TEXTS) + 1
     for r in got:
         t = "a b" if r["doc_id"] is None else TEXTS[r["doc_id"]]
@@ -79,22 +88,22 @@ def test_scores_equal_brute_force(spark, stored):
         assert r["held_out"] == (r["doc_id"] is not None and held[r["doc_id"]])
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(b.uni[x] > 0 for x in w), b.n)
         base = sum(math.log10((b.uni[x] + 1) / (b.n + len(b.uni) + 1)) for x in w)
-        score = sum(math.log10(b.p(x, v)) for v, x in zip(["<start>", *w], w))
         assert r["base_score"] == pytest.approx(base, abs=1e-9)
-        assert r["score"] == pytest.approx(score, abs=1e-9)
+        assert r["score"] == pytest.approx(b.score(t), abs=1e-9)
 
 
 def test_probabilities_sum_to_one():
-    b = Brute(TEXTS)
-    for v in [*b.context, "never seen"]:
+    b = Brute(TEXTS, 3)
+    for v in [*b.context, ("never", "seen"), ("the", "seen")]:
         assert sum(b.p(w, v) for w in [*b.uni, "open"]) == pytest.approx(1, abs=1e-9)
 
 
-def test_chunks_do_not_change_scores(spark, stored, monkeypatch):
+def test_chunks_do_not_change_scores(spark, stored):
     rows = spark.read.parquet(stored)
-    a = {(r["doc_id"], r["n_tokens"]): r["score"] for r in katz.scores(rows, spark, bucket("doc_id", 7) != 2).collect()}
-    old = katz.chunks.__defaults__
-    katz.chunks.__defaults__ = (20,)
+    key = lambda got: sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], round(r["score"], 9)) for r in got)
+    scored = lambda: key(katz.scores(rows, spark, bucket("doc_id", 7) != 2, 3).collect())
+    whole, old = scored(), katz.chunks.__defaults__
+    katz.chunks.__defaults__ = (20,)  # what workers get as well: functions travel with their defaults
     try:
         import pyarrow as pa
 
@@ -103,14 +112,14 @@ def test_chunks_do_not_change_scores(spark, stored, monkeypatch):
         assert [len(c.lengths) for c in made] == [2, 1, 2, 1] and sum(c.lengths.sum() for c in made) == 2 * (3 + 51 + 1)
     finally:
         katz.chunks.__defaults__ = old
-    assert len(a) > 20
+    assert key(katz.scores(rows.repartition(7), spark, bucket("doc_id", 7) != 2, 3).collect()) == whole
 
 
 def test_without_training_rows_and_without_rows(spark, stored, tmp_path):
     from pyspark.sql import functions as F
 
     rows = spark.read.parquet(stored)
-    assert all(r["score"] == 0 and r["train_tokens"] == 0 for r in katz.scores(rows, spark, F.lit(False)).collect())
+    assert all(r["score"] == 0 and r["train_tokens"] == 0 for r in katz.scores(rows, spark, F.lit(False), 3).collect())
     rows.limit(0).write.parquet(str(tmp_path / "none"))
     assert katz.scores(spark.read.parquet(str(tmp_path / "none")), spark, F.lit(True)).count() == 0
 

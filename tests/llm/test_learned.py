@@ -58,6 +58,16 @@ def test_toxicity_edges(spark):
     assert toxicity.classify(docs.limit(0), model).count() == 0
 
 
+def test_sample_is_bounded_and_keeps_rows_of_one_id(spark):
+    docs = spark.createDataFrame([(1, "a" * 10, "en"), (1, "b" * 10, "en"), (1, "b" * 10, "en"), (2, "c" * 1000, None), (3, None, "en"), (4, "d", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (4, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, labels)
+    assert sorted((r.doc_id, (r.text or "")[:1], r.toxic) for r in got.itertuples()) == [(1, "a", 1), (1, "b", 1), (2, "c", 0), (3, "", 0)]
+    small = toxicity.labelled_sample(docs, labels, most_bytes=100)
+    assert sum(len(t or "") for t in small["text"]) <= 100 and len(toxicity.labelled_sample(docs, labels, most_rows=1)) == 1
+    assert len(toxicity.labelled_sample(docs.limit(0), labels)) == 0
+
+
 def test_pooling_in_pieces_is_the_same():
     rng = np.random.default_rng(0)
     sample = pd.DataFrame({"text": ["x y z"] * 40 + ["p q r"] * 40, "lang": ["en"] * 80, "toxic": [1] * 40 + [0] * 40})
@@ -101,44 +111,79 @@ def test_base_spans():
         assert pii.base_spans(t) == plain_spans(t), t[:60]
 
 
-def test_field_adds_consistent_spans_and_keeps_clean_text():
-    texts = [f"call +1 (499) 555-65{i:02d} or mail me{i}@x.com; again (499) 555-65{i:02d} or 17 of 2024" for i in range(40)]
-    field = pii.Field(texts * 3 + ["in 2024 we saw 300 birds and 41 cats"] * 30)
-    t = "ring +1 (212) 555-0199 soon. Later: 555-0199 is right, 2024 too"
-    base = pii.base_spans(t)
-    added = field.added(t, base)
-    assert [t[a:b] for _, a, b in added] in (["555-0199"], []) and all(k == "phone" for k, _, _ in added)
-    assert field.added("no data 2024 and 2024 again 12345 12345", []) == []
-    assert pii.Field([]).added(t, base) in ([], added)
-
-
-def test_second_mentions_are_added():
-    texts = [f"call +1 (499) 555-65{i:02d} or mail me{i}@x.com; again (499) 555-65{i:02d} or 17 of 2024" for i in range(40)]
+def training():
+    phones = [f"call +1 (499) 555-65{i:02d} or mail me{i}@x.com; again (499) 555-65{i:02d} or 17 of 2024" for i in range(40)]
     cards = [f"pay by 4111 1111 1111 1111 then, in {i} days, 4111.1111.1111.1111 or +44 20 7946 09{i:02d} and 20 7946 09{i:02d}" for i in range(10, 40)]
-    field = pii.Field(texts * 3 + cards + ["in 2024 we saw 300 birds and 41 cats"] * 30)
-    added = lambda t: [t[a:b] for _, a, b in field.added(t, pii.base_spans(t))]
-    assert added("ring +1 (212) 555-0199 soon. Later: 555-0199 is right, 2024 too") == ["555-0199"]
-    assert added("ring +44 20 7946 0958 soon. As was said: 20 7946 0958 is right, 2024 too") == ["20 7946 0958"]
-    assert added("paid by 4111 1111 1111 1111 soon. As was said: 4111.1111.1111.1111 is right, 2024 too") == ["4111.1111.1111.1111"]
-
-
-def test_skip_factors_join_whole_mentions():
+    return phones * 3 + cards + ["in 2024 we saw 300 birds and 41 cats"] * 30
+
+
+def added(field, t):
+    return [(k, t[a:b]) for k, a, b in field.added(t, pii.base_spans(t))]
+
+
+def test_field_finds_what_patterns_miss():
+    field = pii.Field(pii.statistics(training()))
+    for t, want in (
+        ("ring +1 (212) 555-0199 soon. Later: 555-0199 is right, 2024 too", [("phone", "555-0199")]),  # the same again
+        ("ring +44 20 7946 0958 soon. As was said: 20 7946 0958 is right, 2024 too", [("phone", "20 7946 0958")]),
+        ("paid by 4111 1111 1111 1111 soon. As was said: 4111.1111.1111.1111 is right, 2024 too", [("card", "4111.1111.1111.1111")]),
+        ("ring +1 (212) 555-0199 soon. Later: 212.555.0199 it is", [("phone", "212.555.0199")]),  # the same last digits
+        ("call (499) 555-6511 now, there is no plus", [("phone", "499) 555-6511")]),  # no base span at all
+        ("no data 2024 and 2024 again 12345 12345", []),
+        ("from 10.20.30.400 and 10.20.30.400", []),  # refused by the check
+    ):
+        assert added(field, t) == want, t
+    nothing = pii.Field({})
+    assert all(added(nothing, t) == [] for t in ("call (499) 555-6511 now", "in 2024 and 2024"))
+
+
+def exact(unary, pairs, weight):
+    """Marginals by enumeration."""
+    n, k = unary.shape
+    total = np.zeros((n, k))
+    for y in np.ndindex(*[k] * n):
+        p = np.exp(sum(unary[i, y[i]] for i in range(n)) + sum(w[y[i], y[j]] for (i, j), w in zip(pairs, weight)))
+        for i in range(n):
+            total[i, y[i]] += p
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_marginals_against_enumeration():
+    rng, field = np.random.default_rng(2), pii.Field({})
+    for pairs, tolerance in (([], 1e-9), ([(0, 1), (1, 2), (2, 3)], 1e-4), ([(0, 1), (0, 3), (1, 2), (3, 4)], 1e-4), ([(0, 1), (1, 2), (2, 3), (0, 3)], 0.06)):
+        n = 5 if len(pairs) == 4 and (3, 4) in pairs else 4
+        unary = rng.normal(0, 1, (n, len(pii.LABELS)))
+        weight = [rng.normal(0, 0.5, (len(pii.LABELS),) * 2) for _ in pairs]
+        assert np.abs(np.exp(field.marginals(unary, pairs, weight)) - exact(unary, pairs, weight)).max() < tolerance
+
+
+def test_skip_factors():
     pairs = lambda t: pii.edges(t, pii.tokens(t))
-    assert pairs("555-0199 and then 555-0199") == ([], [(0, 1)])
+    assert pairs("555-0199 and then 555-0199") == ([], [("same", 0, 1)])
     assert pairs("555-0199 555-0199") == ([(0, 1)], [])
-    assert pairs("41 11 22 33 and then 41 11 22 33 and then 41112233")[1] == [(0, 4), (1, 5), (2, 6), (3, 7), (4, 8), (5, 8), (6, 8), (7, 8)]
+    assert [p[1:] for p in pairs("41 11 22 33 and then 41 11 22 33 and then 41112233")[1]] == [(0, 4), (1, 5), (2, 6), (3, 7), (4, 8), (5, 8), (6, 8), (7, 8)]
     assert len(pairs("12 34 " * 20_000)[1]) == 0
+    assert pairs("1-212-555-0199 and then 212-555-0199")[1] == [("tail", 0, 1)]
+    assert pairs("me@host7.com and then you@host7.com")[1] == [("part", 0, 1)] and pairs("10.1.2.3 and then 10.1.2.99")[1] == [("part", 0, 1)]
+    assert pairs("abcdefg17 and then abcdefgh17")[1] == [("edit", 0, 1)]
+
+
+def test_statistics_cover_all_texts(spark):
+    texts = training()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "no digits"])], "doc_id long, text string").repartition(3)
+    a, b = pii.learn(docs), pii.Field(pii.statistics(texts))
+    assert np.allclose(a.shape, b.shape) and np.allclose(a.pair, b.pair) and np.allclose(a.cue, b.cue)
+    assert np.allclose(pii.learn(docs.limit(0)).pair, pii.Field({}).pair)
 
 
 def test_redaction(spark):
     rows = [(1, "mail a@b.com now", 1), (2, None, 2), (3, "", 3), (4, "clean text 2024", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, base int")
-    field = pii.Field([])
+    field = pii.Field({})
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs, field).collect()}
     assert got == {1: "mail <EMAIL> now", 2: None, 3: "", 4: "clean text 2024"}
     found = {r["doc_id"]: r for r in pii.find(docs, field).collect()}
     assert [tuple(s) for s in found[1]["base"]] == [("email", 5, 12)] and found[2]["base"] == []
-    assert pii.training_texts(docs) == ["mail a@b.com now", "clean text 2024"] or len(pii.training_texts(docs)) == 2
     assert pii.redact(docs.limit(0), field).count() == 0
 
 
@@ -152,43 +197,100 @@ def test_pii_query(spark):
         assert [g[f"n_{k}"] for k in pii.KINDS] == [sum(s.startswith(k) for s in spans) for k in pii.KINDS]
 
 
+def brute_fingerprint(text, lexicon):
+    """(hash of all terms, {(level, part): 12 bits}) with Python's integers."""
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & mask
+        h = ((h ^ h >> 27) * 0x94D049BB133111EB) & mask
+        return h ^ h >> 31
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    terms = {w: int(word_hashes(pa.array([w]))[0][0]) for w in set(re.findall(r"[^\x20\x09-\x0D]+", low))}
+    whole = (mix(sum(mix(t ^ 0x123456789ABCDEF1) | 1 for t in terms.values()) & mask) | 1) if terms else 0
+    sums = {}
+    for w, t in terms.items():
+        if w in lexicon:
+            r, k = mix(t ^ 0xA5A55A5A12344321), 0
+            while k < fingerprints.LEVELS and r % 4**k == 0:
+                sums[k, r >> 32 & 31] = (sums.get((k, r >> 32 & 31), 0) + (mix((t + k + 1) & mask) | 1)) & mask
+                k += 1
+    return whole, {at: mix(x) % 4095 + 1 for at, x in sums.items()}
+
+
 def test_fingerprint_query(spark):
     got = {r["doc_id"]: r for r in op6_fingerprints(spark, SMALL).collect()}
     rows = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()), reverse=True)
     assert len(got) == len(rows)
+    df = {}
+    for _, t in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+        for w in set(re.findall(r"[^\x20\x09-\x0D]+", low)):
+            df[w] = df.get(w, 0) + 1
+    low, high = (len(rows) * np.exp(-x) for x in fingerprints.BAND[::-1])
+    lexicon = {w for w, n in df.items() if low <= n <= high}
+    assert 0 < len(lexicon) < len(df)
     by_text = {}
-    for (i, t), (j, after) in zip(rows, rows[1:] + rows[:1]):
+    for at, ((i, t), (j, after)) in enumerate(zip(rows, rows[1:] + rows[:1])):
         k, g = len(t) // 2, got[i]
         assert g["n_chars"] == len(t) and g["edited_sha256"] == hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest()
-        own, other, nxt = fingerprints.parse(g["fingerprint"]), fingerprints.parse(g["edited_fingerprint"]), fingerprints.parse(got[j]["fingerprint"])
-        assert g["near_edited"] == fingerprints.likeness(own[None], other[None])[0] and g["near_next"] == fingerprints.likeness(own[None], nxt[None])[0]
+        own, other, nxt = (fingerprints.parse(x) for x in (g["fingerprint"], g["edited_fingerprint"], got[j]["fingerprint"]))
+        assert g["near_edited"] == fingerprints.likeness(own, other)[0] and g["near_next"] == fingerprints.likeness(own, nxt)[0]
         assert by_text.setdefault(t, g["fingerprint"]) == g["fingerprint"]
+        if at % 40 == 0:
+            for text, found in ((t, own), (t[: len(t) - k] + after[:k], other)):
+                whole, sums = brute_fingerprint(text, lexicon)
+                assert int(found[0][0]) == whole and {(int(a), int(b)): int(found[1][0, a, b]) for a, b in np.argwhere(found[1][0])} == sums
     near, far = np.array([g["near_edited"] for g in got.values()]), np.array([g["near_next"] for g in got.values()])
     assert near.mean() > far.mean() + 0.2
 
 
-def test_fingerprints_of_very_long_texts_tell_edits_from_others():
-    kept, near = np.ones(1 << 20, bool), []
-    for k in range(12):
-        own, other = [f"a{k}x{i}" for i in range(50_000)], [f"b{k}x{i}" for i in range(50_000)]
-        p = fingerprints.fingerprints(pa.array([" ".join(x) for x in (own, own[:25_000] + other[:25_000], other)]), kept)
-        assert all((fingerprints.parse(t) == q).all() for t, q in zip(fingerprints.text_of(p), p))
-        near.append([fingerprints.likeness(p[:1], p[j : j + 1])[0] for j in (1, 2)])
-    edited, others = np.mean(near, axis=0)
-    assert edited > 0.15 and others < 0.05
+def test_likeness_estimates_jaccard():
+    rng = np.random.default_rng(4)
+    for n in (6, 60, 600, 20_000):
+        for share in (0.0, 0.2, 0.5, 0.8, 1.0):
+            found = []
+            for _ in range(30):
+                words = [f"w{x}" for x in rng.integers(0, 1 << 50, 2 * n)]
+                common = int(n * share)
+                a, b = words[:n], words[:common] + words[n : 2 * n - common]
+                kept = np.unique(word_hashes(pa.array([" ".join(words)]))[0])
+                p = fingerprints.fingerprints(pa.array([" ".join(a), " ".join(b)]), kept)
+                found.append(float(fingerprints.likeness((p[0][:1], p[1][:1]), (p[0][1:], p[1][1:]))[0]))
+            assert abs(np.mean(found) - common / (2 * n - common)) < 0.08, (n, share, np.mean(found))
 
 
 def test_fingerprint_edges(spark):
-    rows = [(5, None, 1), (4, "", 1), (3, "one two three", 1), (3, "other words", 1), (None, "last one", 1), (9, "é" * 9, 1), (8, "word " * 40_000, 1)]
+    least = -(1 << 63)
+    rows = [(5, None, 1), (4, "", 1), (3, "one two three", 1), (3, "other words", 1), (None, "last one", 1), (9, "é" * 9, 1), (8, "word " * 40_000, 1), (least, "least of all", 1), (3, "other words", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, h int")
     got = fingerprints.fingerprint_neighbours(docs, spark).toPandas()
-    assert len(got) == 7 and got["near_edited"].between(0, 1).all()
+    assert len(got) == 9 and got["near_edited"].between(0, 1).all() and set(got["doc_id"].dropna().astype(int)) == {5, 4, 3, 9, 8, least} and got["doc_id"].isna().sum() == 1
+    assert (got[got["n_chars"] == 0]["fingerprint"] == "0" * 16).all()
     one = fingerprints.fingerprint_neighbours(docs.where("doc_id = 9"), spark).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert fingerprints.fingerprint_neighbours(docs.limit(0), spark).count() == 0
 
 
-def test_document_frequencies_cover_all_rows(spark):
-    docs = spark.createDataFrame([(f"common w{i % 3}",) for i in range(90)], "text string").repartition(5)
-    total = sum(np.frombuffer(bytes(r["counts"]), "<u4").sum() for r in fingerprints.document_frequencies(docs, 14).collect())
-    assert total == 180
+def test_a_hot_id_is_dealt_to_many_buckets(spark):
+    rows = [(7, f"text {i % 400} of the hot one") for i in range(1500)] + [(i, f"text {i}") for i in range(1000, 1600)] + [(None, f"none {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    dealt = fingerprints.neighbours(docs, spark).toPandas()
+    hot = dealt[(dealt["id"] == 7) & (dealt["halo"] == 0)]
+    assert len(hot) == 1500 and hot["bucket"].nunique() > 3
+    got = fingerprints.fingerprint_neighbours(docs, spark).toPandas()
+    assert len(got) == len(rows)
+    order = dealt[dealt["halo"] == 0].sort_values(["absent", "id", "h"], ascending=[True, False, True])
+    import zstandard
+
+    texts = [zstandard.ZstdDecompressor().decompress(x).decode() for x in order["packed"]]
+    want = sorted(hashlib.sha256(fingerprints.edited(a, b).encode()).hexdigest() for a, b in zip(texts, texts[1:] + texts[:1]))
+    assert sorted(got["edited_sha256"]) == want
+
+
+def test_document_frequencies_cover_all_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"common w{i % 3} x{i}",) for i in range(90)], "text string").repartition(5)
+    n = sorted(r["n"] for r in fingerprints.document_frequencies(docs).collect())
+    assert n == [1] * 90 + [30] * 3 + [90]
+    assert len(fingerprints.lexicon(docs, (0.5, 2.0))) == 3

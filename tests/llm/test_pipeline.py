@@ -24,9 +24,10 @@ def test_stages(spark):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
 
 
-def test_near_duplicates_keep_one_of_each_and_null_ids(spark):
+def test_near_duplicates_keep_one_of_each(spark):
     text = "these are the words of a text that was copied"
-    rows = [(4, text, "en", "s", 1), (2, text, "en", "s", 1), (2, text, "en", "s", 1), (9, "something else altogether stands in this one", "en", "s", 1), (None, text, "en", "s", 1)]
+    rows = [(4, text, "en", "s", 1), (2, text, "en", "s", 1), (2, text, "en", "s", 1), (9, "something else altogether stands in this one", "en", "s", 1), (None, text, "en", "s", 1), (2, "another text under the id of the copy", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
-    assert sorted((r["doc_id"] or 0) for r in got.collect()) == [0, 2, 9]
+    assert sorted((r["doc_id"], r["text"][:4]) for r in got.collect()) == [(2, "anot"), (2, "thes"), (9, "some")]
+    assert got.columns == docs.columns

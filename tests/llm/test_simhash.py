@@ -3,10 +3,11 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from mnemora.llm import simhash
-from mnemora.llm.components import components
+from mnemora.llm.components import Forest, components
 from mnemora.llm.queries import op8_simhash
 
 
@@ -43,14 +44,14 @@ def test_edge_texts():
 
 
 def test_nulls_copies_and_clashes(spark):
-    rows = [(3, None, "z"), (1, "", "z"), (7, "some words that stand here", "q"), (2, "some words that stand here", "q"), (2, "some words that stand here", "q"), (None, "x", "y")]
+    rows = [(3, None, "z"), (1, "", "z"), (7, "some words that stand here", "q"), (2, "some words that stand here", "q"), (2, "some words that stand here", "q"), (None, "x", "y"), (None, "some words that stand here", "y")]
     d = spark.createDataFrame(rows, "doc_id long, text string, fp string")
-    got = sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(d, spark).collect())
-    assert got == [(1, 1), (2, 2), (2, 2), (3, 1), (7, 2)]
+    got = sorted(((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.near_duplicates(d, spark).collect()))
+    assert got == [(0, 0), (0, 2), (1, 1), (2, 2), (2, 2), (3, 1), (7, 2)]
     assert simhash.near_duplicates(d.limit(0), spark).count() == 0
 
 
-def test_links_lose_nothing(spark):
+def test_links_lose_nothing(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     fps = []
@@ -60,19 +61,39 @@ def test_links_lose_nothing(spark):
             flips = rng.choice(64, rng.integers(1, 8), replace=False)
             fps.append(b ^ sum(1 << int(x) for x in flips))
     fps = sorted(set(fps))
-    nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "rep long, fp long")
-    got = {r["node"]: r["component"] for r in components(simhash.links(nodes), spark).collect()}
-    assert [got.get(i, i) for i in range(len(fps))] == classes(range(len(fps)), fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    want = classes(range(len(fps)), fps)
+    want = [signed.index(min(signed[j] for j in range(len(fps)) if want[j] == w)) for w in want]
+    for blocks, hot in ((None, 1 << 20), (5, 1 << 20), (7, 1 << 20), (5, 3)):  # the last deals keys of over three rows anew
+        monkeypatch.setattr(simhash, "HOT", hot)
+        got = {r["node"]: r["component"] for r in components(simhash.links(nodes, spark, 4, blocks), spark).collect()}
+        assert [got.get(f, f) for f in signed] == [signed[w] for w in want], (blocks, hot)
 
 
-def test_dense_group_is_one_star():
+def test_parts_follow_the_number_of_rows():
+    assert [simhash.blocks_for(n, 4) for n in (10, 10**6, 10**8, 10**10)] == [5, 6, 7, 8]
+    assert simhash.keys_needed(0.8, 3) > simhash.keys_needed(0.8, 2) and simhash.values_for(10**10) > simhash.values_for(10**5)
+
+
+def test_hot_keys_come_in_pieces():
+    key = np.repeat([1, 2, 3, 4], [5, 40, 3, 7])
+    b = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(len(key)))], names=["key", "fp"])
+    got = list(simhash.whole_keys((b.slice(i, 4) for i in range(0, len(key), 4)), rows=8, most=20))
+    hot = np.concatenate([x[1].to_numpy() for h, x in got if h])
+    assert hot.tolist() == list(range(5, 45))
+    assert np.concatenate([x[1].to_numpy() for h, x in got if not h]).tolist() == [*range(5), *range(45, 55)]
+    assert [sorted(set(x[0].to_pylist())) for h, x in got if not h] == [[1], [3, 4]] or len(got) > 2
+
+
+def test_dense_groups_are_forests():
     rng = np.random.default_rng(1)
-    f = np.unique(np.array([int(sum(1 << int(b) for b in rng.choice(64, 2, replace=False))) for _ in range(1500)], np.uint64))
-    f = f.reshape(-1, 1)
-    head = simhash.linked(f, 4, simhash.pivot_table(f, simhash.pivot_points(16)))
-    assert (head == 0).all()
-    a, b = simhash.bucket_edges(np.zeros(len(f)), np.arange(len(f)), f, 4, simhash.pivot_points(16))
-    assert len(a) == len(f) - 1 and set(b.tolist()) == {0}
+    f = np.unique(np.array([int(sum(1 << int(b) for b in rng.choice(64, 2, replace=False))) for _ in range(1500)], np.uint64)).reshape(-1, 1)
+    far = rng.integers(0, 1 << 63, (400, 1), dtype=np.uint64)
+    rows = np.concatenate([f, far])
+    a, b = simhash.bucket_edges(np.zeros(len(rows)), rows, 4, simhash.pivot_points(16))
+    x, y = Forest().joined(a, b)
+    assert len(x) == len(f) - 1 and max(max(x), max(y)) < len(f)
 
 
 def test_similar_documents(spark):
@@ -92,7 +113,7 @@ def test_similar_documents(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(d, spark).collect()}
     assert all(got[10 * g + c] == 10 * g for g in range(30) for c in range(4))
-    assert all(got[10 * g + 9] == 10 * g + 9 for g in range(30)) and got[1001] == 1000 and None not in got
+    assert all(got[10 * g + 9] == 10 * g + 9 for g in range(30)) and got[1001] == 1000 and got[None] is None
     assert simhash.similar_documents(d.limit(0), spark).count() == 0
 
 
@@ -139,18 +160,55 @@ def test_isolated_pairs_at_the_threshold_are_found(spark):
     assert len(lost) <= 0.02 * n and not [g for g in lost if g >= n]
 
 
-def test_large_keys_lose_no_pair():
-    """Stars whose head isn't similar enough to its rows: the pairs between components follow."""
+def test_keys_join_what_is_similar():
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
-    fps = np.array([base ^ (np.uint64(1) << rng.integers(0, 63, 4, dtype=np.uint64)) for _ in range(simhash.PAIRS + 40)])
-    rep, key, pivots = np.arange(len(fps)), np.zeros(len(fps)), simhash.pivot_points(8, 4)
-    a, b = simhash.candidate_pairs(key, rep, fps, 40, pivots)
-    assert len(a[a != b]) == len(fps) - 1 and set(a[a == b].tolist()) == set(rep.tolist())
-    parts = rep % 3
-    a, b = simhash.candidate_pairs(key, rep, fps, 40, pivots, parts)
-    want = {(i, j) for i in rep.tolist() for j in range(i) if parts[i] != parts[j]}
-    assert {(max(p), min(p)) for p in zip(a.tolist(), b.tolist())} == want
+    texts = []
+    for _ in range(3):
+        w = [f"w{i}" for i in rng.integers(0, 1 << 40, 300)]
+        for k in range(30):
+            v = list(w)
+            for i in range(0, 300, 40):
+                if rng.random() < 0.3 + 0.02 * k:
+                    v[i] = f"x{rng.integers(1 << 40)}"
+            texts.append(" ".join(v))
+    sets = simhash.distinct_shingles(pa.array(texts), 5)
+    fps = np.array([np.frombuffer(simhash.wide_fingerprint(x), np.uint64) for x in sets])
+    n, key, node = np.array([len(x) for x in sets]), np.zeros(len(sets)), np.arange(len(sets))
+    i, j = simhash.stars(key, node, n, fps, 0.8)
+    assert len(set(j.tolist())) == 1 and len(i) <= 30  # one medoid, and only what may be similar to it
+    edges = simhash.joined_inside(key, n, fps, node.copy(), sets, 0.8)
+    want = Forest()
+    want.joined(*map(np.array, zip(*[(a, b) for a in range(len(sets)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8])))
+    got = Forest()
+    assert len(got.joined(*map(np.array, zip(*edges)))[0]) == len(edges)  # a forest
+    assert [got.root(x) for x in range(len(sets))] == [want.root(x) for x in range(len(sets))]
+    joined = simhash.joined_inside(key, n, fps, np.array([want.root(x) for x in range(len(sets))]), sets, 0.8)
+    assert joined == []
+
+
+def test_satellites_are_joined_by_their_hub(spark):
+    """Copies of one text, each edited elsewhere: 0.8 to the text, less to each other."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(204)]
+    rows = [(50, " ".join(base))]
+    for k in range(40):
+        v = list(base)
+        for i in range(4):
+            v[(5 * k + 50 * i + 2) % 200 + 2] = f"x{rng.integers(1 << 40)}"
+        rows.append((100 + k, " ".join(v)))
+    near = [jaccard(rows[0][1], t) for _, t in rows[1:]]
+    assert 0.8 <= min(near) and jaccard(rows[1][1], rows[2][1]) < 0.8
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()
+    assert {r["component_id"] for r in got} == {50}
+
+
+def test_one_row_of_each_group(spark):
+    a, b = "these are the words of a text that was copied", "something else altogether stands in this one"
+    rows = [(4, a, 1), (2, a, 2), (2, a, 2), (9, b, 3), (None, a, 4), (9, a + " but not wholly the same at its end", 5), (None, None, 6), (None, "", 7), (11, "  ", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    got = simhash.one_of_each(docs, spark)
+    assert got.columns == docs.columns and sorted(r["node"] for r in got.collect()) == [2, 3, 5, 8]
+    assert simhash.one_of_each(docs.limit(0), spark).count() == 0
 
 
 def test_long_chain_of_components(spark):
