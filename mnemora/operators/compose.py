@@ -44,6 +44,14 @@ def hybrid(coefficient: Column, isolated: Column, contextual: Column, mix: float
     return V.scale(V.let(gate, lambda g: F.zip_with(isolated, matched, lambda x, y: x * (1 - g) + y * g)), coefficient)
 
 
+def hybrid_transport(coefficients: Column, isolated: Column, contextual: Column, width: int, mean_by_sign: bool = False, mix: float = 0.5) -> Column:
+    """Sum, or mean by sign, of the hybrid directions of several memories; isolated and contextual: arrays of
+    directions."""
+    one = F.zip_with(isolated, contextual, lambda a, b: hybrid(F.lit(1.0), a, b, mix))
+    deltas = F.zip_with(coefficients, one, lambda c, d: F.struct(c.alias("c"), d.alias("d")))
+    return signed_mean(deltas, width) if mean_by_sign else transport_sum(deltas, width)
+
+
 def joint_isolated(full: Column, clean: Column, positive: Column, width: int) -> Column:
     """From full to the state without the ignored memories, plus the positive isolated directions."""
     return V.add(V.sub(clean, full), transport_sum(F.filter(positive, lambda x: x["c"] > 0), width))

@@ -26,27 +26,32 @@ def fisher_gate(base: Column, moved: Column, budget: float = 0.1) -> Column:
 
 
 def finite(x: Column) -> Column:
-    return F.when(F.isnan(x) | x.isin(float("inf"), float("-inf")), 0.0).otherwise(F.coalesce(x, F.lit(0.0)))
+    """Missing, NaN, infinite and negative signals count as 0."""
+    return F.when(F.isnan(x) | x.isin(float("inf"), float("-inf")), 0.0).otherwise(F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0)))
 
 
 def bounded_attention(mass: Column, by: list[str]) -> Column:
     """0.5 + s / (s + mean) with the mean over the sample; 1 where the mean is next to nothing."""
     s = finite(mass)
     mean = F.avg(s).over(Window.partitionBy(*by))
-    return F.when(mean <= 1e-8, 1.0).otherwise(0.5 + s / (s + mean))
+    return F.when(mean <= 1e-8, 1.0).otherwise(0.5 + s / F.greatest(s + mean, F.lit(1e-12)))
 
 
 def normalized_attention(mass: Column, by: list[str]) -> Column:
-    s = finite(mass)
-    mean = F.avg(s).over(Window.partitionBy(*by))
-    return F.when(mean <= 1e-8, 1.0).otherwise(clamp(F.sqrt(s / F.greatest(mean, F.lit(1e-8))), 0.25, 4.0))
+    """sqrt(mass / mean) within [0.25, 4], a negative ratio as 0; 1 for the whole sample where the mean is no
+    positive number, and for an infinite mass."""
+    mean = F.avg(mass).over(Window.partitionBy(*by))
+    ratio = F.greatest(mass / F.greatest(mean, F.lit(1e-8)), F.lit(0.0))
+    gate = F.when(F.isnan(ratio), 1.0).otherwise(clamp(F.sqrt(ratio), 0.25, 4.0))
+    return F.when(F.isnan(mean) | (mean <= 1e-8), 1.0).otherwise(gate)
 
 
 def temporal(signal: Column, by: list[str], step: str, inverse: bool = False) -> Column:
     """0.5 + signal / (signal + reference); the reference is the first step's signal, and with inverse it
-    stands above the line as well."""
+    stands above the line as well. Signals are taken as `finite` gives them."""
+    signal = finite(signal)
     ref = F.first(signal).over(Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, 0))
-    return F.when(signal + ref <= 1e-8, 1.0).otherwise(0.5 + (ref if inverse else signal) / F.greatest(signal + ref, F.lit(1e-8)))
+    return F.when(signal + ref <= 1e-8, 1.0).otherwise(0.5 + (ref if inverse else signal) / F.greatest(signal + ref, F.lit(1e-12)))
 
 
 def attention_mass(heads: Column, positions: Column) -> Column:

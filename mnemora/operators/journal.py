@@ -3,7 +3,7 @@ package keeps the same state per key."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,27 +27,57 @@ def summary(state: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     )
 
 
-def ewma(values: Column, keep: float = 0.8) -> Column:
-    """keep * old + (1 - keep) * new over an ordered array, from its first element."""
-    return F.aggregate(F.slice(values, F.lit(2), F.size(values)), F.get(values, F.lit(0)), lambda s, x: s * keep + x * (1 - keep))
+def valid_by_kind(state: DataFrame, expected: DataFrame, key: str, kind: str) -> DataFrame:
+    """Per kind of the expected keys: how many there are and how many have a valid value."""
+    ok = state.select(key, F.col("valid_value").isNotNull().alias("ok"))
+    return expected.select(key, kind).distinct().join(ok, key, "left").groupBy(kind).agg(F.count("*").alias("expected"), F.count_if(F.coalesce("ok", F.lit(False))).alias("valid"))
 
 
-def router_replay(events: DataFrame, endpoint: str, order: str, latency: str, failed: str) -> DataFrame:
-    """Endpoint state after its ordered events: smoothed latency (90 at least after a failure), count,
-    failures in a row, and the cooldown min(600, 60 * 2 ** min(failures, 3)) of the last event."""
-    log = events.groupBy(endpoint).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(latency).alias("l"), F.col(failed).alias("f")))).alias("log"))
-    zero = F.struct(F.lit(None).cast("double").alias("latency"), F.lit(0).alias("count"), F.lit(0).alias("failures"), F.lit(0.0).alias("cooldown"))
+#: Fixed values of the router: latency at the start, after a failure at least, and how much of the old one stays.
+START, FLOOR, KEEP = 30.0, 90.0, 0.8
+#: Seconds an endpoint rests that can't be reached at the start, and at most.
+FIRST_REST, MOST_REST = 300.0, 600.0
+
+
+def ewma(rows: DataFrame, keys: list[str], order: str, value: str, start: float = START, keep: float = KEEP) -> DataFrame:
+    """keys, latency, n: keep * old + (1 - keep) * new over each key's rows in order, from start. The fold is a
+    weighted sum, a value's weight being its distance from the end; no key's values are gathered."""
+    w = Window.partitionBy(*keys)
+    back = rows.withColumn("_back", F.row_number().over(w.orderBy(F.desc(order))) - 1)
+    weighted = F.sum((1 - keep) * F.col(value) * F.pow(F.lit(keep), F.col("_back")))
+    return back.groupBy(*keys).agg((weighted + start * F.pow(F.lit(keep), F.count("*"))).alias("latency"), F.count("*").alias("n"))
+
+
+def rest(failures: Column) -> Column:
+    """Seconds an endpoint rests after so many failures in a row."""
+    return F.least(F.lit(MOST_REST), 60 * F.pow(F.lit(2.0), F.least(failures, F.lit(3))))
+
+
+def router_start(endpoints: DataFrame) -> DataFrame:
+    """State before the first event of (endpoint, reachable, at): an endpoint out of reach rests at first."""
+    up = F.col("reachable")
+    return endpoints.select("endpoint", F.when(up, START).otherwise(FLOOR).alias("latency"), F.when(up, 0.0).otherwise(F.col("at") + FIRST_REST).alias("until"))
+
+
+def router_replay(events: DataFrame, endpoint: str, at: str, seconds: str, failed: str, start: DataFrame | None = None) -> DataFrame:
+    """Endpoint state after its events in order of at (seconds on a clock): latency (smoothed over successes; a
+    failure raises it to FLOOR at least), count, failures in a row, and until: when the last failure's rest ends.
+    start: states to begin with, as router_start gives them. An endpoint's events are one fold, so they are
+    gathered in one row: meant for the log since a kept state."""
+    log = events.groupBy(endpoint).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("double").alias("o"), F.col(seconds).alias("s"), F.col(failed).alias("f")))).alias("log"))
+    first = F.struct(F.lit(START).alias("latency"), F.lit(0).alias("count"), F.lit(0).alias("failures"), F.lit(0.0).alias("until"))
+    if start is not None:
+        log = log.join(start.select(F.col("endpoint").alias(endpoint), F.col("latency").alias("_l"), F.col("until").alias("_u")), endpoint, "left")
+        first = F.struct(F.coalesce("_l", F.lit(START)).alias("latency"), F.lit(0).alias("count"), F.lit(0).alias("failures"), F.coalesce("_u", F.lit(0.0)).alias("until"))
 
     def step(s: Column, e: Column) -> Column:
-        seen = F.when(e["f"], F.greatest(e["l"], F.lit(90.0))).otherwise(e["l"])
         failures = F.when(e["f"], s["failures"] + 1).otherwise(0)
         return F.struct(
-            F.when(s["latency"].isNull(), seen).otherwise(s["latency"] * 0.8 + seen * 0.2).alias("latency"),
-            (s["count"] + 1).alias("count"), failures.alias("failures"),
-            F.when(e["f"], F.least(F.lit(600.0), F.lit(60.0) * F.pow(F.lit(2.0), F.least(failures, F.lit(3))))).otherwise(0.0).alias("cooldown"),
+            F.when(e["f"], F.greatest(s["latency"], F.lit(FLOOR))).otherwise(s["latency"] * KEEP + e["s"] * (1 - KEEP)).alias("latency"),
+            (s["count"] + 1).alias("count"), failures.alias("failures"), F.when(e["f"], e["o"] + rest(failures)).otherwise(s["until"]).alias("until"),
         )
 
-    return log.select(endpoint, F.aggregate("log", zero, step).alias("s")).select(endpoint, "s.*")
+    return log.select(endpoint, F.aggregate("log", first, step).alias("s")).select(endpoint, "s.*")
 
 
 def transport_attempts(rows: DataFrame, key: str, transport: str) -> DataFrame:

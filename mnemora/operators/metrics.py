@@ -53,11 +53,13 @@ def coverage(generated: DataFrame, required: DataFrame, valid: DataFrame, sample
     return generated.select(sample).distinct().join(done, sample, "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
 
 
-def coverage_summary(done: DataFrame, sample: str = "sample_id") -> DataFrame:
-    return done.agg(
-        F.count("*").alias("generated"), F.count_if("complete").alias("valid"), F.count_if(~F.col("complete")).alias("missing"),
-        F.sort_array(F.collect_list(F.when(~F.col("complete"), F.col(sample)))).alias("incomplete"),
-    )
+def coverage_summary(done: DataFrame) -> DataFrame:
+    return done.agg(F.count("*").alias("generated"), F.count_if("complete").alias("valid"), F.count_if(~F.col("complete")).alias("missing"))
+
+
+def incomplete(done: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """The samples that aren't complete, one row each."""
+    return done.where(~F.col("complete")).select(sample)
 
 
 def generation_quality(rows: DataFrame, by: list[str], text: str, repeated: Column) -> DataFrame:

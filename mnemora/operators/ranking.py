@@ -14,10 +14,19 @@ def hash_key(seed: int, key: Column, salt: str = SALT) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(salt), F.lit(str(seed)), key.cast("string")), 256)
 
 
-def hash_rank(groups: DataFrame, key: str, seed: int, by: list[str] | None = None, salt: str = SALT) -> DataFrame:
-    """rank: 1.. in order of the seeded hash, then the key, within by."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(hash_key(seed, F.col(key), salt), F.col(key))
-    return groups.withColumn("rank", F.row_number().over(w).cast("long"))
+def hash_rank(groups: DataFrame, key: str, seed: int, by: list[str] | None = None, salt: str = SALT, digits: int = 3) -> DataFrame:
+    """rank: 1.. in order of the seeded hash, then the key, within by.
+
+    No task ranks all rows: they are ranked within buckets of the hash's first digits, and a bucket starts
+    after the rows of those before it (at most 16**digits counts per by-key)."""
+    by = by or []
+    rows = groups.withColumn("_h", hash_key(seed, F.col(key), salt)).withColumn("_b", F.substring("_h", 1, digits))
+    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_b").orderBy("_h", key)
+    ranked = rows.withColumn("_n", F.row_number().over(inside)).join(starts, [*by, "_b"])
+    return ranked.withColumn("rank", (F.col("_n") + F.col("_before")).cast("long")).select(*groups.columns, "rank")
 
 
 def last_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -44,23 +53,35 @@ def allocation(single: Column, total: Column, fraction: float) -> Column:
     return F.least(F.greatest(share, F.lit(3)), count - 3).cast("long")
 
 
-def greedy_cover(groups: DataFrame, key: str, labels: str, rank: str, seen: int, count: int) -> list:
-    """Keys chosen one by one: most labels still short of `seen`, ties by rank, until every label has
-    been seen that often; then by rank up to count. Runs on the group table alone, one round per choice,
-    as a fold over its ranked rows on the driver."""
-    rows = groups.select(key, labels, rank).orderBy(rank).collect()
-    need = {x: seen for r in rows for x in r[labels]}
-    left, chosen = list(rows), []
-    while any(need.values()) and left and len(chosen) < count:
-        best = max(left, key=lambda r: (sum(need[x] > 0 for x in set(r[labels])), -r[rank]))
-        gain = sum(need[x] > 0 for x in set(best[labels]))
-        if not gain:
+def greedy_cover(groups: DataFrame, key: str, labels: str, rank: str, wanted: list, seen: int, count: int) -> list:
+    """Keys chosen one by one: the group with most of the wanted labels still short of `seen`, ties by rank, until
+    every label has been seen that often or no group helps; then by rank up to count. An error if that
+    gives another number of keys, or a label stays short.
+
+    Each choice is an aggregate over the groups, of which the driver gets one row; there are at most seen
+    choices for each label before the fill."""
+    need, chosen = dict.fromkeys(wanted, seen), []
+    while short := [x for x, n in need.items() if n > 0]:
+        gain = F.size(F.array_intersect(F.array_distinct(labels), F.array(*map(F.lit, short))))
+        left = groups.where(~F.col(key).isin(chosen)) if chosen else groups
+        best = left.withColumn("_gain", gain).where("_gain > 0").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(labels).alias("l")), F.struct(F.col("_gain"), -F.col(rank))).alias("x")).first()["x"]
+        if best is None:
             break
-        for x in set(best[labels]):
-            need[x] = max(0, need[x] - 1)
-        chosen.append(best[key])
-        left.remove(best)
-    return chosen + [r[key] for r in left[: max(0, count - len(chosen))]]
+        chosen.append(best["k"])
+        for x in set(best["l"]) & set(need):
+            need[x] -= 1
+    if len(chosen) < count:
+        left = groups.where(~F.col(key).isin(chosen)) if chosen else groups
+        fill = left.orderBy(rank).limit(count - len(chosen)).select(key, labels).collect()
+        chosen += [r[key] for r in fill]
+        for r in fill:
+            for x in set(r[labels]) & set(need):
+                need[x] -= 1
+    if len(chosen) != count:
+        raise ValueError(f"{len(chosen)} groups cover the labels, not {count}")
+    if short := [x for x, n in need.items() if n > 0]:
+        raise ValueError(f"labels seen less than {seen} times: {short}")
+    return chosen
 
 
 def least_loaded(endpoints: DataFrame) -> DataFrame:

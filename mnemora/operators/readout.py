@@ -2,57 +2,110 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
+#: A table of more rows is never broadcast, and the references of a block take so many bytes at most.
+SMALL_ROWS, BLOCK_BYTES = 20_000, 64 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, computed once and marked for broadcast if it has SMALL_ROWS rows at most; else df as it is, which joins
+    by a shuffle."""
+    rows = df.limit(SMALL_ROWS + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= SMALL_ROWS else df
+
+
+def vector_sums(rows: DataFrame, keys: list[str], vector: str = "v") -> DataFrame:
+    """keys, dim, s, n: elementwise sums and counts per key. Every task adds its vectors up first, so what is
+    shuffled is one vector for each task and key."""
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, list] = {}
+        for f in frames:
+            if f.empty:
+                continue
+            values = np.stack(f["_v"].to_numpy())
+            for key, at in f.groupby(keys, sort=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                had = sums.setdefault(key, [0.0, 0])
+                had[0], had[1] = had[0] + values[at].sum(axis=0), had[1] + len(at)
+        if sums:
+            yield pd.DataFrame({**{k: [key[i] for key in sums] for i, k in enumerate(keys)}, "_s": [x[0] for x in sums.values()], "_n": [x[1] for x in sums.values()]})
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    parts = rows.select(*keys, V.vec(vector).alias("_v")).mapInPandas(partial, f"{kinds}, _s array<double>, _n long")
+    return parts.select(*keys, "_n", F.posexplode("_s").alias("dim", "_x")).groupBy(*keys, "dim").agg(F.sum("_x").alias("s"), F.sum("_n").alias("n"))
+
+
+def packed(long: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """One vector per key of rows (keys, dim, x)."""
+    return long.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("p")).select(*keys, F.transform("p", lambda p: p["x"]).alias(name))
+
 
 def mean_vector(rows: DataFrame, keys: list[str], vector: str = "v") -> DataFrame:
-    """Elementwise mean per key: partial sums are combined before the shuffle, one row per dimension."""
-    long = rows.select(*keys, F.posexplode(V.vec(vector)).alias("dim", "x")).groupBy(*keys, "dim").agg(F.avg("x").alias("x"))
-    packed = long.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("p"))
-    return packed.select(*keys, F.transform("p", lambda p: p["x"]).alias("mean"))
+    """Elementwise mean per key."""
+    return packed(vector_sums(rows, keys, vector).withColumn("x", F.col("s") / F.col("n")), keys, "mean")
 
 
-def centroids(train: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+def centroids(train: DataFrame, by: list[str], center: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(center per by-key without regime, unit centroid per by-key, regime, cls) of rows (…, regime, cls, v)."""
-    center = mean_vector(train, by).withColumnRenamed("mean", "center")
-    units = train.join(F.broadcast(center), by).withColumn("u", V.unit(V.sub(V.vec("v"), F.col("center")), 1e-12))
+    center = small(mean_vector(train, by).withColumnRenamed("mean", "center")) if center is None else center
+    units = train.join(center, by).withColumn("u", V.unit(V.sub(V.vec("v"), F.col("center")), 1e-12))
     means = mean_vector(units, [*by, "regime", "cls"], "u")
     return center, means.withColumn("centroid", V.unit(F.col("mean"), 1e-12)).drop("mean")
 
 
 def centroid_scores(queries: DataFrame, center: DataFrame, means: DataFrame, by: list[str]) -> DataFrame:
     """One row per query and class of its regime with the cosine to the class centroid."""
-    q = queries.join(F.broadcast(center), by).withColumn("u", V.unit(V.sub(V.vec("v"), F.col("center")), 1e-12)).drop("center")
-    c = means.withColumnRenamed("cls", "candidate")
-    return q.join(F.broadcast(c), [*by, "regime"]).withColumn("score", V.dot(F.col("u"), F.col("centroid"))).drop("u", "centroid")
+    q = queries.join(center, by).withColumn("u", V.unit(V.sub(V.vec("v"), F.col("center")), 1e-12)).drop("center")
+    c = small(means.withColumnRenamed("cls", "candidate"))
+    return q.join(c, [*by, "regime"]).withColumn("score", V.dot(F.col("u"), F.col("centroid"))).drop("u", "centroid")
 
 
-def predict(queries: DataFrame, train: DataFrame, by: list[str], item: str) -> DataFrame:
+def predict(queries: DataFrame, train: DataFrame, by: list[str], item: str, center: DataFrame | None = None) -> DataFrame:
     """prediction per (by, item): the class of the nearest centroid, the smaller class on a tie."""
-    scores = centroid_scores(queries, *centroids(train, by), by)
+    scores = centroid_scores(queries, *centroids(train, by, center), by)
     keys = [c for c in queries.columns if c != "v"]
     scores = scores.withColumn("score", F.round("score", 9))
     return scores.groupBy(*keys).agg(F.min_by("candidate", F.struct(-F.col("score"), F.col("candidate"))).alias("prediction"))
 
 
 def leave_group_out(train: DataFrame, group: str = "grp") -> DataFrame:
-    """prediction of each reference row from a model without its group: the rows, not the queries, are
-    multiplied by the folds; center and centroids are refitted in every fold."""
-    folds = train.select(F.col(group).alias("fold")).distinct()
-    rest = train.join(F.broadcast(folds), F.col(group) != F.col("fold"))
-    asked = train.withColumn("fold", F.col(group))
-    return predict(asked, rest, ["layer", "fold"], "vec_id")
+    """prediction of each reference row from a model without its group. A fold's center is the sum of all groups
+    less its own, from one pass; its centroids depend on that center, so each row meets every other fold once
+    (the rows, not the queries, are multiplied, and their vectors are added up where they are)."""
+    sums = vector_sums(train, ["layer", group])
+    whole = Window.partitionBy("layer", "dim")
+    left = sums.withColumn("x", (F.sum("s").over(whole) - F.col("s")) / F.nullif(F.sum("n").over(whole) - F.col("n"), F.lit(0)))
+    center = small(packed(left.withColumnRenamed(group, "fold"), ["layer", "fold"], "center"))
+    folds = center.select("fold").distinct().agg(F.collect_set("fold").alias("_folds"))  # one row: SMALL_ROWS folds at most, else the join below
+    rest = train.join(small(folds)).withColumn("fold", F.explode(F.array_except("_folds", F.array(group)))).drop("_folds")
+    return predict(train.withColumn("fold", F.col(group)), rest, ["layer", "fold"], "vec_id", center)
+
+
+def class_recalls(predictions: DataFrame, by: list[str]) -> DataFrame:
+    """Per class that occurs: n, hits and recall of rows (cls, prediction)."""
+    per = predictions.groupBy(*by, "cls").agg(F.count("*").alias("n"), F.sum((F.col("prediction") == F.col("cls")).cast("long")).alias("hits"))
+    return per.withColumn("recall", F.col("hits") / F.col("n"))
 
 
-def class_metrics(predictions: DataFrame, by: list[str]) -> DataFrame:
-    """accuracy and macro recall (over classes that occur) of rows (cls, prediction)."""
-    per = predictions.groupBy(*by, "cls").agg(F.count("*").alias("n"), F.sum((F.col("prediction") == F.col("cls")).cast("long")).alias("hits"))
-    return per.groupBy(*by).agg(
-        F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("accuracy"), F.avg(F.col("hits") / F.col("n")).alias("macro_recall"), F.count("*").alias("classes")
+def class_metrics(predictions: DataFrame, by: list[str], ordinal: bool = False) -> DataFrame:
+    """accuracy and macro recall (over classes that occur) of rows (cls, prediction); with ordinal the mean
+    distance of the levels as well."""
+    out = class_recalls(predictions, by).groupBy(*by).agg(
+        F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("accuracy"), F.avg("recall").alias("macro_recall"), F.count("*").alias("classes")
     )
+    if not ordinal:
+        return out
+    return out.join(predictions.groupBy(*by).agg(F.avg(F.abs(F.col("prediction") - F.col("cls"))).alias("level_mae")), by)
 
 
 def sliced_metrics(predictions: DataFrame) -> DataFrame:
@@ -61,20 +114,81 @@ def sliced_metrics(predictions: DataFrame) -> DataFrame:
     return class_metrics(both, ["layer", "regime"])
 
 
-def nearest(queries: DataFrame, references: DataFrame, k: int, temperature: float) -> DataFrame:
-    """value per query: softmax(similarity / temperature)-weighted mean over the nearest reference of each
-    of the k nearest groups; references of the query's own group or key are no candidates.
+def layer_report(reference: DataFrame, held: DataFrame) -> DataFrame:
+    """One row from metrics per layer of the reference folds and of the held-out rows: the layer of the best
+    reference macro recall (the first of equals), the held-out scores there, and the layer of the held-out peak, which
+    is only described."""
+    first = lambda score: F.struct(-F.round(score, 9), F.col("layer"))
+    chosen = reference.agg(F.min_by("layer", first("macro_recall")).alias("layer"), F.max("macro_recall").alias("reference_macro_recall"))
+    peak = held.agg(F.min_by("layer", first("macro_recall")).alias("peak_layer"))
+    return chosen.join(held.select("layer", F.col("macro_recall").alias("held_macro_recall"), F.col("accuracy").alias("held_accuracy")), "layer").join(peak)
+
 
-    queries, references: (vec_id, grp, query_key, layers array<vector>[, value]). Similarity is the mean
-    over layers of cosines. References are the calibration side; they are broadcast only if Spark finds
-    them under its broadcast limit, else each query block meets them in a nested loop."""
+def nearest(queries: DataFrame, references: DataFrame, k: int, temperature: float, strict: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """value per query: softmax(similarity / temperature)-weighted mean over the nearest reference of each
+    of the k nearest groups; references of the query's own group or key are no candidates. Similarity is the mean
+    over layers of cosines, ties go to the smaller reference id.
+
+    queries, references: (vec_id, grp, query_key, layers array<vector>[, value]), all layers and vectors of equal
+    sizes and finite, else an error; a query without candidates is an error, or without a row if not strict.
+    References meet the queries in blocks of block_bytes, one after the other; a block gives each query the best
+    reference of its k nearest groups there, which holds what is nearest overall, so k rows a block and query
+    are shuffled and no pair table is."""
+    if k < 1 or not (math.isfinite(temperature) and temperature > 0):
+        raise ValueError("k has to be 1 at least, and the temperature finite and over 0")
+    spark = queries.sparkSession
     flat = lambda c: F.flatten(F.transform(c, lambda v: V.unit(v)))
-    q = queries.select("vec_id", "grp", "query_key", flat(F.col("layers")).alias("qv"), F.size("layers").alias("n"))
-    r = references.select(F.col("vec_id").alias("ref"), F.col("grp").alias("rgrp"), F.col("query_key").alias("rkey"), flat(F.col("layers")).alias("rv"), "value")
-    pairs = q.join(r, (F.col("grp") != F.col("rgrp")) & (F.col("query_key") != F.col("rkey")))
-    sim = pairs.select("vec_id", "ref", "rgrp", "value", F.round(V.dot(F.col("qv"), F.col("rv")) / F.col("n"), 9).alias("sim"))
-    one = Window.partitionBy("vec_id", "rgrp").orderBy(F.desc("sim"), "ref")
+    q = queries.select("vec_id", "grp", "query_key", flat(F.col("layers")).alias("v"), F.size("layers").alias("n"))
+    r = references.select("vec_id", "grp", "query_key", flat(F.col("layers")).alias("v"), F.size("layers").alias("n"), F.col("value").cast("double").alias("value"))
+    shape = r.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v")), F.min("n"), F.max("n")).first()
+    if shape[1] != shape[2] or shape[3] != shape[4]:
+        raise ValueError("references of different shapes")
+    blocks = -(-shape[0] * 8 * (shape[1] or 1) // block_bytes)
+    kinds = ", ".join(f"{a} {queries.schema[b].dataType.simpleString()}" for a, b in (("vec_id", "vec_id"), ("ref", "vec_id"), ("rgrp", "grp")))
+
+    def met(block: pd.DataFrame) -> DataFrame:
+        rows = block.sort_values(["grp", "vec_id"], ignore_index=True)
+        matrix = np.stack(rows["v"].to_numpy())
+        if not (np.isfinite(matrix).all() and np.isfinite(rows["value"]).all()):
+            raise ValueError("references have values that aren't finite")
+        shared = spark.sparkContext.broadcast((matrix, *(rows[c].to_numpy() for c in ("vec_id", "grp", "query_key", "value"))))
+
+        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m, ref, grp, key, value = shared.value
+            first = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]]))
+            size = np.diff(np.append(first, len(grp)))
+            step = max(1, (1 << 22) // len(ref))
+            for f in frames:
+                for i in range(0, len(f), step):
+                    part = f.iloc[i : i + step]
+                    x = np.stack(part["v"].to_numpy())
+                    if x.shape[1] != m.shape[1] or not np.isfinite(x).all():
+                        raise ValueError("queries of another shape, or with values that aren't finite")
+                    sim = np.round(x @ m.T / part["n"].to_numpy()[:, None], 9)
+                    sim[(part["grp"].to_numpy()[:, None] == grp) | (part["query_key"].to_numpy()[:, None] == key)] = -np.inf
+                    top = np.maximum.reduceat(sim, first, axis=1)
+                    where = np.minimum.reduceat(np.where(sim == np.repeat(top, size, axis=1), np.arange(len(ref)), len(ref)), first, axis=1)
+                    out = []
+                    for name, t, w in zip(part["vec_id"], top, where):
+                        out += [(name, ref[w[j]], grp[w[j]], t[j], value[w[j]]) for j in np.lexsort((ref[w], -t))[:k] if np.isfinite(t[j])]
+                    yield pd.DataFrame(out, columns=["vec_id", "ref", "rgrp", "sim", "value"])
+
+        return q.mapInPandas(best, f"{kinds}, sim double, value double")
+
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks)))
+    found = [met(p) for i in range(blocks) if len(p := r.where(part == i).toPandas())]
+    if not found:
+        found = [spark.createDataFrame([], f"{kinds}, sim double, value double")]
+    near = found[0]
+    for more in found[1:]:
+        near = near.union(more)
+    if len(found) > 1:
+        near = near.groupBy("vec_id", "rgrp").agg(F.min_by(F.struct("ref", "sim", "value"), F.struct(-F.col("sim"), F.col("ref"))).alias("x")).select("vec_id", "rgrp", "x.*")
     top = Window.partitionBy("vec_id").orderBy(F.desc("sim"), "ref")
-    kept = sim.withColumn("a", F.row_number().over(one)).where("a = 1").withColumn("b", F.row_number().over(top)).where(F.col("b") <= k)
-    best = kept.withColumn("top", F.max("sim").over(Window.partitionBy("vec_id"))).withColumn("w", F.exp((F.col("sim") - F.col("top")) / temperature))
-    return best.groupBy("vec_id").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"), F.count("*").alias("effective_k"))
+    best = near.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k).withColumn("_top", F.first("sim").over(top))
+    weight = F.exp((F.col("sim") - F.col("_top")) / temperature)
+    out = best.groupBy("vec_id").agg((F.sum(weight * F.col("value")) / F.sum(weight)).alias("value"), F.count("*").alias("effective_k"))
+    if not strict:
+        return out
+    gone = F.raise_error(F.concat(F.lit("no reference for "), F.col("vec_id").cast("string"))).cast("long")
+    return queries.select("vec_id").join(out, "vec_id", "left").withColumn("effective_k", F.coalesce("effective_k", gone))

@@ -95,6 +95,17 @@ def flag_policy(flag: Column) -> Column:
     return F.when(flag, "dominate").otherwise("ignore")
 
 
+def keyed_items(samples: DataFrame, group: Column, calibration: DataFrame) -> DataFrame:
+    """items with group_id, query_key (the query in lower case, white space collapsed) and split: calibration
+    for the groups of that table, heldout for others."""
+    from ..functions import text as T
+
+    rows = samples.select("sample_id", group.cast("string").alias("group_id"), T.normalize_plain(F.col("query")).alias("query_key"))
+    cal = calibration.select(F.col("group_id").cast("string").alias("group_id")).distinct().withColumn("split", F.lit("calibration"))
+    keys = rows.join(cal, "group_id", "left").na.fill("heldout", ["split"])
+    return items(samples).join(keys, "sample_id")
+
+
 def items(samples: DataFrame) -> DataFrame:
     """One row per memory: keys, position, uid = sample_id::memory_id."""
     return samples.select("source", "sample_id", F.posexplode("memories").alias("pos", "m")).select(
@@ -117,13 +128,16 @@ def expand_levels(rows: DataFrame, levels: list[int], uncontrolled: bool = False
     return kept.withColumn("level", F.explode(F.array(*options)))
 
 
-def chosen_policies(memories: DataFrame, predictions: DataFrame | None, source: str) -> DataFrame:
-    """policy per memory: gold, all_support, or predicted (null where a prediction is missing)."""
+def chosen_policies(memories: DataFrame, predictions: DataFrame | None, source: str, strict: bool = False) -> DataFrame:
+    """policy per memory: gold, all_support, or predicted (null where a prediction is missing, an error if
+    strict)."""
     if source == "gold":
         return memories.withColumn("policy", F.col("gold_policy"))
     if source == "all_support":
         return memories.withColumn("policy", F.lit("support"))
-    return memories.join(predictions.select("uid", F.col("policy").alias("policy")), "uid", "left")
+    found = memories.join(predictions.select("uid", F.col("policy").alias("policy")), "uid", "left")
+    gone = F.raise_error(F.concat(F.lit("no prediction for "), F.col("uid"))).cast("string")
+    return found.withColumn("policy", F.coalesce("policy", gone)) if strict else found
 
 
 def by_cardinality(samples: DataFrame, kind: str) -> DataFrame:
@@ -170,19 +184,86 @@ def removal_sets(samples: DataFrame, kinds: tuple[str, ...] = ("full", "without"
     return samples.select("sample_id", F.posexplode(streams).alias("stream", "s")).select("sample_id", "stream", "s.*")
 
 
-def stream_count(mode: str, coefficients: Column) -> Column:
-    """Decoder streams of a sample: memories with coefficient 0 need none."""
-    active = F.size(F.filter(coefficients, lambda c: c != 0))
+def stream_count(mode: str, coefficients: Column, policies: Column | None = None) -> Column:
+    """Decoder streams of a sample. A stream or several for each memory, whatever its coefficient, but where
+    streams stand for signs (policy_grouped, policy_ordered) or for the memories that act on a base without the
+    ignored ones (grouped: another policy than ignore, and a coefficient that isn't 0)."""
+    n = F.size(coefficients)
     signs = F.exists(coefficients, lambda c: c > 0).cast("int") + F.exists(coefficients, lambda c: c < 0).cast("int")
-    return {"leave_one_out": 1 + active, "isolated": 1 + 2 * active, "hybrid": 1 + 3 * active, "policy_grouped": 1 + signs}[mode]
+    if mode == "grouped":
+        if policies is None:
+            raise ValueError("grouped streams depend on the policies")
+        return 1 + F.size(F.filter(F.zip_with(coefficients, policies, lambda c, p: (c != 0) & (p != "ignore")), lambda x: x))
+    return {"leave_one_out": 1 + n, "isolated": 1 + 2 * n, "joint_isolated": 1 + 2 * n, "hybrid": 1 + 3 * n, "policy_grouped": 1 + signs, "policy_ordered": 1 + signs}[mode]
+
+
+#: The layouts of counterfactual streams.
+LAYOUTS = ("leave_one_out", "isolated", "joint_isolated", "hybrid", "policy_grouped", "policy_ordered", "grouped")
+
+
+def stream_layout(samples: DataFrame, layout: str) -> DataFrame:
+    """sample_id, stream, kind, kept (memory ids, in their order): the prompts of a layout, one row each.
+    memories need a coefficient c."""
+    ids = lambda keep: F.transform(F.filter("memories", keep), lambda m: m["memory_id"])
+    everyone, positive, negative = ids(lambda m: F.lit(True)), ids(lambda m: m["c"] > 0), ids(lambda m: m["c"] < 0)
+    clean = F.array_except(everyone, negative)
+    row = lambda kind, kept: F.struct(F.lit(kind).alias("kind"), kept.alias("kept"))
+    one = lambda kind, kept: F.array(row(kind, kept))
+    each = lambda kind, kept, of=everyone: F.transform(of, lambda m: row(kind, kept(m)))
+    only, without, nobody = (lambda m: F.array(m)), (lambda m: F.array_except(everyone, F.array(m))), F.array().cast("array<string>")
+    some = lambda found, kind, kept: F.when(F.size(found) > 0, one(kind, kept)).otherwise(F.array().cast("array<struct<kind:string,kept:array<string>>>"))
+    pairs = lambda *made: F.flatten(F.transform(everyone, lambda m: F.array(*[row(k, f(m)) for k, f in made])))
+    streams = {
+        "leave_one_out": lambda: F.concat(one("full", everyone), each("without", without)),
+        "isolated": lambda: F.concat(one("full", everyone), pairs(("only", only), ("empty", lambda m: nobody))),
+        "joint_isolated": lambda: F.concat(one("clean", clean), pairs(("only", only), ("empty", lambda m: nobody))),
+        "hybrid": lambda: F.concat(one("full", everyone), pairs(("only", only), ("empty", lambda m: nobody), ("without", without))),
+        "policy_grouped": lambda: F.concat(one("full", everyone), some(negative, "without_negative", clean), some(positive, "without_positive", F.array_except(everyone, positive))),
+        "policy_ordered": lambda: F.concat(one("full", everyone), some(negative, "clean", clean), some(positive, "without_positive", F.array_except(clean, positive))),
+        "grouped": lambda: F.concat(one("clean", clean), each("clean_without", lambda m: F.array_except(clean, F.array(m)), positive)),
+    }[layout]()
+    return samples.select("sample_id", F.posexplode(streams).alias("stream", "s")).select("sample_id", "stream", "s.kind", "s.kept")
+
+
+def project_split(samples: DataFrame, project: str, share: float, seed: int) -> DataFrame:
+    """samples with split: whole projects go to extraction (the first share of them by seeded hash) or
+    evaluation, so no project is in both."""
+    from .ranking import hash_rank
+
+    projects = hash_rank(samples.select(project).distinct(), project, seed)
+    cut = projects.agg(F.floor(F.count("*") * share).alias("cut"))
+    sides = projects.join(F.broadcast(cut)).select(project, F.when(F.col("rank") <= F.col("cut"), "extraction").otherwise("evaluation").alias("split"))
+    return samples.join(sides, project)
+
+
+def head_per(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each by-key in order."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def native_records(samples: DataFrame, labels: dict[str, str], by_regime: bool = True, group: Column | None = None) -> DataFrame:
+    """One row per memory: sample_id, memory_id, group_id, regime (single or multi, or all), label (by the given
+    mapping of policies; another policy is an error), original_policy."""
+    regime = F.when(F.size("memories") == 1, "single").otherwise("multi") if by_regime else F.lit("all")
+    rows = samples.select("sample_id", (F.col("sample_id") if group is None else group).cast("string").alias("group_id"), regime.alias("regime"), F.explode("memories").alias("m"))
+    label = lookup(labels, F.col("m.gold_policy"))
+    checked = F.coalesce(label, F.raise_error(F.concat(F.lit("unexpected label "), F.col("m.gold_policy"))).cast("string"))
+    return rows.select("sample_id", F.col("m.memory_id").alias("memory_id"), "group_id", "regime", checked.alias("label"), F.col("m.gold_policy").alias("original_policy"))
 
 
-def judge_tasks(samples: DataFrame) -> DataFrame:
-    """One task per memory and one for completeness."""
+def judge_tasks(samples: DataFrame, native: bool = False) -> DataFrame:
+    """One task per memory (kind preference) and one for completeness; one of kind native for each sample if
+    native."""
+    nobody = F.lit(None).cast("string").alias("memory_id")
     tasks = F.concat(
-        F.transform("memories", lambda m: F.struct(F.lit("memory").alias("kind"), m["memory_id"].alias("memory_id"))),
-        F.array(F.struct(F.lit("completeness").alias("kind"), F.lit(None).cast("string").alias("memory_id"))),
+        F.transform("memories", lambda m: F.struct(F.lit("preference").alias("kind"), m["memory_id"].alias("memory_id"))),
+        F.array(F.struct(F.lit("completeness").alias("kind"), nobody)),
     )
+    if native:
+        tasks = F.array(F.struct(F.lit("native").alias("kind"), nobody))
     return samples.select("sample_id", F.explode(tasks).alias("t")).select(
         "sample_id", "t.*", F.concat_ws("::", "sample_id", "t.kind", "t.memory_id").alias("key")
     )

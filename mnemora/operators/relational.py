@@ -19,6 +19,14 @@ def matching_hash(left: DataFrame, right: DataFrame, on: str, text: str, digest:
     return left.join(right, on).where(F.sha2(F.col(text), 256) == F.col(digest))
 
 
+def aligned(rows: DataFrame, source: DataFrame, on: list[str], position: str) -> DataFrame:
+    """rows with the source's columns of their key, each row's position kept as a column; a row without a source row
+    is an error, and so is a key that the source has twice."""
+    once = source.groupBy(*on).agg(F.count("*").alias("_c"), *[F.first(c).alias(c) for c in source.columns if c not in on])
+    checked = F.when(F.col("_c") == 1, F.col(position)).otherwise(F.raise_error(F.concat(F.lit("not one source row for "), F.concat_ws("::", *on))).cast(rows.schema[position].dataType))
+    return rows.join(once, on, "left").withColumn(position, checked).drop("_c")
+
+
 def divide(required: DataFrame, present: DataFrame, group: str, key: list[str]) -> DataFrame:
     """Groups all of whose required keys are present."""
     hit = required.join(present.select(*key).distinct().withColumn("_hit", F.lit(True)), key, "left")

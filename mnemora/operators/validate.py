@@ -16,17 +16,23 @@ def unique(rows: DataFrame, keys: list[str], name: str = "unique") -> DataFrame:
     return _said(found, name, F.concat_ws("::", *keys), F.col("n"))
 
 
-def predictions(rows: DataFrame) -> DataFrame:
-    """uid is sample::memory, a finite coefficient, a known split, one split per sample."""
+#: The splits a group can be in.
+SPLITS = ("calibration", "heldout")
+
+
+def predictions(rows: DataFrame, memories: DataFrame | None = None) -> DataFrame:
+    """uid is sample::memory, a finite coefficient, a known split, one split per sample; with memories
+    (sample_id, memory_id) a prediction for each of them and for no other."""
     bad = F.concat_ws(
         ",",
         F.when(F.col("uid") != F.concat_ws("::", "sample_id", "memory_id"), "uid"),
         F.when(F.col("coefficient").isNull() | F.isnan("coefficient") | (F.abs("coefficient") == float("inf")), "coefficient"),
-        F.when(~F.col("split").isin("calibration", "evaluation"), "split"),
+        F.when(F.col("split").isNull() | ~F.col("split").isin(*SPLITS), "split"),
     )
     each = _said(rows.withColumn("_bad", bad).where("_bad <> ''"), "prediction", F.col("uid"), F.col("_bad"))
     mixed = rows.groupBy("sample_id").agg(F.countDistinct("split").alias("n")).where("n > 1")
-    return unique(rows, ["uid"]).unionByName(each).unionByName(_said(mixed, "one_split", F.col("sample_id"), F.col("n")))
+    found = unique(rows, ["uid"]).unionByName(each).unionByName(_said(mixed, "one_split", F.col("sample_id"), F.col("n")))
+    return found if memories is None else found.unionByName(coverage(memories, rows, ["sample_id", "memory_id"]))
 
 
 def coverage(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,10 +44,11 @@ def coverage(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFram
 
 
 def calibration(groups: DataFrame, group: str, split: str, most: float = 0.2) -> DataFrame:
-    """No group in two splits; at most a share of all groups in calibration."""
+    """Known splits, no group in two of them; at most a share of all groups in calibration."""
+    unknown = groups.where(F.col(split).isNull() | ~F.col(split).isin(*SPLITS)).select(group, split).distinct()
     two = groups.groupBy(group).agg(F.countDistinct(split).alias("n")).where("n > 1")
     part = groups.select(group, split).distinct().agg((F.count_if(F.col(split) == "calibration") / F.countDistinct(group)).alias("share")).where(F.col("share") > most)
-    return _said(two, "conflict", F.col(group), F.col("n")).unionByName(_said(part, "calibration_share", F.lit("all"), F.round("share", 6)))
+    return _said(two, "conflict", F.col(group), F.col("n")).unionByName(_said(part, "calibration_share", F.lit("all"), F.round("share", 6))).unionByName(_said(unknown, "split", F.col(group), F.col(split)))
 
 
 def complete_levels(rows: DataFrame, group: str, level: str, levels: list[int]) -> DataFrame:
@@ -97,6 +104,77 @@ def single_line(rows: DataFrame, key: str, text: str, line: str) -> DataFrame:
     return _said(rows.withColumn("_n", n).where("_n <> 1"), "line", F.col(key), F.col("_n"))
 
 
+def artifact(rows: DataFrame, source: DataFrame, vector: str, layers: int, width: int) -> DataFrame:
+    """Rows (sample_id, memory_id, group_id, gold_policy, vector as layers of vectors) against source rows of the
+    same keys: each key once and in both, group and policy as in the source, so many layers of finite vectors."""
+    keys = ["sample_id", "memory_id"]
+    key = F.concat_ws("::", *keys)
+    both = rows.join(source.select(*keys, F.col("group_id").alias("_g"), F.col("gold_policy").alias("_p")), keys)
+    v = F.col(vector)
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    bad = F.concat_ws(
+        ",",
+        F.when(F.col("group_id").isNotNull() & (F.col("group_id") != F.col("_g")), "group"),
+        F.when(F.col("gold_policy").isNotNull() & (F.col("gold_policy") != F.col("_p")), "policy"),
+        F.when((F.size(v) != layers) | F.exists(v, lambda x: F.size(x) != width), "shape"),
+        F.when(F.exists(v, lambda x: F.exists(x, odd)), "not finite"),
+    )
+    each = _said(both.withColumn("_bad", bad).where("_bad <> ''"), "artifact", key, F.col("_bad"))
+    return unique(rows, keys).unionByName(coverage(source, rows, keys)).unionByName(each)
+
+
+def overlap(counts: DataFrame) -> DataFrame:
+    """overlap_counts of a source and a target: no common value of any key."""
+    return _said(counts.where("common > 0"), "overlap", F.col("name"), F.col("common"))
+
+
+def families(rows: DataFrame, group: str, level: str, rows_wanted: int, families_wanted: int, levels: list[int]) -> DataFrame:
+    """So many rows in so many families, every family with each level once."""
+    sizes = rows.agg(F.count("*").alias("r"), F.countDistinct(group).alias("f")).where((F.col("r") != rows_wanted) | (F.col("f") != families_wanted))
+    return _said(sizes, "families", F.lit("all"), F.concat_ws("/", "r", "f")).unionByName(complete_levels(rows, group, level, levels))
+
+
+def judgments(generations: DataFrame, records: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """generations (sample_id, generated_text) once each and all in the benchmark; records (sample_id, kind,
+    memory_id, status, judge_result, generation_sha256) of generations, made from the text that is there, and
+    without two valid ones of one key that differ."""
+    strange = generations.select("sample_id").join(benchmark, "sample_id", "left_anti")
+    lost = records.select("sample_id").distinct().join(generations, "sample_id", "left_anti")
+    other = records.join(generations, "sample_id").where(~F.sha2("generated_text", 256).eqNullSafe(F.col("generation_sha256")))
+    valid = records.where("status = 'ok'").groupBy("sample_id", "kind", "memory_id").agg(F.countDistinct("judge_result").alias("n")).where("n > 1")
+    key = F.concat_ws("::", "sample_id", "kind", "memory_id")
+    return (
+        unique(generations, ["sample_id"])
+        .unionByName(_said(strange, "not in the benchmark", F.col("sample_id"), F.lit("")))
+        .unionByName(_said(lost, "not generated", F.col("sample_id"), F.lit("")))
+        .unionByName(_said(other, "other text", key, F.col("generation_sha256")))
+        .unionByName(_said(valid, "conflict", key, F.col("n")))
+    )
+
+
+def prompts(rows: DataFrame, key: str, rendered: str, native: str, spans: Column, memories: Column) -> DataFrame:
+    """Rendered prompts that aren't the native ones, and memories without a span (spans, memories: arrays of ids)."""
+    changed = _said(rows.where(~F.col(rendered).eqNullSafe(F.col(native))), "prompt", F.col(key), F.lit(""))
+    gone = rows.withColumn("_gone", F.sort_array(F.array_except(memories, spans))).where(F.size("_gone") > 0)
+    return changed.unionByName(_said(gone, "span", F.col(key), F.array_join("_gone", ",")))
+
+
+def disjoint(rows: DataFrame, key: str, split: str) -> DataFrame:
+    """Keys (projects, say) in more than one split."""
+    found = rows.groupBy(key).agg(F.countDistinct(split).alias("n")).where("n > 1")
+    return _said(found, "overlap", F.col(key), F.col("n"))
+
+
+def kept_inputs(now: DataFrame, before: DataFrame, expected: int | None = None) -> DataFrame:
+    """Files (path, bytes) that are gone, or shorter than they were; more files than expected."""
+    old = before.select("path", F.col("bytes").alias("_b"))
+    both = old.join(now, "path", "left")
+    found = _said(both.where("bytes is null"), "replaced", F.col("path"), F.lit("")).unionByName(_said(both.where("bytes < _b"), "truncated", F.col("path"), F.col("bytes")))
+    if expected is not None:
+        found = found.unionByName(_said(now.agg(F.count("*").alias("n")).where(F.col("n") > expected), "too many", F.lit("all"), F.col("n")))
+    return found
+
+
 def require(violations: DataFrame) -> None:
     first = violations.limit(5).collect()
     if first:

@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-LAYERS, WIDTH, RES = 4, 16, 8
+LAYERS, WIDTH, RES = 4, 16, 64
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -82,14 +82,14 @@ LONG = f"long AS (SELECT vec_id, layer, cls, regime, grp, unnest(v) AS x, unnest
 
 
 def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k, full, w0, w1 (RES wide), c0, c1: blocks of three embeddings as [full, without 0, without 1]."""
-    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") / 3).cast("long").alias("k"), (F.col("vec_id") % 3).alias("j"), F.slice(V.vec("embedding"), 1, RES).alias("v"))
+    """k, full, w0, w1 (whole embeddings, RES wide), c0, c1: three embeddings as [full, without 0, without 1]."""
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") / 3).cast("long").alias("k"), (F.col("vec_id") % 3).alias("j"), V.vec("embedding").alias("v"))
     part = lambda j: F.max(F.when(F.col("j") == j, F.col("v")))
     r = e.groupBy("k").agg(part(0).alias("full"), part(1).alias("w0"), part(2).alias("w1")).where("w1 is not null")
     return r.withColumn("c0", (F.col("k") % 3 - 1).cast("double")).withColumn("c1", ((F.col("k") + 1) % 3 - 1).cast("double"))
 
 
-RESID = f"""r AS (SELECT * FROM (SELECT vec_id // 3 AS k, max(CASE WHEN vec_id%3=0 THEN CAST(embedding AS DOUBLE[])[1:{RES}] END) AS f,
- max(CASE WHEN vec_id%3=1 THEN CAST(embedding AS DOUBLE[])[1:{RES}] END) AS w0, max(CASE WHEN vec_id%3=2 THEN CAST(embedding AS DOUBLE[])[1:{RES}] END) AS w1,
+RESID = f"""r AS (SELECT * FROM (SELECT vec_id // 3 AS k, max(CASE WHEN vec_id%3=0 THEN CAST(embedding AS DOUBLE[]) END) AS f,
+ max(CASE WHEN vec_id%3=1 THEN CAST(embedding AS DOUBLE[]) END) AS w0, max(CASE WHEN vec_id%3=2 THEN CAST(embedding AS DOUBLE[]) END) AS w1,
  CAST((vec_id//3)%3-1 AS DOUBLE) AS c0, CAST(((vec_id//3)+1)%3-1 AS DOUBLE) AS c1 FROM embeddings GROUP BY vec_id // 3) WHERE w1 IS NOT NULL)"""
 LONGR = f"""rl AS (SELECT k, c0, c1, unnest(f) AS f, unnest(w0) AS w0, unnest(w1) AS w1, unnest(range({RES})) AS dim FROM r)"""

@@ -75,12 +75,12 @@ def centroid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SIG}, q AS (SELECT vec_id, grp, list(v ORDER BY layer) AS vs FROM sig GROUP BY ALL), n AS (SELECT vec_id, grp, list_transform(vs, lambda v: list_transform(v, lambda x: x/greatest(sqrt(list_sum(list_transform(v, lambda y: y*y))),1e-6))) AS vs FROM q),
- r AS (SELECT * FROM n WHERE grp<5), s AS (SELECT a.vec_id, b.vec_id AS ref, b.grp AS rgrp, CAST(b.vec_id%3-1 AS DOUBLE) AS value, round(list_dot_product(flatten(a.vs), flatten(b.vs))/{LAYERS},9) AS sim FROM n a JOIN r b ON a.grp<>b.grp AND a.vec_id%7<>b.vec_id%7),
+ r AS (SELECT * FROM n WHERE grp<10), s AS (SELECT a.vec_id, b.vec_id AS ref, b.grp AS rgrp, CAST(b.vec_id%3-1 AS DOUBLE) AS value, round(list_dot_product(flatten(a.vs), flatten(b.vs))/{LAYERS},9) AS sim FROM n a JOIN r b ON a.grp<>b.grp AND a.vec_id%7<>b.vec_id%7),
  o AS (SELECT *, row_number() OVER (PARTITION BY vec_id, rgrp ORDER BY sim DESC, ref) AS a FROM s), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, ref) AS b FROM o WHERE a=1),
  w AS (SELECT vec_id, value, exp((sim-max(sim) OVER (PARTITION BY vec_id))/0.1) AS w FROM t WHERE b<=3) SELECT vec_id, round(sum(w*value)/sum(w),6)+0.0 AS value, count(*) AS effective_k FROM w GROUP BY 1""")
 def knn_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(
         "vec_id", (F.col("vec_id") % 25).alias("grp"), (F.col("vec_id") % 7).alias("query_key"), V.blocks(V.vec("embedding"), LAYERS, WIDTH).alias("layers"), (F.col("vec_id") % 3 - 1).cast("double").alias("value")
     )
-    n = O.nearest(e, e.where("grp < 5"), 3, 0.1)
+    n = O.nearest(e, e.where("grp < 10"), 3, 0.1)
     return n.select("vec_id", r6(F.col("value")).alias("value"), "effective_k")

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import records as R
 from ..operators import relational as J
 from ..operators import unify as U
 from .base import ITEMS, items, query, r6, samples, table
 
+#: SQL's pattern for three equal letters or digits in a row.
+TRIPLE = "|".join(3 * c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
 
 @query(f"""WITH {ITEMS} SELECT policy, count(*) AS n, count(DISTINCT sample_id) AS samples, round(count(*)*1.0/count(DISTINCT sample_id),6) AS per_sample FROM items GROUP BY policy""")
 def policy_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,12 +92,14 @@ def ablation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ITEMS}, c AS (SELECT sample_id, CASE policy WHEN 'ignore' THEN -1.0 WHEN 'support' THEN 0.0 ELSE 1.0 END AS c FROM items)
  SELECT sample_id, count(*) FILTER (WHERE c>0) AS positive, count(*) FILTER (WHERE c<0) AS negative, count(*) FILTER (WHERE c=0) AS zero,
- CAST(1+2*count(*) FILTER (WHERE c<>0) AS BIGINT) AS isolated_streams, CAST(1 + max(CASE WHEN c>0 THEN 1 ELSE 0 END)+max(CASE WHEN c<0 THEN 1 ELSE 0 END) AS BIGINT) AS grouped_streams FROM c GROUP BY sample_id""")
+ CAST(1+count(*) AS BIGINT) AS leave_one_out_streams, CAST(1+2*count(*) AS BIGINT) AS isolated_streams, CAST(1+3*count(*) AS BIGINT) AS hybrid_streams, CAST(1+count(*) FILTER (WHERE c>0) AS BIGINT) AS clean_streams, CAST(1 + max(CASE WHEN c>0 THEN 1 ELSE 0 END)+max(CASE WHEN c<0 THEN 1 ELSE 0 END) AS BIGINT) AS grouped_streams FROM c GROUP BY sample_id""")
 def sign_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = samples(spark, sf_dir).withColumn("cs", F.transform("memories", lambda m: F.struct(m["memory_id"].alias("memory_id"), R.coefficient(F.lit(None).cast("double"), m["gold_policy"]).alias("c"))))
+    s = samples(spark, sf_dir).withColumn("cs", F.transform("memories", lambda m: F.struct(m["memory_id"].alias("memory_id"), R.coefficient(F.lit(None).cast("double"), m["gold_policy"]).alias("c"), m["gold_policy"].alias("p"))))
     n = lambda sign, name: F.size(R.by_sign(F.col("cs"), sign)).cast("long").alias(name)
     flat = F.transform("cs", lambda x: x["c"])
-    return s.select("sample_id", n(1, "positive"), n(-1, "negative"), n(0, "zero"), R.stream_count("isolated", flat).cast("long").alias("isolated_streams"), R.stream_count("policy_grouped", flat).cast("long").alias("grouped_streams"))
+    streams = {"leave_one_out": "leave_one_out_streams", "isolated": "isolated_streams", "hybrid": "hybrid_streams", "grouped": "clean_streams", "policy_grouped": "grouped_streams"}
+    policies = F.transform("cs", lambda x: x["p"])
+    return s.select("sample_id", n(1, "positive"), n(-1, "negative"), n(0, "zero"), *[R.stream_count(m, flat, policies).cast("long").alias(c) for m, c in streams.items()])
 
 
 @query(f"""WITH {ITEMS} SELECT sample_id, memory_id FROM items WHERE sample_id IN (SELECT sample_id FROM items GROUP BY 1 HAVING count(*)>=5)""")
@@ -126,9 +132,10 @@ def composite_left_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("sample_id", "memory_id", F.col("policy").alias("gold")).join(known, ["sample_id", "memory_id"], "left")
 
 
-@query(f"""WITH {ITEMS} SELECT sample_id, 'memory' AS kind, concat(sample_id,'::memory::',memory_id) AS key FROM items UNION ALL SELECT DISTINCT sample_id, 'completeness', concat(sample_id,'::completeness') FROM items""")
+@query(f"""WITH {ITEMS} SELECT sample_id, 'preference' AS kind, concat(sample_id,'::preference::',memory_id) AS key FROM items UNION ALL SELECT DISTINCT sample_id, 'completeness', concat(sample_id,'::completeness') FROM items UNION ALL SELECT DISTINCT sample_id, 'native', concat(sample_id,'::native') FROM items""")
 def judge_task_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.judge_tasks(samples(spark, sf_dir)).select("sample_id", "kind", "key")
+    s = samples(spark, sf_dir)
+    return R.judge_tasks(s).unionByName(R.judge_tasks(s, native=True)).select("sample_id", "kind", "key")
 
 
 @query(f"""WITH {ITEMS}, n AS (SELECT sample_id, count(*) AS m FROM items GROUP BY 1)
@@ -159,9 +166,9 @@ def ordinal_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(r6(M.ordinal_error(F.col("l_orderkey") % 5 + 1, F.col("l_partkey") % 5 + 1)).alias("mae"))
 
 
-@query("""SELECT role, count(*) AS n, count(*) FILTER (WHERE length(text)>800) AS repeated, round(avg(CASE WHEN length(text)>800 THEN 1 ELSE 0 END),6) AS repeated_rate, round(avg(length(text)),6) AS mean_chars FROM conversations GROUP BY role""")
+@query(f"""SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text,'{TRIPLE}')) AS repeated, round(avg(CASE WHEN regexp_matches(text,'{TRIPLE}') THEN 1 ELSE 0 END),6) AS repeated_rate, round(avg(length(text)),6) AS mean_chars FROM conversations GROUP BY role""")
 def generation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = M.generation_quality(table(spark, sf_dir, "conversations"), ["role"], "text", F.length("text") > 800)
+    g = M.generation_quality(table(spark, sf_dir, "conversations"), ["role"], "text", T.has_single_repetition(F.col("text"), 3))
     return g.select("role", "n", "repeated", r6(F.col("repeated_rate")).alias("repeated_rate"), r6(F.col("mean_chars")).alias("mean_chars"))
 
 
@@ -198,11 +205,19 @@ def policy_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-@query(f"""WITH {ITEMS}, s AS (SELECT sample_id, bool_and(memory_id%7<>0) AS complete FROM items GROUP BY 1) SELECT count(*) AS generated, count(*) FILTER (WHERE complete) AS valid, count(*) FILTER (WHERE NOT complete) AS missing, string_agg(CASE WHEN NOT complete THEN sample_id END, ',' ORDER BY sample_id) AS incomplete FROM s""")
+@query(f"""WITH {ITEMS}, s AS (SELECT sample_id, bool_and(memory_id%7<>0) AS complete FROM items GROUP BY 1) SELECT count(*) AS generated, count(*) FILTER (WHERE complete) AS valid, count(*) FILTER (WHERE NOT complete) AS missing FROM s""")
 def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.coverage_summary(covered(spark, sf_dir))
+
+
+def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir).withColumn("key", F.concat_ws("::", "sample_id", "memory_id"))
-    done = M.coverage(i, i.select("sample_id", "key"), i.where("memory_id % 7 <> 0"))
-    return M.coverage_summary(done).withColumn("incomplete", F.array_join("incomplete", ","))
+    return M.coverage(i, i.select("sample_id", "key"), i.where("memory_id % 7 <> 0"))
+
+
+@query(f"""WITH {ITEMS} SELECT sample_id FROM items GROUP BY 1 HAVING NOT bool_and(memory_id%7<>0)""")
+def incomplete_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.incomplete(covered(spark, sf_dir))
 
 
 @query("""SELECT printf('multi_%04d', o_custkey%10000) AS sample_id, concat(printf('multi_%04d', o_custkey%10000),'_m',i) AS memory_id, CASE (o_orderkey+i)%3 WHEN 0 THEN 'ignore' WHEN 1 THEN 'support' ELSE 'dominate' END AS gold_policy, concat('t',i,' of ',o_orderkey) AS memory_text

@@ -41,13 +41,11 @@ def range_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("user_id").agg(F.count("*").alias("pairs"), F.sum(F.least("l_end", "r_end") - F.greatest("l_start", "r_start")).alias("seconds"))
 
 
-@query("""SELECT conv_id, turn, role, length(text) AS chars FROM conversations c WHERE EXISTS (SELECT 1 FROM (SELECT conv_id, sha256(text) AS h FROM conversations WHERE turn=0) f WHERE f.conv_id=c.conv_id AND f.h=sha256(c.text))""")
+@query("""SELECT c.conv_id, c.turn, c.role, f.turn AS said, length(c.text) AS chars FROM conversations c JOIN (SELECT conv_id, turn, sha256(text) AS h FROM conversations WHERE role='user') f ON f.conv_id=c.conv_id AND f.h=sha256(c.text)""")
 def hash_residual_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    first = c.where("turn = 0").select("conv_id", F.sha2("text", 256).alias("h")).distinct()
-    return J.semi(
-        c.withColumn("h", F.sha2("text", 256)), first, ["conv_id", "h"]
-    ).select("conv_id", "turn", "role", F.length("text").cast("long").alias("chars"))
+    said = c.where("role = 'user'").select("conv_id", F.col("turn").alias("said"), F.sha2("text", 256).alias("h"))
+    return J.matching_hash(c, said, "conv_id", "text", "h").select("conv_id", "turn", "role", "said", F.length("text").cast("long").alias("chars"))
 
 
 @query(f"""WITH {ITEMS}, g AS (SELECT DISTINCT sample_id FROM items) SELECT sample_id, row_number() OVER (ORDER BY sha256(concat('rq1-reference|42|',sample_id)), sample_id) AS rank FROM g""")
@@ -62,10 +60,17 @@ def stratified_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("source", K.allocation(F.floor(F.col("n") / 3) + 4, F.col("n") + 20, 0.2).alias("allocated"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {ITEMS}, h AS (SELECT sample_id, bool_or(policy='ignore')::INT AS i, bool_or(policy='support')::INT AS u, bool_or(policy='dominate')::INT AS d FROM items GROUP BY 1),
+ g AS (SELECT *, row_number() OVER (ORDER BY sha256(concat('rq1-reference|42|',sample_id)), sample_id) AS rank FROM h),
+ s AS (SELECT -1::BIGINT AS turn, []::VARCHAR[] AS chosen, 0 AS a, 0 AS b, 0 AS c UNION ALL
+ SELECT turn+1, list_append(chosen, x.k), a+x.i, b+x.u, c+x.d FROM (SELECT s.turn, s.chosen, s.a, s.b, s.c, arg_max(struct_pack(k := g.sample_id, i := g.i, u := g.u, d := g.d), ((s.a<2)::BIGINT*g.i+(s.b<2)::BIGINT*g.u+(s.c<2)::BIGINT*g.d)*1000000000 - g.rank) AS x
+ FROM s JOIN g ON NOT list_contains(s.chosen, g.sample_id) WHERE s.turn < 7 GROUP BY ALL))
+ SELECT turn, chosen[len(chosen)] AS sample_id FROM s WHERE turn >= 0"""
+)
 def greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = items(spark, sf_dir).groupBy("sample_id").agg(F.sort_array(F.collect_set("policy")).alias("labels"))
-    chosen = K.greedy_cover(K.hash_rank(g, "sample_id", 42), "sample_id", "labels", "rank", 2, 8)
+    chosen = K.greedy_cover(K.hash_rank(g, "sample_id", 42), "sample_id", "labels", "rank", ["ignore", "support", "dominate"], 2, 8)
     return spark.createDataFrame([(i, k) for i, k in enumerate(chosen)], "turn long, sample_id string")
 
 
@@ -104,13 +109,18 @@ def journal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.summary(L.rollup(journal(spark, sf_dir), ["key"], "event_id", "status", "value"), expected, "key").withColumn("coverage", r6(F.col("coverage")))
 
 
-@query("""SELECT user_id, round(list_reduce(list(value ORDER BY event_id), lambda a, x: a*0.8+x*0.2),6) AS latency, count(*) AS n FROM events GROUP BY 1""")
+@query("""SELECT user_id, round(list_reduce(list_prepend(30.0::DOUBLE, list(value ORDER BY event_id)), lambda a, x: a*0.8+x*0.2),6) AS latency, count(*) AS n FROM events GROUP BY 1""")
 def ewma_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("x"), F.count("*").alias("n"))
-    return e.select("user_id", r6(L.ewma(F.transform("x", lambda x: x["value"]))).alias("latency"), "n")
+    e = L.ewma(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value")
+    return e.select("user_id", r6(F.col("latency")).alias("latency"), "n")
 
 
-@query()
+ROUTER = """e AS (SELECT CAST(user_id AS VARCHAR) AS u, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, value AS v, event_type='error' AS f, event_id AS o FROM events),
+ s AS (SELECT DISTINCT u, 0::BIGINT AS i, 30.0::DOUBLE AS l, 0::BIGINT AS k, 0.0::DOUBLE AS t FROM e UNION ALL
+ SELECT s.u, e.i, CASE WHEN e.f THEN greatest(90.0, s.l) ELSE 0.8*s.l+0.2*e.v END, CASE WHEN e.f THEN s.k+1 ELSE 0 END, CASE WHEN e.f THEN e.o+least(600.0, 60*power(2, least(s.k+1,3))) ELSE s.t END FROM s JOIN e ON e.u=s.u AND e.i=s.i+1)"""
+
+
+@query(f"""WITH RECURSIVE {ROUTER} SELECT u AS user_id, round(arg_max(l,i),6) AS latency, CAST(max(i) AS INT) AS count, CAST(arg_max(k,i) AS INT) AS failures, arg_max(t,i) AS until FROM s GROUP BY 1""")
 def router_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("failed", F.col("event_type") == "error")
     return L.router_replay(e.withColumn("user_id", F.col("user_id").cast("string")), "user_id", "event_id", "value", "failed").withColumn("latency", r6(F.col("latency")))
@@ -137,14 +147,17 @@ def transport_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""WITH d AS (SELECT DISTINCT trim(regexp_replace(lower(text),'\s+',' ','g')) AS t FROM documents), b AS (SELECT DISTINCT trim(regexp_replace(lower(text),'\s+',' ','g')) AS t FROM benchmark),
- dp AS (SELECT DISTINCT substr(t,1,20) AS t FROM d), bp AS (SELECT DISTINCT substr(t,1,20) AS t FROM b)
+ dp AS (SELECT DISTINCT sha256(t) AS t FROM d), bp AS (SELECT DISTINCT sha256(t) AS t FROM b)
  SELECT 'text' AS name, (SELECT count(*) FROM d) AS "left", (SELECT count(*) FROM b) AS "right", (SELECT count(*) FROM d JOIN b USING (t)) AS common
- UNION ALL SELECT 'head', (SELECT count(*) FROM dp), (SELECT count(*) FROM bp), (SELECT count(*) FROM dp JOIN bp USING (t))"""
+ UNION ALL SELECT 'digest', (SELECT count(*) FROM dp), (SELECT count(*) FROM bp), (SELECT count(*) FROM dp JOIN bp USING (t))
+ UNION ALL SELECT 'sample_id', (SELECT count(DISTINCT doc_id) FROM documents), (SELECT count(DISTINCT item_id) FROM benchmark), (SELECT count(DISTINCT doc_id) FROM documents JOIN benchmark ON doc_id=item_id)
+ UNION ALL SELECT 'group_id', (SELECT count(DISTINCT doc_id%97) FROM documents), (SELECT count(DISTINCT item_id%89) FROM benchmark), (SELECT count(DISTINCT doc_id%97) FROM documents WHERE doc_id%97 IN (SELECT item_id%89 FROM benchmark))"""
 )
 def normalize_key_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, b = table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "benchmark").select("text")
-    t = T.normalize_plain(F.col("text"))
-    return J.overlap_counts(d, b, {"text": (t, t), "head": (F.substring(t, 1, 20), F.substring(t, 1, 20))})
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    t, s = T.normalize_plain(F.col("text")), lambda c: c.cast("string")
+    keys = {"text": (t, t), "digest": (F.sha2(t, 256), F.sha2(t, 256)), "sample_id": (s(F.col("doc_id")), s(F.col("item_id"))), "group_id": (s(F.col("doc_id") % 97), s(F.col("item_id") % 89))}
+    return J.overlap_counts(d, b, keys)
 
 
 @query()
@@ -179,7 +192,7 @@ def proper_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT concat(o_custkey,'::',o_orderkey) AS uid, o_custkey AS sample_id, o_orderkey AS memory_id, CASE WHEN o_orderkey%50=0 THEN NULL ELSE o_totalprice END AS coefficient, CASE o_orderstatus WHEN 'F' THEN 'calibration' WHEN 'O' THEN 'evaluation' ELSE 'other' END AS split FROM orders),
+    """WITH p AS (SELECT concat(o_custkey,'::',o_orderkey) AS uid, o_custkey AS sample_id, o_orderkey AS memory_id, CASE WHEN o_orderkey%50=0 THEN NULL ELSE o_totalprice END AS coefficient, CASE o_orderstatus WHEN 'F' THEN 'calibration' WHEN 'O' THEN 'heldout' ELSE 'other' END AS split FROM orders),
  v AS (SELECT 'prediction' AS c, concat_ws(',', CASE WHEN coefficient IS NULL THEN 'coefficient' END, CASE WHEN split='other' THEN 'split' END) AS d FROM p WHERE coefficient IS NULL OR split='other'
  UNION ALL SELECT 'one_split', CAST(count(DISTINCT split) AS VARCHAR) FROM p GROUP BY sample_id HAVING count(DISTINCT split)>1
  UNION ALL SELECT 'missing', '' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
@@ -190,7 +203,7 @@ def proper_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c, l = (table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
-    split = F.when(F.col("o_orderstatus") == "F", "calibration").when(F.col("o_orderstatus") == "O", "evaluation").otherwise("other")
+    split = F.when(F.col("o_orderstatus") == "F", "calibration").when(F.col("o_orderstatus") == "O", "heldout").otherwise("other")
     p = o.select(
         F.concat_ws("::", "o_custkey", "o_orderkey").alias("uid"), F.col("o_custkey").cast("string").alias("sample_id"), F.col("o_orderkey").cast("string").alias("memory_id"),
         F.when(F.col("o_orderkey") % 50 != 0, F.col("o_totalprice")).alias("coefficient"), split.alias("split"),

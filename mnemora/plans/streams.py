@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,15 @@ from pyspark.sql import functions as F
 
 from ..streaming import journal as S
 from .base import query, r6
+from .relations import ROUTER
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="mnemora-")
+    """A new folder under spark.checkpoint.dir; where that is unset, under the warehouse, which a cluster's driver
+    and executors share as well."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -76,9 +77,9 @@ def stream_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drain_to_files(out, spark, folder(spark, "pending"), folder(spark, "pending-log"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ROUTER} SELECT u AS endpoint, round(arg_max(l,i),6) AS latency, max(i) AS count, arg_max(k,i) AS failures, arg_max(t,i) AS until FROM s GROUP BY 1""")
 def stream_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("endpoint"), F.col("value").alias("latency"), (F.col("event_type") == "error").alias("failed"), F.col("event_id").alias("o"))
     out = S.update_batches(S.router(rows, "endpoint", "latency", "failed", "o"), spark, folder(spark, "router"), folder(spark, "router-log"))
-    last = out.groupBy("endpoint").agg(F.max_by(F.struct("latency", "count", "failures"), "batch").alias("x"))
-    return last.select("endpoint", r6(F.col("x.latency")).alias("latency"), "x.count", "x.failures")
+    last = out.groupBy("endpoint").agg(F.max_by(F.struct("latency", "count", "failures", "until"), "batch").alias("x"))
+    return last.select("endpoint", r6(F.col("x.latency")).alias("latency"), "x.count", "x.failures", "x.until")

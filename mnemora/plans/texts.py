@@ -65,11 +65,11 @@ def score_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", P.parse_score(F.concat(F.lit('{"overall_memory_dependence_score": '), value, F.lit("}"))).alias("score"))
 
 
-@query("""SELECT doc_id, trim(substr(text,1,30)) AS masked FROM documents""")
+@query(r"""SELECT doc_id, length(m) AS chars, md5(m) AS masked_md5 FROM (SELECT doc_id, trim(regexp_replace(text, '^[ \t\n\x0b\f\r]+', ''), ' ') AS m FROM documents)""")
 def tag_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.trim(F.substring("text", 1, 30))
     level = F.element_at(F.array(*map(F.lit, T.RELIANCE)), (F.col("doc_id") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.mask_reliance_tag(F.concat(F.lit(" [memory-reliance: "), level, F.lit("] "), head)).alias("masked"))
+    masked = T.mask_reliance_tag(F.concat(F.lit(" [memory-reliance: "), level, F.lit("] "), F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", masked.alias("m")).select("doc_id", F.length("m").cast("long").alias("chars"), F.md5("m").alias("masked_md5"))
 
 
 @query("""SELECT doc_id, concat(source,'::',lang,'::',substr(md5(concat('{"lang": "',lang,'", "n": ',n_chars,'}')),1,10)) AS query_id FROM documents""")
@@ -160,9 +160,10 @@ def repetition_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "r.unit", "r.characters", "r.offset")
 
 
-@query()
+@query("""SELECT event_id, sha256(props) AS digest FROM events""")
 def canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.sha2(T.canonical_json("props"), 256).alias("digest"))
+    tight = F.regexp_replace("props", " ", "")
+    return table(spark, sf_dir, "events").select("event_id", F.sha2(T.canonical_json(tight), 256).alias("digest"))
 
 
 @query("""SELECT page_id, length(trim(regexp_replace(regexp_replace(html,'<[^>]*>',' ','g'),'[ \\t\\n\\r\\f]+',' ','g'), ' ')) AS chars, CAST(len(regexp_extract_all(html,'<[a-z]+')) AS BIGINT) AS tags FROM pages""")
@@ -171,6 +172,8 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(plain).cast("long").alias("chars"), F.size(F.regexp_extract_all("html", F.lit("(<[a-z]+)"), 1)).cast("long").alias("tags"))
 
 
-@query(f"""WITH {ITEMS} SELECT policy, count(*) FILTER (WHERE regexp_matches(text,'[一-鿿]')) AS cjk, round(avg(length(text)),6) AS mean_chars FROM items GROUP BY 1""")
+@query(f"""WITH {ITEMS}, t AS (SELECT policy, concat(text, CASE memory_id%3 WHEN 0 THEN ' 记忆' WHEN 1 THEN ' カナ' ELSE '' END) AS text FROM items) SELECT policy, count(*) FILTER (WHERE regexp_matches(text,'[一-鿿]')) AS cjk, round(avg(length(text)),6) AS mean_chars FROM t GROUP BY 1""")
 def language_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).groupBy("policy").agg(F.count_if(T.contains_cjk(F.col("text"))).alias("cjk"), r6(F.avg(F.length("text"))).alias("mean_chars"))
+    tail = F.when(F.col("memory_id") % 3 == 0, " 记忆").when(F.col("memory_id") % 3 == 1, " カナ").otherwise("")
+    rows = items(spark, sf_dir).select("policy", F.concat("text", tail).alias("text"))
+    return rows.groupBy("policy").agg(F.count_if(T.contains_cjk(F.col("text"))).alias("cjk"), r6(F.avg(F.length("text"))).alias("mean_chars"))

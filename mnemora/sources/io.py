@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,18 +31,42 @@ def read_done(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (1..), value: one task per file, so that numbers are the file's own."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("line", F.col("line") + 1).where("value <> ''")
-
-
-def read_journal(spark: SparkSession, path: str, skipped: DataFrame | None = None, schema: str = JOURNAL) -> DataFrame:
-    """Journal rows in line order, without the skipped (line) numbers, recovery markers and broken lines."""
+    """file, line (1..), value of the lines that aren't empty. Files are read in splits: a line's number is its place
+    in its split and the lines of the file's splits before that."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("_at")
+    lines = spark.read.text(path).select(place, "value").withColumn("_id", F.monotonically_increasing_id())
+    splits = lines.groupBy("_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_at.file").orderBy("_at.start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = lines.join(starts, "_at").withColumn("line", (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("int"))
+    return numbered.where("value <> ''").select(F.col("_at.file").alias("file"), "line", "value")
+
+
+def read_journal(spark: SparkSession, path: str, skipped: DataFrame | None = None, schema: str = JOURNAL, strict: bool = False) -> DataFrame:
+    """Journal rows with their line numbers, without the skipped lines, recovery markers and broken lines.
+    skipped: (file, line), or (line) for a journal of one file. With strict a broken line is an error, unless
+    it is the last one of its file: that one may be torn."""
     rows = numbered_lines(spark, path)
     if skipped is not None:
-        rows = rows.join(skipped, "line", "left_anti")
-    parsed = rows.withColumn("r", F.from_json("value", f"{schema}, _journal_recovery boolean", {"mode": "PERMISSIVE"}))
-    return parsed.where("r.key is not null and not coalesce(r._journal_recovery, false)").select("line", "r.*").drop("_journal_recovery")
+        if "file" not in skipped.columns and rows.select("file").distinct().limit(2).count() > 1:
+            raise ValueError("lines to skip in several files need the file's name")
+        rows = rows.join(skipped, [c for c in ("file", "line") if c in skipped.columns], "left_anti")
+    bad = "_bad string"
+    parsed = rows.withColumn("r", F.from_json("value", f"{schema}, _journal_recovery boolean, {bad}", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    kept = F.expr("r._bad is null and r.key is not null and not coalesce(r._journal_recovery, false)")
+    if strict:  # one condition, so that no part of it is tried before the other
+        last = rows.groupBy("file").agg(F.max("line").alias("_last"))
+        fault = F.raise_error(F.concat(F.lit("broken line "), F.col("line").cast("string"))).cast("boolean")
+        parsed = parsed.join(last, "file")
+        kept = F.when(F.col("r._bad").isNotNull() & (F.col("line") < F.col("_last")), fault).otherwise(kept)
+    return parsed.where(kept).select("line", "r.*").drop("_journal_recovery", "_bad")
+
+
+def torn_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line of the last lines that are no JSON: what a recovery sidecar has to name."""
+    rows = numbered_lines(spark, path)
+    last = rows.groupBy("file").agg(F.max_by(F.struct("line", "value"), "line").alias("x")).select("file", "x.*")
+    return last.where(F.try_parse_json("value").isNull()).select("file", "line")
 
 
 def read_predictions(flat: DataFrame, nested: DataFrame) -> DataFrame:
@@ -51,10 +76,10 @@ def read_predictions(flat: DataFrame, nested: DataFrame) -> DataFrame:
     return both.groupBy("sample_id", "memory_id").agg(F.max_by("policy", "turn").alias("policy")).withColumn("uid", F.concat_ws("::", "sample_id", "memory_id"))
 
 
-def read_benchmark(spark: SparkSession, path: str, schema: str, kind: str, kept: DataFrame | None = None) -> DataFrame:
-    """A JSON object whose field `kind` is a list: rows with ids made of kind and position."""
+def read_benchmark(spark: SparkSession, path: str, schema: str, kind: str, kept: DataFrame | None = None, prefix: str = "") -> DataFrame:
+    """A JSON object whose field `kind` is a list: rows with ids made of a prefix, the kind and the position."""
     rows = spark.read.schema(f"{kind} array<{schema}>").option("multiLine", True).json(path)
-    out = rows.select(F.posexplode(kind).alias("pos", "r")).select(F.format_string(f"{kind}_%04d", "pos").alias("sample_id"), "pos", "r.*")
+    out = rows.select(F.posexplode(kind).alias("pos", "r")).select(F.format_string(f"{prefix}{kind}_%04d", "pos").alias("sample_id"), "pos", "r.*")
     return out if kept is None else out.join(kept, "sample_id", "left_semi")
 
 
@@ -97,16 +122,54 @@ def contract_digest(contract: dict) -> str:
 
 
 def cached(spark: SparkSession, folder: str, contract: dict, make) -> DataFrame:
-    """make() as a table under the contract's digest: made once, read afterwards."""
-    path = f"{folder}/{contract_digest(contract)}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """make() as a table under the contract's digest: made once, read afterwards.
 
-
-def resume(todo: DataFrame, spark: SparkSession, path: str, key: str, make) -> DataFrame:
-    """Rows of todo not yet under path are made and appended; all are read back."""
+    A lock file that only one writer can create guards the work; the table is written aside and renamed when it is
+    whole, the contract beside it, which is compared on reading."""
+    path = f"{folder}/{contract_digest(contract)}"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = lambda p: hadoop.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at(path)):
+        lock = fs.create(at(f"{path}.lock"), False)  # an error where another writer holds it
+        try:
+            if not fs.exists(at(path)):
+                aside = f"{path}.{uuid.uuid4().hex}"
+                make().write.parquet(f"{aside}/rows")
+                spark.createDataFrame([(json.dumps(contract, sort_keys=True, ensure_ascii=False),)], "contract string").coalesce(1).write.json(f"{aside}/contract")
+                if not fs.rename(at(aside), at(path)):
+                    raise OSError(f"{path} can't be put in place")
+        finally:
+            lock.close()
+            fs.delete(at(f"{path}.lock"), False)
+    held = spark.read.schema("contract string").json(f"{path}/contract").first()
+    if held is None or json.loads(held["contract"]) != json.loads(json.dumps(contract)):
+        raise ValueError(f"{path} was made under another contract")
+    return spark.read.parquet(f"{path}/rows")
+
+
+def require_contract(spark: SparkSession, path: str, contract: dict) -> None:
+    """Records the contract of a run under path, or compares it with the one recorded: another is an error."""
+    write_once(spark.createDataFrame([(contract_digest(contract),)], "digest string"), f"{path}.contract", spark)
+
+
+def replace(df: DataFrame, path: str, spark: SparkSession) -> None:
+    """Puts df in the place of a table: written aside and renamed, so a reader never sees half of it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    aside, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(hadoop.Path(path)):
+        fs.rename(hadoop.Path(path), hadoop.Path(old))
+    fs.rename(hadoop.Path(aside), hadoop.Path(path))
+    fs.delete(hadoop.Path(old), True)
+
+
+def resume(todo: DataFrame, spark: SparkSession, path: str, key: str, make, contract: dict | None = None) -> DataFrame:
+    """Rows of todo not yet under path are made and appended; all are read back. With a contract, a run under
+    another one is an error."""
+    if contract is not None:
+        require_contract(spark, path, contract)
     try:
         done = spark.read.parquet(path).select(key)
         todo = todo.join(done, key, "left_anti")
@@ -122,8 +185,18 @@ def predictions_by_layer(rows: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("layer", "prediction"))), lambda x: x["prediction"]).alias("predictions"))
 
 
-def report(df: DataFrame) -> Column:
-    return F.to_json(F.struct(*df.columns))
+def report(df: DataFrame, **protocol) -> Column:
+    """A row as a JSON object, beside the protocol it was made under."""
+    return F.to_json(F.struct(*df.columns, *[F.lit(v).alias(k) for k, v in protocol.items()]))
+
+
+def curve_tables(predictions: DataFrame, by: list[str]) -> dict[str, DataFrame]:
+    """What the plots draw: macro recall per layer, recall per class and layer, and per layer the mean, least and
+    most over resamples (by holds layer and resample)."""
+    from ..operators import metrics, readout
+
+    scores = readout.class_metrics(predictions, by)
+    return {"curves": scores, "class_recall": readout.class_recalls(predictions, by), "stability": metrics.band(scores, ["layer"], "macro_recall")}
 
 
 def sample_schema() -> T.StructType:

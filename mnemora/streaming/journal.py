@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.journal import FLOOR, KEEP, MOST_REST, START
+
 
 def tail(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 8, fmt: str = "json") -> DataFrame:
     """New files of a folder, each renamed into it when whole; half-written lines never show."""
@@ -16,20 +20,9 @@ def tail(spark: SparkSession, folder: str, schema: str, files_per_trigger: int =
 
 
 def check_redelivery(rows: DataFrame, key: str, digest: str) -> DataFrame:
-    """key, digest, deliveries, conflict after each batch: the same key must keep its digest."""
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, n, conflict = state.get if state.exists else (None, 0, False)
-        for f in frames:
-            for d in f[digest]:
-                first = d if first is None else first
-                conflict, n = bool(conflict or d != first), n + 1
-        state.update((first, n, conflict))
-        yield pd.DataFrame({"key": [k[0]], "digest": [first], "deliveries": [n], "conflict": [conflict]})
-
-    return rows.select(key, digest).groupBy(key).applyInPandasWithState(
-        step, "key string, digest string, deliveries long, conflict boolean", "digest string, n long, conflict boolean", "update", GroupStateTimeout.NoTimeout
-    )
+    """key, digest, deliveries, conflict as the stream grows: the same key must keep its digest (the smallest one is
+    shown). Built-in aggregates keep the state."""
+    return rows.groupBy(F.col(key).alias("key")).agg(F.min(digest).alias("digest"), F.count("*").alias("deliveries"), (F.min(digest) != F.max(digest)).alias("conflict"))
 
 
 def key_state(rows: DataFrame, key: str, order: str, status: str, value: str) -> DataFrame:
@@ -61,22 +54,54 @@ def sessions(rows: DataFrame, ts: str, gap: str, key: str, delay: str) -> DataFr
     return rows.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def router(rows: DataFrame, endpoint: str, latency: str, failed: str, order: str) -> DataFrame:
-    """Endpoint state kept across batches: smoothed latency, count, failures in a row."""
+def router(rows: DataFrame, endpoint: str, seconds: str, failed: str, at: str) -> DataFrame:
+    """Endpoint state kept across batches, by the rules of operators.journal.router_replay: latency, count,
+    failures in a row, and until when the endpoint rests. A batch's events are taken in order of at; they are
+    folded as the functions l -> max(a l + b, m) that they are, each stretch of successes at once."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old, n, failures = state.get if state.exists else (None, 0, 0)
-        for f in frames:
-            for x, bad in f.sort_values(order)[[latency, failed]].itertuples(index=False):
-                seen = max(x, 90.0) if bad else x
-                old = seen if old is None else 0.8 * old + 0.2 * seen
-                n, failures = n + 1, failures + 1 if bad else 0
-        state.update((old, n, failures))
-        yield pd.DataFrame({"endpoint": [k[0]], "latency": [old], "count": [n], "failures": [failures]})
-
-    return rows.select(endpoint, latency, failed, order).groupBy(endpoint).applyInPandasWithState(
-        step, "endpoint string, latency double, count long, failures long", "latency double, count long, failures long", "update", GroupStateTimeout.NoTimeout
-    )
+        latency, n, failures, until = state.get if state.exists else (START, 0, 0, 0.0)
+        log = pd.concat(list(frames)).sort_values(at, kind="stable")
+        bad, took, clock = log[failed].to_numpy(bool), log[seconds].to_numpy(float), log[at].to_numpy(float)
+        for s, e in zip(*_stretches(bad)):
+            if bad[s]:
+                failures += e - s
+                latency = max(FLOOR, latency)
+                until = float(clock[e - 1] + min(MOST_REST, 60 * 2 ** min(failures, 3)))
+            else:
+                failures = 0
+                weights = (1 - KEEP) * KEEP ** np.arange(e - s - 1, -1, -1)
+                latency = float(latency * KEEP ** (e - s) + (weights * took[s:e]).sum())
+        n += len(log)
+        state.update((float(latency), int(n), int(failures), until))
+        yield pd.DataFrame({"endpoint": [k[0]], "latency": [float(latency)], "count": [int(n)], "failures": [int(failures)], "until": [until]})
+
+    kinds = "latency double, count long, failures long, until double"
+    return rows.select(endpoint, seconds, failed, at).groupBy(endpoint).applyInPandasWithState(step, f"endpoint string, {kinds}", kinds, "update", GroupStateTimeout.NoTimeout)
+
+
+def _stretches(flags: np.ndarray) -> tuple[list[int], list[int]]:
+    """Starts and ends of runs of equal flags."""
+    cuts = np.flatnonzero(flags[1:] != flags[:-1]) + 1
+    return [0, *cuts.tolist()][: len(flags)], [*cuts.tolist(), len(flags)]
+
+
+def until_done(query, count: Callable[[], int], expected: int | None, idle: float, poll: float = 0.2) -> bool:
+    """Waits for a running stream: True once so many results are there, False once none has come for idle
+    seconds. The stream is stopped either way."""
+    seen, since = -1, time.monotonic()
+    try:
+        while True:
+            now = count()
+            if expected is not None and now >= expected:
+                return True
+            if now != seen:
+                seen, since = now, time.monotonic()
+            elif time.monotonic() - since >= idle:
+                return False
+            query.awaitTermination(poll)
+    finally:
+        query.stop()
 
 
 def dispatch(tasks: DataFrame, call: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, sink: Callable[[DataFrame, int], None], checkpoint: str):

@@ -1,5 +1,6 @@
 """Golden cases of the operators, with values worked out by hand."""
 
+import hashlib
 import math
 
 import pytest
@@ -15,6 +16,7 @@ from mnemora.operators import ranking as K
 from mnemora.operators import readout as O
 from mnemora.operators import records as R
 from mnemora.operators import relational as L
+from mnemora.operators import unify as U
 from mnemora.operators import validate as X
 
 
@@ -59,8 +61,54 @@ def test_streams(spark):
     s = spark.createDataFrame([("s", [("a",), ("b",)])], "sample_id string, memories array<struct<memory_id:string>>")
     got = {(r["kind"], r["memory_id"]): r["removed"] for r in R.removal_sets(s, ("full", "without", "only", "empty")).collect()}
     assert got == {("full", None): [], ("without", "a"): ["a"], ("without", "b"): ["b"], ("only", "a"): ["b"], ("only", "b"): ["a"], ("empty", None): ["a", "b"]}
-    c = arr(1, 0, -1)
-    assert [one(spark, R.stream_count(m, c)) for m in ("leave_one_out", "isolated", "hybrid", "policy_grouped")] == [3, 5, 7, 3]
+    c, p = arr(1, 0, -1), F.array(*map(F.lit, ["dominate", "support", "ignore"]))
+    modes = ("leave_one_out", "isolated", "joint_isolated", "hybrid", "policy_grouped", "policy_ordered", "grouped")
+    assert [one(spark, R.stream_count(m, c, p)) for m in modes] == [4, 7, 7, 10, 3, 3, 2]
+    with pytest.raises(ValueError, match="policies"):
+        R.stream_count("grouped", c)
+
+
+def test_stream_layouts(spark):
+    s = spark.createDataFrame([("s", [("a", 1.0), ("b", 0.0), ("c", -1.0)])], "sample_id string, memories array<struct<memory_id:string,c:double>>")
+    got = {x: [(r["kind"], "".join(r["kept"])) for r in R.stream_layout(s, x).orderBy("stream").collect()] for x in R.LAYOUTS}
+    assert got["leave_one_out"] == [("full", "abc"), ("without", "bc"), ("without", "ac"), ("without", "ab")]
+    assert got["isolated"] == [("full", "abc"), ("only", "a"), ("empty", ""), ("only", "b"), ("empty", ""), ("only", "c"), ("empty", "")]
+    assert got["joint_isolated"][0] == ("clean", "ab") and got["joint_isolated"][1:] == got["isolated"][1:]
+    assert got["hybrid"][1:4] == [("only", "a"), ("empty", ""), ("without", "bc")] and len(got["hybrid"]) == 10
+    assert got["policy_grouped"] == [("full", "abc"), ("without_negative", "ab"), ("without_positive", "bc")]
+    assert got["policy_ordered"] == [("full", "abc"), ("clean", "ab"), ("without_positive", "b")]
+    assert got["grouped"] == [("clean", "ab"), ("clean_without", "b")]
+    none = s.select("sample_id", F.array().cast("array<struct<memory_id:string,c:double>>").alias("memories"))
+    assert [R.stream_layout(none, x).count() for x in R.LAYOUTS] == [1] * 7
+
+
+def test_renderers(spark):
+    U.RENDERERS.clear()
+    U.renderer("official", U.official_renderer("{persona}|{question}"))
+    with pytest.raises(ValueError, match="renderer"):
+        U.renderer("official", U.system_renderer("x"))
+    kind = "sample_id string, context string, query string, memories array<struct<memory_id:string,memory_text:string,gold_policy:string,c:double>>"
+    s = spark.createDataFrame([("1", "", "q", [("a", "{question}", "support", 1.0)]), ("2", "", "q", [("a", "x", "support", 1.0), ("b", "it's", "ignore", -1.0)])], kind)
+    got = {(r["sample_id"], r["stream"]): r["prompt"] for r in U.render_layout(s, "leave_one_out", "official").collect()}
+    assert got == {("1", 0): "{question}|q", ("1", 1): "|q", ("2", 0): "['x', \"it's\"]|q", ("2", 1): "[\"it's\"]|q", ("2", 2): "['x']|q"}
+    U.RENDERERS.clear()
+
+
+def test_records_and_splits(spark):
+    kind = "sample_id string, query string, memories array<struct<memory_id:string,memory_text:string,gold_policy:string,gold_score:double>>, source string"
+    s = spark.createDataFrame([("1", " A  b", [("m", "t", "ignore", 0.0)], "x"), ("2", "q", [("m", "t", "dominate", 1.0), ("n", "t", "ignore", 0.0)], "x")], kind)
+    rows = R.native_records(s, {"ignore": "not_apply", "dominate": "apply"}).orderBy("sample_id", "memory_id").collect()
+    assert [(r["regime"], r["label"]) for r in rows] == [("single", "not_apply"), ("multi", "apply"), ("multi", "not_apply")]
+    with pytest.raises(Exception, match="unexpected label"):
+        R.native_records(s, {"ignore": "x"}).collect()
+    keyed = R.keyed_items(s, F.col("sample_id"), spark.createDataFrame([("1",)], "group_id string")).orderBy("uid").collect()
+    assert [(r["uid"], r["split"], r["query_key"]) for r in keyed] == [("1::m", "calibration", "a b"), ("2::m", "heldout", "q"), ("2::n", "heldout", "q")]
+    with pytest.raises(Exception, match="no prediction"):
+        R.chosen_policies(spark.createDataFrame([("u",)], "uid string"), spark.createDataFrame([], "uid string, policy string"), "predicted", strict=True).collect()
+    assert [r["kind"] for r in R.judge_tasks(s, native=True).collect()] == ["native", "native"]
+    p = R.project_split(spark.range(100).select("id", (F.col("id") % 10).alias("p")), "p", 0.5, 3)
+    assert X.disjoint(p, "p", "split").count() == 0 and p.select("p", "split").distinct().groupBy("split").count().count() == 2
+    assert sorted(r["id"] for r in R.head_per(p, ["p"], ["id"], 1).collect()) == list(range(10))
 
 
 @pytest.mark.parametrize(
@@ -81,6 +129,15 @@ def test_verdicts(spark):
     assert one(spark, P.parse_label(F.lit('{"label": "follow"}'))) == "follow" and one(spark, P.parse_label(F.lit("they do_not_follow it"))) == "do_not_follow"
     rating = lambda t: one(spark, P.parse_rating(F.lit(t)))
     assert rating("Rating: [[1]] no, rating: [[4]]") == 4 and rating("text\n**Final score: 3/5**\n") == 3 and rating("[[7]]") is None and rating("3/5") is None and rating("nothing") is None
+    assert rating("Task  Fulfillment = [ 2 / 5 ]") == 2 and rating("score 3") is None and rating("final rating: 6") is None and rating("Score: 4] extra") is None
+    assert rating("Rating: 2\nthanks") == 2 and rating("Rating: 2\nscore=5") == 5
+    fenced = 'as {notes} say ```json\n{"overall_memory_dependence_score": 3}\n```'
+    assert one(spark, P.parse_score(F.lit(fenced))) is None  # from the first brace to the last is no JSON
+    assert one(spark, P.parse_score(F.lit(fenced.replace("{notes}", "notes")))) == 3
+    six = '"OPB": 1, "UPB": 9, "RII": -1, "FM": "2", "VG": true, "Judge": 3'
+    full = one(spark, P.verdict(F.lit('{%s, "match": true, "reason": "r"}' % six), F.lit(1)))  # noqa: UP031
+    assert full["metrics"] == {"OPB": 1, "UPB": 5, "RII": 0, "FM": 2, "VG": 1, "Judge": 3} and full["full_match"] is True and full["reason"] == "r"
+    assert one(spark, P.verdict(F.lit('{"OPB": 1, "match": true}'), F.lit(1))) is None and one(spark, P.verdict(F.lit('{%s, "match": "1/2"}' % six), F.lit(2))) is None  # noqa: UP031
     score = lambda v: one(spark, P.parse_score(F.lit('{"overall_memory_dependence_score": %s}' % v)))  # noqa: E731, UP031
     assert [score(x) for x in ("5", "3.0", "6", "true", "2.5")] == [5, 3, None, None, None]
 
@@ -133,6 +190,16 @@ def test_gates(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, 0.0), (3, float("nan"))], "s long, m double")
     got = [r[0] for r in df.select("s", "m", G.bounded_attention(F.col("m"), ["s"]).alias("g")).orderBy("s", "m").select("g").collect()]
     assert got == pytest.approx([0.5 + 1 / 3, 0.5 + 3 / 5, 1, 1])
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, -1.0), (1, 3.0), (2, nan), (2, 3.0), (3, inf), (3, 1.0), (4, -3.0), (4, 1.0), (5, 1.0), (5, 4.0)], "s long, m double")
+    got = {(r["s"], i): (r["b"], r["n"]) for i, r in enumerate(df.select("s", "m", G.bounded_attention(F.col("m"), ["s"]).alias("b"), G.normalized_attention(F.col("m"), ["s"]).alias("n")).orderBy("s", "m").collect())}
+    assert [x[0] for x in got.values()][:2] == pytest.approx([0.5, 0.5 + 3 / 4.5])  # a negative mass counts as none
+    assert [x[1] for x in got.values()] == pytest.approx([0.25, math.sqrt(3), 1, 1, 0.25, 1, 1, 1, math.sqrt(0.4), math.sqrt(1.6)])
+    df = spark.createDataFrame([(1, 0, 2.0), (1, 1, nan), (1, 2, -4.0), (1, 3, 6.0)], "s long, t int, x double")
+    assert [r[0] for r in df.select("t", G.temporal(F.col("x"), ["s"], "t").alias("g")).orderBy("t").select("g").collect()] == pytest.approx([1.0, 0.5, 0.5, 1.25])
+    assert [one(spark, G.condition_gate(c, F.lit(0.5), arr(1, 2), arr(0, 0))) for c in G.CONDITIONS] == pytest.approx([0.5, 1, 0.5, 1, 0, 0])
+    assert one(spark, G.shifted(F.array(F.lit(0), F.lit(2)), F.lit(10), F.lit(4))) == [6, 8]
+    assert one(spark, G.attention_state(arr(3), arr(1), F.lit(2.0), F.lit(0.5), F.lit(4.0), "both")[0]) == [2] and one(spark, G.attention_state(arr(3), arr(1), F.lit(2.0), F.lit(0.5), F.lit(4.0), "steer")[1]) == 8
     assert one(spark, G.attention_mass(F.array(arr(1, 2), arr(3, 4)), F.array().cast("array<int>"))) == 0 and one(spark, G.attention_mass(F.array(arr(1, 2), arr(3, 4)), F.array(F.lit(0), F.lit(1)))) == 2.5
 
 
@@ -149,6 +216,37 @@ def test_neighbours_exclude_own_group_and_key(spark):
     df = spark.createDataFrame(rows, "vec_id long, grp long, query_key string, layers array<array<double>>, value double")
     got = {r["vec_id"]: r for r in O.nearest(df.where("vec_id = 1"), df.where("vec_id > 1"), 3, 0.1).collect()}
     assert got[1]["effective_k"] == 1 and got[1]["value"] == 1.0
+    with pytest.raises(Exception, match="no reference"):
+        O.nearest(df.where("vec_id = 1"), df.where("vec_id < 3"), 3, 0.1).collect()
+    assert O.nearest(df.where("vec_id = 1"), df.where("vec_id < 3"), 3, 0.1, strict=False).count() == 0
+    for k, t in ((0, 0.1), (1, 0.0), (1, float("inf"))):
+        with pytest.raises(ValueError, match="temperature"):
+            O.nearest(df, df, k, t)
+    odd = df.withColumn("layers", F.when(F.col("vec_id") == 2, F.array(F.array(F.lit(1.0)))).otherwise(F.col("layers")))
+    with pytest.raises(ValueError, match="shapes"):
+        O.nearest(df, odd, 1, 0.1)
+
+
+def test_blocks_of_references_change_nothing(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [(i, int(rng.integers(12)), int(rng.integers(5)), [rng.normal(0, 1, 4).tolist() for _ in range(2)], float(rng.integers(3) - 1)) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, grp long, query_key long, layers array<array<double>>, value double")
+    unit = np.array([np.concatenate([np.array(v) / np.linalg.norm(v) for v in r[3]]) for r in rows])
+    want = {}
+    for i, g, q, _, _ in rows:
+        best = {}
+        for j, h, p, _, value in rows:
+            if g != h and q != p:
+                s = (round(float(unit[i] @ unit[j]) / 2, 9), -j, value)
+                best[h] = max(best.get(h, s), s)
+        top = sorted(best.values(), reverse=True)[:3]
+        w = np.exp((np.array([t[0] for t in top]) - top[0][0]) / 0.1)
+        want[i] = float((w * [t[2] for t in top]).sum() / w.sum())
+    for size in (O.BLOCK_BYTES, 2000):
+        got = {r["vec_id"]: r["value"] for r in O.nearest(df, df, 3, 0.1, block_bytes=size).collect()}
+        assert got == pytest.approx(want, abs=1e-6)
 
 
 def test_centroids_and_macro_recall(spark):
@@ -156,6 +254,12 @@ def test_centroids_and_macro_recall(spark):
     df = spark.createDataFrame(rows, "vec_id long, layer long, cls long, regime long, grp long, v array<double>")
     assert all(r["prediction"] == r["cls"] for r in O.predict(df, df, ["layer"], "vec_id").collect())
     assert {r["vec_id"]: r["prediction"] for r in O.leave_group_out(df).collect()} == {0: 0, 1: 0, 2: 1, 3: 1}
+    p = spark.createDataFrame([(0, 0, 0), (0, 0, 1), (0, 2, 0)], "layer long, cls long, prediction long")
+    assert O.class_metrics(p, ["layer"], ordinal=True).first()["level_mae"] == 1.0
+    assert {r["cls"]: (r["n"], r["recall"]) for r in O.class_recalls(p, ["layer"]).collect()} == {0: (2, 0.5), 2: (1, 0.0)}
+    ref = spark.createDataFrame([(0, 0.5, 0.5), (1, 0.5, 0.6)], "layer long, macro_recall double, accuracy double")
+    out = O.layer_report(ref, spark.createDataFrame([(0, 0.2, 0.3), (1, 0.4, 0.1)], "layer long, macro_recall double, accuracy double")).first()
+    assert (out["layer"], out["held_macro_recall"], out["held_accuracy"], out["peak_layer"]) == (0, 0.2, 0.3, 1)
     m = O.class_metrics(spark.createDataFrame([(0, 0, 0), (0, 0, 1), (0, 2, 2)], "layer long, cls long, prediction long"), ["layer"]).first()
     assert m["macro_recall"] == 0.75 and m["classes"] == 2
 
@@ -163,8 +267,13 @@ def test_centroids_and_macro_recall(spark):
 def test_ranks_and_cover(spark):
     g = spark.createDataFrame([("a", ["x"]), ("b", ["x", "y"]), ("c", ["y"]), ("d", ["z"]), ("e", ["z"])], "g string, labels array<string>")
     r = K.hash_rank(g, "g", 1)
-    chosen = K.greedy_cover(r, "g", "labels", "rank", 1, 3)
-    assert chosen[0] == "b" and len(chosen) == 3 and set(chosen) & {"d", "e"}
+    order = sorted("abcde", key=lambda k: hashlib.sha256(f"rq1-reference|1|{k}".encode()).hexdigest())
+    assert [x["g"] for x in r.orderBy("rank").collect()] == order and [x["rank"] for x in K.hash_rank(g, "g", 1, digits=1).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+    z = min("de", key=order.index)
+    assert K.greedy_cover(r, "g", "labels", "rank", ["x", "y", "z"], 1, 3) == ["b", z, next(k for k in order if k not in ("b", z))]
+    for wanted, seen, count, error in ((["x", "y", "z"], 1, 1, "not 1"), (["x", "w"], 1, 2, "w"), (["x", "y", "z"], 2, 6, "not 6"), (["z"], 3, 4, "less than 3")):
+        with pytest.raises(ValueError, match=error):
+            K.greedy_cover(r, "g", "labels", "rank", wanted, seen, count)
     df = spark.createDataFrame([("k", 1, "u"), ("k", 2, "v")], "k string, o int, s string")
     assert K.last_per_key(df, ["k"], ["o"]).first()["s"] == "v"
     t = spark.createDataFrame([("k", 1.0, 2), ("k", 1.0, 1)], "k string, s double, pos int")
@@ -173,9 +282,17 @@ def test_ranks_and_cover(spark):
 
 
 def test_router(spark):
-    e = spark.createDataFrame([("u", 1, 10.0, False), ("u", 2, 5.0, True), ("u", 3, 5.0, True)], "e string, o int, l double, f boolean")
-    r = J.router_replay(e, "e", "o", "l", "f").first()
-    assert r["latency"] == pytest.approx((10 * 0.8 + 90 * 0.2) * 0.8 + 90 * 0.2) and (r["failures"], r["cooldown"], r["count"]) == (2, 240.0, 3)
+    e = spark.createDataFrame([("u", 1, 40.0, False), ("u", 2, 5.0, True), ("u", 3, 5.0, True), ("v", 1, 10.0, False), ("w", 5, 1.0, True), ("w", 6, 50.0, False)], "e string, o int, l double, f boolean")
+    got = {r["e"]: (round(r["latency"], 9), r["count"], r["failures"], r["until"]) for r in J.router_replay(e, "e", "o", "l", "f").collect()}
+    assert got == {"u": (90.0, 3, 2, 243.0), "v": (26.0, 1, 0, 0.0), "w": (82.0, 2, 0, 125.0)}
+    start = J.router_start(spark.createDataFrame([("u", True, 0.0), ("v", False, 7.0)], "endpoint string, reachable boolean, at double"))
+    got = {r["e"]: (r["latency"], r["until"]) for r in J.router_replay(e.where("e = 'v'"), "e", "o", "l", "f", start).collect()}
+    assert got == {"v": (74.0, 307.0)} and one(spark, J.rest(F.lit(9))) == 480.0
+    w = J.ewma(e.where("e = 'u'"), ["e"], "o", "l").first()
+    assert w["latency"] == pytest.approx(((30 * 0.8 + 40 * 0.2) * 0.8 + 1) * 0.8 + 1) and w["n"] == 3
+    s = spark.createDataFrame([("a", 1.0, 0), ("b", None, 2)], "key string, valid_value double, invalid long")
+    x = spark.createDataFrame([("a", "k"), ("b", "k"), ("c", "j")], "key string, kind string")
+    assert {r["kind"]: (r["expected"], r["valid"]) for r in J.valid_by_kind(s, x, "key", "kind").collect()} == {"k": (2, 1), "j": (1, 0)}
 
 
 def test_overlap_join_equals_nested_loop(spark):
@@ -193,12 +310,54 @@ def test_division_and_violations(spark):
     req = spark.createDataFrame([("s", "a"), ("s", "b"), ("t", "a")], "sample_id string, key string")
     got = {r["sample_id"]: r["all_present"] for r in L.divide(req, req.where("sample_id = 't' or key = 'a'"), "sample_id", ["sample_id", "key"]).collect()}
     assert got == {"s": False, "t": True}
-    p = spark.createDataFrame([("s::m", "s", "m", 1.0, "calibration"), ("s::m", "s", "m", float("nan"), "evaluation")], "uid string, sample_id string, memory_id string, coefficient double, split string")
+    p = spark.createDataFrame([("s::m", "s", "m", 1.0, "calibration"), ("s::m", "s", "m", float("nan"), "heldout")], "uid string, sample_id string, memory_id string, coefficient double, split string")
     assert sorted(r["constraint"] for r in X.predictions(p).collect()) == ["one_split", "prediction", "unique"]
     with pytest.raises(ValueError, match="unique"):
         X.require(X.unique(p, ["uid"]))
     X.require(X.unique(req, ["sample_id", "key"]))
+    assert X.predictions(p.limit(1)).count() == 0 and X.predictions(p.limit(1), spark.createDataFrame([("s", "m"), ("s", "n")], "sample_id string, memory_id string")).first()["constraint"] == "missing"
+    assert X.predictions(p.limit(1).withColumn("split", F.lit("evaluation"))).first()["detail"] == "split"
     v = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [float("inf"), 0.0])], "i long, v array<double>")
     assert sorted(r["key"] for r in X.vectors(v, "i", "v", 2).collect()) == ["2", "3"]
     a, b = spark.createDataFrame([("x", "h1")], "k string, d string"), spark.createDataFrame([("x", "h2")], "k string, d string")
     assert X.unchanged(a, b, "k", ["d"]).count() == 1 and X.unchanged(a, a, "k", ["d"]).count() == 0
+
+
+def test_repetition_is_what_the_definition_says():
+    import random
+    import re
+
+    single, unit = re.compile(r"(\S)\1{19,}"), re.compile(r"(.{2,30}?)\1{9,}")
+    rng, found = random.Random(3), 0
+    for _ in range(1500):
+        t = "".join("".join(rng.choice("ab- \n.é") for _ in range(rng.randrange(1, 7))) * rng.randrange(1, 26) for _ in range(rng.randrange(1, 5)))
+        every = [(m.group(1), len(m.group()), m.start()) for p in (single, unit) for m in p.finditer(t)]
+        want = next(((u, n, at) for u, n, at in every if any(c.isalnum() for c in u) and (len(u) == 1 or n >= 40)), None)
+        assert T.first_repetition(t) == want, t
+        found += want is not None
+    assert found > 500
+
+
+def test_constraints(spark):
+    a = spark.createDataFrame([("s", "a", "g", "p", [[1.0, 2.0]]), ("s", "b", "x", None, [[1.0, float("nan")]])], "sample_id string, memory_id string, group_id string, gold_policy string, v array<array<double>>")
+    source = spark.createDataFrame([("s", "a", "g", "p"), ("s", "b", "g", "p"), ("s", "c", "g", "p")], "sample_id string, memory_id string, group_id string, gold_policy string")
+    assert sorted((r["constraint"], r["detail"]) for r in X.artifact(a, source, "v", 1, 2).collect()) == [("artifact", "group,not finite"), ("missing", "")]
+    g = spark.createDataFrame([("s", "text"), ("t", "other")], "sample_id string, generated_text string")
+    sha = hashlib.sha256(b"text").hexdigest()
+    j = spark.createDataFrame([("s", "k", "m", "ok", "1", sha), ("s", "k", "m", "ok", "2", sha), ("u", "k", "m", "ok", "1", sha), ("t", "k", None, "error", "", sha)], "sample_id string, kind string, memory_id string, status string, judge_result string, generation_sha256 string")
+    assert sorted(r["constraint"] for r in X.judgments(g, j, g.limit(1).select("sample_id")).collect()) == ["conflict", "not generated", "not in the benchmark", "other text"]
+    p = spark.createDataFrame([("a", "x", "x", ["m"], ["m", "n"]), ("b", "x", "y", ["m"], ["m"])], "k string, r string, n string, spans array<string>, ids array<string>")
+    assert sorted((r["constraint"], r["key"]) for r in X.prompts(p, "k", "r", "n", F.col("spans"), F.col("ids")).collect()) == [("prompt", "b"), ("span", "a")]
+    now, before = spark.createDataFrame([("a", 5), ("b", 1)], "path string, bytes long"), spark.createDataFrame([("a", 4), ("b", 2), ("c", 1)], "path string, bytes long")
+    assert sorted(r["constraint"] for r in X.kept_inputs(now, before, 1).collect()) == ["replaced", "too many", "truncated"]
+    c = spark.createDataFrame([("g", "calibration"), ("g", "other"), ("h", "heldout")], "g string, s string")
+    assert sorted(r["constraint"] for r in X.calibration(c, "g", "s").collect()) == ["calibration_share", "conflict", "split"]
+    f = spark.createDataFrame([("g", 1), ("g", 2), ("h", 1)], "g string, l int")
+    assert sorted(r["constraint"] for r in X.families(f, "g", "l", 3, 2, [1, 2]).collect()) == ["levels"] and X.families(f, "g", "l", 4, 2, [1, 2]).count() == 2
+    assert X.splits(c.where("g = 'g'").select("g").distinct(), c.where("g = 'h'").select("g"), c.select("g"), "g").count() == 0
+    assert X.label_cover(f, "g", "l", [1, 2]).first()["key"] == "h" and X.single_line(spark.createDataFrame([("a", "x\ny\nx", "x"), ("b", "x\ny", "x")], "k string, t string, l string"), "k", "t", "l").first()["detail"] == "2"
+    with pytest.raises(Exception, match="not one source row"):
+        L.aligned(spark.createDataFrame([(1, 0), (2, 1)], "k int, p int"), spark.createDataFrame([(1, "x")], "k int, v string"), ["k"], "p").collect()
+    assert one(spark, T.sample_key(F.lit(""), F.lit("u"))) == "u"
+    with pytest.raises(Exception, match="without an id"):
+        one(spark, T.sample_key(F.lit(""), F.lit(None).cast("string")))

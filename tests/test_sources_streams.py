@@ -31,6 +31,30 @@ def test_tolerant_scan_and_journal(spark, tmp_path):
     (tmp_path / "j.jsonl").write_text('{"key": "k1", "status": "ok"}\n{"key": "k2", "status": "error"}\n{"key": "k3", "_journal_recovery": true}\n{"key": "k4"')
     rows = io.read_journal(spark, str(tmp_path / "j.jsonl"), spark.createDataFrame([(2,)], "line int"))
     assert [(r["line"], r["key"]) for r in rows.collect()] == [(1, "k1")]
+    assert [r["line"] for r in io.torn_lines(spark, str(tmp_path / "j.jsonl")).collect()] == [4]
+    assert io.read_journal(spark, str(tmp_path / "j.jsonl"), strict=True).count() == 2
+    (tmp_path / "k.jsonl").write_text('{"key": "k1"}\n{broken\n{"key": "k3"}\n')
+    with pytest.raises(Exception, match="broken line"):
+        io.read_journal(spark, str(tmp_path / "k.jsonl"), strict=True).collect()
+    both = str(tmp_path / "[jk].jsonl")
+    with pytest.raises(ValueError, match="file's name"):
+        io.read_journal(spark, both, spark.createDataFrame([(1,)], "line int"))
+    named = io.numbered_lines(spark, both).where("file like '%k.jsonl' and line = 1").select("file", "line")
+    assert sorted(r["key"] for r in io.read_journal(spark, both, named).collect()) == ["k1", "k2", "k3"]
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    lines = ["" if i % 7 == 0 else f"line {i} " + "x" * (i % 50) for i in range(1, 3000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text("only\n\nlast")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = io.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r["line"], r["value"]) for r in got if r["file"].endswith("a.txt")) == [(i, t) for i, t in enumerate(lines, 1) if t]
+    assert sorted((r["line"], r["value"]) for r in got if r["file"].endswith("b.txt")) == [(1, "only"), (3, "last")]
 
 
 def test_predictions_benchmark_and_pool(spark, tmp_path):
@@ -55,6 +79,16 @@ def test_write_once_cache_and_resume(spark, tmp_path):
     for _ in range(2):
         assert io.cached(spark, str(tmp_path / "cache"), {"model": "m", "n": 1}, make).count() == 2
     assert calls == [1]
+    (tmp_path / "cache" / f"{io.contract_digest({'m': 2})}.lock").write_text("")
+    with pytest.raises(Exception):  # noqa: B017  another writer is at work
+        io.cached(spark, str(tmp_path / "cache"), {"m": 2}, make)
+    io.require_contract(spark, str(tmp_path / "run"), {"a": 1})
+    io.require_contract(spark, str(tmp_path / "run"), {"a": 1})
+    with pytest.raises(ValueError, match="other rows"):
+        io.require_contract(spark, str(tmp_path / "run"), {"a": 2})
+    for n in (3, 2):
+        io.replace(spark.range(n), str(tmp_path / "put"), spark)
+    assert spark.read.parquet(str(tmp_path / "put")).count() == 2 and [p.name for p in tmp_path.iterdir() if p.name.startswith("put")] == ["put"]
     for n in (2, 5):
         assert io.resume(spark.range(n), spark, str(tmp_path / "resume"), "id", lambda t: t.withColumn("x", F.lit(1))).count() == n
     io.append_json(spark.range(1), str(tmp_path / "app"))
@@ -93,3 +127,35 @@ def test_dispatch_restarts_where_it_was(spark, tmp_path):
     (src / "1.json").write_text('{"k": "b"}\n')
     run()
     assert seen == ["a", "b"]
+
+
+def test_streaming_router_equals_replay(spark, tmp_path):
+    import random
+
+    from mnemora.operators import journal as J
+
+    rng, src = random.Random(2), tmp_path / "in"
+    src.mkdir()
+    events = [{"e": rng.choice("uvw"), "at": i, "s": rng.random() * 60, "f": rng.random() < 0.3} for i in range(120)]
+    for k in range(3):
+        part = events[40 * k : 40 * k + 40]
+        rng.shuffle(part)  # a batch may hold its events in any order
+        (src / f"{k}.json").write_text("".join(json.dumps(x) + "\n" for x in part))
+    tail = S.tail(spark, str(src), "e string, at long, s double, f boolean", 1)
+    out = S.update_batches(S.router(tail, "e", "s", "f", "at"), spark, str(tmp_path / "out"), str(tmp_path / "log"))
+    last = out.groupBy("endpoint").agg(F.max_by(F.struct("latency", "count", "failures", "until"), "batch").alias("x")).select("endpoint", "x.*")
+    got = {r["endpoint"]: (round(r["latency"], 6), r["count"], r["failures"], r["until"]) for r in last.collect()}
+    whole = J.router_replay(spark.createDataFrame(events, "e string, at long, s double, f boolean"), "e", "at", "s", "f")
+    assert got == {r["e"]: (round(r["latency"], 6), r["count"], r["failures"], r["until"]) for r in whole.collect()}
+
+
+def test_streams_end_by_count_or_idle_time(spark, tmp_path):
+    src, seen = tmp_path / "in", []
+    src.mkdir()
+    (src / "0.json").write_text('{"k": "a"}\n{"k": "b"}\n')
+
+    def run(log):
+        return S.tail(spark, str(src), "k string").writeStream.foreachBatch(lambda df, i: seen.extend(r["k"] for r in df.collect())).option("checkpointLocation", str(tmp_path / log)).start()
+
+    assert S.until_done(run("a"), lambda: len(seen), 2, 30) is True
+    assert S.until_done(run("b"), lambda: 0, 5, 0.5) is False
