@@ -1,5 +1,10 @@
 """A corpus pipeline: toxic documents go, one document of each near-duplicate group stays, personal data
-is replaced, and what remains is packed into sequences."""
+is replaced, and what remains is packed into sequences.
+
+Defined cases, for every stage: a null text counts as empty and a null doc_id is kept (null or empty texts are
+copies of each other); texts of any length are taken whole; repeated rows are judged each, and near-duplicates keep
+one of them; an empty table gives an empty table; columns beyond those of documents are kept, whatever their
+names, up to packing, which returns pieces."""
 
 from __future__ import annotations
 
@@ -22,18 +27,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id stays in each group of texts whose five-word shingles have a
-    similarity of 0.8 or more; rows without a doc_id stay."""
+    """One row stays of each group of texts that five-word shingles of a similarity of 0.8 or more connect: that of
+    the smallest doc_id (rows without one come last), of the smallest text hash among equal ids. Different
+    texts of one id are rows of their own; of equal rows one stays."""
     _small_batches(spark)
-    found = simhash.similar_documents(docs, spark, words=5, similarity=0.8)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    return simhash.one_of_each(docs, spark, words=5, similarity=0.8)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span becomes its kind in angle brackets; n_chars follows the text."""
     _small_batches(spark)
-    clean = pii.redact(docs, pii.Field(pii.training_texts(docs)))
+    clean = pii.redact(docs, pii.learn(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
