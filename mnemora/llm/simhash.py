@@ -199,7 +199,7 @@ def bucket_edges(key: np.ndarray, fps: np.ndarray, distance: int, pivots: np.nda
     return np.concatenate(a), np.concatenate(b)
 
 
-def whole_keys(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17, most: int | None = None) -> Iterator[tuple[bool, list[pa.Array]]]:
+def whole_keys(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15, most: int | None = None) -> Iterator[tuple[bool, list[pa.Array]]]:
     """Columns of batches sorted by the first, cut between its values, some rows at a time. With most, a value
     of more rows comes piece by piece, marked True."""
     held: list[pa.RecordBatch] = []
@@ -402,19 +402,39 @@ def star_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def marked(hashes: DataFrame, most_bits: int = 1 << 28) -> np.ndarray:
+    """Bits of which those of the numbers in hashes (h) are set, by their remainder: eight for each number, most_bits
+    at most. The bits are set where the numbers are; the driver gathers the map alone, 32 MB at most."""
+    size = min(most_bits, 1 << max(15, int(8 * hashes.count()).bit_length()))
+    bit = F.pmod("h", F.lit(size)) + 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
+    out = np.zeros(size >> 3, np.uint8)
+    for r in rows:
+        out[(r["b"] - 1) << 12 : r["b"] << 12] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return out
+
+
 def shingle_sets(wanted: DataFrame, docs: DataFrame, spark: SparkSession, words: int) -> DataFrame:
     """node, shingles (sorted 64-bit hashes) of the nodes of wanted (node, rep), taken again from one text
-    each. docs: (doc_id, text, hash)."""
+    each. docs: (doc_id, text, hash). Texts aren't shuffled: a bit map of the wanted hashes tells nearly all others
+    off where they are, and what it lets through goes by the sets' own numbers."""
+    wanted = written(wanted.select("node", F.col("rep.hash").alias("h")), spark, "similar-wanted")
+    shared = spark.sparkContext.broadcast(marked(wanted))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        seen: set[int] = set()
         for b in batches:
-            found = distinct_shingles(b.column(0), words)
-            yield pa.RecordBatch.from_arrays([pa.array([set_number(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["node", "shingles"])
-
-    ids = written(wanted.select(F.col("rep.doc_id").alias("wanted_id"), F.col("rep.hash").alias("wanted_hash")), spark, "similar-wanted")
-    same = (F.col("hash") == F.col("wanted_hash")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
-    texts = docs.join(ids, same, "left_semi").select("text")
-    return written(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), spark, "similar-shingles")
+            h = b.column(1).to_numpy(zero_copy_only=False)
+            at = h & (8 * len(bits) - 1)
+            keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            keep[keep] = [x not in seen and not seen.add(x) for x in h[keep].tolist()]  # copies of a text count once
+            if keep.any():
+                found = distinct_shingles(b.column(0).filter(pa.array(keep)), words)
+                yield pa.RecordBatch.from_arrays([pa.array([set_number(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["node", "shingles"])
+
+    own = docs.select("text", "hash").mapInArrow(sets, "node long, shingles binary").join(wanted.select("node"), "node", "left_semi")
+    return written(own.groupBy("node").agg(F.first("shingles").alias("shingles")), spark, "similar-shingles")
 
 
 def inside_edges(named: DataFrame, docs: DataFrame, spark: SparkSession, words: int, similarity: float) -> DataFrame | None:

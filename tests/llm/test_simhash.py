@@ -202,6 +202,14 @@ def test_satellites_are_joined_by_their_hub(spark):
     assert {r["component_id"] for r in got} == {50}
 
 
+def test_marks(spark):
+    h = [0, 1, -1, 7, 1 << 40, -(1 << 63), 32768, 99999]
+    bits = simhash.marked(spark.createDataFrame([(x,) for x in h], "h long"))
+    on = set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist())
+    assert on == {x % (8 * len(bits)) for x in h} and len(simhash.marked(spark.createDataFrame([], "h long"))) == 1 << 12
+    assert len(simhash.marked(spark.range(5000).withColumnRenamed("id", "h"), 1 << 15)) == 1 << 12
+
+
 def test_one_row_of_each_group(spark):
     a, b = "these are the words of a text that was copied", "something else altogether stands in this one"
     rows = [(4, a, 1), (2, a, 2), (2, a, 2), (9, b, 3), (None, a, 4), (9, a + " but not wholly the same at its end", 5), (None, None, 6), (None, "", 7), (11, "  ", 8)]
