@@ -320,17 +320,28 @@ def first_level(c: Chunk, words: Words, folder: str, starts: int) -> Climb:
     return Climb(c, counts[inverse], ids, words.prob(ids), context, seen)
 
 
+def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct names, an index of each, which one every name is)."""
+    u, which = np.unique(names, return_inverse=True)
+    at = np.empty(len(u), np.int64)
+    at[which] = np.arange(len(names))
+    return u, at, which
+
+
 def grams(t: Climb, words: Words) -> Grams:
     known = np.flatnonzero(t.seen > 0)
-    name = gram(t.context[known], t.ids[known])
-    u, first, which = np.unique(name, return_index=True, return_inverse=True)
+    u, first, which = distinct(gram(t.context[known], t.ids[known]))
     at = known[first]
+    context = t.context[at]
     dealt = t.seen[at] > hot_limit(words)
-    part = (mix(t.context[at] + np.uint64(1) ^ np.where(dealt, u, np.uint64(0))) & np.uint64(words.parts - 1)).astype(np.int64)
-    order = np.lexsort((t.ids[at], t.context[at], part))
+    part = mix(context + np.uint64(1) ^ np.where(dealt, u, np.uint64(0))) & np.uint64(words.parts - 1)
+    # one number sorts by part and context: word numbers fit below the part, names of contexts lose their last bits
+    free = np.uint64(65 - words.parts.bit_length())
+    below = context if not len(context) or int(context.max()) >> int(free) == 0 else context >> (np.uint64(64) - free)
+    order = np.argsort(part << free | below)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return Grams(known, place[which], at[order], np.searchsorted(part[order], np.arange(words.parts + 1)))
+    return Grams(known, place[which], at[order], np.searchsorted(part[order], np.arange(words.parts + 1, dtype=np.uint64)))
 
 
 def new_contexts(context: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -360,8 +371,8 @@ def gram_answers(batches: Iterator[pa.RecordBatch], words: Words, starts: int) -
         contexts = [np.cumsum(unpack(r[1]), dtype=np.uint64) for r in rows]
         sizes = np.cumsum([0, *map(len, contexts)])
         context, ids = np.concatenate(contexts), np.concatenate([unpack(r[2]) for r in rows])
-        _, first, inverse = np.unique(gram(context, ids), return_index=True, return_inverse=True)
-        order = np.lexsort((ids[first], context[first]))
+        _, first, inverse = distinct(gram(context, ids))
+        order = np.argsort(context[first])
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         first, inverse = first[order], place[inverse]
