@@ -76,7 +76,7 @@ def ordered_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved(spark, sf_dir, lambda: C.policy_ordered(F.col("full"), F.col("w0"), F.col("w1"), F.col("c0"), F.col("c1")))
 
 
-@query()
+@query(whole("sqrt(sum((f-w0)*(f-w0))) AS l0, sqrt(sum((f-w1)*(f-w1))) AS l1, sum((f-w0)*(f-w1))/(sqrt(sum((f-w0)*(f-w0)))*sqrt(sum((f-w1)*(f-w1)))) AS g", "(c0*l0-g*c1*l1)/(1-g*g)*(f-w0)/l0+(c1*l1-g*c0*l0)/(1-g*g)*(f-w1)/l1"))
 def gram_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = residuals(spark, sf_dir).select("k", deltas().alias("deltas"))
     return exploded(C.gram(r, "k"), "moved", "k")
