@@ -66,3 +66,15 @@ def test_plan_has_no_python(spark, small):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_chat(df).count() == 0
+
+
+def test_a_long_conversation(spark):
+    turns = [(i, "assistant" if i % 2 else "user", f"t{i} <|im_end|>") for i in range(6000)]
+    check(spark, [turns, [(0, "assistant", "a"), (1, "assistant", "b")]])
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 2, 3, 7, 64, 1000):
+        numbers = F.array(*[F.lit(i * i % 17) for i in range(n)]).cast("array<int>") if n < 70 else F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * i % 17)
+        want = [sum(j * j % 17 for j in range(i + 1)) for i in range(n)]
+        assert spark.range(1).select(chat.running(numbers)).first()[0] == want
