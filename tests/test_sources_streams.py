@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,7 @@ def test_streaming_router_equals_replay(spark, tmp_path):
         part = events[40 * k : 40 * k + 40]
         rng.shuffle(part)  # a batch may hold its events in any order
         (src / f"{k}.json").write_text("".join(json.dumps(x) + "\n" for x in part))
+        os.utime(src / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))  # files are taken in order of their times
     tail = S.tail(spark, str(src), "e string, at long, s double, f boolean", 1)
     out = S.update_batches(S.router(tail, "e", "s", "f", "at"), spark, str(tmp_path / "out"), str(tmp_path / "log"))
     last = out.groupBy("endpoint").agg(F.max_by(F.struct("latency", "count", "failures", "until"), "batch").alias("x")).select("endpoint", "x.*")
