@@ -39,13 +39,22 @@ START, FLOOR, KEEP = 30.0, 90.0, 0.8
 FIRST_REST, MOST_REST = 300.0, 600.0
 
 
+def in_parts(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows with _part: the number of the range of (keys, order) that they lie in. A key of many rows lies in several
+    parts, one after the other, so no task folds a key by itself; there are at most as many parts as partitions."""
+    return rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+
+
 def ewma(rows: DataFrame, keys: list[str], order: str, value: str, start: float = START, keep: float = KEEP) -> DataFrame:
     """keys, latency, n: keep * old + (1 - keep) * new over each key's rows in order, from start. The fold is a
-    weighted sum, a value's weight being its distance from the end; no key's values are gathered."""
-    w = Window.partitionBy(*keys)
-    back = rows.withColumn("_back", F.row_number().over(w.orderBy(F.desc(order))) - 1)
-    weighted = F.sum((1 - keep) * F.col(value) * F.pow(F.lit(keep), F.col("_back")))
-    return back.groupBy(*keys).agg((weighted + start * F.pow(F.lit(keep), F.count("*"))).alias("latency"), F.count("*").alias("n"))
+    weighted sum, a value's weight being its distance from the end: parts are summed on their own, then a key's
+    parts, one row each, in order."""
+    w = Window.partitionBy(*keys, "_part").orderBy(F.desc(order))
+    back = in_parts(rows, keys, [order]).withColumn("_back", F.row_number().over(w) - 1)
+    parts = back.groupBy(*keys, "_part").agg(F.sum((1 - keep) * F.col(value) * F.pow(F.lit(keep), F.col("_back"))).alias("b"), F.count("*").alias("n"))
+    log = F.sort_array(F.collect_list(F.struct("_part", "b", "n")))
+    fold = F.aggregate(log, F.lit(float(start)), lambda l, p: l * F.pow(F.lit(keep), p["n"]) + p["b"])
+    return parts.groupBy(*keys).agg(fold.alias("latency"), F.sum("n").alias("n"))
 
 
 def rest(failures: Column) -> Column:
@@ -62,19 +71,39 @@ def router_start(endpoints: DataFrame) -> DataFrame:
 def router_replay(events: DataFrame, endpoint: str, at: str, seconds: str, failed: str, start: DataFrame | None = None) -> DataFrame:
     """Endpoint state after its events in order of at (seconds on a clock): latency (smoothed over successes; a
     failure raises it to FLOOR at least), count, failures in a row, and until: when the last failure's rest ends.
-    start: states to begin with, as router_start gives them. An endpoint's events are one fold, so they are
-    gathered in one row: meant for the log since a kept state."""
-    log = events.groupBy(endpoint).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("double").alias("o"), F.col(seconds).alias("s"), F.col(failed).alias("f")))).alias("log"))
-    first = F.struct(F.lit(START).alias("latency"), F.lit(0).alias("count"), F.lit(0).alias("failures"), F.lit(0.0).alias("until"))
+    start: states to begin with, as router_start gives them. A null failed is a success.
+
+    An event turns a latency l into max(a l + b, m), and so does any stretch of events. Each part's stretch is
+    summed up on its own (a success weighs KEEP to the number of successes after it), then an endpoint's
+    parts, one row each, are applied in order."""
+    rows = events.select(endpoint, F.col(at).cast("double").alias("_o"), F.col(seconds).alias("_s"), F.coalesce(failed, F.lit(False)).alias("_f"))
+    w = Window.partitionBy(endpoint, "_part").orderBy(F.desc("_o"), F.desc("_s"), F.desc("_f")).rowsBetween(Window.unboundedPreceding, -1)
+    after = lambda x: F.coalesce(F.sum(x).over(w), F.lit(0))
+    rows = in_parts(rows, [endpoint], ["_o", "_s", "_f"]).withColumn("_k", after((~F.col("_f")).cast("long")))
+    rows = rows.withColumn("_b", F.when(F.col("_f"), 0.0).otherwise((1 - KEEP) * F.col("_s") * F.pow(F.lit(KEEP), F.col("_k"))))
+    rows = rows.withColumn("_m", F.when(F.col("_f"), FLOOR * F.pow(F.lit(KEEP), F.col("_k")) + after(F.col("_b"))))
+    runs = rows.groupBy(endpoint, "_part", "_k").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("_f")).alias("k"), F.sum("_b").alias("b"), F.max("_m").alias("m"),
+        F.count_if("_f").alias("run"), F.max(F.when(F.col("_f"), F.col("_o"))).alias("last"),
+    )
+    place = F.when(F.col("run") > 0, F.col("_k"))
+    parts = runs.groupBy(endpoint, "_part").agg(
+        F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("b").alias("b"), F.max("m").alias("m"),
+        F.min(place).alias("place"), F.min_by("run", place).alias("run"), F.min_by("last", place).alias("last"),
+    )
+    log = parts.groupBy(endpoint).agg(F.sort_array(F.collect_list(F.struct("_part", "n", "k", "b", "m", "place", "run", "last"))).alias("log"))
+    latency, until = F.lit(START), F.lit(0.0)
     if start is not None:
         log = log.join(start.select(F.col("endpoint").alias(endpoint), F.col("latency").alias("_l"), F.col("until").alias("_u")), endpoint, "left")
-        first = F.struct(F.coalesce("_l", F.lit(START)).alias("latency"), F.lit(0).alias("count"), F.lit(0).alias("failures"), F.coalesce("_u", F.lit(0.0)).alias("until"))
+        latency, until = F.coalesce("_l", latency), F.coalesce("_u", until)
+    first = F.struct(latency.alias("latency"), F.lit(0).alias("count"), F.lit(0).alias("failures"), until.alias("until"))
 
-    def step(s: Column, e: Column) -> Column:
-        failures = F.when(e["f"], s["failures"] + 1).otherwise(0)
+    def step(s: Column, p: Column) -> Column:
+        run = p["run"] + F.when(p["place"] == p["k"], s["failures"]).otherwise(0)
+        failures = F.when(p["k"] == 0, s["failures"] + p["n"]).when(p["place"] == 0, p["run"]).otherwise(0)
         return F.struct(
-            F.when(e["f"], F.greatest(s["latency"], F.lit(FLOOR))).otherwise(s["latency"] * KEEP + e["s"] * (1 - KEEP)).alias("latency"),
-            (s["count"] + 1).alias("count"), failures.alias("failures"), F.when(e["f"], e["o"] + rest(failures)).otherwise(s["until"]).alias("until"),
+            F.greatest(s["latency"] * F.pow(F.lit(KEEP), p["k"]) + p["b"], p["m"]).alias("latency"), (s["count"] + p["n"]).cast("int").alias("count"),
+            failures.cast("int").alias("failures"), F.when(p["place"].isNull(), s["until"]).otherwise(p["last"] + rest(run)).alias("until"),
         )
 
     return log.select(endpoint, F.aggregate("log", first, step).alias("s")).select(endpoint, "s.*")

@@ -295,6 +295,37 @@ def test_router(spark):
     assert {r["kind"]: (r["expected"], r["valid"]) for r in J.valid_by_kind(s, x, "key", "kind").collect()} == {"k": (2, 1), "j": (1, 0)}
 
 
+def test_router_and_ewma_of_a_key_in_many_parts(spark):
+    import random
+
+    r = random.Random(5)
+    log = [("hot" if r.random() < 0.8 else "ab"[r.random() < 0.5], i, float(r.randrange(1, 200)), r.random() < (0.9 if i // 40 % 2 else 0.2)) for i in range(900)]
+    log += [("bad", i, 1.0, True) for i in range(5)] + [("good", i, 2.0, None) for i in range(300)]
+    state, smooth = {}, {}
+    for k, o, s, f in log:
+        l, n, bad, until = state.get(k, (30.0, 0, 0, 0.0))
+        bad = bad + 1 if f else 0
+        state[k] = (max(l, 90.0) if f else 0.8 * l + 0.2 * s, n + 1, bad, o + min(600.0, 60 * 2 ** min(bad, 3)) if f else until)
+        smooth[k] = 0.8 * smooth.get(k, 30.0) + 0.2 * s
+    r.shuffle(log)
+    rows = spark.createDataFrame(log, "e string, o int, l double, f boolean")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for parts in (1, 4, 37):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            cut = J.in_parts(rows, ["e"], ["o"]).groupBy("e").agg(F.count_distinct("_part").alias("n"), F.count("*").alias("c")).collect()
+            assert sum(x["c"] for x in cut) == len(log) and (parts == 1 or max(x["n"] for x in cut) > 1)
+            got = {x["e"]: (x["latency"], x["count"], x["failures"], x["until"]) for x in J.router_replay(rows, "e", "o", "l", "f").collect()}
+            assert got.keys() == state.keys()
+            for k, x in got.items():
+                assert x[0] == pytest.approx(state[k][0]) and x[1:] == state[k][1:]
+            assert {x["e"]: x["latency"] for x in J.ewma(rows, ["e"], "o", "l").collect()} == pytest.approx(smooth)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_overlap_join_equals_nested_loop(spark):
     import random
 
