@@ -50,6 +50,8 @@ from .words import FOLD, SPACE, mix, shingle_hashes, text_buffer, word_hashes
 SEED = 42
 WIDE = 512
 SMALL, HOT = 32, 1 << 20
+#: Rows of one key that a star is made of at once, and rows of a block where a key's components are compared.
+STAR, BLOCK = 1 << 16, 256
 _FOLD, _SPACE = bytes(FOLD.tolist()), bytes(32 if s else i for i, s in enumerate(SPACE.tolist()))
 _TRANSLATE = bytes(_SPACE[_FOLD[i]] for i in range(256))
 
@@ -389,14 +391,23 @@ def keyed(nodes: DataFrame, *columns: str) -> DataFrame:
 def star_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     """a > b: distinct pairs of nodes to verify. nodes: (node, n, fp, keys)."""
 
+    def pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j = stars(key, node, n, fps, similarity)
+        if len(i):
+            found = np.unique(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (key, node, n, fp) in whole_keys(batches):
-            node = node.to_numpy(zero_copy_only=False)
+        heads: list[tuple] = []
+        for hot, (key, node, n, fp) in whole_keys(batches, most=STAR):
             fps = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(node), -1)
-            i, j = stars(key.to_numpy(zero_copy_only=False), node, n.to_numpy(zero_copy_only=False), fps, similarity)
-            if len(i):
-                pairs = np.unique(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            rows = *(x.to_numpy(zero_copy_only=False) for x in (key, node, n)), fps
+            yield from pairs(*rows)
+            if hot:  # a piece of a key: its medoid stands for it in the key's own star
+                at = medoids(np.array([0]), np.array([len(fps)]), fps)
+                heads.append(tuple(x[at] for x in rows))
+        if heads:
+            yield from pairs(*map(np.concatenate, zip(*heads)))
 
     rows = keyed(nodes, "node", "n", "fp").repartition("key").sortWithinPartitions("key", "node")
     return rows.mapInArrow(run, "a long, b long").distinct()
@@ -437,12 +448,28 @@ def shingle_sets(wanted: DataFrame, docs: DataFrame, spark: SparkSession, words:
     return written(own.groupBy("node").agg(F.first("shingles").alias("shingles")), spark, "similar-shingles")
 
 
+def blocks(rows: DataFrame, most: int) -> DataFrame:
+    """key, node, component: rows (key, node, component) of keys where several components meet, dealt to smaller keys
+    of some 2 * most rows, in which any two rows of a key and of different components meet. A key's rows
+    within and without its largest component are cut into blocks; each block without meets every other block."""
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    most_rows = F.max_by("component", F.struct("n", "component")).alias("main")
+    cut = lambda n: F.ceil(n / F.lit(most))
+    keys = sizes.groupBy("key").agg(most_rows, F.max("n").alias("n"), F.sum("n").alias("all")).where("all > n")
+    keys = keys.select("key", "main", cut(F.col("n")).alias("within"), cut(F.col("all") - F.col("n")).alias("without"))
+    main, own = F.col("component") == F.col("main"), F.pmod(F.xxhash64("node"), F.when(F.col("component") == F.col("main"), F.col("within")).otherwise(F.col("without")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    inner = F.transform(upto("without"), lambda i: F.xxhash64("key", i, own, F.lit(0)))
+    across = F.transform(upto("within"), lambda i: F.xxhash64("key", own, i, F.lit(0)))
+    among = F.transform(F.filter(upto("without"), lambda i: i != own), lambda i: F.xxhash64("key", F.least(i, own), F.greatest(i, own), F.lit(1)))
+    dealt = F.explode(F.when(main, inner).otherwise(F.concat(across, among)))
+    return rows.join(keys, "key").select(dealt.alias("key"), "node", "component")
+
+
 def inside_edges(named: DataFrame, docs: DataFrame, spark: SparkSession, words: int, similarity: float) -> DataFrame | None:
     """a, b: verified pairs that join components which meet in a key; None if none meet. named: (node, n, fp, keys,
-    rep, component). Only the rows of such keys are dealt out, with their shingles."""
-    rows = keyed(named, "node", "component")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rows = written(rows.join(mixed, "key", "left_semi"), spark, "similar-mixed")
+    rep, component). Only the rows of such keys are dealt out, in blocks, with their shingles."""
+    rows = written(blocks(keyed(named, "node", "component"), BLOCK), spark, "similar-mixed")
     if rows.isEmpty():
         return None
     wanted = named.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n", "fp", "rep")
@@ -450,7 +477,7 @@ def inside_edges(named: DataFrame, docs: DataFrame, spark: SparkSession, words:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        for _, (key, node, component, n, fp, sets) in whole_keys(batches, rows=1 << 12):
+        for _, (key, node, component, n, fp, sets) in whole_keys(batches, rows=1 << 10):
             node = node.to_numpy(zero_copy_only=False)
             fps = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(node), -1)
             own = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets]

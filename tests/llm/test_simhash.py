@@ -186,6 +186,41 @@ def test_keys_join_what_is_similar():
     assert joined == []
 
 
+def test_blocks_bring_rows_of_different_components_together(spark):
+    rng = np.random.default_rng(11)
+    rows = [(1, i, 5 if i < 70 else int(rng.integers(6, 30))) for i in range(100)] + [(2, i, i % 7) for i in range(40)] + [(3, i, 4) for i in range(50)] + [(4, 1, 1), (4, 2, 2)]
+    d = spark.createDataFrame(rows, "key long, node long, component long")
+    groups = {}
+    for r in simhash.blocks(d, 8).collect():
+        groups.setdefault(r["key"], set()).add((r["node"], r["component"]))
+    met = {frozenset((x, y)) for g in groups.values() for x in g for y in g if x[1] != y[1]}
+    of = {k: [(n, c) for q, n, c in rows if q == k] for k in (1, 2, 3, 4)}
+    assert met == {frozenset((x, y)) for g in of.values() for x in g for y in g if x[1] != y[1]}
+    assert max(map(len, groups.values())) < 60 and not simhash.blocks(d.where("key = 3"), 8).collect()
+
+
+def test_stars_of_a_key_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in rng.integers(0, 1 << 40, 200)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 400):
+        v = list(words)
+        v[int(rng.integers(0, 200))] = f"x{i}"
+        rows.append((i, " ".join(v)))
+    rows += [(1000 + i, " ".join(f"y{k}" for k in rng.integers(0, 1 << 40, 60))) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(d, spark).collect()}
+    monkeypatch.setattr(simhash, "STAR", 16)
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "24")
+    try:
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(d, spark).collect()} == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert all(whole[i] == (0 if i < 400 else i) for i in whole)
+
+
 def test_satellites_are_joined_by_their_hub(spark):
     """Copies of one text, each edited elsewhere: 0.8 to the text, less to each other."""
     rng = np.random.default_rng(5)
