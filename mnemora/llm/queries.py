@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, katz, media, packing, pii, simhash, tokenfile, toxicity
+from . import bpe, chat, fingerprints, infill, katz, layout, media, packing, pii, simhash, tokenfile, toxicity, urls
 from .common import bucket, documents
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -99,6 +99,29 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scores(documents(spark, sf_dir), spark, bucket("doc_id", 7) != 2)
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infill.fill_in_middle(documents(spark, sf_dir, "doc_id", "text"), spark)
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    )
+
+
+def op12_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.clustered(documents(spark, sf_dir, "doc_id", "source", "lang", "text"), spark)
+
+
+#: The query's rules, and the words of a page that puts its own URL into the query's list.
+RULES = [urls.Rule.of(*r) for r in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))]
+LISTED = "casino|free-bets|worthless|scum"
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list is of the URLs of pages that hold a word of LISTED."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    listed = pages.where(F.col("html").rlike(LISTED)).select("url")
+    return urls.filter_urls(pages.select("page_id", "url"), spark, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_media": op2_media,
@@ -110,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
     "op10_katz": op10_katz,
+    "op11_infill": op11_infill,
+    "op12_layout": op12_layout,
+    "op13_urls": op13_urls,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,4 +148,33 @@ ORACLE_SQL: dict[str, str] = {
  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
  CAST(sum(length(safe) + CASE WHEN before IS DISTINCT FROM role THEN length('<|im_start|>') + length(replace(safe_role, chr(10), '<|im_nl|>')) + 1 + length('<|im_end|>') + 1
  ELSE length('<|im_sep|>') END) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+    "op11_infill": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('7:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h FROM documents),
+ u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) AS h1, CAST(concat('0x', substr(h, 9, 8)) AS BIGINT) AS h2,
+  CAST(concat('0x', substr(h, 17, 8)) AS BIGINT) AS h3, CAST(concat('0x', substr(h, 25, 8)) AS BIGINT) AS h4 FROM d),
+ c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS x, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS y,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+ p AS (SELECT *, array_to_string(u[1:x], '') AS a, array_to_string(u[x + 1:y], '') AS b, array_to_string(u[y + 1:n], '') AS z FROM c)
+ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', a, '<S>', z, '<M>', b) ELSE concat('<S>', z, '<P>', a, '<M>', b) END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op12_layout": r"""WITH d AS (SELECT doc_id, source, lang, CASE WHEN text IS NULL THEN -1 ELSE strlen(text) END AS length, coalesce(CAST(doc_id AS VARCHAR), '') AS id FROM documents),
+ k AS (SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(id, ''), lambda x: [CAST(coalesce(ascii(x), 0) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)))) % 365 AS date FROM d),
+ r AS (SELECT doc_id, 8 * (rank() OVER (ORDER BY source NULLS FIRST) - 1) // count(*) OVER () AS s, 8 * (rank() OVER (ORDER BY lang NULLS FIRST) - 1) // count(*) OVER () AS l,
+  8 * (rank() OVER (ORDER BY length) - 1) // count(*) OVER () AS b, 8 * (rank() OVER (ORDER BY date) - 1) // count(*) OVER () AS t FROM k),
+ z AS (SELECT *, CAST(list_sum(list_transform([0, 1, 2], lambda j: ((s >> j) & 1) * (1 << (4 * j)) + ((l >> j) & 1) * (1 << (4 * j + 1)) + ((b >> j) & 1) * (1 << (4 * j + 2)) + ((t >> j) & 1) * (1 << (4 * j + 3)))) AS BIGINT) AS z FROM r),
+ p AS (SELECT *, row_number() OVER (ORDER BY z, doc_id NULLS FIRST) - 1 AS position FROM z),
+ f AS (SELECT *, position // 2000 AS file FROM p),
+ m AS (SELECT file, min(s) AS s0, max(s) AS s1, min(l) AS l0, max(l) AS l1, min(b) AS b0, max(b) AS b1, min(t) AS t0, max(t) AS t1 FROM f GROUP BY file),
+ o AS (SELECT DISTINCT file, s, l, b, t FROM f), c AS (SELECT DISTINCT z, s, l, b, t FROM f),
+ x AS (SELECT z, count(DISTINCT o.file) AS n FROM c JOIN o ON o.s = c.s AND o.l = c.l AND abs(o.b - c.b) <= 1 AND abs(o.t - c.t) <= 1 GROUP BY z),
+ y AS (SELECT z, count(*) AS n FROM c JOIN m ON c.s BETWEEN s0 AND s1 AND c.l BETWEEN l0 AND l1 AND b0 <= c.b + 1 AND b1 >= c.b - 1 AND t0 <= c.t + 1 AND t1 >= c.t - 1 GROUP BY z)
+ SELECT doc_id, f.z, position, f.file, y.n AS files_touched, x.n AS files_matching, concat_ws(',', s0, s1, l0, l1, b0, b1, t0, t1) AS file_bounds FROM f JOIN m USING (file) JOIN x USING (z) JOIN y USING (z)""",
+    "op13_urls": r"""WITH r AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ h AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS asked FROM r),
+ k AS (SELECT *, CASE WHEN instr(url, '://') > 0 THEN concat(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '^www\.|\.?(:(80|443)?)?\z', '', 'g'), regexp_replace(regexp_replace(path, '//+', '/', 'g'), '/\z', ''),
+  CASE WHEN q = '' THEN '' ELSE concat('?', q) END) END AS key FROM (SELECT *, array_to_string(list_sort(list_filter(string_split(asked, '&'), lambda p: NOT regexp_matches(p, '^(utm_[^=]*|ref|gclid|fbclid)(=|\z)|^\z'))), '&') AS q FROM h)),
+ l AS (SELECT DISTINCT key FROM k WHERE key IS NOT NULL AND regexp_matches(html, 'casino|free-bets|worthless|scum')),
+ j AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM k)
+ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN key IN (SELECT key FROM l) THEN 'block' ELSE 'allow' END AS verdict FROM j""",
 }
