@@ -53,30 +53,39 @@ def allocation(single: Column, total: Column, fraction: float) -> Column:
     return F.least(F.greatest(share, F.lit(3)), count - 3).cast("long")
 
 
+def label_sets(groups: DataFrame, key: str, labels: str, rank: str, wanted: list, count: int) -> DataFrame:
+    """has (the wanted labels of a group), and its first `count` groups in order of rank: 2**len(wanted) sets at most. A
+    set with many groups is cut down before the shuffle."""
+    has = F.array_sort(F.array_intersect(F.array_distinct(labels), F.array(*map(F.lit, wanted))))
+    first = Window.partitionBy("_has").orderBy("r")
+    kept = groups.select(has.alias("_has"), F.col(key).alias("k"), F.col(rank).alias("r")).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= count)
+    return kept.groupBy("_has").agg(F.sort_array(F.collect_list(F.struct("r", "k"))).alias("first"))
+
+
 def greedy_cover(groups: DataFrame, key: str, labels: str, rank: str, wanted: list, seen: int, count: int) -> list:
     """Keys chosen one by one: the group with most of the wanted labels still short of `seen`, ties by rank, until
     every label has been seen that often or no group helps; then by rank up to count. An error if that
     gives another number of keys, or a label stays short.
 
-    Each choice is an aggregate over the groups, of which the driver gets one row; there are at most seen
-    choices for each label before the fill."""
+    Groups with the same wanted labels differ by rank only, so all choices are made from one table: the first groups of
+    each set of labels, as many as can be chosen."""
+    most = max(count, seen * len(wanted))
+    sets = [(set(r["_has"] or []), [(x["r"], x["k"]) for x in r["first"]]) for r in label_sets(groups, key, labels, rank, wanted, most).collect()]
     need, chosen = dict.fromkeys(wanted, seen), []
-    while short := [x for x, n in need.items() if n > 0]:
-        gain = F.size(F.array_intersect(F.array_distinct(labels), F.array(*map(F.lit, short))))
-        left = groups.where(~F.col(key).isin(chosen)) if chosen else groups
-        best = left.withColumn("_gain", gain).where("_gain > 0").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(labels).alias("l")), F.struct(F.col("_gain"), -F.col(rank))).alias("x")).first()["x"]
-        if best is None:
-            break
-        chosen.append(best["k"])
-        for x in set(best["l"]) & set(need):
+
+    def take(has: set, first: list) -> None:
+        chosen.append(first.pop(0)[1])
+        for x in has:
             need[x] -= 1
-    if len(chosen) < count:
-        left = groups.where(~F.col(key).isin(chosen)) if chosen else groups
-        fill = left.orderBy(rank).limit(count - len(chosen)).select(key, labels).collect()
-        chosen += [r[key] for r in fill]
-        for r in fill:
-            for x in set(r[labels]) & set(need):
-                need[x] -= 1
+
+    while any(n > 0 for n in need.values()):
+        gains = [(-sum(need[x] > 0 for x in has), first[0], i) for i, (has, first) in enumerate(sets) if first]
+        best = min(gains, default=(0, None, 0))
+        if best[0] == 0:
+            break
+        take(*sets[best[2]])
+    while len(chosen) < count and (left := [(first[0], i) for i, (_, first) in enumerate(sets) if first]):
+        take(*sets[min(left)[1]])
     if len(chosen) != count:
         raise ValueError(f"{len(chosen)} groups cover the labels, not {count}")
     if short := [x for x, n in need.items() if n > 0]:

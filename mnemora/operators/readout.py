@@ -1,26 +1,21 @@
-"""Readouts over activation vectors: spherical class centroids and group-excluding neighbours."""
+"""Readouts over activation vectors: spherical class centroids, leave-one-group-out folds, their metrics, and (in
+neighbours) group-excluding nearest references."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.shared import written
+from .neighbours import BLOCK_BYTES, nearest  # noqa: F401
 
-#: A table of more rows is never broadcast, and the references of a block take so many bytes at most.
-SMALL_ROWS, BLOCK_BYTES = 20_000, 64 << 20
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, computed once and marked for broadcast if it has SMALL_ROWS rows at most; else df as it is, which joins
-    by a shuffle."""
-    rows = df.limit(SMALL_ROWS + 1).collect()
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= SMALL_ROWS else df
+#: Bytes of the centers and sums of all folds that a task holds at once; more folds take another pass over the rows.
+FOLD_BYTES = 64 << 20
 
 
 def vector_sums(rows: DataFrame, keys: list[str], vector: str = "v") -> DataFrame:
@@ -55,40 +50,103 @@ def mean_vector(rows: DataFrame, keys: list[str], vector: str = "v") -> DataFram
     return packed(vector_sums(rows, keys, vector).withColumn("x", F.col("s") / F.col("n")), keys, "mean")
 
 
-def centroids(train: DataFrame, by: list[str], center: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def centroids(train: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """(center per by-key without regime, unit centroid per by-key, regime, cls) of rows (…, regime, cls, v)."""
-    center = small(mean_vector(train, by).withColumnRenamed("mean", "center")) if center is None else center
+    center = written(mean_vector(train, by).withColumnRenamed("mean", "center"), "centers")
     units = train.join(center, by).withColumn("u", V.unit(V.sub(V.vec("v"), F.col("center")), 1e-12))
     means = mean_vector(units, [*by, "regime", "cls"], "u")
     return center, means.withColumn("centroid", V.unit(F.col("mean"), 1e-12)).drop("mean")
 
 
-def centroid_scores(queries: DataFrame, center: DataFrame, means: DataFrame, by: list[str]) -> DataFrame:
-    """One row per query and class of its regime with the cosine to the class centroid."""
-    q = queries.join(center, by).withColumn("u", V.unit(V.sub(V.vec("v"), F.col("center")), 1e-12)).drop("center")
-    c = small(means.withColumnRenamed("cls", "candidate"))
-    return q.join(c, [*by, "regime"]).withColumn("score", V.dot(F.col("u"), F.col("centroid"))).drop("u", "centroid")
+def models(center: DataFrame, centroid: DataFrame, by: list[str]) -> DataFrame:
+    """center and candidates (class and unit centroid) per by-key and regime, as a table in the shared folder."""
+    held = centroid.groupBy(*by, "regime").agg(F.sort_array(F.collect_list(F.struct("cls", "centroid"))).alias("candidates"))
+    return written(held.join(center, by), "models")
+
 
+def judged(queries: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
+    """queries with prediction: the class of the nearest centroid of its regime, the smaller class on a tie. A query
+    whose key and regime have no model is left out."""
+    u = V.unit(V.sub(V.vec("v"), F.col("center")), 1e-12)
+    scored = queries.join(model, [*by, "regime"]).withColumn("_u", u)
+    best = F.array_min(F.transform("candidates", lambda c: F.struct((-F.round(V.dot(F.col("_u"), c["centroid"]), 9)).alias("s"), c["cls"].alias("cls"))))
+    return scored.select(*[c for c in queries.columns if c != "v"], best["cls"].alias("prediction"))
 
-def predict(queries: DataFrame, train: DataFrame, by: list[str], item: str, center: DataFrame | None = None) -> DataFrame:
-    """prediction per (by, item): the class of the nearest centroid, the smaller class on a tie."""
-    scores = centroid_scores(queries, *centroids(train, by, center), by)
-    keys = [c for c in queries.columns if c != "v"]
-    scores = scores.withColumn("score", F.round("score", 9))
-    return scores.groupBy(*keys).agg(F.min_by("candidate", F.struct(-F.col("score"), F.col("candidate"))).alias("prediction"))
 
+def predict(queries: DataFrame, train: DataFrame, by: list[str], item: str) -> DataFrame:
+    """queries with the prediction of the centroids of train."""
+    return judged(queries, models(*centroids(train, by), by), by)
 
-def leave_group_out(train: DataFrame, group: str = "grp") -> DataFrame:
+
+def leave_group_out(train: DataFrame, group: str = "grp", fold_bytes: int = FOLD_BYTES) -> DataFrame:
     """prediction of each reference row from a model without its group. A fold's center is the sum of all groups
-    less its own, from one pass; its centroids depend on that center, so each row meets every other fold once
-    (the rows, not the queries, are multiplied, and their vectors are added up where they are)."""
-    sums = vector_sums(train, ["layer", group])
-    whole = Window.partitionBy("layer", "dim")
-    left = sums.withColumn("x", (F.sum("s").over(whole) - F.col("s")) / F.nullif(F.sum("n").over(whole) - F.col("n"), F.lit(0)))
-    center = small(packed(left.withColumnRenamed(group, "fold"), ["layer", "fold"], "center"))
-    folds = center.select("fold").distinct().agg(F.collect_set("fold").alias("_folds"))  # one row: SMALL_ROWS folds at most, else the join below
-    rest = train.join(small(folds)).withColumn("fold", F.explode(F.array_except("_folds", F.array(group)))).drop("_folds")
-    return predict(train.withColumn("fold", F.col(group)), rest, ["layer", "fold"], "vec_id", center)
+    less its own, from a first pass. In a second pass every task holds the centers of all folds and adds each row's unit vector
+    to the sums of all folds but its own: no row is multiplied, and a task sends one sum for each fold, regime and class.
+    Folds whose centers and sums exceed fold_bytes are taken in several such passes."""
+    spark = train.sparkSession
+    sums = written(packed(vector_sums(train, ["layer", group]).withColumn("x", F.col("s")), ["layer", group], "s").join(
+        train.groupBy("layer", group).agg(F.count("*").alias("n")), ["layer", group]), "group-sums")
+    wide = sums.agg(F.max(F.size("s")), F.count("*")).first()
+    classes = train.select("regime", "cls").distinct().count()
+    passes = max(1, -(-wide[1] * (wide[0] or 0) * 8 * (1 + classes) // fold_bytes))
+    part = F.pmod(F.xxhash64(group), F.lit(passes))
+    whole = {}
+    for r in vector_sums(sums.select("layer", F.col("s").alias("v")), ["layer"], "v").groupBy("layer").agg(F.sort_array(F.collect_list(F.struct("dim", "s"))).alias("p")).collect():  # a row for each layer
+        whole[r["layer"]] = np.array([x["s"] for x in r["p"]])
+    rows = dict(sums.groupBy("layer").agg(F.sum("n")).collect())  # a row for each layer
+    found = None
+    for i in range(passes):
+        held = sums.where(part == i).collect()  # fold_bytes at most
+        centers: dict = {}
+        for r in held:
+            left = rows[r["layer"]] - r["n"]
+            if left:
+                centers.setdefault(r["layer"], []).append((r[group], (whole[r["layer"]] - np.array(r["s"])) / left))
+        if not centers:
+            continue
+        sums_of_units = fold_sums(train, centers, group)
+        centroid = packed(sums_of_units.withColumn("x", F.col("s") / F.col("n")), ["layer", "fold", "regime", "cls"], "mean").withColumn("centroid", V.unit(F.col("mean"), 1e-12)).drop("mean")
+        kind = f"layer {train.schema['layer'].dataType.simpleString()}, fold {train.schema[group].dataType.simpleString()}, center array<double>"
+        center = spark.createDataFrame([(layer, fold, c.tolist()) for layer, x in centers.items() for fold, c in x], kind)
+        model = models(center, centroid, ["layer", "fold"])
+        found = model if found is None else found.unionByName(model)
+    if found is None:
+        return train.drop("v").withColumn("fold", F.col(group)).withColumn("prediction", F.col("cls")).limit(0)
+    return judged(train.withColumn("fold", F.col(group)), found, ["layer", "fold"])
+
+
+def fold_sums(train: DataFrame, centers: dict, group: str) -> DataFrame:
+    """layer, fold, regime, cls, dim, s, n: sums over the rows of other groups of their unit vectors from the fold's center."""
+    shared = train.sparkSession.sparkContext.broadcast({layer: ([f for f, _ in x], np.stack([c for _, c in x])) for layer, x in centers.items()})
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        had: dict[tuple, list] = {}
+        for f in frames:
+            for (layer, regime, cls), at in f.groupby(["layer", "regime", "cls"], sort=False, dropna=False).indices.items():
+                folds, c = shared.value.get(layer, ([], None))
+                if c is None:
+                    continue
+                if (total := had.get((layer, regime, cls))) is None:
+                    total = had[layer, regime, cls] = [np.zeros(c.shape), np.zeros(len(c), np.int64)]
+                x, own = np.stack(f["_v"].to_numpy()[at]), f[group].to_numpy()[at]
+                step = max(1, (1 << 20) // c.size)
+                for i in range(0, len(x), step):
+                    away = x[i : i + step, None, :] - c
+                    others = own[i : i + step, None] != np.array(folds, own.dtype)
+                    away /= np.maximum(np.sqrt((away * away).sum(axis=2)), 1e-12)[:, :, None]
+                    total[0] += np.einsum("rfd,rf->fd", away, others)
+                    total[1] += others.sum(axis=0)
+        for (layer, regime, cls), (s, n) in had.items():
+            keep = n > 0
+            folds = [f for f, k in zip(shared.value[layer][0], keep) if k]
+            if folds:
+                yield pd.DataFrame({"layer": layer, "fold": folds, "regime": regime, "cls": cls, "_s": list(s[keep]), "_n": n[keep]})
+
+    kind = lambda c: train.schema[c].dataType.simpleString()
+    schema = f"layer {kind('layer')}, fold {kind(group)}, regime {kind('regime')}, cls {kind('cls')}, _s array<double>, _n long"
+    keys = ["layer", "fold", "regime", "cls"]
+    parts = train.select("layer", group, "regime", "cls", V.vec("v").alias("_v")).mapInPandas(partial, schema)
+    return parts.select(*keys, "_n", F.posexplode("_s").alias("dim", "_x")).groupBy(*keys, "dim").agg(F.sum("_x").alias("s"), F.sum("_n").alias("n"))
 
 
 def class_recalls(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -122,73 +180,3 @@ def layer_report(reference: DataFrame, held: DataFrame) -> DataFrame:
     chosen = reference.agg(F.min_by("layer", first("macro_recall")).alias("layer"), F.max("macro_recall").alias("reference_macro_recall"))
     peak = held.agg(F.min_by("layer", first("macro_recall")).alias("peak_layer"))
     return chosen.join(held.select("layer", F.col("macro_recall").alias("held_macro_recall"), F.col("accuracy").alias("held_accuracy")), "layer").join(peak)
-
-
-def nearest(queries: DataFrame, references: DataFrame, k: int, temperature: float, strict: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """value per query: softmax(similarity / temperature)-weighted mean over the nearest reference of each
-    of the k nearest groups; references of the query's own group or key are no candidates. Similarity is the mean
-    over layers of cosines, ties go to the smaller reference id.
-
-    queries, references: (vec_id, grp, query_key, layers array<vector>[, value]), all layers and vectors of equal
-    sizes and finite, else an error; a query without candidates is an error, or without a row if not strict.
-    References meet the queries in blocks of block_bytes, one after the other; a block gives each query the best
-    reference of its k nearest groups there, which holds what is nearest overall, so k rows a block and query
-    are shuffled and no pair table is."""
-    if k < 1 or not (math.isfinite(temperature) and temperature > 0):
-        raise ValueError("k has to be 1 at least, and the temperature finite and over 0")
-    spark = queries.sparkSession
-    flat = lambda c: F.flatten(F.transform(c, lambda v: V.unit(v)))
-    q = queries.select("vec_id", "grp", "query_key", flat(F.col("layers")).alias("v"), F.size("layers").alias("n"))
-    r = references.select("vec_id", "grp", "query_key", flat(F.col("layers")).alias("v"), F.size("layers").alias("n"), F.col("value").cast("double").alias("value"))
-    shape = r.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v")), F.min("n"), F.max("n")).first()
-    if shape[1] != shape[2] or shape[3] != shape[4]:
-        raise ValueError("references of different shapes")
-    blocks = -(-shape[0] * 8 * (shape[1] or 1) // block_bytes)
-    kinds = ", ".join(f"{a} {queries.schema[b].dataType.simpleString()}" for a, b in (("vec_id", "vec_id"), ("ref", "vec_id"), ("rgrp", "grp")))
-
-    def met(block: pd.DataFrame) -> DataFrame:
-        rows = block.sort_values(["grp", "vec_id"], ignore_index=True)
-        matrix = np.stack(rows["v"].to_numpy())
-        if not (np.isfinite(matrix).all() and np.isfinite(rows["value"]).all()):
-            raise ValueError("references have values that aren't finite")
-        shared = spark.sparkContext.broadcast((matrix, *(rows[c].to_numpy() for c in ("vec_id", "grp", "query_key", "value"))))
-
-        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m, ref, grp, key, value = shared.value
-            first = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]]))
-            size = np.diff(np.append(first, len(grp)))
-            step = max(1, (1 << 22) // len(ref))
-            for f in frames:
-                for i in range(0, len(f), step):
-                    part = f.iloc[i : i + step]
-                    x = np.stack(part["v"].to_numpy())
-                    if x.shape[1] != m.shape[1] or not np.isfinite(x).all():
-                        raise ValueError("queries of another shape, or with values that aren't finite")
-                    sim = np.round(x @ m.T / part["n"].to_numpy()[:, None], 9)
-                    sim[(part["grp"].to_numpy()[:, None] == grp) | (part["query_key"].to_numpy()[:, None] == key)] = -np.inf
-                    top = np.maximum.reduceat(sim, first, axis=1)
-                    where = np.minimum.reduceat(np.where(sim == np.repeat(top, size, axis=1), np.arange(len(ref)), len(ref)), first, axis=1)
-                    out = []
-                    for name, t, w in zip(part["vec_id"], top, where):
-                        out += [(name, ref[w[j]], grp[w[j]], t[j], value[w[j]]) for j in np.lexsort((ref[w], -t))[:k] if np.isfinite(t[j])]
-                    yield pd.DataFrame(out, columns=["vec_id", "ref", "rgrp", "sim", "value"])
-
-        return q.mapInPandas(best, f"{kinds}, sim double, value double")
-
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks)))
-    found = [met(p) for i in range(blocks) if len(p := r.where(part == i).toPandas())]
-    if not found:
-        found = [spark.createDataFrame([], f"{kinds}, sim double, value double")]
-    near = found[0]
-    for more in found[1:]:
-        near = near.union(more)
-    if len(found) > 1:
-        near = near.groupBy("vec_id", "rgrp").agg(F.min_by(F.struct("ref", "sim", "value"), F.struct(-F.col("sim"), F.col("ref"))).alias("x")).select("vec_id", "rgrp", "x.*")
-    top = Window.partitionBy("vec_id").orderBy(F.desc("sim"), "ref")
-    best = near.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k).withColumn("_top", F.first("sim").over(top))
-    weight = F.exp((F.col("sim") - F.col("_top")) / temperature)
-    out = best.groupBy("vec_id").agg((F.sum(weight * F.col("value")) / F.sum(weight)).alias("value"), F.count("*").alias("effective_k"))
-    if not strict:
-        return out
-    gone = F.raise_error(F.concat(F.lit("no reference for "), F.col("vec_id").cast("string"))).cast("long")
-    return queries.select("vec_id").join(out, "vec_id", "left").withColumn("effective_k", F.coalesce("effective_k", gone))

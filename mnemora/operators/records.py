@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Policy scores, signed coefficients, and the source labels that mean each policy.
+#: Policy scores and signed coefficients.
 SCORES = {"ignore": 0.0, "support": 0.5, "dominate": 1.0}
 COEFFICIENTS = {"ignore": -1.0, "support": 0.0, "dominate": 1.0}
+#: The policy that each benchmark's labels mean: single-policy labels, list names, flags.
 ALIASES = {
-    "ignore": "ignore", "忽略偏好": "ignore", "A": "ignore", "irr": "ignore", "suppress": "ignore",
-    "support": "support", "supportive": "support", "支持性偏好": "support", "B": "support", "nice": "support",
-    "dominate": "dominate", "以偏好为主线": "dominate", "C": "dominate", "must": "dominate", "apply": "dominate",
+    "ignore": "ignore", "忽略偏好": "ignore", "A": "ignore",
+    "support": "support", "supportive": "support", "支持性偏好": "support", "B": "support",
+    "dominate": "dominate", "以偏好为主线": "dominate", "C": "dominate",
+    "must": "dominate", "nice": "support", "irr": "ignore",
+    "apply": "dominate", "suppress": "ignore",
 }
 
 
@@ -96,14 +99,17 @@ def flag_policy(flag: Column) -> Column:
 
 
 def keyed_items(samples: DataFrame, group: Column, calibration: DataFrame) -> DataFrame:
-    """items with group_id, query_key (the query in lower case, white space collapsed) and split: calibration
-    for the groups of that table, heldout for others."""
+    """items with group_id, query_key (the query in NFKC, case folded, white space collapsed) and split: calibration
+    for the groups of that table, heldout for others. A sample without memories, or with two of one id, is an error."""
     from ..functions import text as T
 
-    rows = samples.select("sample_id", group.cast("string").alias("group_id"), T.normalize_plain(F.col("query")).alias("query_key"))
+    ids = F.transform("memories", lambda m: m["memory_id"])
+    wrong = (F.coalesce(F.size("memories"), F.lit(0)) < 1) | (F.size(F.array_distinct(ids)) < F.size(ids))
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("empty or duplicate memory ids: "), F.col("sample_id"))).cast("string")).otherwise(F.col("sample_id"))
+    rows = samples.select(checked.alias("sample_id"), group.cast("string").alias("group_id"), T.normalize(F.col("query")).alias("query_key"))
     cal = calibration.select(F.col("group_id").cast("string").alias("group_id")).distinct().withColumn("split", F.lit("calibration"))
     keys = rows.join(cal, "group_id", "left").na.fill("heldout", ["split"])
-    return items(samples).join(keys, "sample_id")
+    return keys.join(items(samples), "sample_id", "left").select(*items(samples).columns, "group_id", "query_key", "split")
 
 
 def items(samples: DataFrame) -> DataFrame:

@@ -43,12 +43,26 @@ def coverage(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFram
     return _said(missing, "missing", key, F.lit("")).unionByName(_said(orphan, "orphan", key, F.lit("")))
 
 
-def calibration(groups: DataFrame, group: str, split: str, most: float = 0.2) -> DataFrame:
-    """Known splits, no group in two of them; at most a share of all groups in calibration."""
+def calibration(groups: DataFrame, group: str, split: str, most: float = 0.2, sample: str | None = None, chosen: DataFrame | None = None) -> DataFrame:
+    """Known splits, no group in two of them; at most a share of all groups in calibration. With sample, no sample
+    twice. With chosen (a column of the group's or, with sample, the sample's ids that calibration was made of): some id is chosen, each
+    of them exists, and what they name is what calibration holds."""
     unknown = groups.where(F.col(split).isNull() | ~F.col(split).isin(*SPLITS)).select(group, split).distinct()
     two = groups.groupBy(group).agg(F.countDistinct(split).alias("n")).where("n > 1")
     part = groups.select(group, split).distinct().agg((F.count_if(F.col(split) == "calibration") / F.countDistinct(group)).alias("share")).where(F.col("share") > most)
-    return _said(two, "conflict", F.col(group), F.col("n")).unionByName(_said(part, "calibration_share", F.lit("all"), F.round("share", 6))).unionByName(_said(unknown, "split", F.col(group), F.col(split)))
+    found = _said(two, "conflict", F.col(group), F.col("n")).unionByName(_said(part, "calibration_share", F.lit("all"), F.round("share", 6))).unionByName(_said(unknown, "split", F.col(group), F.col(split)))
+    if sample is not None:
+        found = found.unionByName(unique(groups, [sample], "duplicate_sample"))
+    if chosen is None:
+        return found
+    key = sample or group
+    ids = chosen.select(F.col(chosen.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct()
+    none = ids.agg(F.count("*").alias("n")).where("n = 0")
+    held = groups.where(F.col(split) == "calibration").select(key).distinct()
+    missing = _said(ids.join(groups, key, "left_anti"), "missing_calibration", F.col(key), F.lit(""))
+    other = _said(held.join(ids, key, "left_anti"), "not_chosen", F.col(key), F.lit(""))
+    apart = _said(ids.join(groups.select(key, split), key).where(F.col(split) != "calibration").select(key).distinct(), "not_in_calibration", F.col(key), F.lit(""))
+    return found.unionByName(_said(none, "no_calibration", F.lit("all"), F.lit(""))).unionByName(missing).unionByName(other).unionByName(apart)
 
 
 def complete_levels(rows: DataFrame, group: str, level: str, levels: list[int]) -> DataFrame:

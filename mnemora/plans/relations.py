@@ -23,7 +23,7 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT r_name, n_name, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders, round(sum(o_totalprice),2) AS total FROM region JOIN nation ON n_regionkey=r_regionkey JOIN customer ON c_nationkey=n_nationkey LEFT JOIN orders ON o_custkey=c_custkey GROUP BY 1,2""")
 def equi_join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, n, c, o = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
-    j = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
+    j = c.join(n.join(r, F.col("n_regionkey") == F.col("r_regionkey")), F.col("c_nationkey") == F.col("n_nationkey")).join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
     return j.groupBy("r_name", "n_name").agg(F.countDistinct("c_custkey").alias("customers"), F.count("o_orderkey").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
@@ -155,11 +155,22 @@ def transport_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def normalize_key_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    t, s = T.normalize_plain(F.col("text")), lambda c: c.cast("string")
+    d, b = (x.withColumn("t", T.normalize("text")) for x in (d, b))
+    t, s = F.col("t"), lambda c: c.cast("string")
     keys = {"text": (t, t), "digest": (F.sha2(t, 256), F.sha2(t, 256)), "sample_id": (s(F.col("doc_id")), s(F.col("item_id"))), "group_id": (s(F.col("doc_id") % 97), s(F.col("item_id") % 89))}
     return J.overlap_counts(d, b, keys)
 
 
+@query(r"""SELECT item_id, sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))) AS plain, true AS wide, true AS sharp FROM benchmark""")
+def folded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fullwidth letters and white space, and sharp s for ss, have the key of the plain text."""
+    signs = "".join(map(chr, range(33, 127)))
+    wide = F.translate(F.replace("text", F.lit(" "), F.lit("\u3000")), signs, "".join(chr(ord(c) + 0xFEE0) for c in signs))
+    sharp = F.upper(F.replace("text", F.lit("ss"), F.lit("ß")))
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.normalize("text").alias("t"), T.normalize(wide).alias("w"), T.normalize(sharp).alias("s"))
+    return b.select("item_id", F.sha2("t", 256).alias("plain"), (F.col("w") == F.col("t")).alias("wide"), (F.col("s") == F.col("t")).alias("sharp"))
+
+
 @query()
 def normalize_key_overlap_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(T.normalize("text").alias("t"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import io
+from ..sources import arrays, io
+from ..sources.shared import folder
 from .base import LONG, SIG, query, r6, table
 from .metrics import HELD, held
-from .streams import folder
 
 CUSTOMER = "c_custkey long, c_name string, c_acctbal double"
 
@@ -33,14 +33,9 @@ def json_gzip_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey, s_name FROM supplier")
 def json_array_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # an array is one value to a reader: a file for each nation
-    rows = table(spark, sf_dir, "supplier").select("s_nationkey", F.struct("s_suppkey", "s_name").alias("r"))
     path = folder(spark, "array")
-    rows.groupBy("s_nationkey").agg(F.to_json(F.collect_list("r")).alias("value")).select("value").repartition(5).write.option("lineSep", "\n").text(path)
-    whole = spark.read.text(path).select(F.explode(F.from_json("value", "array<struct<s_suppkey:long,s_name:string>>")).alias("r"))
-    one = f"{path}-one"
-    whole.select(F.to_json("r").alias("value")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).coalesce(1).write.text(one)
-    return io.read_json(spark, one, "s_suppkey long, s_name string")
+    arrays.write_array(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").repartition(3, "s_suppkey"), path)
+    return io.read_json(spark, path, "s_suppkey long, s_name string")
 
 
 @query("SELECT DISTINCT concat(o_custkey, '::', o_orderstatus) AS uid FROM orders WHERE o_orderkey%10 <> 0 AND o_orderkey%11 <> 0")
@@ -72,10 +67,9 @@ def journal_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT printf('bench_kind_%04d', i-1) AS sample_id, s_name AS question FROM (SELECT s_name, s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) WHERE s_suppkey%2=0")
 def benchmark_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.struct(F.col("s_name").alias("question"), "s_suppkey").alias("r"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("question"), "s_suppkey")
     path = folder(spark, "benchmark")
-    one = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "r"))), lambda x: x["r"]).alias("kind"))
-    one.coalesce(1).write.json(path)
+    arrays.write_array(rows.repartitionByRange(3, "s_suppkey").sortWithinPartitions("s_suppkey"), path, "kind")
     got = io.read_benchmark(spark, path, "struct<question:string,s_suppkey:long>", "kind", prefix="bench_")
     kept = got.where("s_suppkey % 2 = 0").select("sample_id")
     return io.read_benchmark(spark, path, "struct<question:string,s_suppkey:long>", "kind", kept, "bench_").select("sample_id", "question")
@@ -117,9 +111,11 @@ def written_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey%2=0")
 def replaced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, c = folder(spark, "replaced"), customers(spark, sf_dir)
-    io.replace(c, path, spark)
-    io.replace(c.where("c_custkey % 2 = 0"), path, spark)
-    return spark.read.parquet(path)
+    io.publish(c, path, spark)
+    before = io.read_published(spark, path)
+    io.publish(c.where("c_custkey % 2 = 0"), path, spark)
+    # a plan made before still finds the old version
+    return io.read_published(spark, path).join(before, c.columns, "left_semi")
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")

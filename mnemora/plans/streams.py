@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import folder
+from ..streaming import growing, state
 from ..streaming import journal as S
 from .base import query, r6
 from .relations import ROUTER
@@ -14,13 +14,6 @@ from .relations import ROUTER
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, under the warehouse, which a cluster's driver
-    and executors share as well."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events file as a stream (the bracket makes a pattern of the file's name)."""
     rows = S.tail(spark, f"{sf_dir}/event[s].parquet", EVENTS, fmt="parquet")
@@ -83,3 +76,38 @@ def stream_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.update_batches(S.router(rows, "endpoint", "latency", "failed", "o"), spark, folder(spark, "router"), folder(spark, "router-log"))
     last = out.groupBy("endpoint").agg(F.max_by(F.struct("latency", "count", "failures", "until"), "batch").alias("x"))
     return last.select("endpoint", r6(F.col("x.latency")).alias("latency"), "x.count", "x.failures", "x.until")
+
+
+@query("""WITH d AS (SELECT user_id % 60 AS k, event_id AS place, event_id % 37 = 0 AS other, value > 80 AS ok, first_value(event_id % 37 = 0) OVER (PARTITION BY user_id % 60 ORDER BY event_id) AS first FROM events),
+ f AS (SELECT *, other = first AND NOT coalesce(bool_or(other = first AND ok) OVER (PARTITION BY k ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS run FROM d)
+ SELECT CAST(k AS VARCHAR) AS key, place, CASE WHEN other <> first THEN 'conflict' WHEN run THEN 'run' ELSE 'skip' END AS action, CAST(sum(run::INT) OVER (PARTITION BY k ORDER BY place) AS BIGINT) AS attempt FROM f""")
+def stream_key_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys run until they are valid; a key that isn't delivered for two days is forgotten, so the state is bounded."""
+    rows = events(spark, sf_dir).withWatermark("ts", "1 hour").select(
+        (F.col("user_id") % 60).cast("string").alias("key"), F.col("event_id").alias("place"), (F.col("event_id") % 37 == 0).cast("string").alias("digest"), (F.col("value") > 80).alias("ok"), F.col("ts").alias("at")
+    )
+    return S.drain_to_files(state.key_runs(rows, spark, 2 * 86_400), spark, folder(spark, "runs"), folder(spark, "runs-log"))
+
+
+@query("""WITH RECURSIVE w AS (SELECT (floor(max(epoch_us(ts)) / 1000) - 60000) / 1000 AS w FROM events),
+ e AS (SELECT user_id % 90 AS u, row_number() OVER (PARTITION BY user_id % 90 ORDER BY ts, event_id) AS i, epoch_us(ts) / 1e6 AS c, value AS v, CASE WHEN event_type = 'error' THEN 'failure' WHEN event_type IN ('view', 'click') THEN 'acquire' ELSE 'success' END AS kind FROM events, w WHERE epoch_us(ts) / 1e6 <= w),
+ s AS (SELECT DISTINCT u, 0::BIGINT AS i, 0.0::DOUBLE AS c, '' AS kind, 30.0::DOUBLE AS l, 0::BIGINT AS n, 0::BIGINT AS k, 0::BIGINT AS a, 0.0::DOUBLE AS t FROM e UNION ALL
+ SELECT s.u, e.i, e.c, e.kind, CASE e.kind WHEN 'failure' THEN greatest(90.0, s.l) WHEN 'success' THEN 0.8 * s.l + 0.2 * e.v ELSE s.l END, s.n + (e.kind <> 'acquire')::BIGINT, CASE e.kind WHEN 'failure' THEN s.k + 1 WHEN 'success' THEN 0 ELSE s.k END,
+ CASE e.kind WHEN 'acquire' THEN s.a + 1 ELSE greatest(s.a - 1, 0) END, CASE WHEN e.kind = 'failure' THEN e.c + least(600.0, 60 * power(2, least(s.k + 1, 3))) WHEN s.t <= e.c THEN 0.0 ELSE s.t END FROM s JOIN e ON e.u = s.u AND e.i = s.i + 1),
+ r AS (SELECT s.u, s.t AS c, 'rested' AS kind, s.l, s.n, s.k, s.a, 0.0 AS t FROM s LEFT JOIN e ON e.u = s.u AND e.i = s.i + 1, w WHERE s.t > 0 AND s.t <= coalesce(e.c, w))
+ SELECT CAST(u AS VARCHAR) AS endpoint, round(c, 3) AS "at", kind AS event, round(l, 6) AS latency, n AS count, k AS failures, a AS active, round(t, 3) AS until FROM (SELECT u, c, kind, l, n, k, a, t FROM s WHERE i > 0 UNION ALL SELECT * FROM r)""")
+def stream_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in flight, latency and rests of each endpoint after each event that the watermark has passed."""
+    kind = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type").isin("view", "click"), "acquire").otherwise("success")
+    rows = events(spark, sf_dir).withWatermark("ts", "1 minute").select((F.col("user_id") % 90).cast("string").alias("endpoint"), F.col("ts").alias("at"), F.col("event_id").alias("place"), kind.alias("kind"), F.col("value").alias("seconds"))
+    out = S.drain_to_files(state.endpoints(rows, spark), spark, folder(spark, "endpoints"), folder(spark, "endpoints-log"))
+    return out.select("endpoint", F.round("at", 3).alias("at"), "event", r6(F.col("latency")).alias("latency"), "count", "failures", "active", F.round("until", 3).alias("until"))
+
+
+@query("""SELECT event_id, user_id, value FROM events""")
+def stream_growing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as JSON lines of files, read as a stream by bytes."""
+    path = folder(spark, "lines")
+    spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_json(F.struct("event_id", "user_id", "value")).alias("value")).repartition(3).write.text(path)
+    rows = growing.growing_lines(spark, path, range=64 << 10).select(F.from_json("value", "event_id long, user_id long, value double").alias("r")).select("r.*")
+    return S.drain_to_files(rows, spark, folder(spark, "grown"), folder(spark, "grown-log"))

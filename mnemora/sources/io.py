@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import arrays
+
+#: Seconds after which a lock is of a driver that died.
+STALE = 86_400.0
 MEMORY = "struct<memory_id:string,memory_text:string,gold_policy:string,gold_score:double>"
 SAMPLE = f"source string, sample_id string, query string, context string, memories array<{MEMORY}>, metadata map<string,string>"
 PREDICTION = "uid string, sample_id string, memory_id string, split string, coefficient double, policy string"
@@ -17,15 +22,22 @@ JOURNAL = "key string, sample_id string, kind string, memory_id string, status s
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Lines, or arrays that begin with '['; .gz by suffix. The first non-blank character decides; an
-    empty file has no rows; a bad record is an error."""
-    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    array = bool(head) and head[0]["value"].lstrip().startswith("[")
-    return spark.read.schema(schema).option("multiLine", array).option("mode", "FAILFAST").json(path)
+    """Lines, or arrays that begin with '[', which are read in splits as lines are; .gz by suffix. The first
+    non-blank character decides; an empty file has no rows; a bad record is an error."""
+    if arrays.is_array(spark, path):
+        return arrays.read_array(spark, path, schema)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def read_done(spark: SparkSession, path: str) -> DataFrame:
-    """uids of finished rows; blank and broken lines are passed over."""
+    """uids of finished rows; blank and broken lines are passed over, and where nothing is written yet there are none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "uid string")
     rows = spark.read.schema("uid string, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.where("uid is not null").select("uid").distinct()
 
@@ -78,8 +90,7 @@ def read_predictions(flat: DataFrame, nested: DataFrame) -> DataFrame:
 
 def read_benchmark(spark: SparkSession, path: str, schema: str, kind: str, kept: DataFrame | None = None, prefix: str = "") -> DataFrame:
     """A JSON object whose field `kind` is a list: rows with ids made of a prefix, the kind and the position."""
-    rows = spark.read.schema(f"{kind} array<{schema}>").option("multiLine", True).json(path)
-    out = rows.select(F.posexplode(kind).alias("pos", "r")).select(F.format_string(f"{prefix}{kind}_%04d", "pos").alias("sample_id"), "pos", "r.*")
+    out = arrays.read_field(spark, path, kind, schema).select(F.format_string(f"{prefix}{kind}_%04d", "pos").alias("sample_id"), "pos", "r.*")
     return out if kept is None else out.join(kept, "sample_id", "left_semi")
 
 
@@ -108,8 +119,7 @@ def content_digest(df: DataFrame) -> str:
 
 def write_once(df: DataFrame, path: str, spark: SparkSession) -> bool:
     """Writes a new table; the same rows again are no change; other rows are an error."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+    if exists(spark, path):
         if content_digest(spark.read.parquet(path)) != content_digest(df):
             raise ValueError(f"{path} holds other rows")
         return False
@@ -121,17 +131,16 @@ def contract_digest(contract: dict) -> str:
     return hashlib.sha256(json.dumps(contract, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
-def cached(spark: SparkSession, folder: str, contract: dict, make) -> DataFrame:
+def cached(spark: SparkSession, folder: str, contract: dict, make, stale: float = STALE) -> DataFrame:
     """make() as a table under the contract's digest: made once, read afterwards.
 
     A lock file that only one writer can create guards the work; the table is written aside and renamed when it is
-    whole, the contract beside it, which is compared on reading."""
+    whole, the contract beside it, which is compared on reading. The lock names its owner and the time; one older than
+    stale seconds is of a driver that died, and whoever renames it away takes its place."""
     path = f"{folder}/{contract_digest(contract)}"
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    at = lambda p: hadoop.Path(p)
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, at = _hadoop(spark, path)
     if not fs.exists(at(path)):
-        lock = fs.create(at(f"{path}.lock"), False)  # an error where another writer holds it
+        _lock(spark, f"{path}.lock", stale)
         try:
             if not fs.exists(at(path)):
                 aside = f"{path}.{uuid.uuid4().hex}"
@@ -140,7 +149,6 @@ def cached(spark: SparkSession, folder: str, contract: dict, make) -> DataFrame:
                 if not fs.rename(at(aside), at(path)):
                     raise OSError(f"{path} can't be put in place")
         finally:
-            lock.close()
             fs.delete(at(f"{path}.lock"), False)
     held = spark.read.schema("contract string").json(f"{path}/contract").first()
     if held is None or json.loads(held["contract"]) != json.loads(json.dumps(contract)):
@@ -148,21 +156,116 @@ def cached(spark: SparkSession, folder: str, contract: dict, make) -> DataFrame:
     return spark.read.parquet(f"{path}/rows")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of path, and what makes a path of a text."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a file with text; False if it is there already. Of several writers one succeeds."""
+    fs, at = _hadoop(spark, path)
+    try:
+        out = fs.create(at(path), False)
+    except Exception as e:  # a Java exception
+        if fs.exists(at(path)):
+            return False
+        raise OSError(f"{path} can't be created") from e
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def _content(spark: SparkSession, path: str) -> str:
+    fs, at = _hadoop(spark, path)
+    stream = fs.open(at(path))
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _lock(spark: SparkSession, path: str, stale: float) -> None:
+    """Takes the lock or raises."""
+    fs, at = _hadoop(spark, path)
+    owner = json.dumps({"owner": spark.sparkContext.applicationId, "since": time.time()})
+    for _ in range(2):
+        if _create(spark, path, owner):
+            return
+        age = time.time() - fs.getFileStatus(at(path)).getModificationTime() / 1000
+        if age < stale or not fs.rename(at(path), at(f"{path}.{uuid.uuid4().hex}")):
+            break
+    raise OSError(f"{path} is held by {_content(spark, path) if fs.exists(at(path)) else 'another writer'}")
+
+
 def require_contract(spark: SparkSession, path: str, contract: dict) -> None:
     """Records the contract of a run under path, or compares it with the one recorded: another is an error."""
     write_once(spark.createDataFrame([(contract_digest(contract),)], "digest string"), f"{path}.contract", spark)
 
 
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of each version of a table, the newest last. A pointer file without a name is of a writer that
+    died in between, and counts for nothing."""
+    fs, at = _hadoop(spark, path)
+    if not fs.exists(at(f"{path}/_pointers")):
+        return []
+    found = []
+    for status in fs.listStatus(at(f"{path}/_pointers")):
+        name = status.getPath().getName()
+        if name.isdigit() and (folder := _content(spark, f"{path}/_pointers/{name}").strip()):
+            found.append((int(name), f"{path}/{folder}"))
+    return sorted(found)
+
+
+def publish(df: DataFrame, path: str, spark: SparkSession, keep: int = 2) -> None:
+    """Puts df in the place of a table that read_published reads. It is written whole as a new version, then a
+    pointer file of the next number, which only one writer can create, names it: before that all readers see the old
+    rows, after it the new ones, and nothing is lost where a step fails. Of two writers at once the slower one gets an error. Versions
+    but the newest `keep` are deleted afterwards, so that plans made before still find their files."""
+    had = versions(spark, path)
+    folder = f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    number = max([n for n, _ in had] + _numbers(spark, path), default=0) + 1
+    if not _create(spark, f"{path}/_pointers/{number:010d}", folder):
+        raise OSError(f"{path} was replaced by another writer")
+    fs, at = _hadoop(spark, path)
+    for n, old in had[: max(0, len(had) + 1 - keep)]:
+        fs.delete(at(f"{path}/_pointers/{n:010d}"), False)
+        fs.delete(at(old), True)
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of all pointers, those without a name as well."""
+    fs, at = _hadoop(spark, path)
+    return [int(s.getPath().getName()) for s in fs.listStatus(at(f"{path}/_pointers")) if s.getPath().getName().isdigit()] if fs.exists(at(f"{path}/_pointers")) else []
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table that publish wrote."""
+    found = versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"{path} has no version")
+    return spark.read.parquet(found[-1][1])
+
+
 def replace(df: DataFrame, path: str, spark: SparkSession) -> None:
-    """Puts df in the place of a table: written aside and renamed, so a reader never sees half of it."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
+    """Puts df in the place of a plain folder that any Parquet reader reads. It is written aside; the old folder is renamed
+    away, the new one renamed into its place, and only then the old one deleted. A rename that fails is an error, and the
+    old rows are back in place. Between the two renames there is no folder: where readers mustn't see that, publish."""
+    fs, at = _hadoop(spark, path)
     aside, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(aside)
-    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hadoop.Path(path)):
-        fs.rename(hadoop.Path(path), hadoop.Path(old))
-    fs.rename(hadoop.Path(aside), hadoop.Path(path))
-    fs.delete(hadoop.Path(old), True)
+    had = fs.exists(at(path))
+    if had and not fs.rename(at(path), at(old)):
+        fs.delete(at(aside), True)
+        raise OSError(f"{path} can't be moved away")
+    if not fs.rename(at(aside), at(path)):
+        if had and not fs.rename(at(old), at(path)):
+            raise OSError(f"{path} can't be put in place; its rows are in {old}")
+        fs.delete(at(aside), True)
+        raise OSError(f"{path} can't be put in place")
+    if had:
+        fs.delete(at(old), True)
 
 
 def resume(todo: DataFrame, spark: SparkSession, path: str, key: str, make, contract: dict | None = None) -> DataFrame:
