@@ -2,7 +2,8 @@
 
 Texts are cut into pieces at white space, and between an ASCII letter or digit and ASCII punctuation (an
 apostrophe may begin a contraction and stays), where the library's own cuts make the pieces independent of each
-other. Pieces are found and hashed for a whole Arrow batch at once (64 bits). The library encodes the pieces that a
+other. Pieces are found and hashed for a whole Arrow batch at once: a 64-bit key and a second hash of 64 bits that is
+compared wherever the key is known, so a piece whose key is another's is encoded by itself. The library encodes the pieces that a
 worker hasn't met yet, thousands of them as one text, ids of the others come from a memo, and all ids are gathered
 by offsets: no Python object is made for a piece that is known.
 
@@ -74,21 +75,24 @@ class Encoder:
         self.memo: dict[int, int] = {}
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.size, self.pieces = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
+        self.check = np.empty(1 << 12, np.uint64)
 
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise NotImplementedError
 
-    def keep(self, ids: np.ndarray, n: np.ndarray) -> None:
-        """Appends the ids of pieces of n ids each."""
+    def keep(self, ids: np.ndarray, n: np.ndarray, check: np.ndarray) -> None:
+        """Appends the ids of pieces of n ids each, and their second hashes."""
         total, count = self.used + len(ids), self.pieces + len(n)
         if total > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.empty(total, np.uint32)])
         if count > len(self.start):
             self.start = np.concatenate([self.start[: self.pieces], np.empty(count, np.int64)])
             self.size = np.concatenate([self.size[: self.pieces], np.empty(count, np.int64)])
+            self.check = np.concatenate([self.check[: self.pieces], np.empty(count, np.uint64)])
         self.ids[self.used : total] = ids
         self.start[self.pieces : count] = self.used + np.cumsum(n) - n
         self.size[self.pieces : count] = n
+        self.check[self.pieces : count] = check
         self.used, self.pieces = total, count
 
     def whole_documents(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
@@ -114,7 +118,7 @@ class Encoder:
             order = np.argsort(starts, kind="stable")
             starts, ends, of = starts[order], ends[order], of[order]
             counts = np.searchsorted(of, np.arange(len(offsets)))
-        (h,) = span_hashes(data, starts, ends, value=self.value)
+        h, check = span_hashes(data, starts, ends, value=self.value, seeds=(0, 1))
         keys = h.tolist()
         get = self.memo.get
         index = np.fromiter(map(get, keys, repeat(-1)), np.int64, len(keys))
@@ -124,28 +128,28 @@ class Encoder:
                 get, missing = self.memo.get, np.arange(len(keys))
             _, at = np.unique(h[missing], return_index=True)
             new = missing[at]
-            is_long = (ends[new] - starts[new] > LONG) | np.isin(starts[new], offsets[whole])
-            short, long = new[~is_long], new[is_long]
-            self.learn(raw, starts, ends, keys, short)
+            short = new[(ends[new] - starts[new] <= LONG) & ~np.isin(starts[new], offsets[whole])]
+            self.learn(raw, starts, ends, keys, check, short)
             index[missing] = np.fromiter(map(get, h[missing].tolist(), repeat(-1)), np.int64, len(missing))
-        else:
-            long = missing
         before = self.used, self.pieces
-        if len(long):  # for this batch alone
+        # long pieces, whole texts, and pieces whose key is another's: for this batch alone, those of equal hashes once
+        alone = np.flatnonzero((index < 0) | (self.check[index] != check))
+        if len(alone):
+            own = np.where(np.isin(starts[alone], offsets[whole]), alone + 1, 0).astype(np.uint64)  # case may matter in a special string
+            pairs = np.stack([h[alone], check[alone], own], axis=1)
+            _, at, same = np.unique(pairs, axis=0, return_index=True, return_inverse=True)
             first = self.pieces
-            for i in long.tolist():
+            for i in alone[at].tolist():
                 one = self.library(raw[starts[i] : ends[i]].decode())
-                self.keep(one, np.array([len(one)]))
-            order = np.argsort(h[long])
-            rest = np.flatnonzero(index < 0)
-            index[rest] = first + order[np.searchsorted(h[long][order], h[rest])]
+                self.keep(one, np.array([len(one)]), check[i : i + 1])
+            index[alone] = first + same.reshape(-1)
         n = self.size[index]
         done = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(self.start[index] - done[:-1], n) + np.arange(done[-1])]
         self.used, self.pieces = before
         return ids, done[counts]
 
-    def learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, keys: list[int], new: np.ndarray) -> None:
+    def learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, keys: list[int], check: np.ndarray, new: np.ndarray) -> None:
         for i in range(0, len(new), 1 << 14):
             part = new[i : i + (1 << 14)].tolist()
             texts = [raw[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist())]
@@ -154,7 +158,7 @@ class Encoder:
                 own = [k for k, j in enumerate(joined) if j == group]
                 if own:
                     first = self.pieces
-                    self.keep(*encode([texts[k] for k in own]))
+                    self.keep(*encode([texts[k] for k in own]), check[[part[k] for k in own]])
                     self.memo.update(zip([keys[part[k]] for k in own], range(first, self.pieces)))
 
     def joins(self, piece: bytes) -> bool:

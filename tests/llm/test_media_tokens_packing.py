@@ -5,6 +5,7 @@ import tarfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -218,3 +219,44 @@ def test_packer_keeps_most_documents_whole_and_groups_even():
             cost.setdefault(g, []).append(sum(x.length**2 for x in w))
     sizes = {g: len(c) for g, c in cost.items()}
     assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def thue_morse(power, one="a", other="b"):
+    return "".join((one, other)[bin(i).count("1") % 2] for i in range(2**power))
+
+
+@pytest.mark.parametrize("power", range(9, 14))
+def test_words_that_a_polynomial_hash_confuses_keep_their_ids(power):
+    """A word of 2**power letters and the one with its letters exchanged have equal polynomials of any base modulo 2**64."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from mnemora.llm import tokenize
+    from mnemora.llm.words import word_hashes
+
+    pair = [thue_morse(power), thue_morse(power, "b", "a")]
+    texts = [*pair, " ".join(pair), pair[1] + "\n" + pair[0], thue_morse(power, "Q", "z"), thue_morse(power, "z", "Q")]
+    h, _ = word_hashes(pa.array(pair))
+    assert h[0] != h[1]
+    for kind, name in ((tokenize.ByteEncoder, "byte_bpe_50k.json"), (tokenize.WordEncoder, "word_bpe_49k.json")):
+        plain = Tokenizer.from_file(public_tokenizers.path(name))
+        encoder = kind(public_tokenizers.path(name))
+        for batch in (texts, texts[::-1]):  # the second time from the memo
+            ids, counts = encoder.encode_batch(pa.array(batch))
+            assert [ids[a:b].tolist() for a, b in zip(counts, counts[1:])] == [e.ids for e in plain.encode_batch(batch, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "ByteEncoder"), ("word_bpe_49k.json", "WordEncoder")])
+def test_pieces_with_equal_keys_are_told_apart(monkeypatch, name, kind):
+    """Were all keys equal, the second hash would still give every piece its own ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from mnemora.llm import tokenize
+
+    real = tokenize.span_hashes
+    monkeypatch.setattr(tokenize, "span_hashes", lambda *a, **k: [np.zeros_like(real(*a, **k)[0]), real(*a, **k)[1]])
+    texts = ["one two three two", "two one", "", "three's <|endoftext|> one", "Z" * 400 + " one", None]
+    ids, counts = getattr(tokenize, kind)(public_tokenizers.path(name)).encode_batch(pa.array(texts))
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    assert [ids[a:b].tolist() for a, b in zip(counts, counts[1:])] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
