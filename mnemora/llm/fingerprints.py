@@ -190,11 +190,9 @@ def neighbours(docs: DataFrame, spark: SparkSession) -> DataFrame:
                 top[k] = min(top.get(k, row), row)
         yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int64()), pa.array([x[0] for x in top.values()], pa.bool_()), pa.array([-x[1] for x in top.values()], pa.int64()), pa.array([x[2] for x in top.values()], pa.int64())], names=["bucket", "absent", "id", "h"])
 
-    found = rows.select("id", "absent", "h").mapInArrow(heads, "bucket long, absent boolean, id long, h long").collect()  # a row for each task and bucket
-    firsts: dict[int, tuple] = {}
-    for r in found:
-        row = (r["absent"], -r["id"], r["h"])
-        firsts[r["bucket"]] = min(firsts.get(r["bucket"], row), row)
+    found = rows.select("id", "absent", "h").mapInArrow(heads, "bucket long, absent boolean, id long, h long")
+    least = found.groupBy("bucket").agg(F.min(F.struct("absent", F.bitwise_not("id").alias("back"), "h")).alias("x")).collect()  # a row for each bucket
+    firsts = {r["bucket"]: (r["x"]["absent"], r["x"]["back"] + 1, r["x"]["h"]) for r in least}
     order = sorted(firsts)
     follows = {firsts[k]: order[i - 1] for i, k in enumerate(order)}
 
