@@ -266,8 +266,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, m
     )
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").withColumn("t", F.xxhash64("text"))
     sizes = rows.groupBy("h", "doc_id", "t").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).orderBy("h", "doc_id", "t").limit(most_rows)
-    found = sizes.toPandas()
-    taken = found[found["size"].astype("int64").cumsum() <= most_bytes][["doc_id", "t"]]
+    found, kept, total = sizes.toPandas(), [], 0
+    for size in found["size"]:  # most_rows at most; a text that doesn't fit is passed over, not those after it
+        kept.append(total + size <= most_bytes)
+        total += size * kept[-1]
+    taken = found[np.array(kept, bool)][["doc_id", "t"]]
     if not len(taken):
         return rows.limit(0).toPandas()
     keys = docs.sparkSession.createDataFrame(taken, "doc_id long, t long")
