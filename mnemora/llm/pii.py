@@ -57,8 +57,8 @@ MOST_DIGITS = 19
 CELLS, FACTORS, AGREE = 1 << 13, ("chain", "same", "digits", "tail", "edit", "part"), 10.0
 #: Last digits that tell two numbers alike; lengths of forms that may differ by one character.
 TAIL, EDIT, MOST_EDITED = 7, 8, 64
-#: Probability from which a kind is taken; log potential under which no token of a text without a base span counts.
-SURE, LITTLE = 0.8, -7.0
+#: Probability from which a kind is taken.
+SURE = 0.8
 
 
 def luhn(digits: str) -> bool:
@@ -323,8 +323,6 @@ class Field:
             return []
         y = labelled(base, found)
         unary = self.unary(text, found, y)
-        if not (y > 0).any() and unary[:, 1:].max() < LITTLE:
-            return []
         near, far = edges(text, found)
         weight = [self.pair[0]] * len(near) + [self.pair[FACTORS.index(f)] for f, _, _ in far]
         p = self.marginals(unary, near + [(i, j) for _, i, j in far], weight)
