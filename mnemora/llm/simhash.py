@@ -22,7 +22,8 @@ rows. The block keys are therefore made of min-wise shingles: `values_for` of th
 keys, by which a pair at the similarity meets with a probability of over 0.9995. Within a key everything is
 decided by fingerprints of WIDE bits over the distinct shingles: first each row is proposed together with the
 key's medoid (the row nearest to the key's bitwise majority). Once these pairs are verified and joined to
-components, the rows of different components that still meet in a key are compared there: the pivot table discards,
+components, the rows of different components that still meet in a key find each other by prefixes of their rare shingles
+(`prefixes`); where even these are too frequent, the rows of one are compared in blocks: the pivot table discards,
 then sizes and `allowed_bits` (three deviations over the mean). Every pair that remains is verified by the exact
 Jaccard similarity of the two whole texts' distinct shingles, and verified pairs alone make components; a task
 returns a spanning forest of them. Pivots are drawn from the rows themselves here: random references are all about
@@ -43,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import prefixes
 from .common import written
 from .components import Forest, components
 from .words import FOLD, SPACE, mix, shingle_hashes, text_buffer, word_hashes
@@ -468,12 +470,29 @@ def blocks(rows: DataFrame, most: int) -> DataFrame:
 
 def inside_edges(named: DataFrame, docs: DataFrame, spark: SparkSession, words: int, similarity: float) -> DataFrame | None:
     """a, b: verified pairs that join components which meet in a key; None if none meet. named: (node, n, fp, keys,
-    rep, component). Only the rows of such keys are dealt out, in blocks, with their shingles."""
-    rows = written(blocks(keyed(named, "node", "component"), BLOCK), spark, "similar-mixed")
-    if rows.isEmpty():
+    rep, component). The rows of such keys are candidates of each other by prefixes of their rare shingles: rows alike enough
+    to meet, but no more, cost a fifth of their shingles each and no comparison with the rest of their key. Shingles too frequent for
+    that even so are compared in blocks."""
+    rows = keyed(named, "node", "component")
+    keys = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(rows.join(keys.select("key"), "key", "left_semi").select("node").distinct(), spark, "similar-mixed")
+    if met.isEmpty():
         return None
-    wanted = named.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n", "fp", "rep")
-    full = wanted.drop("rep").join(shingle_sets(wanted, docs, spark, words), "node")
+    wanted = named.join(met, "node", "left_semi").select("node", "n", "fp", "rep", "component")
+    sets = shingle_sets(wanted, docs, spark, words)
+    rare = written(prefixes.prefix_rows(sets.join(wanted.select("node", "component"), "node"), similarity), spark, "similar-prefixes")
+    found = written(prefixes.close_pairs(rare, similarity, whole_keys), spark, "similar-close")
+    edges = similar_pairs(found.where("b is not null"), sets, spark, similarity)
+    hot = found.where("b is null").select(F.col("a").alias("member"))
+    if hot.isEmpty():
+        return edges
+    mixed = rare.join(hot, "member").select(F.col("member").alias("key"), "node", "component")
+    return edges.union(block_edges(mixed, wanted.select("node", "n", "fp").join(sets, "node"), spark, similarity))
+
+
+def block_edges(mixed: DataFrame, full: DataFrame, spark: SparkSession, similarity: float) -> DataFrame:
+    """a, b: verified pairs that join components within keys, for rows (key, node, component), in blocks. full: (node, n, fp, shingles)."""
+    rows = written(blocks(mixed, BLOCK), spark, "similar-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -493,7 +512,11 @@ def inside_edges(named: DataFrame, docs: DataFrame, spark: SparkSession, words:
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, spark: SparkSession, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose distinct shingles have the Jaccard similarity."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    own = shingle_sets(wanted, docs, spark, words)
+    return similar_pairs(pairs, shingle_sets(wanted, docs, spark, words), spark, similarity)
+
+
+def similar_pairs(pairs: DataFrame, own: DataFrame, spark: SparkSession, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets, own (node, shingles), have the Jaccard similarity."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -550,12 +573,15 @@ def one_of_each(docs: DataFrame, spark: SparkSession, words: int = 5, similarity
     rows = found.groupBy("component", "doc_id", "hash").agg(F.count("*").alias("n"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "hash", "n")).alias("x")
     kept = written(rows.groupBy("component").agg(least).select("x.*"), spark, "similar-kept")
-    taken = "_taken_hash"
+    mark = "_kept"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    taken, kept_id, kept_hash, times = (f"{mark}_{c}" for c in ("own", "id", "hash", "times"))
     docs = docs.withColumn(taken, F.xxhash64("text"))
-    side = kept.select(F.col("doc_id").alias("_kept_id"), F.col("hash").alias("_kept_hash"), F.col("n").alias("_kept_n"))
-    same = (F.col(taken) == F.col("_kept_hash")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))
-    out = docs.join(side.where("_kept_n = 1"), same, "left_semi")
-    again = side.where("_kept_n > 1")
+    side = kept.select(F.col("doc_id").alias(kept_id), F.col("hash").alias(kept_hash), F.col("n").alias(times))
+    same = (F.col(taken) == F.col(kept_hash)) & F.col("doc_id").eqNullSafe(F.col(kept_id))
+    out = docs.join(side.where(F.col(times) == 1), same, "left_semi")
+    again = side.where(F.col(times) > 1)
     if not again.isEmpty():
         out = out.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", taken]))
     return out.drop(taken)
