@@ -18,10 +18,12 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset (one machine)
-    under the warehouse, which they share as well. Never a folder of one machine's own."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset, on one machine
+    under the warehouse, and an error on a cluster. Never a folder of one machine's own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

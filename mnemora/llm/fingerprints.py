@@ -4,7 +4,8 @@ The lexicon holds the terms whose inverse document frequency ln(N / df) lies in
 of all documents tell nothing, terms in less than one of exp(BAND[1]) documents are too rare to be shared. Document
 frequencies are exact and cover all rows. The band's rare end bounds the lexicon: it can't hold more than
 exp(BAND[1]) times as many terms as a document has on average, so its size (8 bytes a term, gathered and broadcast) is
-bounded whatever the input.
+bounded whatever the input. In a table of fewer than exp(BAND[1]) documents, 20,000, the rare end takes nothing away; in a
+larger one terms of fewer than N / 20,000 documents leave the lexicon, so a pair that shares such terms is less alike there.
 
 A document keeps its distinct lexicon terms, sorted. The lexicon is dealt at random to PARTS subsets; on LEVELS
 levels, each a random quarter of the one before, the terms of every subset are hashed to 12 bits. The fingerprint is a

@@ -237,8 +237,8 @@ def exchange(sent: DataFrame, answer, folder: str) -> None:
     dealt.repartition("kind", "chunk").write.partitionBy("kind", "chunk").parquet(folder)
 
 
-def word_requests(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    for c in chunks(batches):
+def word_requests(batches: Iterator[pa.RecordBatch], parts: int, chunk_tokens: int = CHUNK_TOKENS) -> Iterator[pa.RecordBatch]:
+    for c in chunks(batches, chunk_tokens):
         u, inverse = np.unique(c.hashes, return_inverse=True)
         counts = np.bincount(inverse[np.repeat(c.train, c.lengths)], minlength=len(u)).astype(np.uint64)
         cuts = np.searchsorted(part_of_word(u, parts), np.arange(parts + 1))
@@ -474,9 +474,9 @@ def in_splits(docs: DataFrame, spark: SparkSession, train: Column) -> DataFrame:
     return written(docs.select("doc_id", "text", train), spark, "katz-rows").select("doc_id", "text", "train", place)
 
 
-def scores(docs: DataFrame, spark: SparkSession, train: Column, order: int = 2) -> DataFrame:
+def scores(docs: DataFrame, spark: SparkSession, train: Column, order: int = 2, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text);
-    train: which rows the model learns from; order: tokens that an n-gram has at most."""
+    train: which rows the model learns from; order: tokens that an n-gram has at most; chunk_tokens: tokens of a chunk."""
     if order < 1:
         raise ValueError("the order has to be 1 at least")
     rows = in_splits(docs, spark, train)
@@ -486,7 +486,7 @@ def scores(docs: DataFrame, spark: SparkSession, train: Column, order: int = 2)
     spark_rows = "part int, a binary, b binary, c binary, d binary, e binary, chunk string"
     table = lambda k, kind: spark.read.schema(spark_rows).parquet(f"{folders[k - 1]}/kind={kind}")
 
-    exchange(rows.mapInArrow(lambda it: word_requests(it, parts), ROWS), word_answers, folders[0])
+    exchange(rows.mapInArrow(lambda it: word_requests(it, parts, chunk_tokens), ROWS), word_answers, folders[0])
     if rows.isEmpty():
         return spark.createDataFrame([], RESULT)
     classes = table(1, "table").select("b").mapInArrow(word_classes, "count long, n long").where("count > 0").groupBy("count").agg(F.sum("n").alias("n"), F.max("n").alias("w")).collect()
@@ -497,7 +497,7 @@ def scores(docs: DataFrame, spark: SparkSession, train: Column, order: int = 2)
 
     def climb(batches: Iterator[pa.RecordBatch], known: list) -> Iterator[tuple[Climb, Grams | None]]:
         """Chunks after the levels that are known, with their n-grams of the next one if there is any."""
-        for c in chunks(batches):
+        for c in chunks(batches, chunk_tokens):
             t = first_level(c, shared.value, folders[0], starts)
             for k, level in enumerate(known, 2):
                 t = climbed(t, grams(t, shared.value), level.value, folders[k - 1], starts)

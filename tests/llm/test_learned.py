@@ -246,6 +246,19 @@ def test_fingerprint_query(spark):
     assert near.mean() > far.mean() + 0.2
 
 
+def test_both_ends_of_the_band(spark):
+    """Terms too common and terms too rare are no part of what is compared; the texts' own hash still tells them apart."""
+    rows = [(i, f"every half{i % 2} tenth{i % 10} own{i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    band = (1.0, 3.0)  # from one of 20 to one of 2.7 documents
+    kept = fingerprints.lexicon(docs, band)
+    assert sorted(kept.tolist()) == sorted(word_hashes(pa.array([" ".join(f"tenth{i}" for i in range(10))]))[0].tolist())
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_neighbours(docs, spark, band).collect()}
+    marks = {i: fingerprints.parse(r["fingerprint"]) for i, r in got.items()}
+    assert all(fingerprints.likeness(marks[i], marks[i + 10])[0] == 1.0 and got[i]["fingerprint"] != got[i + 10]["fingerprint"] for i in range(90))
+    assert all(fingerprints.likeness(marks[i], marks[i + 1])[0] < 1.0 for i in range(99))
+
+
 def test_likeness_estimates_jaccard():
     rng = np.random.default_rng(4)
     for n in (6, 60, 600, 20_000):
