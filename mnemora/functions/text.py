@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Callable
 
@@ -225,41 +226,97 @@ def labelled_parts(parts: list[tuple[str, Column]], sep: str = "\n") -> Column:
 SINGLE_TIMES, UNIT_TIMES, LONGEST_UNIT, LEAST_CHARS = 20, 10, 30, 40
 
 
-def periodic_runs(codes: np.ndarray, period: int, least: int) -> list[tuple[int, int]]:
-    """[start, end) of the stretches, of `least` positions or more, at which a character equals the one a period
+_ALNUM: list[np.ndarray] = []
+
+
+def _alnum(codes: np.ndarray) -> np.ndarray:
+    """Whether each code is of a letter or digit; those beyond Unicode aren't."""
+    if not _ALNUM:
+        _ALNUM.append(np.fromiter((i <= sys.maxunicode and chr(i).isalnum() for i in range(sys.maxunicode + 2)), bool, sys.maxunicode + 2))
+    return _ALNUM[0][np.minimum(codes, sys.maxunicode + 1)]
+
+
+def joined_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts (none null), a code that stands nowhere else after each, and where each text begins."""
+    sizes = pc.utf8_length(texts).to_numpy().astype(np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    codes = np.empty(int(sizes.sum()) + len(sizes), np.uint32)
+    own = np.ones(len(codes), bool)
+    own[ends] = False
+    codes[own] = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+    codes[ends] = sys.maxunicode + 1 + np.arange(len(ends))
+    return codes, ends - sizes
+
+
+def periodic_runs(codes: np.ndarray, period: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches, of `least` positions or more, at which a code equals the one a period
     later."""
     differs = np.flatnonzero(codes[:-period] != codes[period:]) if len(codes) > period else np.zeros(0, np.int64)
     edges = np.concatenate([[-1], differs, [max(0, len(codes) - period)]])
     long = np.flatnonzero(np.diff(edges) > least)
-    return list(zip((edges[long] + 1).tolist(), edges[long + 1].tolist()))
+    return edges[long] + 1, edges[long + 1]
 
 
-def first_repetition(text: str) -> tuple[str, int, int] | None:
-    """(unit, characters, offset) of the first degenerate repetition: a letter or digit SINGLE_TIMES in a row,
+def first_repetitions(texts: pa.Array) -> pa.Array:
+    """Of each text unit, characters and offset of the first degenerate repetition, null for none: a letter or digit SINGLE_TIMES in a row,
     else a unit of two characters or more UNIT_TIMES in a row, on one line, with a letter or digit in it and
-    LEAST_CHARS in all. Found from the runs at which a text agrees with itself shifted by a period."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    for a, b in periodic_runs(codes, 1, SINGLE_TIMES - 1):
-        if text[a].isalnum():
-            return text[a], b - a + 1, a
-    runs = []  # (period, first and last start of a repetition, end of agreement)
+    LEAST_CHARS in all.
+
+    Found for all texts at once, from the runs at which their codes, with a code of its own between any two texts, agree with
+    themselves shifted by a period. Where the first run of a text is no repetition the next one after it is looked at, in
+    rounds that take a step in every such text."""
+    codes, begin = joined_codes(texts.fill_null(""))
+    n = len(begin)
+    unit, size, offset = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    whose = lambda at: np.searchsorted(begin, at, "right") - 1
+    a, b = periodic_runs(codes, 1, SINGLE_TIMES - 1)
+    single = _alnum(codes[a])
+    a, b = a[single], b[single]
+    of, first = np.unique(whose(a), return_index=True)
+    unit[of], size[of], offset[of] = 1, b[first] - a[first] + 1, a[first]
+    lines = np.concatenate([[0], np.cumsum(codes == 10)])
+    letters = np.concatenate([[0], np.cumsum(_alnum(codes))])
+    found = []  # of each run: period, first and last start of a repetition, end of agreement
     for p in range(2, LONGEST_UNIT + 1):
-        again = (UNIT_TIMES - 1) * p
-        runs += [(p, a, b - again, b) for a, b in periodic_runs(codes, p, again) if "\n" not in text[a : a + p]]
-    at = 0
-    while here := [(max(a, at), p, end) for p, a, last, end in runs if max(a, at) <= last]:
-        start, p, end = min(here)
-        length = p * (1 + (end - start) // p)
-        if length >= LEAST_CHARS and any(c.isalnum() for c in text[start : start + p]):
-            return text[start : start + p], length, start
-        at = start + length
-    return None
-
-
-@F.pandas_udf(StructType([StructField("unit", StringType()), StructField("characters", IntegerType()), StructField("offset", IntegerType())]))
-def repetition(texts: pd.Series) -> pd.DataFrame:
-    """first_repetition of each text; nulls for none."""
-    return pd.DataFrame([first_repetition(t) or (None, None, None) if t else (None, None, None) for t in texts], columns=["unit", "characters", "offset"])
+        a, b = periodic_runs(codes, p, (UNIT_TIMES - 1) * p)
+        one_line = lines[np.minimum(a + p, len(codes))] == lines[a]
+        a, b = a[one_line], b[one_line]
+        found.append(np.stack([np.full(len(a), p), a, b - (UNIT_TIMES - 1) * p, b]))
+    period, low, last, end = np.concatenate(found, axis=1) if n else np.zeros((4, 0), np.int64)
+    of = whose(low)
+    open_at, some = np.zeros(n, np.int64), offset < 0
+    while len(of):
+        start = np.maximum(low, open_at[of])
+        on = np.flatnonzero((start <= last) & some[of])
+        period, low, last, end, of, start = period[on], low[on], last[on], end[on], of[on], start[on]
+        order = np.lexsort((end, period, start, of))
+        text, first = np.unique(of[order], return_index=True)
+        pick = order[first]
+        p, at = period[pick], start[pick]
+        long = p * (1 + (end[pick] - at) // p)
+        good = (long >= LEAST_CHARS) & (letters[at + p] > letters[at])
+        t = text[good]
+        unit[t], size[t], offset[t], some[t] = p[good], long[good], at[good], False
+        open_at[text] = at + long
+    hit = offset >= 0
+    where = np.flatnonzero(hit)
+    raw = codes.astype("<u4").tobytes()
+    units = np.full(n, None, object)
+    units[where] = [raw[4 * x : 4 * (x + y)].decode("utf-32-le") for x, y in zip(offset[where].tolist(), unit[where].tolist())]
+    none = ~hit
+    return pa.StructArray.from_arrays([pa.array(units, pa.string()), pa.array(size, pa.int32(), mask=none), pa.array(offset - begin, pa.int32(), mask=none)], names=["unit", "characters", "offset"])
+
+
+def first_repetition(text: str) -> tuple[str, int, int] | None:
+    """(unit, characters, offset) of one text, as first_repetitions finds it."""
+    found = first_repetitions(pa.array([text]))[0].as_py()
+    return None if found["unit"] is None else (found["unit"], found["characters"], found["offset"])
+
+
+@F.arrow_udf(StructType([StructField("unit", StringType()), StructField("characters", IntegerType()), StructField("offset", IntegerType())]))
+def repetition(texts: pa.Array) -> pa.Array:
+    """first_repetitions of a batch; nulls for none."""
+    return first_repetitions(texts)
 
 
 def has_single_repetition(text: Column, times: int = 20) -> Column:

@@ -3,7 +3,7 @@ struct(c, d): a memory's coefficient and its direction."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.shared import written
 
 
 def directions(coefficients: Column, full: Column, without: Column) -> Column:
@@ -22,6 +23,31 @@ def isolated_directions(coefficients: Column, only: Column, empty: Column) -> Co
     return F.zip_with(coefficients, F.zip_with(only, empty, V.sub), lambda c, d: F.struct(c.alias("c"), d.alias("d")))
 
 
+def computed_once(rows: DataFrame, prompts: list[str], compute: Callable[[DataFrame], DataFrame], heavy: int = 1024) -> DataFrame:
+    """rows with v_<prompt>, the vector of each of its prompt columns: compute takes (digest, prompt) and returns (digest, v), and
+    gets every distinct prompt once, however many rows share it. What it returns is written, and joined back by the digest.
+    Prompts of more than one in `heavy` of all uses, fewer than `heavy`, meet their rows by a broadcast of that bound;
+    the others are dealt by digest."""
+    known = rows.select("*", *[F.sha2(F.coalesce(F.col(p), F.lit("")), 256).alias(f"_d_{p}") for p in prompts])
+    uses = known.select(F.explode(F.array(*[F.struct(F.col(f"_d_{p}").alias("digest"), F.coalesce(F.col(p), F.lit("")).alias("prompt")) for p in prompts])).alias("x"))
+    distinct = written(uses.groupBy("x.digest").agg(F.first("x.prompt").alias("prompt"), F.count("*").alias("n")), "distinct-prompts")
+    made = written(compute(distinct.select("digest", "prompt")).join(distinct.select("digest", "n"), "digest"), "prompt-vectors")
+    total = made.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(made.where(F.col("n") * heavy > total).select("digest", F.col("v").alias("_often")))
+    rare = made.where(F.col("n") * heavy <= total).select("digest", F.col("v").alias("_rare"))
+    for p in prompts:
+        near = known.join(often.withColumnRenamed("digest", f"_d_{p}"), f"_d_{p}", "left")
+        far = near.where(F.col("_often").isNull()).drop("_often").join(rare.withColumnRenamed("digest", f"_d_{p}"), f"_d_{p}").withColumnRenamed("_rare", f"v_{p}")
+        known = near.where(F.col("_often").isNotNull()).withColumnRenamed("_often", f"v_{p}").unionByName(far)
+    return known.drop(*[f"_d_{p}" for p in prompts])
+
+
+def isolated_differences(rows: DataFrame, compute: Callable[[DataFrame], DataFrame], only: str = "only", empty: str = "empty") -> DataFrame:
+    """rows with delta, the vector of the prompt with one memory less that of the prompt without any, which many memories share."""
+    done = computed_once(rows, [only, empty], compute)
+    return done.withColumn("delta", V.sub(F.col(f"v_{only}"), F.col(f"v_{empty}"))).drop(f"v_{only}", f"v_{empty}")
+
+
 def transport_sum(deltas: Column, width: int) -> Column:
     return V.weighted_sum(F.transform(deltas, lambda x: F.struct(x["c"].alias("k"), x["d"].alias("v"))), width)
 

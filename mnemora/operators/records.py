@@ -30,6 +30,15 @@ def policy(label: Column, strict: bool = False) -> Column:
     return F.coalesce(found, F.raise_error(F.concat(F.lit("unknown label "), label)).cast("string")) if strict else found
 
 
+#: What the single verdict calls a row's intent.
+INTENTS = {"ignore": "忽略偏好", "support": "支持性偏好", "supportive": "支持性偏好", "dominate": "以偏好为主线", "dominant": "以偏好为主线"}
+
+
+def intent(label: Column) -> Column:
+    """The name of an intent; a label without one stands for itself."""
+    return F.coalesce(lookup(INTENTS, label), label)
+
+
 def level_policy(level: Column) -> Column:
     """Ordinal levels 1-5: 1 ignore, 5 dominate, others support."""
     return F.when(level == 1, "ignore").when(level == 5, "dominate").when(level.between(2, 4), "support")

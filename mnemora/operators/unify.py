@@ -85,34 +85,37 @@ def render_streams(samples: DataFrame, template: str, kinds: tuple[str, ...] = (
     return streams.select("sample_id", "stream", "kind", "memory_id", T.system_prompt(template, F.col("context"), listed).alias("prompt"))
 
 
-#: Renderers of a prompt by name: functions of (row columns: context, query, the memories kept, all memories).
-RENDERERS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {}
+#: What makes a prompt of row columns: context, query, the memories kept, all memories.
+Renderer = Callable[[Column, Column, Column, Column], Column]
+#: Renderers by name.
+RENDERERS: dict[str, Renderer] = {}
 
 
-def renderer(name: str, make: Callable[[Column, Column, Column, Column], Column]) -> None:
+def renderer(name: str, make: Renderer) -> None:
     """Registers how prompts of a style are made; another one under the same name is an error."""
     if RENDERERS.setdefault(name, make) is not make:
         raise ValueError(f"there is a renderer {name}")
 
 
-def system_renderer(template: str) -> Callable[[Column, Column, Column, Column], Column]:
+def system_renderer(template: str) -> Renderer:
     from ..functions import text as T
 
     listed = lambda kept: T.numbered_list(F.transform(kept, lambda m: F.struct(m["memory_text"].alias("text"), m["gold_policy"].alias("policy"))))
     return lambda context, query, kept, everyone: T.system_prompt(template, context, listed(kept))
 
 
-def official_renderer(template: str) -> Callable[[Column, Column, Column, Column], Column]:
+def official_renderer(template: str) -> Renderer:
     from ..functions import text as T
 
     return lambda context, query, kept, everyone: T.official_prompt(template, F.transform(kept, lambda m: m["memory_text"]), F.size(everyone) == 1, query)
 
 
-def render_layout(samples: DataFrame, layout: str, style: str) -> DataFrame:
-    """sample_id, stream, kind, prompt: a layout's prompts in a registered style. memories need a coefficient c."""
+def render_layout(samples: DataFrame, layout: str, style: str | Renderer) -> DataFrame:
+    """sample_id, stream, kind, prompt: a layout's prompts in a registered style, or by a renderer. memories need a coefficient c."""
+    make = RENDERERS[style] if isinstance(style, str) else style
     streams = R.stream_layout(samples, layout).join(samples.select("sample_id", "context", "query", "memories"), "sample_id")
     kept = F.filter("memories", lambda m: F.array_contains("kept", m["memory_id"]))
-    return streams.select("sample_id", "stream", "kind", RENDERERS[style](F.col("context"), F.col("query"), kept, F.col("memories")).alias("prompt"))
+    return streams.select("sample_id", "stream", "kind", make(F.col("context"), F.col("query"), kept, F.col("memories")).alias("prompt"))
 
 
 def input_report(samples: DataFrame, calibration: DataFrame) -> DataFrame:

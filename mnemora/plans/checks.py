@@ -16,7 +16,7 @@ from ..operators import records as R
 from ..operators import relational as J
 from ..operators import unify as U
 from ..operators import validate as X
-from .base import ITEMS, LONG, LONGR, RES, RESID, SIG, exploded, items, query, r6, residuals, samples, signatures, table
+from .base import ITEMS, LONG, LONGR, RES, RESID, SIG, items, query, r6, residuals, samples, signatures, table
 from .metrics import HELD, LOGO, held
 
 COEFFICIENT = "CASE policy WHEN 'ignore' THEN -1 WHEN 'support' THEN 0 ELSE 1 END"
@@ -56,6 +56,18 @@ def calibration_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(found.withColumn("detail", F.when(F.col("constraint") == "calibration_share", "over").otherwise(F.col("detail"))))
 
 
+@query("""WITH g AS (SELECT o_orderkey AS id, o_custkey AS g, CASE WHEN o_custkey%7=0 THEN 'calibration' ELSE 'heldout' END AS s FROM orders UNION ALL SELECT o_orderkey, o_custkey, CASE WHEN o_custkey%7=0 THEN 'calibration' ELSE 'heldout' END FROM orders WHERE o_orderkey%89=0),
+ c AS (SELECT o_orderkey AS id FROM orders WHERE (o_custkey%7=0 AND o_orderkey%101<>0) OR o_orderkey%103=0 UNION SELECT -o_orderkey FROM orders WHERE o_orderkey%97=0)
+ SELECT 'duplicate_sample' AS "constraint", count(*) AS n FROM (SELECT id FROM g GROUP BY 1 HAVING count(*)>1) HAVING count(*)>0 UNION ALL SELECT 'missing_calibration', count(*) FROM c WHERE id NOT IN (SELECT id FROM g) HAVING count(*)>0
+ UNION ALL SELECT 'not_chosen', count(DISTINCT id) FROM g WHERE s='calibration' AND id NOT IN (SELECT id FROM c) HAVING count(*)>0 UNION ALL SELECT 'not_in_calibration', count(DISTINCT id) FROM g WHERE s<>'calibration' AND id IN (SELECT id FROM c) HAVING count(*)>0""")
+def calibration_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, sf_dir, "orders")
+    g = o.select(k.alias("id"), c.alias("g"), F.when(c % 7 == 0, "calibration").otherwise("heldout").alias("s"))
+    chosen = o.where(((c % 7 == 0) & (k % 101 != 0)) | (k % 103 == 0)).select(k.alias("id")).union(o.where(k % 97 == 0).select(-k))
+    return X.calibration(g.union(g.where("id % 89 = 0")), "g", "s", 0.2, "id", chosen).groupBy("constraint").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT 'overlap' AS "constraint", count(*) AS n FROM customer WHERE c_custkey%2=0 AND c_custkey%3=0 UNION ALL SELECT 'missing', count(*) FROM customer WHERE c_custkey%2<>0 AND c_custkey%3<>0""")
 def split_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
@@ -206,20 +218,6 @@ def stream_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-TEMPLATE = "Given {persona} answer: {question}"
-
-
-@query("""SELECT c_custkey AS k, i AS stream, CASE WHEN c_custkey%2=0 THEN concat('Given ', CASE WHEN i=0 THEN c_name ELSE '' END, ' answer: q', c_custkey) ELSE concat('Given ', CASE i WHEN 0 THEN concat('[''', c_name, ''', ''', c_mktsegment, ''']') WHEN 1 THEN concat('[''', c_mktsegment, ''']') ELSE concat('[''', c_name, ''']') END, ' answer: q', c_custkey) END AS prompt FROM customer, (SELECT unnest(range(3)) AS i) WHERE i < 3 - (c_custkey%2=0)::INT""")
-def official_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    U.RENDERERS.pop("official", None)
-    U.renderer("official", U.official_renderer(TEMPLATE))
-    m = lambda i, text: F.struct(F.lit(i).alias("memory_id"), text.alias("memory_text"), F.lit("dominate").alias("gold_policy"), F.lit(1.0).alias("c"))
-    k = F.col("c_custkey")
-    both = F.array(m("a", F.col("c_name")), m("b", F.col("c_mktsegment")))
-    s = table(spark, sf_dir, "customer").select(k.cast("string").alias("sample_id"), F.lit("").alias("context"), F.concat(F.lit("q"), k.cast("string")).alias("query"), F.slice(both, F.lit(1), (1 + k % 2).cast("int")).alias("memories"))
-    return U.render_layout(s, "leave_one_out", "official").select(F.col("sample_id").cast("long").alias("k"), F.col("stream").cast("long").alias("stream"), "prompt")
-
-
 @query("""SELECT s_suppkey AS k, sha256(concat('You are given:\n1) A single preference attribute.\n2) One response written for a given context.\n\nYour task is to judge whether the response follows the preference.\n\nIf the response follows the preference, label it as "follow". Otherwise, label it as "do_not_follow".\n\nPreference:\n', s_name, '\n\nResponse:\n', '{preference} ', s_suppkey, '\n\nOnly output a JSON object:\n{"label": "follow" | "do_not_follow"}')) AS preference,
  length(s_name) AS chars, s_suppkey%4 > 1 AS multi FROM supplier""")
 def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,25 @@ def journal_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_journal(spark, path, skipped).select("key", "time")
 
 
+@query("SELECT CAST(event_id AS VARCHAR) AS key, value AS time FROM events")
+def strict_journal_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A journal whose files each end in a torn line is read strictly; torn_lines names just these lines."""
+    path = folder(spark, "torn")
+
+    def torn(batches):
+        for b in batches:
+            yield b
+        yield pa.RecordBatch.from_arrays([pa.array(['{"key": "torn'])], names=["value"])
+
+    k = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.to_json(F.struct(k.cast("string").alias("key"), F.lit("ok").alias("status"), F.col("value").alias("time"))).alias("value")).repartition(3)
+    rows.mapInArrow(torn, "value string").write.text(path)
+    named = io.torn_lines(spark, path)
+    if named.count() != spark.read.text(path).select("_metadata.file_path").distinct().count():
+        raise RuntimeError("another number of torn lines")
+    return io.read_journal(spark, path, named, strict=True).select("key", "time")
+
+
 @query("SELECT printf('bench_kind_%04d', i-1) AS sample_id, s_name AS question FROM (SELECT s_name, s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) WHERE s_suppkey%2=0")
 def benchmark_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("question"), "s_suppkey")

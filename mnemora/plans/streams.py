@@ -111,3 +111,26 @@ def stream_growing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_json(F.struct("event_id", "user_id", "value")).alias("value")).repartition(3).write.text(path)
     rows = growing.growing_lines(spark, path, range=64 << 10).select(F.from_json("value", "event_id long, user_id long, value double").alias("r")).select("r.*")
     return S.drain_to_files(rows, spark, folder(spark, "grown"), folder(spark, "grown-log"))
+
+
+@query("""SELECT event_id, upper(event_type) AS done FROM events""")
+def stream_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed tasks through a caller, partition by partition, until as many results are there as tasks."""
+    path = folder(spark, "dispatched")
+
+    def call(frames):
+        for f in frames:
+            yield f.assign(done=f["event_type"].str.upper())[["event_id", "done"]]
+
+    kinds = "event_id long, done string"
+    tasks = events(spark, sf_dir).select("event_id", "event_type")
+    made: list[int] = []
+
+    def sink(df: DataFrame, i: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={i}")
+        made.append(spark.read.parquet(f"{path}/batch={i}").count())
+
+    q = S.dispatch(tasks, call, kinds, sink, folder(spark, "dispatched-log"))
+    if not S.until_done(q, lambda: sum(made), spark.read.parquet(f"{sf_dir}/events.parquet").count(), 600):
+        raise RuntimeError("tasks are left")
+    return spark.read.schema(kinds).parquet(path)

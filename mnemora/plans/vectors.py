@@ -202,6 +202,31 @@ def attention_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved(spark, sf_dir, lambda: G.attention_state(F.col("w0"), F.col("full"), F.col("c0"), gate, F.lit(1.0), "extract")[0])
 
 
+@query(f"""WITH {RESID}, {LONGR}, c AS (SELECT unnest(['extract', 'steer', 'both', 'neither']) AS control) SELECT k, control, CAST(dim AS BIGINT) AS dim,
+ round((CASE WHEN control IN ('extract', 'both') THEN f+(w0-f)*(1+k%2) ELSE w0 END)*c0*(CASE WHEN control IN ('steer', 'both') THEN 0.5 ELSE 1 END),6)+0.0 AS x FROM rl, c""")
+def attention_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gate = (1 + F.col("k") % 2).cast("double")
+
+    def one(control: str):
+        only, coefficient = G.attention_state(F.col("w0"), F.col("full"), F.col("c0"), gate, F.lit(0.5), control)
+        return F.struct(F.lit(control).alias("control"), V.scale(only, coefficient).alias("y"))
+
+    r = residuals(spark, sf_dir).select("k", F.explode(F.array(*map(one, ("extract", "steer", "both", "neither")))).alias("z")).select("k", "z.*")
+    return exploded(r, "y", "k", "control")
+
+
+DIGITS = "list_transform(range(1, 9), lambda i: CAST(ascii(substr(md5({}), CAST(i AS INT), 1)) AS DOUBLE))"
+
+
+@query(f"""WITH v AS (SELECT c_custkey AS k, {DIGITS.format("concat(c_mktsegment, ' ', c_name)")} AS a, {DIGITS.format("c_mktsegment")} AS b FROM customer), l AS (SELECT k, unnest(a) AS a, unnest(b) AS b, unnest(range(8)) AS dim FROM v)
+ SELECT k, CAST(dim AS BIGINT) AS dim, round(a-b,6)+0.0 AS x FROM l""")
+def shared_empty_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's prompt less the prompt of the segment alone, which all customers of a segment share and which is computed once."""
+    digits = lambda p: F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.ascii(F.substring(F.md5(p), i, F.lit(1))).cast("double"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat_ws(" ", "c_mktsegment", "c_name").alias("only"), F.col("c_mktsegment").alias("empty"))
+    return exploded(C.isolated_differences(rows, lambda d: d.select("digest", digits(F.col("prompt")).alias("v"))), "delta", "k")
+
+
 @query("""SELECT vec_id, CAST(CASE WHEN vec_id%3=0 THEN 31 ELSE 3+(vec_id%4)*2 END AS INT) AS layer FROM embeddings""")
 def measured_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == 3 + F.col("vec_id") % 4 * 2, "full_attention").otherwise("linear"))
