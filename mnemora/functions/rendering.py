@@ -15,6 +15,8 @@ from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructType
 
+from .text import LIMITS
+
 NEEDED = ("sample_id", "context", "query", "memories")
 Kept = list[tuple[str, list]]
 
@@ -50,9 +52,9 @@ def official(template: str, row: Row, kept: list) -> str:
 
 
 def system(template: str, row: Row, kept: list) -> str:
-    """{context} and {memories}, a numbered list."""
+    """{context} and {memories}, a numbered list, both cut."""
     listed = "\n".join(f"{i}. {m['memory_text']}" for i, m in enumerate(kept, 1))
-    return _filled(template, context=row["context"], memories=listed)
+    return _filled(template, context=(row["context"] or "")[: LIMITS[0]], memories=listed[: LIMITS[1]])
 
 
 def chat(template: str, row: Row, kept: list) -> list[tuple[str, str]]:

@@ -107,10 +107,14 @@ def numbered_list(items: Column, hints: bool = False, drop_ignored: bool = False
     return F.array_join(F.transform(kept, line), "\n")
 
 
-def system_prompt(template: str, context: Column, memories: Column, limits: tuple[int, int] = (3000, 2000)) -> Column:
-    """template with {context} and {memories} filled by cut texts."""
-    filled = F.replace(F.lit(template), F.lit("{context}"), F.substring(F.coalesce(context, F.lit("")), 1, limits[0]))
-    return F.replace(filled, F.lit("{memories}"), F.substring(F.coalesce(memories, F.lit("")), 1, limits[1]))
+#: Characters of a context and of a list of memories that a system prompt takes.
+LIMITS = (3000, 2000)
+
+
+def system_prompt(template: str, context: Column, memories: Column, limits: tuple[int, int] = LIMITS) -> Column:
+    """template with {context} and {memories} filled by cut texts, which aren't searched for names again."""
+    cut = lambda text, n: F.substring(F.coalesce(text, F.lit("")), 1, n)
+    return filled(template, context=cut(context, limits[0]), memories=cut(memories, limits[1]))
 
 
 @F.pandas_udf(StringType())

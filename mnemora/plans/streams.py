@@ -133,4 +133,4 @@ def stream_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = S.dispatch(tasks, call, kinds, sink, folder(spark, "dispatched-log"))
     if not S.until_done(q, lambda: sum(made), spark.read.parquet(f"{sf_dir}/events.parquet").count(), 600):
         raise RuntimeError("tasks are left")
-    return spark.read.schema(kinds).parquet(path)
+    return spark.read.schema(kinds).parquet(path).select("event_id", "done")
