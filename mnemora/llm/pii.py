@@ -18,7 +18,11 @@ without punctuation at its ends, that touches no base span.
 
 The factors are trained piecewise, each as the log of its own smoothed conditional counts, with base spans as labels,
 over all documents: the statistics are tables of fixed size (shapes and words hashed to CELLS rows), counted where the
-texts are and summed.
+texts are and summed. A type of pair that no two base spans are of keeps the prior AGREE and the labels' shares.
+
+What is linked or added has these limits: the word before a token is looked for within 24 characters; digit groups are
+joined to numbers of MOST_DIGITS digits, the longest of any kind; forms of EDIT to MOST_EDITED characters are compared up to one
+character; an added span holds what any of its kind does (`enough`: an @; three dots and four digits; 13 to 19 digits; 7 to 15).
 
 Defined cases: a null or empty text has no spans; very long texts are read whole, in time linear in their
 tokens; repeated rows have equal spans; a null id is kept; an empty table trains a field that adds nothing to a text
