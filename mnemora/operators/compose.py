@@ -6,7 +6,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,19 +144,40 @@ def readout(hidden: Column, weights: Column, bias: Column | None = None) -> Colu
 def gram(rows: DataFrame, key: str, rtol: float = 1e-4) -> DataFrame:
     """key, moved: the least-norm vector whose projections on the unit directions are c times their
     lengths, by the pseudo-inverse of the cosine Gram matrix; one memory takes the direct path.
-    rows: (key, deltas array<struct<c, d>>). Each row is solved on its own: no shuffle."""
-
-    def solve(deltas) -> list[float]:
-        d = np.array([x["d"] for x in deltas], float)
-        c = np.array([x["c"] for x in deltas], float)
-        if len(d) == 1:
-            return (c[0] * d[0]).tolist()
-        length = np.linalg.norm(d, axis=1)
-        u = d / np.maximum(length, 1e-12)[:, None]
-        return (np.linalg.pinv(u @ u.T, rcond=rtol, hermitian=True) @ (c * length) @ u).tolist()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({key: f[key], "moved": [solve(x) for x in f["deltas"]]})
-
-    return rows.select(key, "deltas").mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, moved array<double>")
+    rows: (key, deltas array<struct<c, d>>). The rows of a batch with equally many directions of equal width are solved by one
+    stacked decomposition: no shuffle."""
+
+    def solved(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Of c [rows, memories] and d [rows, memories, width]."""
+        if d.shape[1] == 1:
+            return c * d[:, 0]
+        length = np.linalg.norm(d, axis=2)
+        u = d / np.maximum(length, 1e-12)[:, :, None]
+        inverse = np.linalg.pinv(u @ u.transpose(0, 2, 1), rcond=rtol, hermitian=True)
+        return ((inverse @ (c * length)[:, :, None]).transpose(0, 2, 1) @ u)[:, 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            deltas = b.column(1)
+            each = deltas.flatten()
+            c, width = each.field("c").to_numpy(zero_copy_only=False), pc.list_value_length(each.field("d")).to_numpy(zero_copy_only=False)
+            flat = each.field("d").flatten().to_numpy(zero_copy_only=False)
+            at, count = np.cumsum(width) - width, pc.list_value_length(deltas).to_numpy(zero_copy_only=False)
+            first = np.cumsum(count) - count
+            if len(odd := np.flatnonzero(count == 0)):
+                raise ValueError(f"{b.column(0)[int(odd[0])].as_py()} has no directions")
+            size = width[first] if len(first) else np.zeros(0, np.int64)
+            out: list = [None] * b.num_rows
+            for m, w in set(zip(count.tolist(), size.tolist())):
+                on = np.flatnonzero((count == m) & (size == w))
+                places = first[on][:, None] + np.arange(m)
+                if (width[places] != w).any():
+                    raise ValueError("directions of different widths")
+                moved = solved(c[places], flat[at[places][:, :, None] + np.arange(w)])
+                for i, v in zip(on.tolist(), moved):
+                    out[i] = v
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=[key, "moved"])
+
+    return rows.select(key, F.transform("deltas", lambda x: F.struct(x["c"].cast("double").alias("c"), x["d"].cast("array<double>").alias("d"))).alias("deltas")).mapInArrow(
+        run, f"`{key}` {rows.schema[key].dataType.simpleString()}, moved array<double>"
+    )
