@@ -94,6 +94,8 @@ def _met(k: int, width: int):
             held = held.sort_values(["grp", "vec_id"], ignore_index=True)
             ref, grp, key, value = (held[c].to_numpy() for c in ("vec_id", "grp", "query_key", "value"))
             m = _matrix(held["v"], width, "references").T
+            if not np.isfinite(value.astype(float)).all():
+                raise ValueError("references with values that aren't finite")
             first = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]]))
             size = np.diff(np.append(first, len(grp)))
             step = max(1, (1 << 21) // len(ref))
@@ -130,6 +132,20 @@ def meet(asked: DataFrame, dealt: DataFrame, sizes: dict[int, int], block_rows:
     return pairs.applyInPandas(_met(k, width), f"vec_id {asked.schema['vec_id'].dataType.simpleString()}, {kinds}, sim double, value double")
 
 
+def bucketed(references: DataFrame, count: int, width: int) -> tuple[DataFrame, dict[int, int], np.ndarray, np.ndarray, np.ndarray]:
+    """References with their bucket, and of each bucket that has any: its rows, pivot, radius and largest norm. The pivots are the
+    references of the smallest hashes."""
+    pivots = np.array([r["v"] for r in references.orderBy(F.xxhash64("vec_id")).select("v").limit(count).collect()])  # PIVOT_BYTES at most
+    if not np.isfinite(pivots).all():
+        raise ValueError("references with values that aren't finite")
+    dealt = written(deal(references, pivots, width), "reference-buckets")
+    found = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm")).orderBy("bucket").collect()  # a row for each pivot
+    used = [r["bucket"] for r in found]
+    number = F.broadcast(references.sparkSession.createDataFrame(list(zip(used, range(len(used)))), "bucket long, at long"))  # as many
+    dealt = dealt.join(number, "bucket").drop("bucket").withColumnRenamed("at", "bucket")
+    return dealt, {i: r["n"] for i, r in enumerate(found)}, pivots[used], np.array([r["far"] for r in found]), np.array([r["norm"] for r in found])
+
+
 def nearest_groups(
     queries: DataFrame, references: DataFrame, k: int, block_bytes: int = BLOCK_BYTES, pivot_bytes: int = PIVOT_BYTES, growth: int = GROWTH, trace: list[int] | None = None
 ) -> DataFrame:
@@ -141,27 +157,21 @@ def nearest_groups(
     rows, width = shape[0], shape[1] or 0
     block_rows = max(1, block_bytes // (8 * max(1, width)))
     count = max(1, min(math.isqrt(rows), -(-rows // block_rows), pivot_bytes // (8 * max(1, width))))
-    # rows of the smallest hashes: count of them, pivot_bytes at most
-    chosen = references.orderBy(F.xxhash64("vec_id")).select("v").limit(count).collect() if rows and count > 1 else []
-    pivots = np.array([r["v"] for r in chosen]) if chosen else np.zeros((1, width))
-    if not np.isfinite(pivots).all():
-        raise ValueError("references with values that aren't finite")
-    dealt = written(deal(references.select("vec_id", "grp", "query_key", "v", "value"), pivots, width), "reference-buckets")
-    sizes, radius, norm = {}, np.full(len(pivots), -np.inf), np.zeros(len(pivots))
-    for r in dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm")).collect():  # a row for each pivot
-        sizes[r["bucket"]], radius[r["bucket"]], norm[r["bucket"]] = r["n"], r["far"], r["norm"]
-    used = sorted(sizes)
-    pivots, radius, norm, sizes = pivots[used], radius[used], norm[used], {i: sizes[b] for i, b in enumerate(used)}
-    dealt = dealt.join(F.broadcast(queries.sparkSession.createDataFrame(list(zip(used, range(len(used)))), "bucket long, at long")), "bucket").drop("bucket").withColumnRenamed("at", "bucket")
+    kept = references.select("vec_id", "grp", "query_key", "v", "value")
+    if count == 1:  # all that one task may compare at once: every query visits the one bucket there is
+        dealt, sizes = kept.withColumn("bucket", F.lit(0).cast("long")), {0: rows} if rows else {}
+        pivots, radius, norm = np.zeros((1, width)), np.full(1, np.inf), np.full(1, np.inf)
+    else:
+        dealt, sizes, pivots, radius, norm = bucketed(kept, count, width)
     types = {"vec_id": queries.schema["vec_id"].dataType, "ref": references.schema["vec_id"].dataType, "rgrp": references.schema["grp"].dataType}
     found = queries.sparkSession.createDataFrame([], ", ".join(f"{c} {t.simpleString()}" for c, t in types.items()) + ", sim double, value double")
-    if not used:
+    if not sizes:
         return found
     first, last = 0, 1
-    while first < len(used):
+    while first < len(sizes):
         floor = found.groupBy("vec_id").agg(F.when(F.count("*") >= k, F.min("sim")).alias("floor"))
         open_queries = queries.join(floor, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-math.inf))) if first else queries.withColumn("floor", F.lit(-math.inf))
-        asked = visits(open_queries, pivots, radius, norm, width, first, last)
+        asked = visits(open_queries, pivots, radius, norm, width, first, last) if count > 1 else queries.withColumn("bucket", F.lit(0).cast("long"))
         asked = written(asked, "visits")
         n = asked.count()
         if trace is not None:
@@ -173,7 +183,7 @@ def nearest_groups(
         top = Window.partitionBy("vec_id").orderBy(F.desc("sim"), "ref")
         found = best.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k).drop("_n")
         first, last = last, last + (last - first) * growth
-        if first < len(used):
+        if first < len(sizes):
             found = written(found, "nearest")
     return found
 
