@@ -50,6 +50,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def memory_rows(spark: SparkSession, sf_dir: str, *more: str | Column) -> DataFrame:
+    """sample_id, memory_id and more: the memories of samples as rows, for what would grow with the square of a sample."""
+    return items(spark, sf_dir).select("sample_id", F.col("memory_id").cast("string").alias("memory_id"), *more)
+
+
 ITEMS = """items AS (SELECT concat(d.source,'::',d.lang) AS sample_id, d.doc_id AS memory_id, d.source, d.lang, d.text,
  length(d.text) AS n, CASE WHEN l.quality=0 THEN 'ignore' WHEN l.toxic=1 THEN 'support' ELSE 'dominate' END AS policy, l.quality, l.toxic
  FROM documents d JOIN labels l USING (doc_id))"""
