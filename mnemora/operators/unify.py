@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import records as R
@@ -74,15 +74,45 @@ def from_lists(rows: DataFrame, source: str, prefix: str) -> DataFrame:
     return R.unified(rows, source, key, F.col("query"), context, R.ranked_lists(F.col("must"), F.col("nice"), F.col("irr"), key), _map(query_time=F.col("query_time")))
 
 
-def render_streams(samples: DataFrame, template: str, kinds: tuple[str, ...] = ("full", "without", "only")) -> DataFrame:
-    """One prompt per counterfactual stream: the template filled with the context and the memories that the
-    stream keeps, numbered anew."""
+def prompt_heads(memories: DataFrame, chars: int) -> DataFrame:
+    """sample_id, head: of each sample the first memories (pos, text cut to chars), in order of pos and text, that the first chars
+    characters of a list of all but one of its memories can reach. Places in the list are found from lengths alone."""
+    lines = chars // 4 + 2  # a line has four characters at least: a digit, a point, a space, and its end
+    short = memories.select("sample_id", "pos", F.substring(F.coalesce("memory_text", F.lit("")), 1, chars).alias("text"))
+    places = short.groupBy("sample_id", "pos").agg(F.sum(F.length("text") + 4).alias("chars"))
+    w = Window.partitionBy("sample_id").orderBy("pos")
+    places = places.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= lines).withColumn("_to", F.sum("chars").over(w))
+    reached = places.where(F.col("_to") - F.col("chars") < 2 * chars + 4).select("sample_id", "pos")  # the one left out has chars + 4 at most
+    rows = short.join(reached, ["sample_id", "pos"]).withColumn("_n", F.row_number().over(Window.partitionBy("sample_id", "pos").orderBy("text"))).where(F.col("_n") <= lines)
+    return rows.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("head"))
+
+
+def render_streams(memories: DataFrame, contexts: DataFrame, template: str, kinds: tuple[str, ...] = ("full", "without", "only")) -> DataFrame:
+    """sample_id, kind, memory_id, prompt: one prompt for each counterfactual stream of R.removal_streams, the template filled with the
+    context and the memories that the stream keeps, numbered anew, both cut as T.system_prompt cuts them.
+
+    memories: a row (sample_id, memory_id, pos, memory_text) each, listed by pos, then text; a null text is an empty line. contexts: a row
+    (sample_id, context) each. A cut list shows a sample's first memories only, so a stream needs these and its own memory."""
     from ..functions import text as T
 
-    streams = R.removal_sets(samples, kinds).join(samples.select("sample_id", "context", "memories"), "sample_id")
-    kept = F.filter("memories", lambda m: ~F.array_contains("removed", m["memory_id"]))
-    listed = T.numbered_list(F.transform(kept, lambda m: F.struct(m["memory_text"].alias("text"), m["gold_policy"].alias("policy"))))
-    return streams.select("sample_id", "stream", "kind", "memory_id", T.system_prompt(template, F.col("context"), listed).alias("prompt"))
+    chars = T.LIMITS[1]
+    cut = lambda text, n: F.substring(F.coalesce(text, F.lit("")), 1, n)
+    listed = lambda kept: cut(T.numbered_list(F.transform(kept, lambda m: F.struct(m["text"].alias("text")))), chars)
+    heads = prompt_heads(memories, chars).join(contexts.select("sample_id", cut(F.col("context"), T.LIMITS[0]).alias("context")), "sample_id", "left").withColumn("all", listed(F.col("head")))
+    stream = lambda kind, text: F.struct(F.lit(kind).alias("kind"), T.system_prompt(template, F.col("context"), text).alias("prompt"))
+    alone = [stream(k, F.col("all") if k == "full" else F.lit("")) for k in ("full", "empty") if k in kinds]
+    own = F.struct("pos", "text")
+    at = F.array_position("head", own).cast("int")  # of one of equal rows; 0: beyond what the list shows
+    rest = F.when(at == 0, F.col("all")).otherwise(listed(F.concat(F.slice("head", F.lit(1), at - 1), F.slice("head", at + 1, F.size("head")))))
+    each = [stream(k, {"without": rest, "only": listed(F.array(own))}[k]) for k in ("without", "only") if k in kinds]
+    parts = []
+    if alone:
+        parts.append(heads.select("sample_id", F.lit(None).cast("string").alias("memory_id"), F.explode(F.array(*alone)).alias("s")))
+    if each:
+        rows = memories.select("sample_id", F.col("memory_id").cast("string").alias("memory_id"), "pos", cut(F.col("memory_text"), chars).alias("text"))
+        parts.append(rows.join(heads, "sample_id").select("sample_id", "memory_id", F.explode(F.array(*each)).alias("s")))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.select("sample_id", "s.kind", "memory_id", "s.prompt")
 
 
 #: What makes a prompt of row columns: context, query, the memories kept, all memories.

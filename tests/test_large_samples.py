@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemora.operators import records as R
+from mnemora.operators import unify as U
 from mnemora.plans import registry
 
 M = 20_000
@@ -31,3 +32,29 @@ def test_removal_streams_are_removal_sets(spark):
     want = sorted((r["sample_id"], r["kind"], r["memory_id"] or "", len(r["removed"])) for r in R.removal_sets(nested, kinds).collect())
     rows = nested.select("sample_id", F.explode("memories").alias("m")).select("sample_id", "m.memory_id")
     assert sorted((r["sample_id"], r["kind"], r["memory_id"] or "", r["removed"]) for r in R.removal_streams(rows, kinds).collect()) == want
+
+
+def test_rendered_streams_of_a_large_sample(spark, one_sample):
+    assert [tuple(r) for r in registry.QUERIES["rendered_streams"](spark, one_sample).select("sample_id", "prompts", "with_head").collect()] == [("s::en", 1 + 2 * M, 1 + 2 * M)]
+
+
+def test_prompts_of_streams(spark):
+    """Against lists made whole and then cut: short and long texts, empty and null ones, equal rows, samples beyond the cut."""
+    memories = [("a", str(i), i, ["", "x" * 30, None, "y" * 2500, "{context}"][i % 5]) for i in range(9)]
+    memories += [("b", str(i), i, "") for i in range(700)] + [("c", str(i), i, "z" * 21) for i in range(200)]
+    memories += [("d", "0", 0, "same"), ("d", "0", 0, "same"), ("d", "0", 0, "other"), ("e", "0", 0, "one")]
+    contexts = {"a": "A" * 3100, "b": None, "c": "C", "d": "D", "e": "E"}
+    kinds = ("full", "without", "only", "empty")
+
+    def prompt(s, kept):
+        return "C: " + (contexts[s] or "")[:3000] + "\n" + "\n".join(f"{i}. {t}" for i, t in enumerate(kept, 1))[:2000]
+
+    want = []
+    for s in contexts:
+        own = sorted(((m, p, t or "") for x, m, p, t in memories if x == s), key=lambda m: (m[1], m[2]))
+        texts = [t for _, _, t in own]
+        want += [(s, "full", "", prompt(s, texts)), (s, "empty", "", prompt(s, []))]
+        want += [(s, "without", m, prompt(s, texts[:i] + texts[i + 1 :])) for i, (m, _, _) in enumerate(own)] + [(s, "only", m, prompt(s, [t])) for m, _, t in own]
+    rows = spark.createDataFrame(memories, "sample_id string, memory_id string, pos int, memory_text string")
+    made = U.render_streams(rows, spark.createDataFrame(list(contexts.items()), "sample_id string, context string"), "C: {context}\n{memories}", kinds)
+    assert sorted((r["sample_id"], r["kind"], r["memory_id"] or "", r["prompt"]) for r in made.collect()) == sorted(want)
