@@ -6,7 +6,7 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,14 +32,31 @@ def separator(text: str, n: int) -> str:
     return next(c for c in map(chr, range(0xF0000, 0xFFFFE)) if text.count(c) == n)
 
 
+#: Bytes of texts that are worked on at once: their code points, sums and copies take some forty times that.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(texts: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
+    """texts in slices of most bytes at most (PIECE_BYTES), or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, before + (PIECE_BYTES if most is None else most), "right")))
+        yield texts.slice(at, end - at)
+        at, before = end, int(ends[end - 1])
+
+
+def in_pieces(texts: pa.Array, work: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """work(texts), a row for each, piece by piece, so that memory follows a piece's size and not a batch's."""
+    return pa.concat_arrays([work(p) for p in pieces(texts)]) if len(texts) else work(texts)
+
+
 def in_one(texts: pa.Array, change: Callable[[str, str], str]) -> pa.Array:
     """change(text, separator) applied to all texts of a batch at once, joined by a character that none of them holds. It
     has to keep the separators and nothing may reach over them."""
-    filled = texts.fill_null("")
-    whole = filled.cast(pa.large_binary()).buffers()[2]
-    raw = whole.to_pybytes().decode("utf-8", "surrogatepass") if whole else ""
-    sep = separator(raw, 0)
-    done = change(sep.join(filled.to_pylist()), sep).split(sep)
+    each = texts.fill_null("").to_pylist()
+    sep = separator("".join(each), 0)
+    done = change(sep.join(each), sep).split(sep)
     return pc.if_else(texts.is_valid(), pa.array(done, pa.string()), pa.scalar(None, pa.string())) if len(texts) else pa.array([], pa.string())
 
 
@@ -50,8 +67,8 @@ def _normal(text: str, sep: str) -> str:
 
 @F.arrow_udf(StringType())
 def normalize(texts: pa.Array) -> pa.Array:
-    """NFKC, case folding, runs of white space as one space, trimmed; a batch at a time."""
-    return in_one(texts, _normal)
+    """NFKC, case folding, runs of white space as one space, trimmed; many texts at a time."""
+    return in_pieces(texts, lambda p: in_one(p, _normal))
 
 
 def normalize_plain(text: Column) -> Column:
@@ -319,8 +336,8 @@ def first_repetition(text: str) -> tuple[str, int, int] | None:
 
 @F.arrow_udf(StructType([StructField("unit", StringType()), StructField("characters", IntegerType()), StructField("offset", IntegerType())]))
 def repetition(texts: pa.Array) -> pa.Array:
-    """first_repetitions of a batch; nulls for none."""
-    return first_repetitions(texts)
+    """first_repetitions of a batch, piece by piece; nulls for none."""
+    return in_pieces(texts, first_repetitions)
 
 
 def has_single_repetition(text: Column, times: int = 20) -> Column:
