@@ -21,6 +21,8 @@ from ..sources.shared import written
 #: Bytes of vectors that a task compares at once from each side; bytes of all pivots, which every task holds; how many
 #: times more buckets a round visits than the round before; what rounding may add to a bound.
 BLOCK_BYTES, PIVOT_BYTES, GROWTH, SLACK = 8 << 20, 16 << 20, 8, 2e-9
+#: Distances or similarities that a task has at once; bytes of vectors that it passes on at once.
+CELLS, VISIT_BYTES = 1 << 19, 2 << 20
 
 
 def _matrix(column: pd.Series, width: int, what: str) -> np.ndarray:
@@ -48,10 +50,12 @@ def deal(references: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
             x = _matrix(f["v"], width, "references")
             if not np.isfinite(f["value"].to_numpy(float)).all():
                 raise ValueError("references with values that aren't finite")
-            step = max(1, (1 << 22) // len(shared.value))
-            far = [_distances(x[i : i + step], shared.value) for i in range(0, len(x), step)]
-            bucket = np.concatenate([d.argmin(axis=1) for d in far]) if far else np.zeros(0, int)
-            yield f.assign(bucket=bucket, far=np.concatenate([d.min(axis=1) for d in far]) if far else np.zeros(0), norm=np.sqrt((x * x).sum(axis=1)))
+            step = max(1, CELLS // len(shared.value))
+            bucket, far = np.zeros(len(x), int), np.zeros(len(x))
+            for i in range(0, len(x), step):
+                d = _distances(x[i : i + step], shared.value)
+                bucket[i : i + step], far[i : i + step] = d.argmin(axis=1), d.min(axis=1)
+            yield f.assign(bucket=bucket, far=far, norm=np.sqrt((x * x).sum(axis=1)))
 
     return references.mapInPandas(nearest_pivot, f"{kinds}, bucket long, far double, norm double")
 
@@ -72,7 +76,7 @@ def visits(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, norm: np.
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p, r, m = shared.value
-        step = max(1, (1 << 22) // len(p))
+        step, rows = max(1, CELLS // len(p)), max(1, VISIT_BYTES // (8 * max(1, width)))
         for f in frames:
             for i in range(0, len(f), step):
                 part = f.iloc[i : i + step]
@@ -80,7 +84,8 @@ def visits(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, norm: np.
                 bound[bound < part["floor"].to_numpy(float)[:, None] - SLACK] = -np.inf
                 order = np.argsort(-bound, axis=1, kind="stable")[:, first:last]
                 row, at = np.nonzero(np.isfinite(np.take_along_axis(bound, order, 1)))
-                yield part[kept].iloc[row].assign(bucket=order[row, at])
+                for j in range(0, len(row), rows):  # a query stands in as many rows as it visits buckets
+                    yield part[kept].iloc[row[j : j + rows]].assign(bucket=order[row[j : j + rows], at[j : j + rows]])
 
     return queries.mapInPandas(choose, f"{kinds}, bucket long")
 
@@ -98,7 +103,7 @@ def _met(k: int, width: int):
                 raise ValueError("references with values that aren't finite")
             first = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]]))
             size = np.diff(np.append(first, len(grp)))
-            step = max(1, (1 << 21) // len(ref))
+            step = max(1, CELLS // len(ref))
             for i in range(0, len(asked), step):
                 part = asked.iloc[i : i + step]
                 sim = np.round(_matrix(part["v"], width, "queries") @ m / part["n"].to_numpy()[:, None], 9)

@@ -35,3 +35,30 @@ def test_memory_of_a_large_batch(work):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 80 << 20, peak
+
+
+def test_visits_pass_on_few_vectors_at_once(spark, monkeypatch):
+    """A query stands in as many rows as it visits buckets; they leave a task in frames of VISIT_BYTES, which no result shows."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from mnemora.operators import neighbours as N
+
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 5, i % 3, [float(x) for x in rng.normal(size=4)], 1) for i in range(60)]
+    queries = spark.createDataFrame(rows, "vec_id long, grp long, query_key long, v array<double>, n int").withColumn("floor", F.lit(-np.inf)).coalesce(1)
+    pivots = rng.normal(size=(7, 4))
+    pick = lambda: sorted((r["vec_id"], r["bucket"]) for r in N.visits(queries, pivots, np.ones(7), np.ones(7), 4, 1, 6).collect())
+    whole = pick()
+    assert len(whole) == 60 * 5
+    frames = []
+    monkeypatch.setattr(N, "VISIT_BYTES", 10 * 8 * 4)
+    real = type(queries).mapInPandas
+
+    def traced(df, f, schema, **how):
+        frames.extend(len(x) for x in f(iter([df.toPandas()])))
+        return real(df, f, schema, **how)
+
+    monkeypatch.setattr(type(queries), "mapInPandas", traced)
+    N.visits(queries, pivots, np.ones(7), np.ones(7), 4, 1, 6)
+    assert sum(frames) == 300 and max(frames) <= 10
