@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.llm import packing, pii, simhash, toxicity
-from mnemora.llm.common import ARROW_ROWS, written
+from mnemora.llm.common import ARROW_ROWS, give_back, written
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -23,7 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches their language's threshold go."""
     _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.keep_clean(docs, toxicity.fit(toxicity.labelled_sample(docs, labels)))
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels))
+    give_back()  # the later stages' driver is the same process
+    return toxicity.keep_clean(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +52,12 @@ def filesystem(uri: str):
 def bucket(column: str, modulus: int):
     """crc32 of the column's text modulo modulus; a null value counts as the empty string."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system, which the allocators of Python and Arrow keep otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)

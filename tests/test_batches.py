@@ -62,3 +62,12 @@ def test_visits_pass_on_few_vectors_at_once(spark, monkeypatch):
     monkeypatch.setattr(type(queries), "mapInPandas", traced)
     N.visits(queries, pivots, np.ones(7), np.ones(7), 4, 1, 6)
     assert sum(frames) == 300 and max(frames) <= 10
+
+
+def test_freed_memory_goes_back():
+    from mnemora.llm.common import give_back
+
+    give_back()
+    held = [bytes(1000) for _ in range(10)]
+    give_back()
+    assert all(len(x) == 1000 for x in held)
